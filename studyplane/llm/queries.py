@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, langid, packing, quality, sharding, tokens, topk
+from . import decontaminate, langid, lm, packing, quality, sharding, tokens, topk
 
 
 def vocabulary(name: str) -> str:
@@ -54,6 +54,12 @@ def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    text_fold = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    out = lm.scored(table(spark, sf_dir, "documents"), text_fold % 5 != 1, F.floor(text_fold / 5) % 16 == 0)
+    return out.select("doc_id", (fold(5) == 1).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json")).drop("ids")
 
@@ -69,7 +75,7 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality, op2_top_k, op4_token_counts, op5_decontaminate, op7_packing, op8_sharding, op10_language)}
+    return {f.__name__: f for f in (op1_quality, op2_top_k, op4_token_counts, op5_decontaminate, op6_lm, op7_packing, op8_sharding, op10_language)}
 
 
 def oracle_sql() -> dict[str, str]:
