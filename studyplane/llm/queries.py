@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, langid, lm, packing, quality, sharding, tokens, topk
+from . import decontaminate, html_main, jaccard, langid, lm, packing, quality, sharding, tokens, topk
 
 
 def vocabulary(name: str) -> str:
@@ -38,6 +38,10 @@ def op2_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0).withColumn("rank", F.col("rank").cast("int"))
 
 
+def op3_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.joined(table(spark, sf_dir, "documents"), n=4, least=85)
+
+
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.token_counts(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"))
 
@@ -68,6 +72,10 @@ def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.sharded(table(spark, sf_dir, "documents"), sharding.regular_tree(2, 2, 4))
 
 
+def op9_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_main.extracted(table(spark, sf_dir, "pages"))
+
+
 def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     out = langid.identified(docs, langid.fit(docs, fold(4) != 2))
@@ -75,7 +83,7 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality, op2_top_k, op4_token_counts, op5_decontaminate, op6_lm, op7_packing, op8_sharding, op10_language)}
+    return {f.__name__: f for f in (op1_quality, op2_top_k, op3_ngram_join, op4_token_counts, op5_decontaminate, op6_lm, op7_packing, op8_sharding, op9_main_text, op10_language)}
 
 
 def oracle_sql() -> dict[str, str]:
