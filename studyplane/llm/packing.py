@@ -3,13 +3,16 @@
 from __future__ import annotations
 
 import heapq
+import os
 import zlib
+from array import array
 from bisect import bisect_left, bisect_right, insort
 from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -24,30 +27,60 @@ TIERS = (512, 1024, 2048, 4096)
 GROUP_TOKENS, STEP_TOKENS = 1 << 19, 1 << 16
 
 #: Chunks between white space whose ids a worker remembers, and the longest one (in bytes) that it does.
-REMEMBERED, REMEMBERED_BYTES = 300_000, 64
+REMEMBERED, REMEMBERED_BYTES = 1_000_000, 64
+
+
+#: The pre-token pattern of this vocabulary, after lower-casing, and its characters for bytes (fixed values of the format).
+PRE_TOKEN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+_SHOWN = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+_VISIBLE = {b: chr(256 + i) for i, b in enumerate(b for b in range(256) if b not in _SHOWN)}
 
 
 class ChunkEncoder:
     """Token ids of whole texts. White space takes no part in this kind of vocabulary, so a text's ids are those of its chunks."""
 
     def __init__(self, vocabulary: str):
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
         self.library = Tokenizer.from_file(vocabulary)
         self.library.no_truncation()
         self.library.no_padding()
+        self.merges = Tokenizer(self.library.model)
+        self.pattern = regex.compile(PRE_TOKEN)
         self.known: dict[bytes, bytes] = {}
 
+    def _learn(self, new: list[bytes]) -> None:
+        """Ids of chunks that aren't known. Chunks of Latin letters, which normal form C leaves alone, are lower-cased and split here, and
+        only pieces not known either are merged; all others go through the whole library."""
+        split, hard, pieces = {}, [], set()
+        for c in new:
+            s = c.decode()
+            if (s.isascii() or max(s) < "\u0250") and "<|" not in s:
+                split[c] = [p.encode() for p in self.pattern.findall(s.lower())]
+                pieces.update(split[c])
+            else:
+                hard.append(c)
+        pieces = [p for p in pieces if p not in self.known]
+        for keys, made in (
+            (hard, self.library.encode_batch_fast([c.decode() for c in hard], add_special_tokens=False)),
+            (pieces, self.merges.encode_batch_fast([p.decode("latin-1").translate(_VISIBLE) for p in pieces], add_special_tokens=False)),
+        ):
+            self.known.update((k, array("I", e.ids).tobytes()) for k, e in zip(keys, made, strict=True))
+        get = self.known.__getitem__
+        self.known.update((c, b"".join(map(get, parts))) for c, parts in split.items())
+
     def encode(self, texts: list[str | None], end_id: int) -> list[np.ndarray]:
         split = [(t or "").encode().split() for t in texts]
         seen = set().union(*split)
-        new = list(seen - self.known.keys())
+        new = [c for c in seen if c not in self.known]
         if len(self.known) + len(new) > REMEMBERED:
             self.known, new = {}, list(seen)
-        made = self.library.encode_batch_fast([c.decode() for c in new], add_special_tokens=False)
-        found = {c: np.array(e.ids, "<u4").tobytes() for c, e in zip(new, made, strict=True)}
-        get = (self.known | found).__getitem__
-        self.known.update((c, i) for c, i in found.items() if len(c) <= REMEMBERED_BYTES)
-        end = np.array([end_id], "<u4").tobytes()
-        return [np.frombuffer(b"".join(map(get, chunks)) + end, "<u4") for chunks in split]
+        self._learn(new)
+        get, end = self.known.__getitem__, array("I", [end_id]).tobytes()
+        out = [np.frombuffer(b"".join(map(get, chunks)) + end, np.uint32) for chunks in split]
+        for c in new:
+            if len(c) > REMEMBERED_BYTES:
+                del self.known[c]
+        return out
 
 
 @lru_cache(maxsize=2)
@@ -149,7 +182,7 @@ def packed(docs: DataFrame, vocabulary: str, end_id: int = 2, tiers: tuple[int,
                     pa.concat_arrays(names).take(pa.array([f[0] for f in flat], pa.int64())),
                     pa.array([f[1] for f in flat], pa.int64()),
                     pa.array([f[2] for f in flat], pa.int64()),
-                    pa.array([zlib.crc32(c.tobytes()) for c in cut], pa.int64()),
+                    pa.array([zlib.crc32(c.astype("<u4").tobytes()) for c in cut], pa.int64()),
                     pa.array([len(ids[f[0]]) for f in flat], pa.int64()),
                     pa.array([base + sequences + f[3] for f in flat], pa.int64()),
                     pa.array([f[4] for f in flat], pa.int64()),
