@@ -92,7 +92,7 @@ def _clustered(x: np.ndarray, k: int) -> np.ndarray:
 
 def fitted(counts: np.ndarray, labels: list[str]) -> CentroidModel | None:
     """The model of labelled gram counts; None without any."""
-    names = sorted(set(labels))
+    names = sorted(map(str, set(labels)))
     if not names:
         return None
     idf = np.log((1 + len(counts)) / (1 + (counts > 0).sum(0))).astype(np.float32) + 1
@@ -147,9 +147,9 @@ def identified(docs: DataFrame, model: CentroidModel | None, max_distance: float
                     near, score = model.nearest(gram_counts(data[offsets[a] : offsets[e]], offsets[a : e + 1] - offsets[a]))
                     names = [n if ok else UNDETERMINED for n, ok in zip(near, lettered[a:e], strict=True)]
                     score = np.where(lettered[a:e], score, 0.0)
-                yield pa.RecordBatch.from_arrays([*(c.slice(a, e - a) for c in (b.column(0), *b.columns[3:])), pa.array(names, pa.string()), pa.array(score, pa.float64())], [f.name for f in b.schema if f.name not in ("text", "lettered")] + ["lang_pred", "score"])
+                yield pa.RecordBatch.from_arrays([*(c.slice(a, e - a) for c in (b.column(0), *b.columns[3:])), pa.array(names, pa.string()), pa.array(score, pa.float64())], ["doc_id", *keep, "lang_pred", "score"])
 
-    body = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), has_letter(F.col(text_col)).alias("lettered"), *(F.col(k) for k in keep))
+    body = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("_text"), has_letter(F.col(text_col)).alias("_lettered"), *(F.col(k) for k in keep))
     kinds = dict(body.dtypes)
     out = body.mapInArrow(rows, ", ".join(f"`{k}` {kinds[k]}" for k in ("doc_id", *keep)) + ", lang_pred string, score double")
     return out.withColumn("rejected", (F.col("lang_pred") == UNDETERMINED) | (1 - F.col("score") > max_distance))

@@ -25,7 +25,10 @@ _CLASSES = 7 + len(_MARKS)
 FEATURES = _CLASSES + 6
 
 #: Newton rounds at most, the gradient's size at which they end, and the weight decay.
-ROUNDS, CLOSE, DECAY = 15, 1e-5, 1e-3
+ROUNDS, CLOSE, DECAY = 15, 1e-4, 5e-3
+
+#: Over this the non-negative part of the risk is rounded off at 0.
+EDGE = 0.03
 
 _BYTE_CLASS = np.zeros((256, _CLASSES))
 _BYTE_CLASS[np.arange(256), _CLASS] = 1
@@ -67,7 +70,7 @@ def featured(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ke
                 made = text_features(data[offsets[a] : offsets[e]], offsets[a : e + 1] - offsets[a])
                 yield pa.RecordBatch.from_arrays([*(c.slice(a, e - a) for c in (b.column(0), *b.columns[2:])), pa.array([m.tobytes() for m in made], pa.binary())], ["doc_id", *keep, "x"])
 
-    body = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), *(F.col(k) for k in keep))
+    body = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("_text"), *(F.col(k) for k in keep))
     kinds = dict(body.dtypes)
     return body.mapInArrow(rows, ", ".join(f"`{k}` {kinds[k]}" for k in ("doc_id", *keep)) + ", x binary")
 
@@ -80,7 +83,7 @@ class QualityModel:
     prior: float
 
     def inputs(self, x: np.ndarray) -> np.ndarray:
-        return np.column_stack([np.clip((x - self.mean) / self.scale, -8, 8), np.ones(len(x))])
+        return np.column_stack([np.clip((x - self.mean) / self.scale, -3, 3), np.ones(len(x))])
 
     def scores(self, x: np.ndarray) -> np.ndarray:
         return 1 / (1 + np.exp(-np.clip(self.inputs(x) @ self.weights, -500, 500)))
@@ -111,10 +114,9 @@ def _summed(rows: DataFrame, width: int, of_batch) -> np.ndarray:
 def fit(features: DataFrame, prior: float) -> QualityModel:
     """The weights of least non-negative unbiased risk over a table of x and positive (boolean); every row is unlabelled text as well.
 
-    With the logistic loss the unbiased risk is prior * E_positive[-g] + E_unlabelled[log(1 + exp(g))], convex in g; its part of the
-    negatives, E_unlabelled[l(-g)] - prior * E_positive[l(-g)], must not fall below 0: a Newton step that takes it there, or that
-    raises the risk, is halved. Every round is one pass over all rows, of which tasks return sums. Without positives all scores are
-    the prior."""
+    The risk is prior * E_positive[l(g)] + max(0, E_unlabelled[l(-g)] - prior * E_positive[l(-g)]) with the logistic loss l. It is the
+    larger of two convex functions and so convex; max(0, r) is rounded off as EDGE * log(1 + exp(r / EDGE)), and Newton's method finds
+    the least. Every round is one pass over all rows, of which tasks return sums. Without positives all scores are the prior."""
     rows = features.select("x", "positive")
     size = FEATURES
 
@@ -136,31 +138,37 @@ def fit(features: DataFrame, prior: float) -> QualityModel:
     decay = np.full(k, DECAY)
     decay[-1] = 0
 
-    def at(w: np.ndarray) -> tuple[float, float, np.ndarray, np.ndarray]:
+    def at(w: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
         def sums(b: pa.RecordBatch) -> np.ndarray:
             z, pos = model.inputs(_matrix(b.column(0))), b.column(1).to_numpy(zero_copy_only=False).astype(bool)
             g = z @ w
             p = 1 / (1 + np.exp(-np.clip(g, -500, 500)))
-            softplus = np.logaddexp(0, g)
-            return np.concatenate([[softplus.sum(), softplus[pos].sum(), g[pos].sum()], z.T @ p, z[pos].sum(0), ((z * (p * (1 - p))[:, None]).T @ z).ravel()])
-
-        s = _summed(rows, 3 + 2 * k + k * k, sums)
-        negative = s[0] / n - prior * s[1] / n_pos
-        risk = s[0] / n - prior * s[2] / n_pos + (decay * w * w).sum() / 2
-        gradient = s[3 : 3 + k] / n - prior * s[3 + k : 3 + 2 * k] / n_pos + decay * w
-        return risk, negative, gradient, s[3 + 2 * k :].reshape(k, k) / n + np.diag(decay + 1e-9)
+            up, curve = np.logaddexp(0, g), z * (p * (1 - p))[:, None]
+            return np.concatenate([[up.sum(), up[pos].sum(), g[pos].sum()], z.T @ p, z[pos].T @ p[pos], z[pos].sum(0), (curve.T @ z).ravel(), (curve[pos].T @ z[pos]).ravel()])
+
+        s = _summed(rows, 3 + 3 * k + 2 * k * k, sums)
+        up, up_pos, g_pos = s[0] / n, prior * s[1] / n_pos, prior * s[2] / n_pos
+        d_up, d_up_pos, d_g_pos = s[3 : 3 + k] / n, prior * s[3 + k : 3 + 2 * k] / n_pos, prior * s[3 + 2 * k : 3 + 3 * k] / n_pos
+        h_up, h_up_pos = s[3 + 3 * k : 3 + 3 * k + k * k].reshape(k, k) / n, prior * s[3 + 3 * k + k * k :].reshape(k, k) / n_pos
+        # of the positives: l(g) = log(1 + exp(g)) - g; of the negatives: unlabelled less positives
+        negative, d_negative, h_negative = up - up_pos, d_up - d_up_pos, h_up - h_up_pos
+        share = 1 / (1 + np.exp(-np.clip(negative / EDGE, -500, 500)))
+        risk = up_pos - g_pos + EDGE * np.logaddexp(0, negative / EDGE) + (decay * w * w).sum() / 2
+        gradient = d_up_pos - d_g_pos + share * d_negative + decay * w
+        curvature = h_up_pos + share * h_negative + share * (1 - share) / EDGE * np.outer(d_negative, d_negative)
+        return risk, gradient, curvature + np.diag(decay + 1e-6)
 
     best = at(weights)
     step = 1.0
     for _ in range(ROUNDS):
-        move = np.linalg.solve(best[3], best[2])
-        if np.abs(best[2]).max() < CLOSE or step < 1 / 32:
+        if np.abs(best[1]).max() < CLOSE or step < 1 / 64:
             break
+        move = np.linalg.solve(best[2], best[1])
         tried = at(weights - step * move)
-        if tried[0] <= best[0] and tried[1] >= 0:
+        if tried[0] <= best[0]:
             weights, best, step = weights - step * move, tried, min(1.0, 2 * step)
         else:
-            step /= 2
+            step /= 4
     return QualityModel(mean, scale, weights, prior)
 
 
@@ -170,22 +178,39 @@ def prior_of(labels: DataFrame, quality_col: str = "quality") -> float:
     return (r["k"] + 1) / (r["n"] + 2)
 
 
-def scored(docs: DataFrame, labels: DataFrame, train: Column, threshold: float = 0.3, id_col: str = "doc_id", text_col: str = "text", quality_col: str = "quality") -> DataFrame:
-    """doc_id, train, score and predicted (1 if score >= threshold, else 0) of every row.
+def fitted(docs: DataFrame, labels: DataFrame, train: Column, id_col: str = "doc_id", text_col: str = "text", quality_col: str = "quality") -> tuple[QualityModel, DataFrame]:
+    """The model of the rows where train (an expression over doc_id) holds, and the written features (doc_id, x) of all rows.
 
-    Rows where train (an expression over doc_id) holds are the unlabelled text; those of them labelled 1 are the trusted positives, and
-    labels of such rows give the class prior. No other label is read. Null and empty texts have features and a score like all others;
-    null ids are unlabelled; a row labelled twice is positive if one label is 1; repeated rows and very long texts are kept; other
-    columns are not read; no rows give no rows."""
+    Those rows are the unlabelled text; those of them labelled 1 are the trusted positives, and labels of such rows give the class
+    prior. No other label is read. A row labelled twice is positive if one label is 1; null ids are unlabelled."""
     known = labels.select(F.col(id_col).alias("doc_id"), F.col(quality_col).alias("quality")).filter(train)
     positives = known.filter(F.col("quality") == 1).select("doc_id").distinct()
     features = written(featured(docs, id_col, text_col), "features")
     marked = written(features.filter(train).join(positives.withColumn("positive", F.lit(True)), "doc_id", "left").select("x", F.coalesce("positive", F.lit(False)).alias("positive")), "marked")
-    model = fit(marked, prior_of(known, "quality"))
+    return fit(marked, prior_of(known, "quality")), features
+
+
+def predicted(score: Column, threshold: float = 0.3) -> Column:
+    """1 where the score reaches the threshold, else 0."""
+    return (score >= threshold).cast("int")
+
+
+def with_scores(features: DataFrame, model: QualityModel) -> DataFrame:
+    """A table of x with score instead of it."""
+    keep = [c for c in features.columns if c != "x"]
+    kinds = dict(features.dtypes)
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(model.scores(_matrix(b.column(1))) if b.num_rows else [], pa.float64())], ["doc_id", "score"])
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(model.scores(_matrix(b.column(len(keep)))) if b.num_rows else [], pa.float64())], [*keep, "score"])
+
+    return features.select(*keep, "x").mapInArrow(rows, ", ".join(f"`{k}` {kinds[k]}" for k in keep) + ", score double")
+
+
+def scored(docs: DataFrame, labels: DataFrame, train: Column, id_col: str = "doc_id", text_col: str = "text", quality_col: str = "quality") -> DataFrame:
+    """doc_id and score (the chance of label 1) of every row, by the model of the rows where train holds; see `fitted`.
 
-    out = features.mapInArrow(rows, f"doc_id {dict(features.dtypes)['doc_id']}, score double")
-    return out.select("doc_id", F.coalesce(train, F.lit(False)).alias("train"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
+    Null and empty texts have features and a score like all others; null ids and repeated rows are kept; very long texts are read whole;
+    other columns are not read; no rows give no rows."""
+    model, features = fitted(docs, labels, train, id_col, text_col, quality_col)
+    return with_scores(features, model)

@@ -31,7 +31,7 @@ def fold(folds: int) -> Column:
 
 def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = quality.scored(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), fold(5) != 0)
-    return out.select("doc_id", (fold(5) == 0).alias("held_out"), "score", "predicted")
+    return out.select("doc_id", (fold(5) == 0).alias("held_out"), "score", quality.predicted(F.col("score")).alias("predicted"))
 
 
 def op2_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
