@@ -1,8 +1,77 @@
-"""The corpus pipeline (its stages follow)."""
+"""The corpus pipeline: language identification, quality, near duplicates, benchmark decontamination, packing.
 
-STAGES = []
+Each stage takes (spark, docs, sf_dir); all but the last return the columns of documents. Between two stages the rows are written as
+Parquet and read again."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from studyplane.llm import decontaminate, jaccard, langid, packing, quality
+from studyplane.llm.common import written
+from studyplane.llm.queries import fold, table, vocabulary
+
+COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
+
+#: Word shingles and similarity (per cent) of near duplicates.
+SHINGLE_WORDS, SIMILARITY = 5, 80
+
+
+def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents near enough to a known language; those that are rejected (null, without a letter, far from all centroids) go."""
+    out = langid.identified(docs, langid.fit(docs, fold(4) != 2), keep=COLUMNS[1:])
+    return out.filter(~F.col("rejected")).select(*COLUMNS)
+
+
+def classified(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality classifier predicts as of label 1."""
+    model, _ = quality.fitted(docs, table(spark, sf_dir, "labels"), fold(5) != 0)
+    out = quality.with_scores(quality.featured(docs, keep=COLUMNS[1:]), model)
+    return out.filter(quality.predicted(F.col("score")) == 1).select(*COLUMNS)
+
+
+def deduplicated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near duplicates the document with the smallest doc_id; rows of one doc_id count once."""
+    groups = written(jaccard.joined(docs, SHINGLE_WORDS, SIMILARITY), "groups")
+    gone = written(groups.filter(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("gone")).distinct(), "gone")
+    kept = docs.select(*COLUMNS).join(gone, F.col("doc_id").eqNullSafe(F.col("gone")), "left_anti")
+    twice = written(groups.groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1").select(F.col("doc_id").alias("twice")), "twice")
+    if twice.isEmpty():
+        return kept
+    again = F.col("doc_id").eqNullSafe(F.col("twice"))
+    one = kept.join(twice, again, "left_semi").groupBy("doc_id").agg(F.min(F.struct(*COLUMNS[1:])).alias("row"))
+    return kept.join(twice, again, "left_anti").unionByName(one.select("doc_id", "row.*"))
+
+
+def cleared(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without those that hold benchmark windows in one word of twenty or more."""
+    out = decontaminate.decontaminated(docs, table(spark, sf_dir, "benchmark"), keep=COLUMNS[1:])
+    return out.filter(~decontaminate.contaminated(F.col("n_words"), F.col("n_hit"))).select(*COLUMNS)
+
+
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Training sequences of the documents, as pieces with their token ids."""
+    return packing.packed(docs, vocabulary("word_bpe_49k.json"))
+
+
+STAGES = [
+    ("language ID", language),
+    ("quality classifier", classified),
+    ("n-gram Jaccard join", deduplicated),
+    ("benchmark decontamination", cleared),
+    ("packing", packed),
+]
+
+#: SQL can't express centroids, the classifier or the tokenizer.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages in turn over documents."""
+    docs = table(spark, sf_dir, "documents")
+    for k, (_, stage) in enumerate(STAGES):
+        docs = stage(spark, docs, sf_dir)
+        if k < len(STAGES) - 1:
+            docs = written(docs, f"stage{k}")
+    return docs
