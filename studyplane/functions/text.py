@@ -128,7 +128,7 @@ def match_score(a: str, b: str) -> Column:
 
 def fnv1a(text: Column) -> Column:
     """FNV-1a, 32 bits, over UTF-16 units, as a long. Code points beyond the basic plane count as their two surrogates."""
-    point = F.transform(F.split(text, ""), lambda c: F.conv(F.hex(F.encode(c, "UTF-32BE")), 16, 10).cast("long"))
+    point = F.transform(F.split(text, ""), lambda c: F.ascii(c).cast("long"))
     units = F.flatten(F.transform(point, lambda p: F.when(p > 65535, F.array(((p - 65536) / 1024).cast("long") + 55296, (p - 65536) % 1024 + 56320)).otherwise(F.array(p))))
     return F.aggregate(units, F.lit(2166136261).cast("long"), lambda h, u: F.pmod(h.bitwiseXOR(u) * 16777619, F.lit(4294967296)))
 
@@ -137,7 +137,8 @@ def content_hash(text: Column) -> Column:
     """fnv_, eight hex digits, _ and the length in UTF-16 units; null text counts as empty."""
     text = F.coalesce(text, F.lit(""))
     units = F.octet_length(F.encode(text, "UTF-16BE")) / 2
-    return F.concat(F.lit("fnv_"), F.lpad(F.lower(F.hex(fnv1a(text))), 8, "0"), F.lit("_"), units.cast("long").cast("string"))
+    hashed = F.when(text == "", F.lit(2166136261).cast("long")).otherwise(fnv1a(text))
+    return F.concat(F.lit("fnv_"), F.lpad(F.lower(F.hex(hashed)), 8, "0"), F.lit("_"), units.cast("long").cast("string"))
 
 
 def searchable(*fields: Column) -> Column:
