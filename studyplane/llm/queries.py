@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, html_main, jaccard, langid, lm, packing, quality, sharding, tokens, topk
+from . import decontaminate, html_main, jaccard, langid, lm, packing, quality, sharding, sql, tokens, topk
 
 
 def vocabulary(name: str) -> str:
@@ -87,4 +87,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op2_top_k": sql.TOP_K, "op3_ngram_join": sql.NGRAM_JOIN, "op5_decontaminate": sql.DECONTAMINATION}
