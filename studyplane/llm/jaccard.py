@@ -17,10 +17,10 @@ from .components import components
 from .words import LOWER, NOT_BLANK, shingles, word_bounds, word_hashes
 
 #: Bytes of text shingled at once, n-grams of a counting fragment, fragments in which overlaps are counted.
-SLICE_BYTES, FRAGMENT_NGRAMS, OVERLAP_BITS = 1 << 22, 1 << 22, 2
+SLICE_BYTES, FRAGMENT_NGRAMS, OVERLAP_BITS = 1 << 22, 1 << 21, 2
 
 #: Centres drawn in a group of candidates in each round after the first; a group of no more members is compared in full.
-CENTRES = (4, 32, 512, 8192)
+CENTRES = (16, 1024)
 
 
 def _sets(column: pa.Array, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -69,10 +69,10 @@ def _wide(blobs: list[bytes]) -> np.ndarray:
 
 
 def shared(docs: DataFrame, n: int, bits: int, least: int, text_col: str = "text") -> DataFrame:
-    """The sets that can have a partner, in fragments: k1, n, alone, fragment, tokens, prefix.
+    """The sets that can have a partner, in fragments: k1, n, alone, fragment, tokens, prefix, places.
 
     tokens: the set's n-grams that another set holds too; alone: how many no other set holds. Ordered by rarity, a set's first
-    n - ceil(least * n / 100) + 1 n-grams meet those of each partner; those of them that are shared are in prefix. A set with so many
+    n - ceil(least * n / 100) + 1 n-grams meet those of each partner; those of them that are shared are in prefix, and their places by rarity in places. A set with so many
     n-grams of its own has no partner and is left out."""
     small_batches(docs.sparkSession)
     count = 1 << bits
@@ -154,11 +154,12 @@ def shared(docs: DataFrame, n: int, bits: int, least: int, text_col: str = "text
         rank = within(common)
         early = rank < np.repeat(prefix - alone, common)
         keep = np.repeat(able, common)
-        k1, token, early = k1[keep], token[keep], early[keep]
+        place = rank + np.repeat(alone, common)
+        k1, token, early, place = k1[keep], token[keep], early[keep], place[keep]
         set_of = np.repeat(np.arange(len(begin)), common)[keep]
         part = (token >> np.uint64(64 - OVERLAP_BITS)).astype(np.int64)
         order = np.lexsort((token, part, set_of))
-        token, early, set_of, part = token[order].view(np.int64), early[order], set_of[order], part[order]
+        token, early, place, set_of, part = token[order].view(np.int64), early[order], place[order], set_of[order], part[order]
         cell = set_of * (1 << OVERLAP_BITS) + part
         at = np.flatnonzero(np.concatenate([[True], cell[1:] != cell[:-1]])) if len(cell) else np.zeros(0, np.int64)
         ends = np.append(at, len(cell))
@@ -171,12 +172,13 @@ def shared(docs: DataFrame, n: int, bits: int, least: int, text_col: str = "text
                 "fragment": pa.array(part[at], pa.int32()),
                 "tokens": pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(token)),
                 "prefix": pa.ListArray.from_arrays(pa.array(inside[ends], pa.int32()), pa.array(token[early])),
+                "places": pa.ListArray.from_arrays(pa.array(inside[ends], pa.int32()), pa.array(place[early])),
             }
         )
 
     blobs = docs.select(F.col(text_col).alias("text")).mapInArrow(cut, "fragment int, k1 binary, n binary, runs binary, keys binary")
     held = blobs.groupBy("fragment").applyInArrow(occurring, "g int, fragment int, k1 binary, n binary, runs binary, keys binary, held binary")
-    return held.groupBy("g").applyInArrow(partnered, "k1 long, n long, alone long, fragment int, tokens array<bigint>, prefix array<bigint>")
+    return held.groupBy("g").applyInArrow(partnered, "k1 long, n long, alone long, fragment int, tokens array<bigint>, prefix array<bigint>, places array<bigint>")
 
 
 def verified(pairs: DataFrame, pieces: DataFrame, least: int) -> DataFrame:
@@ -203,11 +205,16 @@ def joined(docs: DataFrame, n: int = 5, least: int = 80, id_col: str = "doc_id",
     total = sets.agg(F.sum("n_shingles").alias("n")).first()["n"] or 0
     bits = max(2, (total // FRAGMENT_NGRAMS).bit_length())
     pieces = written(shared(docs, n, bits, least, text_col), "pieces")
-    rows = written(pieces.select("k1", "n", (F.col("alone") / F.col("n")).alias("alone"), F.explode("prefix").alias("token")), "prefixes")
-    fits = lambda a, b: (100 * F.least(a, b) >= least * F.greatest(a, b))
+    rows = written(pieces.select("k1", "n", (F.col("alone") / F.col("n")).alias("alone"), F.inline(F.arrays_zip(F.col("prefix").alias("token"), F.col("places").alias("place")))), "prefixes")
 
-    centre = rows.groupBy("token").agg(F.min(F.struct("alone", "k1", "n")).alias("c"), F.count("*").alias("members")).filter("members > 1")
-    votes = rows.join(centre, "token").filter((F.col("k1") != F.col("c.k1")) & fits(F.col("n"), F.col("c.n"))).groupBy("k1", "n", "c").agg(F.count("*").alias("votes"))
+    def fits(a: str, b: str) -> F.Column:
+        """Whether two sets can link if the shared n-gram is the first that they share, by rarity: what comes after it must suffice.
+        A pair that links passes where it is the first."""
+        most = F.least(F.col(a.format("n")) - F.col(a.format("place")), F.col(b.format("n")) - F.col(b.format("place")))
+        return 100 * most >= least * (F.col(a.format("n")) + F.col(b.format("n")) - most)
+
+    centre = rows.groupBy("token").agg(F.min(F.struct("alone", "k1", "n", "place")).alias("c"), F.count("*").alias("members")).filter("members > 1")
+    votes = rows.join(centre, "token").filter((F.col("k1") != F.col("c.k1")) & fits("{}", "c.{}")).groupBy("k1", "n", F.struct("c.alone", "c.k1", "c.n").alias("c")).agg(F.count("*").alias("votes"))
     best = votes.groupBy("k1", "n").agg(F.max(F.struct("votes", F.struct((-F.col("c.alone")).alias("alone"), F.col("c.k1").alias("k1"), F.col("c.n").alias("n")).alias("c"))).alias("best"))
     pairs = best.select(F.col("k1").alias("a"), F.col("best.c.k1").alias("b"), F.col("n").alias("n_a"), F.col("best.c.n").alias("n_b"))
     links = written(verified(pairs, pieces, least), "links")
@@ -218,14 +225,14 @@ def joined(docs: DataFrame, n: int = 5, least: int = 80, id_col: str = "doc_id",
     for centres in [*CENTRES, None]:
         placed = open_rows.join(comps.withColumnRenamed("node", "k1"), "k1", "left").withColumn("component", F.coalesce("component", "k1"))
         groups = placed.groupBy("token").agg(F.count("*").alias("members"), F.min("component").alias("x"), F.max("component").alias("y")).filter("x <> y").select("token", "members")
-        open_rows = written(placed.join(groups, "token").select("token", "k1", "n", "alone", "component", "members"), "open")
+        open_rows = written(placed.join(groups, "token").select("token", "k1", "n", "place", "component", "members"), "open")
         if open_rows.isEmpty():
             break
         draw = F.pmod(F.xxhash64("k1"), F.lit(1 << 30)) / F.lit(float(1 << 30)) * F.col("members")
         new = open_rows.filter((draw < centres) & (draw >= tested)) if centres else open_rows.filter(draw >= tested)
-        left = new.select("token", F.col("k1").alias("b"), F.col("n").alias("n_b"), F.col("component").alias("component_b"))
-        met = open_rows.filter(draw >= tested).select("token", F.col("k1").alias("a"), F.col("n").alias("n_a"), F.col("component").alias("component_a")).join(left, "token")
-        met = met.filter((F.col("component_a") != F.col("component_b")) & fits(F.col("n_a"), F.col("n_b")))
+        left = new.select("token", F.col("k1").alias("b"), F.col("n").alias("n_b"), F.col("place").alias("place_b"), F.col("component").alias("component_b"))
+        met = open_rows.filter(draw >= tested).select("token", F.col("k1").alias("a"), F.col("n").alias("n_a"), F.col("place").alias("place_a"), F.col("component").alias("component_a")).join(left, "token")
+        met = met.filter((F.col("component_a") != F.col("component_b")) & fits("{}_a", "{}_b"))
         low = F.col("a") < F.col("b")
         pairs = met.select(F.when(low, F.col("a")).otherwise(F.col("b")).alias("a"), F.when(low, F.col("b")).otherwise(F.col("a")).alias("b"), F.when(low, F.col("n_a")).otherwise(F.col("n_b")).alias("n_a"), F.when(low, F.col("n_b")).otherwise(F.col("n_a")).alias("n_b")).distinct()
         more = written(verified(pairs, pieces, least), "links")
@@ -234,7 +241,7 @@ def joined(docs: DataFrame, n: int = 5, least: int = 80, id_col: str = "doc_id",
             comps = written(components(links), "components")
         if not centres:
             break
-        open_rows = open_rows.filter(F.col("members") > centres).select("token", "k1", "n", "alone")
+        open_rows = open_rows.filter(F.col("members") > centres).select("token", "k1", "n", "place")
         tested = centres
 
     classes = sets.filter("n_shingles > 0").groupBy("k1", "k2", "n_shingles").agg(F.min("doc_id").alias("first"), F.count("*").alias("copies"))

@@ -109,7 +109,7 @@ def fit(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str =
     """A model of the rows where train holds, lang isn't null and the text has a letter.
 
     A bounded sample of labelled rows: each language's rows are drawn by a hash of their id and text at a rate that leaves
-    SAMPLE_PER_LANGUAGE of them (fewer if there are over SAMPLE / SAMPLE_PER_LANGUAGE languages). Grams are counted in the tasks."""
+    SAMPLE_PER_LANGUAGE of them (fewer if there are over SAMPLE / SAMPLE_PER_LANGUAGE languages, of which at most SAMPLE count). Grams are counted in the tasks."""
     small_batches(docs.sparkSession)
     rows = docs.filter(train & F.col(lang_col).isNotNull() & has_letter(F.col(text_col))).select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text"), F.xxhash64(F.col(id_col).cast("string"), F.lit("langid")).alias("draw"))
     total = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(SAMPLE).collect()}
@@ -117,7 +117,7 @@ def fit(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str =
         return None
     each = max(1, min(SAMPLE_PER_LANGUAGE, SAMPLE // len(total)))
     rates = rows.sparkSession.createDataFrame([(k, min(1.0, each / n)) for k, n in sorted(total.items())], "lang string, rate double")
-    drawn = rows.join(rates, "lang").filter(F.pmod("draw", F.lit(1 << 30)) < F.col("rate") * (1 << 30)).select("lang", "text")
+    drawn = rows.join(F.broadcast(rates), "lang").filter(F.pmod("draw", F.lit(1 << 30)) < F.col("rate") * (1 << 30)).select("lang", "text")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

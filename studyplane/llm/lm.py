@@ -62,7 +62,7 @@ def _wide(b: bytes) -> np.ndarray:
 
 
 def tokenized(docs: DataFrame, part: Column, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Chunks of documents: chunk, deleted (whether all of them are DELETED, else none), doc_ids, parts, sizes, tokens, vocabulary.
+    """Chunks of documents: chunk (odd if its documents are DELETED, else none of them is), deleted, doc_ids, parts, sizes, tokens, vocabulary.
 
     Tokens are places in the chunk's own vocabulary of word hashes, which begins with its most frequent word."""
     small_batches(docs.sparkSession)
@@ -89,7 +89,7 @@ def tokenized(docs: DataFrame, part: Column, id_col: str = "doc_id", text_col: s
             ids = t["doc_id"].combine_chunks()
             return pa.RecordBatch.from_arrays(
                 [
-                    pa.array([base + made], pa.int64()),
+                    pa.array([2 * (base + made) + deleted], pa.int64()),
                     pa.array([deleted]),
                     pa.ListArray.from_arrays(pa.array([0, len(ids)], pa.int32()), ids),
                     pa.array([t["part"].to_numpy().astype(np.uint8).tobytes()], pa.binary()),
@@ -161,7 +161,8 @@ def _split(keys: np.ndarray, bits: int) -> np.ndarray:
 
 
 def counts(chunks: DataFrame, bits: int) -> DataFrame:
-    """For each chunk and bucket the corpus counts, MAIN and DELETED, of its unigrams and bigrams there, in the chunk's order.
+    """For each chunk and bucket the corpus counts of its unigrams (u) and bigrams (b) there, in the chunk's order; for chunks of DELETED
+    documents those of MAIN text as well (u1, b1).
 
     distinct_main and distinct: on one row of each bucket, how many unigrams MAIN text and all training text have there."""
 
@@ -181,7 +182,7 @@ def counts(chunks: DataFrame, bits: int) -> DataFrame:
 
     def answer(t: pa.Table) -> pa.Table:
         out = {"bucket": t["bucket"], "chunk": t["chunk"]}
-        firsts = np.zeros((2, t.num_rows), np.int64)
+        firsts, deleted = np.zeros((2, t.num_rows), np.int64), (t["chunk"].to_numpy() % 2).tolist()
         for kind in "ub":
             asked = [_wide(x) for x in t[kind].to_pylist()]
             size = [len(x) for x in asked]
@@ -191,14 +192,16 @@ def counts(chunks: DataFrame, bits: int) -> DataFrame:
             for p in "12":
                 each = np.concatenate([_counts(x, n) for x, n in zip(t[kind + p].to_pylist(), size, strict=True)])
                 total.append(np.bincount(place, weights=each, minlength=len(distinct)).astype(np.int64))
-                every = total[-1][place]
-                out[kind + p] = pa.array([_small(every[i:j]) for i, j in zip(at, at[1:], strict=False)], pa.binary())
+            main, every = total[0][place], (total[0] + total[1])[place]
+            ranges = list(zip(at, at[1:], strict=False))
+            out[kind] = pa.array([_small(every[i:j]) for i, j in ranges], pa.binary())
+            out[kind + "1"] = pa.array([_small(main[i:j]) if odd else b"" for (i, j), odd in zip(ranges, deleted, strict=True)], pa.binary())
             if kind == "u":
                 firsts[:, 0] = (total[0] > 0).sum(), (total[0] + total[1] > 0).sum()
-        return pa.table(out | {"distinct_main": pa.array(firsts[0]), "distinct": pa.array(firsts[1])}).select(["bucket", "chunk", "u1", "u2", "b1", "b2", "distinct_main", "distinct"])
+        return pa.table(out | {"distinct_main": pa.array(firsts[0]), "distinct": pa.array(firsts[1])}).select(["bucket", "chunk", "u", "b", "u1", "b1", "distinct_main", "distinct"])
 
     asked = chunks.select("chunk", "parts", "sizes", "tokens", "vocabulary").mapInArrow(ask, "bucket int, chunk long, u binary, u1 binary, u2 binary, b binary, b1 binary, b2 binary")
-    return asked.groupBy("bucket").applyInArrow(answer, "bucket int, chunk long, u1 binary, u2 binary, b1 binary, b2 binary, distinct_main long, distinct long")
+    return asked.groupBy("bucket").applyInArrow(answer, "bucket int, chunk long, u binary, b binary, u1 binary, b1 binary, distinct_main long, distinct long")
 
 
 @dataclass(frozen=True)
@@ -246,16 +249,15 @@ def learned(cells: np.ndarray, n: np.ndarray, distinct: int) -> np.ndarray:
     return weights
 
 
-def _answered(t: pa.Table, answers: pa.Table, bits: int) -> tuple[Chunk, dict[str, np.ndarray]]:
-    """A chunk with the corpus counts of its unigrams (u1, u2) and bigrams (b1, b2)."""
+def _answered(t: pa.Table, answers: pa.Table, bits: int, unigrams: str, bigrams: str) -> tuple[Chunk, np.ndarray, np.ndarray]:
+    """A chunk with the named corpus counts of its unigrams and bigrams."""
     c = Chunk(*(t[n][0].as_py() for n in ("parts", "sizes", "tokens", "vocabulary")))
     order = np.argsort(answers["bucket"].to_numpy())
-    size = {"u": np.diff(_split(c.unigrams, bits)), "b": np.diff(_split(c.bigrams, bits))}
-    got = {}
-    for n in ("u1", "u2", "b1", "b2"):
-        blobs = answers[n].to_pylist()
-        got[n] = np.concatenate([_counts(blobs[i], int(size[n[0]][k])) for k, i in enumerate(order)])
-    return c, got
+    got = []
+    for name, keys in ((unigrams, c.unigrams), (bigrams, c.bigrams)):
+        size, blobs = np.diff(_split(keys, bits)), answers[name].to_pylist()
+        got.append(np.concatenate([_counts(blobs[i], int(size[k])) for k, i in enumerate(order)]))
+    return c, *got
 
 
 def scored(docs: DataFrame, train: Column, deleted: Column, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -281,24 +283,23 @@ def scored(docs: DataFrame, train: Column, deleted: Column, id_col: str = "doc_i
     def held_out(t: pa.Table, a: pa.Table) -> pa.Table:
         if not t.num_rows:
             return pa.table({"cell": pa.array([], pa.int64()), "n": pa.array([], pa.int64())})
-        c, got = _answered(t, a, bits)
-        context = np.append(got["u1"], got["u1"][np.searchsorted(c.unigrams, _END)])[c.context]
-        cells, n = np.unique(_cells(got["b1"][c.bigram], context, got["u1"][c.token], n_main), return_counts=True)
+        c, u, b = _answered(t, a, bits, "u1", "b1")
+        context = np.append(u, u[np.searchsorted(c.unigrams, _END)])[c.context]
+        cells, n = np.unique(_cells(b[c.bigram], context, u[c.token], n_main), return_counts=True)
         return pa.table({"cell": pa.array(cells, pa.int64()), "n": pa.array(n, pa.int64())})
 
     columns = ["chunk", "parts", "sizes", "tokens", "vocabulary"]
     few = chunks.filter("deleted").select(*columns)
-    theirs = answers.join(few.select(F.col("chunk").alias("wanted")), F.col("chunk") == F.col("wanted"), "left_semi").drop("distinct_main", "distinct")
-    cells = few.groupBy("chunk").cogroup(theirs.select(*(F.col(c).alias(c) for c in theirs.columns)).groupBy("chunk")).applyInArrow(held_out, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).collect()
+    theirs = answers.filter("chunk % 2 = 1").select("chunk", "bucket", "u1", "b1")
+    cells = few.groupBy("chunk").cogroup(theirs.groupBy("chunk")).applyInArrow(held_out, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).collect()
     weights = learned(np.array([r["cell"] for r in cells], np.int64), np.array([r["n"] for r in cells], np.int64), v_main)
     model = Interpolation(n_train, v, weights)
 
     def score(t: pa.Table, a: pa.Table) -> pa.Table:
-        c, got = _answered(t, a, bits)
+        c, c1, c2 = _answered(t, a, bits, "u", "b")
         ids = t["doc_ids"].combine_chunks().flatten()
-        c1 = got["u1"] + got["u2"]
         context = np.append(c1, c1[np.searchsorted(c.unigrams, _END)])[c.context]
-        c2, c1 = (got["b1"] + got["b2"])[c.bigram], c1[c.token]
+        c2, c1 = c2[c.bigram], c1[c.token]
         w = model.weights[context_bucket(context)]
         p = w[:, 0] * c2 / np.maximum(context, 1) + w[:, 1] * c1 / max(model.tokens, 1) + w[:, 2] / (model.distinct + 1)
         if not model.tokens:
@@ -319,5 +320,5 @@ def scored(docs: DataFrame, train: Column, deleted: Column, id_col: str = "doc_i
             }
         )
 
-    right = answers.select(*(F.col(c).alias(c) for c in ("chunk", "bucket", "u1", "u2", "b1", "b2")))
+    right = answers.select("chunk", "bucket", "u", "b")
     return chunks.select("chunk", "doc_ids", *columns[1:]).groupBy("chunk").cogroup(right.groupBy("chunk")).applyInArrow(score, f"doc_id {kind}, train boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")

@@ -26,8 +26,9 @@ TIERS = (512, 1024, 2048, 4096)
 #: Tokens packed together, and tokens of one training step.
 GROUP_TOKENS, STEP_TOKENS = 1 << 19, 1 << 16
 
-#: Chunks between white space whose ids a worker remembers, and the longest one (in bytes) that it does.
-REMEMBERED, REMEMBERED_BYTES = 1_000_000, 64
+#: Chunks between white space whose ids a worker remembers, and the longest one (in bytes) that it does. The first ones met, which are
+#: the frequent ones, stay; it begins anew when more than FORGET of a batch's distinct chunks are unknown.
+REMEMBERED, REMEMBERED_BYTES, FORGET = 300_000, 64, 0.6
 
 
 #: The pre-token pattern of this vocabulary, after lower-casing, and its characters for bytes (fixed values of the format).
@@ -48,10 +49,10 @@ class ChunkEncoder:
         self.pattern = regex.compile(PRE_TOKEN)
         self.known: dict[bytes, bytes] = {}
 
-    def _learn(self, new: list[bytes]) -> None:
-        """Ids of chunks that aren't known. Chunks of Latin letters, which normal form C leaves alone, are lower-cased and split here, and
+    def _learn(self, new: list[bytes]) -> int:
+        """Learns the ids of chunks that aren't known; how many entries that made. Chunks of Latin letters, which normal form C leaves alone, are lower-cased and split here, and
         only pieces not known either are merged; all others go through the whole library."""
-        split, hard, pieces = {}, [], set()
+        split, hard, pieces, before = {}, [], set(), len(self.known)
         for c in new:
             s = c.decode()
             if (s.isascii() or max(s) < "\u0250") and "<|" not in s:
@@ -67,19 +68,21 @@ class ChunkEncoder:
             self.known.update((k, array("I", e.ids).tobytes()) for k, e in zip(keys, made, strict=True))
         get = self.known.__getitem__
         self.known.update((c, b"".join(map(get, parts))) for c, parts in split.items())
+        return len(self.known) - before
 
     def encode(self, texts: list[str | None], end_id: int) -> list[np.ndarray]:
         split = [(t or "").encode().split() for t in texts]
         seen = set().union(*split)
         new = [c for c in seen if c not in self.known]
-        if len(self.known) + len(new) > REMEMBERED:
+        if len(self.known) >= REMEMBERED and len(new) > FORGET * len(seen):
             self.known, new = {}, list(seen)
-        self._learn(new)
+        full = len(self.known) >= REMEMBERED
+        learned = self._learn(new)
         get, end = self.known.__getitem__, array("I", [end_id]).tobytes()
         out = [np.frombuffer(b"".join(map(get, chunks)) + end, np.uint32) for chunks in split]
-        for c in new:
-            if len(c) > REMEMBERED_BYTES:
-                del self.known[c]
+        last = [self.known.popitem() for _ in range(learned)]
+        if not full:
+            self.known.update((c, i) for c, i in last if len(c) <= REMEMBERED_BYTES)
         return out
 
 
