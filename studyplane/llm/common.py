@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import uuid
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -34,6 +37,52 @@ def small_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
 
 
+#: Caches that stay in a Python worker between tasks.
+_CACHES: list = []
+
+
+def lasting(cache):
+    """Marks an lru_cache as one that tasks of its own operator leave in the worker."""
+    _CACHES.append(cache)
+    return cache
+
+
+def tidy(keep=None) -> None:
+    """Gives back what earlier tasks left in this Python worker, all but the cache `keep`.
+
+    Spark uses workers again for the next operator, whose arrays then stand beside freed memory that the allocators hold on to."""
+    for cache in _CACHES:
+        if cache is not keep:
+            cache.cache_clear()
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
+def over_batches(rows: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], keep=None) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """rows for mapInArrow, with a tidy worker before and after."""
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tidy(keep)
+        yield from rows(batches)
+        tidy(keep)
+
+    return task
+
+
+def over_group(made: Callable[[pa.Table], pa.Table]) -> Callable[[pa.Table], pa.Table]:
+    """made for applyInArrow, with a tidy worker after each group."""
+
+    def task(t: pa.Table) -> pa.Table:
+        out = made(t)
+        tidy()
+        return out
+
+    return task
+
+
 def ragged(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
     """UTF-8 bytes of a string column laid end to end, and where each row begins (one more than rows). Null: empty."""
     if isinstance(column, pa.ChunkedArray):

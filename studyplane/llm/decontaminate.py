@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ragged, slices, small_batches, within
+from .common import over_batches, ragged, slices, small_batches, within
 from .words import ALNUM, LOWER, word_bounds, word_hashes
 
 #: Words of a window, bytes of one shard of documents, bytes of benchmark text searched for at once.
@@ -230,7 +230,7 @@ def decontaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW,
                     found = [sorted({*x, *y}) for x, y in zip(found, part.column("_items").to_pylist(), strict=True)]
                     yield pa.RecordBatch.from_arrays([*(part.column(c) for c in [*names, "_text"]), pa.array(n, pa.int64()), _lists(spans, pa.int64()), _lists(found, pa.string()), _lists(texts, pa.int64())], [*names, "_text", "_n", "_marks", "_items", "_bytes"])
 
-        body = body.mapInArrow(search, schema)
+        body = body.mapInArrow(over_batches(search), schema)
     covered = F.aggregate(F.col("_marks"), F.lit(0).cast("long"), lambda s, x: x - s)  # ends less beginnings: the signs alternate
     return body.select(*names, F.col("_n").alias("n_words"), covered.alias("n_hit"), F.col("_items").alias("items"), F.col("_bytes").alias("spans"))
 

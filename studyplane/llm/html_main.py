@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches
+from .common import over_batches, small_batches
 
 #: Elements that begin and end a block; of them those that a new block ends; elements without content; elements whose content is no text.
 BLOCK = frozenset(
@@ -256,4 +256,4 @@ def extracted(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", h
             texts = [main_text(p) for p in b.column(2).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], ["page_id", "url", "text", "n_chars"])
 
-    return body.mapInArrow(rows, f"page_id {kinds['page_id']}, url {kinds['url']}, text string, n_chars long")
+    return body.mapInArrow(over_batches(rows), f"page_id {kinds['page_id']}, url {kinds['url']}, text string, n_chars long")

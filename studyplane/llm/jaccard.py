@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import mixed, ragged, slices, small_batches, within, written
+from .common import mixed, over_batches, over_group, ragged, slices, small_batches, within, written
 from .components import components
 from .words import LOWER, NOT_BLANK, shingles, word_bounds, word_hashes
 
@@ -53,7 +53,7 @@ def shingle_sets(docs: DataFrame, n: int, id_col: str = "doc_id", text_col: str
                 k1, k2 = _set_keys(keys, at)
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(a, e - a), pa.array(np.diff(at), pa.int64()), pa.array(k1), pa.array(k2)], ["doc_id", "n_shingles", "k1", "k2"])
 
-    return body.mapInArrow(rows, f"doc_id {dict(body.dtypes)['doc_id']}, n_shingles long, k1 long, k2 long")
+    return body.mapInArrow(over_batches(rows), f"doc_id {dict(body.dtypes)['doc_id']}, n_shingles long, k1 long, k2 long")
 
 
 def _low(keys: np.ndarray) -> bytes:
@@ -176,9 +176,9 @@ def shared(docs: DataFrame, n: int, bits: int, least: int, text_col: str = "text
             }
         )
 
-    blobs = docs.select(F.col(text_col).alias("text")).mapInArrow(cut, "fragment int, k1 binary, n binary, runs binary, keys binary")
-    held = blobs.groupBy("fragment").applyInArrow(occurring, "g int, fragment int, k1 binary, n binary, runs binary, keys binary, held binary")
-    return held.groupBy("g").applyInArrow(partnered, "k1 long, n long, alone long, fragment int, tokens array<bigint>, prefix array<bigint>, places array<bigint>")
+    blobs = docs.select(F.col(text_col).alias("text")).mapInArrow(over_batches(cut), "fragment int, k1 binary, n binary, runs binary, keys binary")
+    held = blobs.groupBy("fragment").applyInArrow(over_group(occurring), "g int, fragment int, k1 binary, n binary, runs binary, keys binary, held binary")
+    return held.groupBy("g").applyInArrow(over_group(partnered), "k1 long, n long, alone long, fragment int, tokens array<bigint>, prefix array<bigint>, places array<bigint>")
 
 
 def verified(pairs: DataFrame, pieces: DataFrame, least: int) -> DataFrame:

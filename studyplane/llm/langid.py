@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ragged, slices, small_batches
+from .common import over_batches, ragged, slices, small_batches
 from .words import LOWER
 
 #: n-gram lengths in bytes, and the bins that they are hashed into.
@@ -126,7 +126,7 @@ def fit(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str =
                 made = gram_counts(data[offsets[a] : offsets[e]], offsets[a : e + 1] - offsets[a])
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(a, e - a), pa.array([m.tobytes() for m in made], pa.binary())], ["lang", "counts"])
 
-    got = sorted((r["lang"], bytes(r["counts"])) for r in drawn.mapInArrow(count, "lang string, counts binary").collect())
+    got = sorted((r["lang"], bytes(r["counts"])) for r in drawn.mapInArrow(over_batches(count), "lang string, counts binary").collect())
     return fitted(np.array([np.frombuffer(c, np.float32) for _, c in got]).reshape(-1, BINS), [k for k, _ in got])
 
 
@@ -151,5 +151,5 @@ def identified(docs: DataFrame, model: CentroidModel | None, max_distance: float
 
     body = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("_text"), has_letter(F.col(text_col)).alias("_lettered"), *(F.col(k) for k in keep))
     kinds = dict(body.dtypes)
-    out = body.mapInArrow(rows, ", ".join(f"`{k}` {kinds[k]}" for k in ("doc_id", *keep)) + ", lang_pred string, score double")
+    out = body.mapInArrow(over_batches(rows), ", ".join(f"`{k}` {kinds[k]}" for k in ("doc_id", *keep)) + ", lang_pred string, score double")
     return out.withColumn("rejected", (F.col("lang_pred") == UNDETERMINED) | (1 - F.col("score") > max_distance))

@@ -15,7 +15,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import mixed, ragged, slices, small_batches, written
+from .common import mixed, over_batches, over_group, ragged, slices, small_batches, written
 from .words import LOWER, NOT_BLANK, word_bounds, word_hashes
 
 #: Bytes of text of a chunk, and tokens of the corpus for each bucket of n-grams.
@@ -122,7 +122,7 @@ def tokenized(docs: DataFrame, part: Column, id_col: str = "doc_id", text_col: s
             if held[deleted]:
                 yield chunk(deleted)
 
-    return body.mapInArrow(rows, f"chunk long, deleted boolean, doc_ids array<{kind}>, parts binary, sizes binary, tokens binary, vocabulary binary, n long, n_train long")
+    return body.mapInArrow(over_batches(rows), f"chunk long, deleted boolean, doc_ids array<{kind}>, parts binary, sizes binary, tokens binary, vocabulary binary, n long, n_train long")
 
 
 class Chunk:
@@ -200,8 +200,8 @@ def counts(chunks: DataFrame, bits: int) -> DataFrame:
                 firsts[:, 0] = (total[0] > 0).sum(), (total[0] + total[1] > 0).sum()
         return pa.table(out | {"distinct_main": pa.array(firsts[0]), "distinct": pa.array(firsts[1])}).select(["bucket", "chunk", "u", "b", "u1", "b1", "distinct_main", "distinct"])
 
-    asked = chunks.select("chunk", "parts", "sizes", "tokens", "vocabulary").mapInArrow(ask, "bucket int, chunk long, u binary, u1 binary, u2 binary, b binary, b1 binary, b2 binary")
-    return asked.groupBy("bucket").applyInArrow(answer, "bucket int, chunk long, u binary, b binary, u1 binary, b1 binary, distinct_main long, distinct long")
+    asked = chunks.select("chunk", "parts", "sizes", "tokens", "vocabulary").mapInArrow(over_batches(ask), "bucket int, chunk long, u binary, u1 binary, u2 binary, b binary, b1 binary, b2 binary")
+    return asked.groupBy("bucket").applyInArrow(over_group(answer), "bucket int, chunk long, u binary, b binary, u1 binary, b1 binary, distinct_main long, distinct long")
 
 
 @dataclass(frozen=True)

@@ -13,7 +13,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches
+from .common import lasting, over_batches, small_batches
 
 #: The pre-token pattern of byte-level BPE vocabularies of 50k (a fixed value of the format).
 PRE_TOKEN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -152,6 +152,7 @@ class PairMerger:
         return [n + sum(next(rest) if c is None else first[c[0]] + sum(map(get, c[1:])) for c in mine) for n, mine in zip(extra, split, strict=True)]
 
 
+@lasting
 @lru_cache(maxsize=2)
 def merger(vocabulary: str) -> PairMerger:
     """The merger of a tokenizer file (JSON, byte-level BPE)."""
@@ -177,5 +178,5 @@ def token_counts(docs: DataFrame, vocabulary: str, limit: int = 1024, id_col: st
 
     body = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.coalesce(F.octet_length(F.col(text_col)), F.lit(0)).cast("long").alias("n_bytes"))
     kind = dict(body.dtypes)["doc_id"]
-    out = body.mapInArrow(rows, f"doc_id {kind}, n_bytes long, n_tokens long")
+    out = body.mapInArrow(over_batches(rows, merger), f"doc_id {kind}, n_bytes long, n_tokens long")
     return out.withColumn("over_limit", F.col("n_tokens") > F.lit(limit))
