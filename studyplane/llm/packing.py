@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import heapq
 import os
+import re
 import zlib
 from array import array
 from bisect import bisect_left, bisect_right, insort
@@ -18,11 +19,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from .common import small_batches
+from .common import lasting, over_batches, ragged, slices, small_batches
+from .words import LOWER, NOT_BLANK, word_bounds, word_hashes
 
 #: Context sizes; the longest is the longest sequence. Each is a power of two, so that none of them is padded.
 TIERS = (512, 1024, 2048, 4096)
 
+#: Bytes of text tokenized at once.
+SLICE_BYTES = 1 << 21
+
 #: Tokens packed together, and tokens of one training step.
 GROUP_TOKENS, STEP_TOKENS = 1 << 19, 1 << 16
 
@@ -34,7 +39,23 @@ REMEMBERED, REMEMBERED_BYTES, FORGET = 300_000, 64, 0.6
 #: The pre-token pattern of this vocabulary, after lower-casing, and its characters for bytes (fixed values of the format).
 PRE_TOKEN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 _SHOWN = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
-_VISIBLE = {b: chr(256 + i) for i, b in enumerate(b for b in range(256) if b not in _SHOWN)}
+_VISIBLE = {b: chr(256 + i) for i, b in enumerate(b for b in range(256) if b not in _SHOWN) if b != 0x0A}
+
+#: The same pattern for lower-cased ASCII, and for line feeds between chunks.
+ASCII_PRE_TOKEN = rb"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\sa-z0-9]+|\n"
+_CONTROL = re.compile(rb"[\x00-\x1f\x7f]|\xc2[\x80-\x9f]")
+
+#: Bytes of a chunk that falls apart by class: letters, digits (each by itself), marks; 0 for blanks. Chunks with any other byte, with an
+#: apostrophe (contractions) or with what begins a special string stay whole.
+_KIND = np.full(256, 3, np.uint8)
+_KIND[[0x20, *range(0x09, 0x0E)]] = 0
+_KIND[[*range(0x41, 0x5B), *range(0x61, 0x7B)]] = 1
+_KIND[0x30:0x3A] = 2
+_WHOLE = np.zeros(256, bool)
+_WHOLE[[*range(0x09), *range(0x0E, 0x20), 0x27, *range(0x7F, 0x100)]] = True
+
+#: Stands between the ids of two chunks; no id is as large.
+_BORDER = b"\xff\xff\xff\xff"
 
 
 class ChunkEncoder:
@@ -46,46 +67,103 @@ class ChunkEncoder:
         self.library.no_truncation()
         self.library.no_padding()
         self.merges = Tokenizer(self.library.model)
-        self.pattern = regex.compile(PRE_TOKEN)
+        self.pattern, self.ascii_pattern = regex.compile(PRE_TOKEN + r"|\n"), re.compile(ASCII_PRE_TOKEN)
         self.known: dict[bytes, bytes] = {}
 
-    def _learn(self, new: list[bytes]) -> int:
-        """Learns the ids of chunks that aren't known; how many entries that made. Chunks of Latin letters, which normal form C leaves alone, are lower-cased and split here, and
-        only pieces not known either are merged; all others go through the whole library."""
-        split, hard, pieces, before = {}, [], set(), len(self.known)
+    def _split(self, chunks: list[bytes], ascii: bool) -> list[bytes]:
+        """The lower-cased pieces of all chunks in turn, with a line feed after each chunk; no chunk holds one."""
+        lines = b"\n".join(chunks) + b"\n"
+        if ascii:
+            return self.ascii_pattern.findall(lines.lower())
+        return [p.encode() for p in self.pattern.findall(lines.decode().lower())]
+
+    def _learn(self, new: list[bytes]) -> None:
+        """Learns the ids of whole chunks that aren't known. Chunks of Latin letters, which normal form C leaves alone, are lower-cased and split here, and
+        only pieces not known either are merged; all others, and those with control characters, go through the whole library."""
+        simple, latin, hard = [], [], []
         for c in new:
-            s = c.decode()
-            if (s.isascii() or max(s) < "\u0250") and "<|" not in s:
-                split[c] = [p.encode() for p in self.pattern.findall(s.lower())]
-                pieces.update(split[c])
-            else:
+            if b"<|" in c:
                 hard.append(c)
-        pieces = [p for p in pieces if p not in self.known]
-        for keys, made in (
-            (hard, self.library.encode_batch_fast([c.decode() for c in hard], add_special_tokens=False)),
-            (pieces, self.merges.encode_batch_fast([p.decode("latin-1").translate(_VISIBLE) for p in pieces], add_special_tokens=False)),
-        ):
-            self.known.update((k, array("I", e.ids).tobytes()) for k, e in zip(keys, made, strict=True))
-        get = self.known.__getitem__
-        self.known.update((c, b"".join(map(get, parts))) for c, parts in split.items())
-        return len(self.known) - before
-
-    def encode(self, texts: list[str | None], end_id: int) -> list[np.ndarray]:
-        split = [(t or "").encode().split() for t in texts]
-        seen = set().union(*split)
-        new = [c for c in seen if c not in self.known]
-        if len(self.known) >= REMEMBERED and len(new) > FORGET * len(seen):
-            self.known, new = {}, list(seen)
-        full = len(self.known) >= REMEMBERED
-        learned = self._learn(new)
-        get, end = self.known.__getitem__, array("I", [end_id]).tobytes()
-        out = [np.frombuffer(b"".join(map(get, chunks)) + end, np.uint32) for chunks in split]
-        last = [self.known.popitem() for _ in range(learned)]
-        if not full:
+            elif c.isascii():
+                simple.append(c)
+            else:
+                (latin if max(c.decode()) < "\u0250" else hard).append(c)
+        for chunks in (simple, latin):
+            if _CONTROL.search(b"".join(chunks)):
+                hard += [c for c in chunks if _CONTROL.search(c)]
+                chunks[:] = [c for c in chunks if not _CONTROL.search(c)]
+        split = [(chunks, self._split(chunks, ascii)) for chunks, ascii in ((simple, True), (latin, False)) if chunks]
+        asked = [(hard, [c.decode() for c in hard], self.library)]
+        seen = {b"\n"}
+        for (_, parts), ascii in zip(split, [bool(simple), False], strict=False):
+            pieces = [p for p in set(parts) if p not in self.known and p not in seen]
+            seen.update(pieces)
+            shown = b"\n".join(pieces).decode("latin-1")
+            asked.append((pieces, (shown if ascii else shown.translate(_VISIBLE)).split("\n") if pieces else [], self.merges))
+        for keys, texts, by in asked:
+            if keys:
+                self.known.update((k, array("I", e.ids).tobytes()) for k, e in zip(keys, by.encode_batch_fast(texts, add_special_tokens=False), strict=True))
+        self.known[b"\n"] = _BORDER
+        for chunks, parts in split:
+            self.known.update(zip(chunks, b"".join(map(self.known.__getitem__, parts)).split(_BORDER)[:-1], strict=True))
+        del self.known[b"\n"]
+
+    def encode(self, texts: pa.Array, end_id: int) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts end to end, end_id after each text, and where each text's ids begin (one more than texts).
+
+        Plain ASCII chunks fall apart into letters, digits and marks by byte class; others stay whole. These units are found and grouped by
+        hash over all texts at once, so that each different one is looked up once."""
+        data, offsets = ragged(texts)
+        begin, end, at, odd = _units(data, offsets)
+        data = np.where(odd, data, LOWER[data])
+        _, first, place = np.unique(word_hashes(data, begin, end), return_index=True, return_inverse=True)
+        raw, odd = data.tobytes(), odd[begin[first]].tolist()
+        seen = [raw[a:b] for a, b in zip(begin[first].tolist(), end[first].tolist(), strict=True)]
+        missing = [k for k, c in enumerate(seen) if c not in self.known]
+        if len(self.known) >= REMEMBERED and len(missing) > FORGET * len(seen):
+            self.known, missing = {}, range(len(seen))
+        before = len(self.known)
+        plain = [seen[k] for k in missing if not odd[k]]
+        self._learn([seen[k] for k in missing if odd[k]])
+        plain = [c for c in plain if c not in self.known]
+        merge = self.library.model.tokenize
+        self.known.update((c, array("I", [t.id for t in merge(c.decode())]).tobytes()) for c in plain)
+        found = [*map(self.known.__getitem__, seen), array("I", [end_id]).tobytes()]
+        last = [self.known.popitem() for _ in range(len(self.known) - before)]
+        if before < REMEMBERED:
             self.known.update((c, i) for c, i in last if len(c) <= REMEMBERED_BYTES)
-        return out
+        size = np.fromiter(map(len, found), np.int64, len(found)) // 4
+        place = np.insert(place, at[1:], len(seen))
+        sizes = size[place]
+        after = np.cumsum(sizes)
+        source = np.arange(after[-1] if len(after) else 0, dtype=np.int32)
+        source += np.repeat(((np.cumsum(size) - size)[place] - (after - sizes)).astype(np.int32), sizes)
+        return np.frombuffer(b"".join(found), np.uint32)[source], np.concatenate([[0], after[at[1:] + np.arange(len(at) - 1)]])
+
+
+def _units(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """First byte and end of each unit, the units' offsets by row, and for each byte whether it is in a chunk that stays whole."""
+    n = len(data)
+    starts, ends, _ = word_bounds(data, offsets, NOT_BLANK)
+    strange = _WHOLE[data]
+    strange[:-1] |= (data[:-1] == 0x3C) & (data[1:] == 0x7C)
+    before = np.zeros(n + 1, np.int32)
+    np.cumsum(strange, out=before[1:])
+    whole = before[ends] > before[starts]
+    mark = np.zeros(n + 1, np.int8)
+    mark[starts[whole]] = 1
+    mark[ends[whole]] -= 1  # a chunk may begin where another row's ends
+    odd = np.cumsum(mark[:-1], dtype=np.int8) > 0
+    kind = np.zeros(n + 2, np.uint8)  # a blank before and after
+    kind[1:-1] = np.where(odd, 4, _KIND[data])
+    border = (kind[1:] != kind[:-1]) | (kind[1:] == 2)
+    border[offsets] = True
+    begin = np.flatnonzero(border & (kind[1:] > 0))
+    end = np.flatnonzero(border & (kind[:-1] > 0))
+    return begin, end, np.searchsorted(begin, offsets), odd
 
 
+@lasting
 @lru_cache(maxsize=2)
 def encoder(vocabulary: str) -> ChunkEncoder:
     return ChunkEncoder(vocabulary)
@@ -200,21 +278,24 @@ def packed(docs: DataFrame, vocabulary: str, end_id: int = 2, tiers: tuple[int,
             return out
 
         for b in batches:
-            made = encode(b.column(1).to_pylist(), end_id)
-            begin = 0
-            for k, x in enumerate(made):
-                ids.append(x)
-                held += len(x)
-                if held >= GROUP_TOKENS:
-                    names.append(b.column(0).slice(begin, k + 1 - begin))
-                    yield flush()
-                    names, ids, held, begin = [], [], 0, k + 1
-            if begin < b.num_rows:
-                names.append(b.column(0).slice(begin))
+            _, offsets = ragged(b.column(1))
+            for first, end in slices(offsets, SLICE_BYTES):
+                part = b.slice(first, end - first)
+                made, at = encode(part.column(1), end_id)
+                begin = 0
+                for k, (i, j) in enumerate(zip(at.tolist(), at[1:].tolist(), strict=False)):
+                    ids.append(made[i:j])
+                    held += j - i
+                    if held >= GROUP_TOKENS:
+                        names.append(part.column(0).slice(begin, k + 1 - begin))
+                        yield flush()
+                        names, ids, held, begin = [], [], 0, k + 1
+                if begin < part.num_rows:
+                    names.append(part.column(0).slice(begin))
         if ids:
             yield flush()
 
     return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(
-        rows,
+        over_batches(rows, encoder),
         f"doc_id {kind.dtypes[0][1]}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, ids array<int>, sequence_tokens long, step_id long",
     )
