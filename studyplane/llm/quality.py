@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ragged, slices, small_batches, written
+from .common import over_batches, ragged, slices, small_batches, written
 from .words import LOWER, NOT_BLANK, word_bounds, word_hashes
 
 #: Byte classes whose shares are features: letters by case, digits, blanks, line ends, beyond ASCII, then each mark of ASCII.
@@ -59,22 +59,6 @@ def text_features(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     ).astype(np.float32)
 
 
-def featured(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
-    """doc_id, `keep` and x (float features as bytes) of every whole text; null counts as empty."""
-    small_batches(docs.sparkSession)
-
-    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            data, offsets = ragged(b.column(1))
-            for a, e in slices(offsets, 1 << 21):
-                made = text_features(data[offsets[a] : offsets[e]], offsets[a : e + 1] - offsets[a])
-                yield pa.RecordBatch.from_arrays([*(c.slice(a, e - a) for c in (b.column(0), *b.columns[2:])), pa.array([m.tobytes() for m in made], pa.binary())], ["doc_id", *keep, "x"])
-
-    body = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("_text"), *(F.col(k) for k in keep))
-    kinds = dict(body.dtypes)
-    return body.mapInArrow(rows, ", ".join(f"`{k}` {kinds[k]}" for k in ("doc_id", *keep)) + ", x binary")
-
-
 @dataclass(frozen=True)
 class QualityModel:
     mean: np.ndarray
@@ -94,6 +78,23 @@ def _matrix(column: pa.Array) -> np.ndarray:
     return data.view(np.float32).reshape(-1, FEATURES).astype(float)
 
 
+def featured(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = (), model: QualityModel | None = None) -> DataFrame:
+    """doc_id, `keep` and x (float features as bytes) of every whole text, or its score by the model instead of x; null counts as empty."""
+    small_batches(docs.sparkSession)
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            data, offsets = ragged(b.column(1))
+            for a, e in slices(offsets, 1 << 21):
+                made = text_features(data[offsets[a] : offsets[e]], offsets[a : e + 1] - offsets[a])
+                last = pa.array([m.tobytes() for m in made], pa.binary()) if model is None else pa.array(model.scores(made.astype(float)), pa.float64())
+                yield pa.RecordBatch.from_arrays([*(c.slice(a, e - a) for c in (b.column(0), *b.columns[2:])), last], ["doc_id", *keep, "x" if model is None else "score"])
+
+    body = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("_text"), *(F.col(k) for k in keep))
+    kinds = dict(body.dtypes)
+    return body.mapInArrow(over_batches(rows), ", ".join(f"`{k}` {kinds[k]}" for k in ("doc_id", *keep)) + (", x binary" if model is None else ", score double"))
+
+
 def _summed(rows: DataFrame, width: int, of_batch) -> np.ndarray:
     """Sums over all rows of the `width` numbers that of_batch gives for a batch; each task adds up its own first."""
 
@@ -204,7 +205,7 @@ def with_scores(features: DataFrame, model: QualityModel) -> DataFrame:
         for b in batches:
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(model.scores(_matrix(b.column(len(keep)))) if b.num_rows else [], pa.float64())], [*keep, "score"])
 
-    return features.select(*keep, "x").mapInArrow(rows, ", ".join(f"`{k}` {kinds[k]}" for k in keep) + ", score double")
+    return features.select(*keep, "x").mapInArrow(over_batches(rows), ", ".join(f"`{k}` {kinds[k]}" for k in keep) + ", score double")
 
 
 def scored(docs: DataFrame, labels: DataFrame, train: Column, id_col: str = "doc_id", text_col: str = "text", quality_col: str = "quality") -> DataFrame:

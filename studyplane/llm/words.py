@@ -20,7 +20,7 @@ ALNUM[[*range(0x30, 0x3A), *range(0x61, 0x7B), *range(0x80, 0x100)]] = True
 
 _BASE = 0x9E3779B97F4A7C15 | 1
 _BASE_INVERSE = pow(_BASE, -1, 1 << 64)
-_SEGMENT = 1 << 21
+_SEGMENT = 1 << 17
 
 
 def _powers(base: int, n: int) -> np.ndarray:
