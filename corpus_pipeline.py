@@ -27,7 +27,7 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def classified(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier predicts as of label 1."""
     model, _ = quality.fitted(docs, table(spark, sf_dir, "labels"), fold(5) != 0)
-    out = quality.with_scores(quality.featured(docs, keep=COLUMNS[1:]), model)
+    out = quality.featured(docs, keep=COLUMNS[1:], model=model)
     return out.filter(quality.predicted(F.col("score")) == 1).select(*COLUMNS)
 
 
