@@ -100,14 +100,16 @@ def reconcile(rows: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
 def gradebook_match(grades: DataFrame, items: DataFrame) -> DataFrame:
     """grade_id and item_id: by tool id and equal title, else by tool id alone if one item has it, else by equal title; first item on ties.
 
-    grades: grade_id, course_id, tool_id, title. items: item_id, course_id, tool_id, title, ord."""
-    tool = grades.join(items.select("course_id", "tool_id", F.col("title").alias("_title"), "item_id", "ord"), ["course_id", "tool_id"])
-    sole = tool.groupBy("grade_id").agg(F.count("*").alias("_n"))
-    both = tool.filter(F.col("title") == F.col("_title")).select("grade_id", "item_id", "ord", F.lit(1).alias("prio"))
-    alone = tool.join(sole.filter("_n = 1"), "grade_id").select("grade_id", "item_id", "ord", F.lit(2).alias("prio"))
-    named = grades.select("grade_id", "course_id", "title").join(items.select("course_id", "title", "item_id", "ord"), ["course_id", "title"]).select("grade_id", "item_id", "ord", F.lit(3).alias("prio"))
-    best = both.unionByName(alone).unionByName(named).groupBy("grade_id").agg(F.min_by(F.struct("item_id", "prio"), F.struct("prio", "ord")).alias("b"))
-    return grades.select("grade_id").join(best, "grade_id", "left").select("grade_id", "b.item_id", "b.prio")
+    grades: grade_id, course_id, tool_id, title. items: item_id, course_id, tool_id, title, ord. Rows of one grade_id are one grade. Items
+    become one row for each key before they meet grades, so that no step has more rows than grades or items."""
+    first = lambda keys, k: items.groupBy(*keys).agg(F.min(F.struct("ord", "item_id")).alias(f"i{k}"), F.count("*").alias(f"n{k}"))
+    met = grades
+    for k, keys in enumerate((["course_id", "tool_id", "title"], ["course_id", "tool_id"], ["course_id", "title"]), 1):
+        met = met.join(first(keys, k), keys, "left")
+    best = met.groupBy("grade_id").agg(F.min("i1").alias("both"), F.min("i2").alias("alone"), ((F.max("n2") == 1) & (F.min("i2") == F.max("i2"))).alias("sole"), F.min("i3").alias("named"))
+    prio = F.when(F.col("both").isNotNull(), 1).when(F.col("sole"), 2).when(F.col("named").isNotNull(), 3)
+    best = best.withColumn("prio", prio).select("grade_id", F.when(F.col("prio") == 1, F.col("both")).when(F.col("prio") == 2, F.col("alone")).otherwise(F.col("named"))["item_id"].alias("item_id"), "prio")
+    return grades.select("grade_id").join(best, "grade_id", "left").select("grade_id", "item_id", "prio")
 
 
 def entity_links(edges: list[DataFrame]) -> DataFrame:

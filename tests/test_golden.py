@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from studyplane.functions import state, text
 from studyplane.operators import changes, grades, matching, outline, plan, problems, schedule, tree
+from studyplane.plans import registry
 from studyplane.sources import ics, raw
 from studyplane.streaming import incremental
 
@@ -203,3 +204,32 @@ def test_snapshot_stream(spark, tmp_path):
         incremental.snapshots(stream, str(tmp_path / "state"), str(tmp_path / "changes"), str(tmp_path / "checkpoint")).awaitTermination()
     got = sorted((r["batch"], r["id"], r["kind"]) for r in spark.read.parquet(str(tmp_path / "changes")).collect())
     assert got == [(0, "a", "new_assessment"), (0, "b", "new_assessment"), (1, "a", "grade_posted")]
+
+
+def test_every_line_is_a_grade(spark, tmp_path):
+    """Against brute force: line numbers past 2, items that share a tool id, a title without its tool id, a null title."""
+    parts = [(1, "b", "lab"), (501, "b", "quiz"), (1001, "b", "quiz"), (2, "b", "exam"), (502, "c", "exam"), (3, "c", None), (4, "c", "lab")]
+    lines = [(o, n, parts[(3 * o + n) % len(parts)][0], o % 7) for o in range(1, 9) for n in range(1, 8)]
+    spark.createDataFrame(parts, "p_partkey long, p_brand string, p_name string").write.parquet(str(tmp_path / "part.parquet"))
+    spark.createDataFrame(lines, "l_orderkey long, l_linenumber long, l_partkey long, l_suppkey long").write.parquet(str(tmp_path / "lineitem.parquet"))
+    got = {r["grade_id"]: (r["item_id"], r["prio"]) for r in registry.queries()["gradebook_match_all"](spark, str(tmp_path)).collect()}
+    assert got == brute_matches([(f"{o}-{n}-{s}-{p}", *next((b, k % 500, t) for k, b, t in parts if k == p)) for o, n, p, s in lines], parts)
+
+
+def test_grades_that_differ_from_items(spark):
+    parts = [(1, "b", "lab"), (501, "b", "quiz"), (1001, "b", "quiz"), (2, "b", "exam"), (3, "c", None)]
+    grades_of = [(i, c, t, name) for i, (c, t, name) in enumerate((c, t, name) for c in ("b", "c", "d", None) for t in (1, 2, 3, None) for name in ("lab", "quiz", "exam", "other", None))]
+    items = spark.createDataFrame([(k, b, k % 500, t, k) for k, b, t in parts], "item_id long, course_id string, tool_id long, title string, ord long")
+    got = {r["grade_id"]: (r["item_id"], r["prio"]) for r in matching.gradebook_match(spark.createDataFrame(grades_of, "grade_id long, course_id string, tool_id long, title string"), items).collect()}
+    assert got == brute_matches(grades_of, parts) and {p for _, p in got.values()} == {1, 2, 3, None}
+
+
+def brute_matches(grades_of, parts):
+    out = {}
+    for g, course, tool, title in grades_of:
+        mine = [(k, k % 500, t) for k, b, t in sorted(parts) if b == course]
+        by_tool = [(k, t) for k, tool_id, t in mine if tool_id == tool]
+        titled = lambda found: [k for k, t in found if t is not None and t == title]
+        named = titled([(k, t) for k, _, t in mine])
+        out[g] = (titled(by_tool)[0], 1) if titled(by_tool) else (by_tool[0][0], 2) if len(by_tool) == 1 else (named[0], 3) if named else (None, None)
+    return out
