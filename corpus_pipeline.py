@@ -32,16 +32,18 @@ def classified(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def deduplicated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates the document with the smallest doc_id; rows of one doc_id count once."""
-    groups = written(jaccard.joined(docs, SHINGLE_WORDS, SIMILARITY), "groups")
-    gone = written(groups.filter(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("gone")).distinct(), "gone")
-    kept = docs.select(*COLUMNS).join(gone, F.col("doc_id").eqNullSafe(F.col("gone")), "left_anti")
-    twice = written(groups.groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1").select(F.col("doc_id").alias("twice")), "twice")
-    if twice.isEmpty():
-        return kept
-    again = F.col("doc_id").eqNullSafe(F.col("twice"))
-    one = kept.join(twice, again, "left_semi").groupBy("doc_id").agg(F.min(F.struct(*COLUMNS[1:])).alias("row"))
-    return kept.join(twice, again, "left_anti").unionByName(one.select("doc_id", "row.*"))
+    """One row of each group of near duplicates, that with the smallest doc_id, and every row that is in no group.
+
+    Rows are told apart by a key of their own, since doc_ids may be null or repeat with other texts. Of rows with one doc_id in a group
+    the one with the smallest hash stays; an id comes before null."""
+    rows = written(docs.select(*COLUMNS, F.xxhash64(*COLUMNS).alias("tie"), F.monotonically_increasing_id().alias("row")), "rows")
+    groups = written(jaccard.joined(rows, SHINGLE_WORDS, SIMILARITY, "row").select(F.col("doc_id").alias("row"), F.col("component_id").alias("group")), "groups")
+    later = groups.filter("row <> group")
+    members = later.unionByName(later.select(F.col("group").alias("row"), "group").distinct()).join(rows.select("row", "doc_id", "tie"), "row")
+    members = written(members, "members")
+    first = members.groupBy("group").agg(F.min(F.struct(F.col("doc_id").isNull().alias("without"), "doc_id", "tie", "row")).alias("first")).select("first.row")
+    gone = written(members.join(first, "row", "left_anti").select("row"), "gone")
+    return rows.join(gone, "row", "left_anti").select(*COLUMNS)
 
 
 def cleared(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

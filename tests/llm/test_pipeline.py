@@ -49,6 +49,19 @@ def test_join_stage_counts_a_repeated_id_once(spark, docs):
     assert len(ids) == len(set(ids)) and set(ids) == kept_by_brute_force(spark, texts(docs))[0]
 
 
+def test_join_stage_decides_per_row(spark):
+    """Null ids and one id with two texts: what is in no group stays, and of each group one row does."""
+    text = lambda name: " ".join(f"{name}{k}" for k in range(60))
+    near = text("a") + " more"
+    rows = [("1", text("a")), (None, near), (None, text("b")), (None, text("c")), ("2", text("d")), ("2", text("e")), ("3", text("f")), ("2", text("f")), ("3", text("g"))]
+    rows += [(None, text("h")), (None, text("h")), ("4", text("i")), ("4", text("i")), ("5", None), (None, ""), (None, None)]
+    made = spark.createDataFrame([(d, t, "en", "s", len(t or "")) for d, t in rows], "doc_id string, text string, lang string, source string, n_chars long")
+    gone = [(None, near), ("3", text("f")), (None, text("h")), ("4", text("i"))]
+    for x in gone:
+        rows.remove(x)
+    assert sorted(map(str, texts(corpus_pipeline.deduplicated(spark, made, SF)))) == sorted(map(str, rows))
+
+
 def test_decontamination_stage_drops_by_the_share_of_hit_words(spark, docs):
     items = [(r["item_id"], r["text"]) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
     want = {d for d, n, hit, _ in brute_hits(texts(docs), items) if not (hit and 20 * hit >= n)}
