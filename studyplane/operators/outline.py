@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import title_type
@@ -13,8 +13,22 @@ TIMES_LINE = r"^(.*?[A-Za-z])[ .:|-]*([0-9]+) ?[xX×] ?([0-9]+(?:\.[0-9]+)?) ?%"
 BEST_OF = r"(?i)best ([0-9]+) (?:of|out of) ([0-9]+)"
 DROP_LOWEST = r"(?i)drop(?:ping|ped)?(?: the)? lowest ?([0-9]*)"
 RELATIVE = r"(?i)([0-9]{1,3}) days? after (?:the |each |your )?(lab|lecture|tutorial|seminar)"
-DUE_PHRASE = r"(?i)(assignment|quiz|lab|midterm|project|exam) ?#?([0-9]*)[^.\n]{0,40}?(?:due|moved|extended|rescheduled)[^.\n]{0,30}?([0-9]{4}-[0-9]{2}-[0-9]{2})"
-CANCELLED = r"(?i)(lecture|lab|class|tutorial)[^.\n]{0,40}cancel"
+#: Facts of posts, over text whose runs of blanks are one space. (item)(number)(phrase); a gap doesn't run into the next item with a number.
+_WORK = r"(?:assignment|quiz|lab|midterm|mid[- ]term|project|final exam|exam|homework|hw|test|a(?= ?#?[0-9])|q(?= ?#?[0-9]))"
+_GAP = r"(?:(?!\b(?:" + _WORK + r" ?#?[0-9]|midterm|mid[- ]term|final exam|project))[^.!?])"
+_DAY = r"[0-9]{4}-[0-9]{2}-[0-9]{2}"
+_MONTH = r"(?:jan|feb|mar|apr|may|jun|jul|aug|sep|oct|nov|dec)[a-z]*\.?"
+MOVED_DAY = rf"(?i)\b({_WORK}) ?#?([0-9]*)({_GAP}{{0,40}}?(?:due|moved|extended|postponed|rescheduled){_GAP}{{0,30}}?)({_DAY})"
+MOVED_LABEL = rf"(?i)\b({_WORK}) ?#?([0-9]*)({_GAP}{{0,40}}?\b(?:(?:due|deadline) (?:date )?(?:is |was |has been )?(?:extended|postponed|moved|changed)|extended? (?:to|until)|new due date)\b[: ]+)((?!{_GAP}*?{_DAY}){_GAP}{{3,80}})"
+CANCELLED = r"(?i)\b(lecture|lab|class|tutorial|assignment|quiz|midterm|mid[- ]term)(?:zes|e?s)? ?#?([0-9]*)(?![a-z])(?=[^.!?;]{0,40}?\b(?:cancel|will not (?:meet|be held)|no class\b))"
+LOCATION = r"\b((?i:midterm|mid[- ]term|final|exam|quiz|test|lecture)) ?#?([0-9]*)[^.!?]{0,30}?\b(?i:in|at|room|location) (?:(?i:room) )?([A-Z]{1,6} ?[0-9]{2,5}[A-Z]?\b|[A-Za-z]+ Hall [0-9]+)"
+EXAM = r"(?i)\b(?:mid[- ]?term|final exam|exam date)\b"
+EXAM_HINT = r"(?i)\b(mid[- ]?term|final(?: exam)?)\b"
+EXAM_DAY = rf"(?i)\b(?:mid[- ]?term|final(?: exam)?)\b[^.!?]{{0,40}}?\b({_DAY}|{_MONTH} [0-9]{{1,2}}(?:,? ?[0-9]{{4}})?|[0-9]{{1,2}}/[0-9]{{1,2}}(?:/[0-9]{{2,4}})?)"
+GRADES_OUT = r"(?i)\b(?:grades? (?:are|have been|posted|released)|feedback (?:is|has been) (?:posted|available))\b"
+RESOURCE = r"(?i)\b(?:posted|uploaded|attached|see (?:the )?(?:pdf|document|slides|handout))\b"
+SCHEDULE = r"(?i)\b(?:schedule|week [0-9]+|moved to|class will)\b"
+ASSESSMENT = r"(?i)\b((?:assignment|quiz|lab|project|mid[- ]?term|final(?: exam)?|homework|hw|test) ?#? ?[0-9]*[a-z]?|[aq] ?[0-9]+)\b"
 
 
 def lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -48,16 +62,55 @@ def rules(of_lines: DataFrame) -> DataFrame:
     return of_lines.select("doc_id", "line_no", F.explode(F.array_compact(found)).alias("r")).select("doc_id", "line_no", "r.*")
 
 
+def _iso_day(label: Column) -> Column:
+    """yyyy-MM-dd of a label that names a day with its year; else null, since the year is not guessed."""
+    month = rf"(?i)\b({_MONTH}) ([0-9]{{1,2}})(?:st|nd|rd|th)?,? ?([0-9]{{4}})"
+    g = lambda k: F.regexp_extract(label, month, k)
+    named = F.try_to_timestamp(F.concat_ws(" ", F.initcap(F.left(g(1), F.lit(3))), g(2), g(3)), F.lit("MMM d yyyy"))
+    return F.coalesce(F.nullif(F.regexp_extract(label, _DAY, 0), F.lit("")), F.date_format(named, "yyyy-MM-dd"))
+
+
 def announcement_facts(posts: DataFrame, id_col: str = "post_id", text_col: str = "text") -> DataFrame:
-    """Facts that a post states: a changed due date of a named item, or a cancelled meeting; staff_only posts are up to the caller."""
-    body = F.col(text_col)
-    g = lambda p, k: F.nullif(F.regexp_extract(body, p, k), F.lit(""))
-    fact = lambda p, kind, hint, value, sure: F.when(body.rlike(p), F.struct(F.lit(kind).alias("kind"), hint.alias("hint"), value.alias("value"), F.lit(sure).alias("confidence")))
-    facts = F.array(
-        fact(DUE_PHRASE, "due_changed", F.trim(F.concat_ws(" ", F.lower(g(DUE_PHRASE, 1)), g(DUE_PHRASE, 2))), g(DUE_PHRASE, 3), 0.75),
-        fact(CANCELLED, "cancelled", F.lower(g(CANCELLED, 1)), F.lit(None).cast("string"), 0.7),
-    )
-    return posts.select(F.col(id_col).alias("post_id"), F.explode(F.array_compact(facts)).alias("f")).select("post_id", "f.*")
+    """Facts that a post states: post_id, kind, hint, value, confidence; staff_only posts and a title before the text are up to the caller.
+
+    Kinds: due_changed and extension (value: the new day, or its label at less confidence), cancelled and location (value: the room), as many
+    as the post has; exam (value: its day or label), grade_release, resource, schedule (not beside cancelled), once each; clarification where
+    there is nothing else but an item."""
+    body = F.trim(F.regexp_replace(F.col(text_col), r"[ \t\r\n\x{A0}]+", " "))
+    blank = lambda c: F.nullif(c, F.lit(""))
+    none = F.lit(None).cast("string")
+    fact = lambda kind, hint, value, sure: F.struct(kind.alias("kind"), hint.alias("hint"), value.alias("value"), sure.cast("double").alias("confidence"))
+    item = lambda m: F.trim(F.concat_ws(" ", F.lower(m["1"]), m["2"]))
+
+    def each(p: str, groups: int, made) -> Column:
+        """A fact of every match of p."""
+        return F.transform(F.arrays_zip(*(F.regexp_extract_all(body, F.lit(p), F.lit(k)).alias(str(k)) for k in range(1, groups + 1))), made)
+
+    def moved(m: Column) -> Column:
+        label = F.regexp_replace(m["4"], r"(?i)^(?:to|until) |[ ,;]+(?:(?:and|but)(?: the)?)? *$", "")
+        day = _iso_day(label)
+        kind = F.when(F.concat(m["3"], m["4"]).rlike("(?i)extend|postpon"), "extension").otherwise("due_changed")
+        return fact(kind, item(m), F.coalesce(day, label), F.when(day.isNotNull(), 0.75).otherwise(0.55))
+
+    def once(p: str, kind: str, hint: Column, value: Column, sure: Column) -> Column:
+        return F.when(body.rlike(p), F.array(fact(F.lit(kind), hint, value, sure)))
+
+    first = blank(F.trim(F.lower(F.regexp_extract(body, ASSESSMENT, 1))))
+    label = blank(F.regexp_extract(body, EXAM_DAY, 1))
+    day = _iso_day(label)
+    cancelled = each(CANCELLED, 2, lambda m: fact(F.lit("cancelled"), item(m), none, F.lit(0.7)))
+    parts = [
+        each(MOVED_DAY, 4, moved),
+        each(MOVED_LABEL, 4, moved),
+        cancelled,
+        each(LOCATION, 3, lambda m: fact(F.lit("location"), item(m), m["3"], F.lit(0.65))),
+        once(EXAM, "exam", F.coalesce(blank(F.lower(F.regexp_extract(body, EXAM_HINT, 1))), F.lit("exam")), F.coalesce(day, label), F.when(day.isNotNull(), 0.7).otherwise(0.45)),
+        once(GRADES_OUT, "grade_release", first, none, F.lit(0.6)),
+        once(RESOURCE, "resource", first, none, F.lit(0.4)),
+        F.when(F.size(cancelled) == 0, once(SCHEDULE, "schedule", none, none, F.lit(0.4))),
+    ]
+    found = posts.select(F.col(id_col).alias("post_id"), F.flatten(F.array_compact(F.array(*parts))).alias("facts"), F.when(first.isNotNull(), F.array(fact(F.lit("clarification"), first, none, F.lit(0.35)))).alias("other"))
+    return found.select("post_id", F.explode(F.when(F.size("facts") > 0, F.col("facts")).otherwise(F.col("other"))).alias("f")).select("post_id", "f.*")
 
 
 def quality(items: DataFrame, promised: DataFrame) -> DataFrame:

@@ -195,12 +195,27 @@ def outline_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""SELECT event_id AS post_id, 'due_changed' AS kind, 'quiz ' || (event_id % 9) AS hint, '2024-03-' || lpad((event_id % 28 + 1)::VARCHAR, 2, '0') AS value FROM events WHERE event_type = 'error'
 UNION ALL SELECT event_id, 'cancelled', 'lecture', NULL FROM events WHERE event_type = 'signup'""")
 def clarifications(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Facts in staff posts."""
+    """Changed due dates and cancelled meetings in staff posts, as in its SQL; announcement_facts has all kinds."""
     k = F.col("event_id")
     s = lambda c: c.cast("string")
     moved = F.concat(F.lit("Hello all, Quiz #"), s(k % 9), F.lit(" has been moved to 2024-03-"), F.lpad(s(k % 28 + 1), 2, "0"), F.lit(". Good luck"))
     body = F.when(F.col("event_type") == "error", moved).when(F.col("event_type") == "signup", "The lecture on Monday is cancelled.").otherwise("See you in class.")
     posts = table(spark, sf_dir, "events").select(k.alias("post_id"), body.alias("text"))
+    return outline.announcement_facts(posts).filter("kind IN ('due_changed', 'cancelled')").select("post_id", "kind", "hint", "value")
+
+
+@query("""SELECT event_id AS post_id, unnest(['due_changed', 'extension', 'schedule']) AS kind, unnest(['quiz ' || (event_id % 9), 'assignment ' || (event_id % 7), NULL]) AS hint, unnest(['2024-03-' || lpad((event_id % 28 + 1)::VARCHAR, 2, '0'), '2024-04-09', NULL]) AS value FROM events WHERE event_type = 'error'
+UNION ALL SELECT event_id, 'cancelled', unnest(['lecture', 'lab 2']), NULL FROM events WHERE event_type = 'signup'
+UNION ALL SELECT event_id, unnest(['location', 'location', 'exam', 'grade_release', 'resource']), unnest(['midterm', 'quiz 4', 'midterm', 'midterm', 'midterm']), unnest(['MACN 105', 'Massey Hall 12', '2024-10-20', NULL, NULL]) FROM events WHERE event_type = 'click'
+UNION ALL SELECT event_id, 'clarification', 'assignment 3', NULL FROM events WHERE event_type NOT IN ('error', 'signup', 'click')""")
+def announcement_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Facts of all kinds in posts that hold several."""
+    k = F.col("event_id")
+    s = lambda c: c.cast("string")
+    moved = F.concat(F.lit("Quiz #"), s(k % 9), F.lit(" has been moved to 2024-03-"), F.lpad(s(k % 28 + 1), 2, "0"), F.lit(" and the Assignment "), s(k % 7), F.lit(" deadline extended to April 9, 2024."))
+    told = "The midterm is in MACN 105 and quiz 4 at Massey Hall 12. The midterm is on October 20, 2024. Grades are released; slides are posted."
+    by = F.when(F.col("event_type") == "error", moved).when(F.col("event_type") == "signup", "The lecture on Monday is cancelled. Lab 2 will not be held.")
+    posts = table(spark, sf_dir, "events").select(k.alias("post_id"), by.when(F.col("event_type") == "click", told).otherwise("In Assignment 3, count from zero.").alias("text"))
     return outline.announcement_facts(posts).select("post_id", "kind", "hint", "value")
 
 

@@ -162,6 +162,27 @@ def test_outline_lines(spark):
     assert rules == [("BestN", 8, 10, None), ("DropLowest", 2, None, None), ("RelativeDeadline", 8, None, "lab")]
 
 
+def test_all_facts_of_a_post(spark):
+    posts = [
+        "Quiz 1 moved to 2026-10-02; Quiz 2 due date postponed to Friday and Lab 3 is due 2026-10-09. A1 extended until Oct 5, 2026!",
+        "Lecture on Monday and lab 2 on Tuesday\nare cancelled. See week 3.",
+        "Midterm in MACN 105, final at Massey Hall 12.",
+        "Your grades have been posted for Quiz 3",
+        "In Assignment 4, count from zero.",
+        "Nothing here", "", None,
+    ]
+    got = {}
+    for r in outline.announcement_facts(spark.createDataFrame(list(enumerate(posts)), "post_id int, text string")).collect():
+        got.setdefault(r["post_id"], []).append((r["kind"], r["hint"], r["value"], r["confidence"]))
+    assert {k: sorted(map(str, v)) for k, v in got.items()} == {k: sorted(map(str, v)) for k, v in {
+        0: [("due_changed", "quiz 1", "2026-10-02", 0.75), ("extension", "quiz 2", "Friday", 0.55), ("due_changed", "lab 3", "2026-10-09", 0.75), ("extension", "a 1", "2026-10-05", 0.75), ("schedule", None, None, 0.4)],
+        1: [("cancelled", "lecture", None, 0.7), ("cancelled", "lab 2", None, 0.7)],
+        2: [("location", "midterm", "MACN 105", 0.65), ("location", "final", "Massey Hall 12", 0.65), ("exam", "midterm", None, 0.45)],
+        3: [("grade_release", "quiz 3", None, 0.6), ("resource", "quiz 3", None, 0.4)],
+        4: [("clarification", "assignment 4", None, 0.35)],
+    }.items()}
+
+
 def test_calendar_file(spark):
     body = "BEGIN:VCALENDAR\r\nBEGIN:VEVENT\r\nUID:1\r\nSUMMARY:Long\r\n  title\\, part\r\nDTSTART:20261001T035900Z\r\nEXDATE:20261008T035900Z\r\nEND:VEVENT\r\nBEGIN:VEVENT\r\nUID:2\r\nDTSTART;VALUE=DATE:20261002\r\nEND:VEVENT\r\nEND:VCALENDAR"
     a, b = ics.events(spark.createDataFrame([(body,)], "text string")).orderBy("uid").collect()
