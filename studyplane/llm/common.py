@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import atexit
 import ctypes
 import gc
+import shutil
+import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -12,18 +15,28 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
-DEFAULT_WORK_DIR = "/tmp/checkpoints"
-
 #: Rows of one Arrow batch sent to Python. Whole texts travel in these batches, so they stay small.
 BATCH_ROWS = 1000
 
 
 def work_dir(spark: SparkSession) -> str:
-    """A fresh folder below spark.checkpoint.dir, which driver and executors share; a local one only where that is unset."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or DEFAULT_WORK_DIR
+    """A fresh folder below spark.checkpoint.dir, which driver and executors share.
+
+    Where that is unset, a temporary folder is set for sessions in local mode; on a cluster no folder of one machine would do, so that is
+    an error."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or _LOCAL.get(spark.sparkContext.applicationId)
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        base = _LOCAL[spark.sparkContext.applicationId] = tempfile.mkdtemp(prefix="studyplane-")
+        atexit.register(shutil.rmtree, base, ignore_errors=True)
     return f"{base.rstrip('/')}/studyplane-{uuid.uuid4().hex}"
 
 
+#: Temporary folders of sessions in local mode, by application; each goes when the driver ends.
+_LOCAL: dict[str, str] = {}
+
+
 def written(df: DataFrame, name: str, partition_by: str | None = None) -> DataFrame:
     """df as a Parquet table in the shared folder, read again: later steps start from it when executors are lost."""
     path = f"{work_dir(df.sparkSession)}/{name}"

@@ -2,19 +2,25 @@
 
 from __future__ import annotations
 
+import pickle
+import uuid
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import over_batches, ragged, slices, small_batches, within
+from .common import lasting, over_batches, over_group, ragged, slices, small_batches, within, written
 from .words import ALNUM, LOWER, word_bounds, word_hashes
 
-#: Words of a window, bytes of one shard of documents, bytes of benchmark text searched for at once.
-WINDOW, SHARD_BYTES, BLOCK_BYTES = 13, 1 << 22, 1 << 22
+#: Words of a window, bytes of one shard of documents, of one block of benchmark text, and of all blocks that go out in one pass.
+WINDOW, SHARD_BYTES, BLOCK_BYTES, PASS_BYTES = 13, 1 << 22, 1 << 22, 1 << 28
+
+#: Windows searched for at once.
+_TOGETHER = 1 << 16
 
 #: Every so many text positions the index keeps its suffix position.
 SAMPLED = 16
@@ -25,34 +31,33 @@ _END, _OTHER = 0, 1
 
 @dataclass(frozen=True)
 class Phrases:
-    """Distinct windows of a block of items as symbols (0 fills up), their lengths, and the items of each."""
+    """The items of a block: ids, words as hashes laid end to end, and the first word of each window with its length and its item."""
 
-    vocabulary: np.ndarray
-    symbols: np.ndarray
-    lengths: np.ndarray
     items: list[str]
+    words: np.ndarray
+    starts: np.ndarray
+    lengths: np.ndarray
     item_of: np.ndarray
-    item_at: np.ndarray
 
 
-def phrases(items: list[tuple[str, str | None]], window: int = WINDOW) -> Phrases:
-    """The windows of items (id, text): each run of `window` words, or all words of an item with fewer; none without words."""
-    data, offsets = ragged(pa.array([t for _, t in items], pa.string()))
+def phrases(items: list[str], texts: pa.Array, window: int = WINDOW) -> Phrases:
+    """The windows of items: each run of `window` words, or all words of an item with fewer; none without words."""
+    data, offsets = ragged(texts)
     data = LOWER[data]
     starts, ends, at = word_bounds(data, offsets, ALNUM)
-    hashes = word_hashes(data, starts, ends)
-    found: dict[bytes, set[int]] = {}
-    for i in range(len(items)):
-        mine = hashes[at[i] : at[i + 1]]
-        for k in range(max(1, len(mine) - window + 1) if len(mine) else 0):
-            found.setdefault(mine[k : k + window].tobytes(), set()).add(i)
-    windows = [np.frombuffer(w, np.uint64) for w in sorted(found)]
-    vocabulary = np.unique(np.concatenate(windows)) if windows else np.zeros(0, np.uint64)
-    symbols = np.zeros((len(windows), window), np.int64)
-    for j, w in enumerate(windows):
-        symbols[j, : len(w)] = np.searchsorted(vocabulary, w) + 2
-    owners = [sorted(found[w.tobytes()]) for w in windows]
-    return Phrases(vocabulary, symbols, np.array([len(w) for w in windows], np.int64), [i for i, _ in items], np.array([x for o in owners for x in o], np.int64), np.cumsum([0] + [len(o) for o in owners]))
+    count = np.diff(at)
+    windows = np.where(count > 0, np.maximum(1, count - window + 1), 0)
+    item_of = np.repeat(np.arange(len(items)), windows)
+    return Phrases(items, word_hashes(data, starts, ends), at[item_of] + within(windows), np.minimum(count, window)[item_of], item_of)
+
+
+def packed(p: Phrases) -> bytes:
+    return pickle.dumps((p.items, *(x.tobytes() for x in (p.words, p.starts.astype(np.int64), p.lengths.astype(np.int64), p.item_of.astype(np.int64)))))
+
+
+def unpacked(b: bytes) -> Phrases:
+    items, words, *rest = pickle.loads(b)
+    return Phrases(items, np.frombuffer(words, np.uint64), *(np.frombuffer(x, np.int64) for x in rest))
 
 
 def suffix_array(s: np.ndarray, bits: int) -> np.ndarray:
@@ -147,10 +152,27 @@ class FMIndex:
         return out
 
 
-def hits(data: np.ndarray, offsets: np.ndarray, wanted: Phrases, marks: list[np.ndarray]) -> tuple[np.ndarray, list[np.ndarray], list[list[str]], list[np.ndarray]]:
+def _found(index: FMIndex, symbols: np.ndarray, wanted: Phrases, present: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(window, text position) of all occurrences of a block's windows, many windows at once. symbols: those of the block's words.
+
+    Windows with a word that the shard doesn't have are left out first."""
+    there = np.concatenate([[0], np.cumsum(present[symbols])])
+    windows = np.flatnonzero(there[wanted.starts + wanted.lengths] - there[wanted.starts] == wanted.lengths)
+    for a in range(0, len(windows), _TOGETHER):
+        some = windows[a : a + _TOGETHER]
+        length = wanted.lengths[some]
+        column = np.arange(length.max())
+        patterns = np.where(column < length[:, None], symbols[np.minimum(wanted.starts[some, None] + column, len(symbols) - 1)], 0)
+        low, high = index.search(patterns, length)
+        count = high - low
+        yield np.repeat(some, count), index.locate(np.repeat(low, count) + within(count))
+
+
+def hits(data: np.ndarray, offsets: np.ndarray, vocabulary: np.ndarray, blocks: list[tuple[np.ndarray, Phrases]], marks: list[np.ndarray]) -> tuple[np.ndarray, list[np.ndarray], list[list[str]], list[np.ndarray]]:
     """Of one shard's texts: words, merged spans of hit words (first, end, ...), items that occur, and the spans' bytes.
 
-    marks: spans found before, which are merged in."""
+    vocabulary: sorted hashes of the words of all blocks; blocks: each block's words as places in it, and its phrases. The shard is indexed
+    once for all of them. marks: spans found before, which are merged in."""
     data = LOWER[data]
     starts, ends, at = word_bounds(data, offsets, ALNUM)
     rows, n = len(offsets) - 1, len(starts)
@@ -158,11 +180,15 @@ def hits(data: np.ndarray, offsets: np.ndarray, wanted: Phrases, marks: list[np.
     for r, m in enumerate(marks):
         np.add.at(delta, at[r] + m[0::2], 1)
         np.add.at(delta, at[r] + m[1::2], -1)
-    items: list[list[str]] = [[] for _ in range(rows)]
-    if n and len(wanted.lengths):
+    items: list[set[str]] = [set() for _ in range(rows)]
+    if n and len(vocabulary):
         hashes = word_hashes(data, starts, ends)
-        place = np.minimum(np.searchsorted(wanted.vocabulary, hashes), len(wanted.vocabulary) - 1)
-        symbol = np.where(wanted.vocabulary[place] == hashes, place + 2, _OTHER)
+        place = np.minimum(np.searchsorted(vocabulary, hashes), len(vocabulary) - 1)
+        # words of the shard that the benchmark has get the symbols from 2 on
+        had = np.unique(place[vocabulary[place] == hashes])
+        symbol_of = np.full(len(vocabulary), _OTHER)
+        symbol_of[had] = np.arange(len(had)) + 2
+        symbol = np.where(vocabulary[place] == hashes, symbol_of[place], _OTHER)
         # a document's end stands before its successor's first word; runs of _OTHER count once
         ends_at = np.unique(at[1:])
         s = np.insert(symbol, ends_at, _OTHER)
@@ -170,17 +196,17 @@ def hits(data: np.ndarray, offsets: np.ndarray, wanted: Phrases, marks: list[np.
         keep = np.ones(len(s), bool)
         keep[1:] = (s[1:] != _OTHER) | (s[:-1] != _OTHER)
         s, word = np.append(s[keep], _END), np.append(word[keep], -1)
-        index = FMIndex(s, len(wanted.vocabulary) + 2)
-        low, high = index.search(wanted.symbols, wanted.lengths)
-        count = high - low
-        phrase = np.repeat(np.arange(len(count)), count)
-        first = word[index.locate(np.repeat(low, count) + within(count))]
-        np.add.at(delta, first, 1)
-        np.add.at(delta, first + wanted.lengths[phrase], -1)
-        doc = np.searchsorted(at, first, side="right") - 1
-        pairs = np.unique(doc * len(count) + phrase) if len(phrase) else np.zeros(0, np.int64)
-        for d, p in zip(*divmod(pairs, max(1, len(count))), strict=True):
-            items[d].extend(wanted.items[i] for i in wanted.item_of[wanted.item_at[p] : wanted.item_at[p + 1]])
+        index = FMIndex(s, len(had) + 2)
+        present = np.ones(len(had) + 2, bool)
+        present[: _OTHER + 1] = False
+        for places, wanted in blocks:
+            for window, position in _found(index, symbol_of[places], wanted, present):
+                first = word[position]
+                np.add.at(delta, first, 1)
+                np.add.at(delta, first + wanted.lengths[window], -1)
+                doc = np.searchsorted(at, first, side="right") - 1
+                for d, i in zip(*divmod(np.unique(doc * len(wanted.items) + wanted.item_of[window]), max(1, len(wanted.items))), strict=True):
+                    items[d].add(wanted.items[i])
     hit = np.cumsum(delta)[:-1] > 0
     cut = np.zeros(n + 1, bool)
     cut[at] = True
@@ -190,7 +216,7 @@ def hits(data: np.ndarray, offsets: np.ndarray, wanted: Phrases, marks: list[np.
     by_row = np.searchsorted(begin, at)
     spans = [np.column_stack([begin[a:b] - at[r], end[a:b] - at[r]]).ravel() for r, (a, b) in enumerate(zip(by_row, by_row[1:], strict=False))]
     texts = [np.column_stack([starts[begin[a:b]] - offsets[r], ends[end[a:b] - 1] - offsets[r]]).ravel() for r, (a, b) in enumerate(zip(by_row, by_row[1:], strict=False))]
-    return np.diff(at), spans, [sorted(set(x)) for x in items], texts
+    return np.diff(at), spans, [sorted(x) for x in items], texts
 
 
 def _lists(parts: list, kind: pa.DataType) -> pa.Array:
@@ -198,41 +224,78 @@ def _lists(parts: list, kind: pa.DataType) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(np.cumsum([0] + [len(p) for p in parts]), pa.int32()), pa.array(flat, kind))
 
 
+def _blocks(items: DataFrame, count: int, window: int) -> DataFrame:
+    """block and its packed phrases; items are dealt by a hash of id and text, each block is one task's group."""
+
+    def made(t: pa.Table) -> pa.Table:
+        order = np.argsort(t["item"].to_pandas().to_numpy(), kind="stable")
+        t = t.take(pa.array(order))
+        return pa.table({"block": pa.array([t["block"][0].as_py()], pa.int64()), "phrases": pa.array([packed(phrases(t["item"].to_pylist(), t["text"].combine_chunks(), window))], pa.binary())})
+
+    return items.withColumn("block", F.pmod(F.xxhash64("item", "text"), F.lit(count))).groupBy("block").applyInArrow(over_group(made), "block long, phrases binary")
+
+
+@dataclass(frozen=True)
+class Sent:
+    """The broadcast blocks of one pass, told apart by a key."""
+
+    key: str
+    blocks: tuple = field(compare=False)
+
+
+@lasting
+@lru_cache(1)
+def _opened(sent: Sent) -> tuple[np.ndarray, list[tuple[np.ndarray, Phrases]]]:
+    """The common vocabulary of the blocks and each block's words as places in it."""
+    blocks = [unpacked(b.value) for b in sent.blocks]
+    vocabulary = np.unique(np.concatenate([np.unique(p.words) for p in blocks])) if blocks else np.zeros(0, np.uint64)
+    return vocabulary, [(np.searchsorted(vocabulary, p.words), p) for p in blocks]
+
+
 def decontaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
     """doc_id, `keep`, n_words, n_hit (words inside an occurrence of a window), items (ids, sorted) and spans of every row.
 
     spans: merged removal spans as array of (begin, end) in bytes of the UTF-8 text, flattened. Words are runs of digits, letters
-    a-z (after lower-casing A-Z) and all characters beyond ASCII. Benchmark texts go to the executors in blocks of at most about
-    BLOCK_BYTES (or one item), one block after the other. Null texts have no words; null item ids count as the empty id; items with the
-    same id are one; null ids and repeated rows are kept; other columns are read only where `keep` names them; an empty benchmark hits
-    nothing; no rows give no rows."""
+    a-z (after lower-casing A-Z) and all characters beyond ASCII. Windows of the benchmark are made in tasks, in blocks of about
+    BLOCK_BYTES (or one item); blocks of at most about PASS_BYTES in all are broadcast and searched for in one pass over the documents, and
+    a larger benchmark takes more passes. Null texts have no words; null item ids count as the empty id; items with the same id are one;
+    null ids and repeated rows are kept; other columns are read only where `keep` names them, and `keep` must not name a column of the
+    result; an empty benchmark hits nothing; no rows give no rows."""
+    made = {"doc_id", "n_words", "n_hit", "items", "spans"}
+    if made & set(keep) or len(set(keep)) < len(keep):
+        raise ValueError(f"keep names a column of the result, or one twice: {keep}")
     spark = docs.sparkSession
     small_batches(spark)
     items = benchmark.select(F.coalesce(F.col(item_col).cast("string"), F.lit("")).alias("item"), F.col(item_text_col).alias("text")).filter(F.length("text") > 0)
     total = items.agg(F.sum(F.octet_length("text")).alias("n")).first()["n"] or 0
-    blocks = -(-total // BLOCK_BYTES)
-    names = ["doc_id", *(k for k in keep)]
-    body = docs.select(F.col(id_col).alias("doc_id"), *(F.col(k) for k in keep), F.col(text_col).alias("_text"))
+    count = -(-total // BLOCK_BYTES)
+    per_pass = max(1, PASS_BYTES // BLOCK_BYTES)
+    blocks = written(_blocks(items, count, window), "phrases") if count else None
+    kept = [f"_keep_{k}" for k in range(len(keep))]
+    names = ["doc_id", *kept]
+    body = docs.select(F.col(id_col).alias("doc_id"), *(F.col(k).alias(n) for k, n in zip(keep, kept, strict=True)), F.col(text_col).alias("_text"))
     kinds = dict(body.dtypes)
     body = body.select("*", F.lit(0).cast("long").alias("_n"), F.array().cast("array<bigint>").alias("_marks"), F.array().cast("array<string>").alias("_items"), F.array().cast("array<bigint>").alias("_bytes"))
     schema = ", ".join(f"`{k}` {kinds[k]}" for k in [*names, "_text"]) + ", _n long, _marks array<bigint>, _items array<string>, _bytes array<bigint>"
-    for k in range(max(1, blocks)):
-        block = [(r["item"], r["text"]) for r in items.filter(F.pmod(F.xxhash64("item", "text"), F.lit(max(1, blocks))) == k).collect()]
-        wanted = spark.sparkContext.broadcast(phrases(sorted(block), window))
+    for p in range(max(1, -(-count // per_pass))):
+        # one block at a time comes to the driver, none of them over about BLOCK_BYTES of text
+        numbers = range(p * per_pass, min(count, (p + 1) * per_pass))
+        sent = Sent(uuid.uuid4().hex, tuple(spark.sparkContext.broadcast(bytes(r["phrases"])) for k in numbers for r in blocks.filter(F.col("block") == k).select("phrases").collect()))
 
-        def search(batches: Iterator[pa.RecordBatch], wanted=wanted) -> Iterator[pa.RecordBatch]:
+        def search(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
+            vocabulary, opened = _opened(sent)
             for b in batches:
                 data, offsets = ragged(b.column("_text"))
                 for a, e in slices(offsets, SHARD_BYTES):
                     part = b.slice(a, e - a)
                     marks = [np.array(m, np.int64) for m in part.column("_marks").to_pylist()]
-                    n, spans, found, texts = hits(data[offsets[a] : offsets[e]], offsets[a : e + 1] - offsets[a], wanted.value, marks)
+                    n, spans, found, texts = hits(data[offsets[a] : offsets[e]], offsets[a : e + 1] - offsets[a], vocabulary, opened, marks)
                     found = [sorted({*x, *y}) for x, y in zip(found, part.column("_items").to_pylist(), strict=True)]
                     yield pa.RecordBatch.from_arrays([*(part.column(c) for c in [*names, "_text"]), pa.array(n, pa.int64()), _lists(spans, pa.int64()), _lists(found, pa.string()), _lists(texts, pa.int64())], [*names, "_text", "_n", "_marks", "_items", "_bytes"])
 
-        body = body.mapInArrow(over_batches(search), schema)
+        body = body.mapInArrow(over_batches(search, keep=_opened), schema)
     covered = F.aggregate(F.col("_marks"), F.lit(0).cast("long"), lambda s, x: x - s)  # ends less beginnings: the signs alternate
-    return body.select(*names, F.col("_n").alias("n_words"), covered.alias("n_hit"), F.col("_items").alias("items"), F.col("_bytes").alias("spans"))
+    return body.select("doc_id", *(F.col(n).alias(k) for n, k in zip(kept, keep, strict=True)), F.col("_n").alias("n_words"), covered.alias("n_hit"), F.col("_items").alias("items"), F.col("_bytes").alias("spans"))
 
 
 def contaminated(n_words: Column, n_hit: Column, share: int = 20) -> Column:

@@ -1,10 +1,14 @@
-"""Exact n-gram Jaccard join by vertical partitioning, and the groups that its links make.
+"""N-gram Jaccard join by vertical partitioning, and the groups that its links make: exact for the hashes of the n-grams.
+
+N-grams are told apart by 64-bit hashes, of which all bits are kept, and sets by two such sums. Two n-grams of a corpus that share a hash
+count as one; of a pair of sets with a thousand n-grams each that befalls one in about 10^13.
 
 The n-grams' hashes are the global order, cut into fragments; each document's set is cut along. A fragment counts how many different
 sets hold each of its n-grams, and later the partial overlap of each candidate pair; overlaps are summed per pair."""
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -56,16 +60,14 @@ def shingle_sets(docs: DataFrame, n: int, id_col: str = "doc_id", text_col: str
     return body.mapInArrow(over_batches(rows), f"doc_id {dict(body.dtypes)['doc_id']}, n_shingles long, k1 long, k2 long")
 
 
-def _low(keys: np.ndarray) -> bytes:
-    """The lower 48 bits of each key; its fragment has the upper ones."""
-    return keys.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6].tobytes()
+def _wide(blobs: list[bytes]) -> np.ndarray:
+    return np.frombuffer(b"".join(blobs), "<u8").astype(np.uint64)
 
 
-def _wide(blobs: list[bytes]) -> np.ndarray:
-    flat = np.frombuffer(b"".join(blobs), np.uint8).reshape(-1, 6)
-    out = np.zeros((len(flat), 8), np.uint8)
-    out[:, :6] = flat
-    return out.view("<u8").ravel()
+def _runs(sorted_keys: np.ndarray) -> tuple[list[int], list[int], list[int]]:
+    """The values of sorted keys, and where each begins and ends: only those that are there, however many there could be."""
+    at = np.flatnonzero(np.concatenate([[True], sorted_keys[1:] != sorted_keys[:-1]])) if len(sorted_keys) else np.zeros(0, np.int64)
+    return sorted_keys[at].tolist(), at.tolist(), np.append(at[1:], len(sorted_keys)).tolist()
 
 
 def shared(docs: DataFrame, n: int, bits: int, least: int, text_col: str = "text") -> DataFrame:
@@ -75,7 +77,7 @@ def shared(docs: DataFrame, n: int, bits: int, least: int, text_col: str = "text
     n - ceil(least * n / 100) + 1 n-grams meet those of each partner; those of them that are shared are in prefix, and their places by rarity in places. A set with so many
     n-grams of its own has no partner and is left out."""
     small_batches(docs.sparkSession)
-    count = 1 << bits
+    upper = lambda x: (x >> np.uint64(64 - bits)).astype(np.int64)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -92,21 +94,17 @@ def shared(docs: DataFrame, n: int, bits: int, least: int, text_col: str = "text
                 keep = once[row]
                 keys, row = keys[keep], row[keep]
                 place = np.cumsum(once) - 1
-                fragment = (keys >> np.uint64(64 - bits)).astype(np.uint16)
+                fragment = upper(keys)
                 order = np.argsort(fragment, kind="stable")
                 keys, row = keys[order], place[row[order]]
-                ends = np.searchsorted(fragment[order], np.arange(count + 1))
                 kinds, sizes = k1[once], size[once]
                 out = []
-                for f in range(count):
-                    i, j = ends[f], ends[f + 1]
-                    if i < j:
-                        there, runs = np.unique(row[i:j], return_counts=True)
-                        out.append((f, kinds[there].tobytes(), sizes[there].astype("<u4").tobytes(), runs.astype("<u4").tobytes(), _low(keys[i:j])))
-                yield pa.RecordBatch.from_arrays([pa.array([o[0] for o in out], pa.int32()), *(pa.array([o[k] for o in out], pa.binary()) for k in range(1, 5))], ["fragment", "k1", "n", "runs", "keys"])
+                for f, i, j in zip(*_runs(fragment[order]), strict=True):
+                    there, runs = np.unique(row[i:j], return_counts=True)
+                    out.append((f, kinds[there].tobytes(), sizes[there].astype("<u4").tobytes(), runs.astype("<u4").tobytes(), keys[i:j].astype("<u8").tobytes()))
+                yield pa.RecordBatch.from_arrays([pa.array([o[0] for o in out], pa.int64()), *(pa.array([o[k] for o in out], pa.binary()) for k in range(1, 5))], ["fragment", "k1", "n", "runs", "keys"])
 
     def occurring(t: pa.Table) -> pa.Table:
-        f = t["fragment"][0].as_py()
         k1, size, runs = (np.frombuffer(b"".join(t[c].to_pylist()), kind) for c, kind in (("k1", np.int64), ("n", "<u4"), ("runs", "<u4")))
         keys = _wide(t["keys"].to_pylist())
         _, first, kind = np.unique(k1, return_index=True, return_inverse=True)
@@ -123,23 +121,17 @@ def shared(docs: DataFrame, n: int, bits: int, least: int, text_col: str = "text
         held = np.repeat(np.diff(np.append(begin, len(keys))), np.diff(np.append(begin, len(keys))))
         some = held > 1
         keys, owner, held = keys[some], owner[some], held[some]
-        order = np.lexsort((keys, owner, (k1[owner].view(np.uint64) >> np.uint64(64 - bits))))
+        order = np.lexsort((keys, owner, upper(k1[owner].view(np.uint64))))
         keys, owner, held = keys[order], owner[order], held[order]
-        group = (k1[owner].view(np.uint64) >> np.uint64(64 - bits)).astype(np.int64)
-        ends = np.searchsorted(group, np.arange(count + 1))
         out = []
-        for g in range(count):
-            i, j = ends[g], ends[g + 1]
-            if i < j:
-                there, number = np.unique(owner[i:j], return_counts=True)
-                out.append((g, f, k1[there].tobytes(), size[there].astype("<u4").tobytes(), number.astype("<u4").tobytes(), _low(keys[i:j]), held[i:j].astype("<u4").tobytes()))
-        return pa.table({"g": pa.array([o[0] for o in out], pa.int32()), "fragment": pa.array([o[1] for o in out], pa.int32())} | {c: pa.array([o[k] for o in out], pa.binary()) for k, c in enumerate(("k1", "n", "runs", "keys", "held"), 2)})
+        for g, i, j in zip(*_runs(upper(k1[owner].view(np.uint64))), strict=True):
+            there, number = np.unique(owner[i:j], return_counts=True)
+            out.append((g, k1[there].tobytes(), size[there].astype("<u4").tobytes(), number.astype("<u4").tobytes(), keys[i:j].astype("<u8").tobytes(), held[i:j].astype("<u4").tobytes()))
+        return pa.table({"g": pa.array([o[0] for o in out], pa.int64())} | {c: pa.array([o[k] for o in out], pa.binary()) for k, c in enumerate(("k1", "n", "runs", "keys", "held"), 1)})
 
     def partnered(t: pa.Table) -> pa.Table:
         runs = [np.frombuffer(x, "<u4") for x in t["runs"].to_pylist()]
-        totals = [int(r.sum()) for r in runs]
-        fragment = np.repeat(t["fragment"].to_numpy(), totals).astype(np.uint64)
-        token = _wide(t["keys"].to_pylist()) | (fragment << np.uint64(64 - bits) if bits else fragment)
+        token = _wide(t["keys"].to_pylist())
         every = np.concatenate(runs)
         k1, size = (np.repeat(np.frombuffer(b"".join(t[c].to_pylist()), kind), every) for c, kind in (("k1", np.int64), ("n", "<u4")))
         held = np.frombuffer(b"".join(t["held"].to_pylist()), "<u4")
@@ -176,8 +168,8 @@ def shared(docs: DataFrame, n: int, bits: int, least: int, text_col: str = "text
             }
         )
 
-    blobs = docs.select(F.col(text_col).alias("text")).mapInArrow(over_batches(cut), "fragment int, k1 binary, n binary, runs binary, keys binary")
-    held = blobs.groupBy("fragment").applyInArrow(over_group(occurring), "g int, fragment int, k1 binary, n binary, runs binary, keys binary, held binary")
+    blobs = docs.select(F.col(text_col).alias("text")).mapInArrow(over_batches(cut), "fragment long, k1 binary, n binary, runs binary, keys binary")
+    held = blobs.groupBy("fragment").applyInArrow(over_group(occurring), "g long, k1 binary, n binary, runs binary, keys binary, held binary")
     return held.groupBy("g").applyInArrow(over_group(partnered), "k1 long, n long, alone long, fragment int, tokens array<bigint>, prefix array<bigint>, places array<bigint>")
 
 
@@ -222,6 +214,7 @@ def joined(docs: DataFrame, n: int = 5, least: int = 80, id_col: str = "doc_id",
 
     tested = 0
     open_rows = rows
+    band = F.floor(F.log(F.col("n").cast("double")) / F.lit(-math.log(min(least, 99) / 100) + 1e-9))
     for centres in [*CENTRES, None]:
         placed = open_rows.join(comps.withColumnRenamed("node", "k1"), "k1", "left").withColumn("component", F.coalesce("component", "k1"))
         groups = placed.groupBy("token").agg(F.count("*").alias("members"), F.min("component").alias("x"), F.max("component").alias("y")).filter("x <> y").select("token", "members")
@@ -230,8 +223,10 @@ def joined(docs: DataFrame, n: int = 5, least: int = 80, id_col: str = "doc_id",
             break
         draw = F.pmod(F.xxhash64("k1"), F.lit(1 << 30)) / F.lit(float(1 << 30)) * F.col("members")
         new = open_rows.filter((draw < centres) & (draw >= tested)) if centres else open_rows.filter(draw >= tested)
-        left = new.select("token", F.col("k1").alias("b"), F.col("n").alias("n_b"), F.col("place").alias("place_b"), F.col("component").alias("component_b"))
-        met = open_rows.filter(draw >= tested).select("token", F.col("k1").alias("a"), F.col("n").alias("n_a"), F.col("place").alias("place_a"), F.col("component").alias("component_a")).join(left, "token")
+        # sets that link differ in size by less than a band, so a hot n-gram's rows are split by size, and each pair meets once
+        left = new.select("token", F.explode(F.array(*(band + k for k in (-1, 0, 1)))).alias("band"), F.col("k1").alias("b"), F.col("n").alias("n_b"), F.col("place").alias("place_b"), F.col("component").alias("component_b"))
+        right = open_rows.filter(draw >= tested).select("token", band.alias("band"), F.col("k1").alias("a"), F.col("n").alias("n_a"), F.col("place").alias("place_a"), F.col("component").alias("component_a"))
+        met = right.join(left, ["token", "band"])
         met = met.filter((F.col("component_a") != F.col("component_b")) & fits("{}_a", "{}_b"))
         low = F.col("a") < F.col("b")
         pairs = met.select(F.when(low, F.col("a")).otherwise(F.col("b")).alias("a"), F.when(low, F.col("b")).otherwise(F.col("a")).alias("b"), F.when(low, F.col("n_a")).otherwise(F.col("n_b")).alias("n_a"), F.when(low, F.col("n_b")).otherwise(F.col("n_a")).alias("n_b")).distinct()

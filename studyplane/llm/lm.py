@@ -50,15 +50,15 @@ def _counts(b: bytes, n: int) -> np.ndarray:
     return np.frombuffer(b, f"<u{len(b) // n}").astype(np.int64) if n else np.zeros(0, np.int64)
 
 
-def _low(keys: np.ndarray) -> bytes:
-    """The lower 48 bits of each key; the bucket has the upper ones."""
-    return keys.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6].tobytes()
+def _packed(keys: np.ndarray) -> bytes:
+    """Sorted keys as the steps between them, byte by byte: the upper bytes are nearly all 0 and vanish when compressed."""
+    steps = keys.copy()
+    steps[1:] -= keys[:-1]
+    return steps.astype("<u8").view(np.uint8).reshape(-1, 8).T.tobytes()
 
 
-def _wide(b: bytes) -> np.ndarray:
-    out = np.zeros((len(b) // 6, 8), np.uint8)
-    out[:, :6] = np.frombuffer(b, np.uint8).reshape(-1, 6)
-    return out.view("<u8").ravel()
+def _unpacked(b: bytes) -> np.ndarray:
+    return np.cumsum(np.ascontiguousarray(np.frombuffer(b, np.uint8).reshape(8, -1).T).view("<u8").ravel(), dtype=np.uint64)
 
 
 def tokenized(docs: DataFrame, part: Column, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -155,14 +155,16 @@ class Chunk:
         return np.bincount(self.token[mine], minlength=len(self.unigrams)), np.bincount(self.bigram[mine], minlength=len(self.bigrams))
 
 
-def _split(keys: np.ndarray, bits: int) -> np.ndarray:
-    """Where each bucket begins among sorted keys."""
-    return np.searchsorted(keys, np.arange(1 << bits, dtype=np.uint64) << np.uint64(64 - bits)).tolist() + [len(keys)]
+def _cut(keys: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """The buckets that sorted keys fall into, and where each begins (one more than buckets)."""
+    bucket = (keys >> np.uint64(64 - bits)).astype(np.int64)
+    at = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]])) if len(bucket) else np.zeros(0, np.int64)
+    return bucket[at], np.append(at, len(keys))
 
 
 def counts(chunks: DataFrame, bits: int) -> DataFrame:
-    """For each chunk and bucket the corpus counts of its unigrams (u) and bigrams (b) there, in the chunk's order; for chunks of DELETED
-    documents those of MAIN text as well (u1, b1).
+    """For each chunk and bucket in which it has n-grams the corpus counts of its unigrams (u) and bigrams (b) there, in the chunk's order;
+    for chunks of DELETED documents those of MAIN text as well (u1, b1). Rows are never more than the chunks' distinct n-grams.
 
     distinct_main and distinct: on one row of each bucket, how many unigrams MAIN text and all training text have there."""
 
@@ -170,21 +172,22 @@ def counts(chunks: DataFrame, bits: int) -> DataFrame:
         for b in batches:
             for r in b.to_pylist():
                 c = Chunk(r["parts"], r["sizes"], r["tokens"], r["vocabulary"])
-                u1, b1 = c.counted(MAIN)
-                u2, b2 = c.counted(DELETED)
-                us, bs = _split(c.unigrams, bits), _split(c.bigrams, bits)
-                cut = lambda x, at, f: [f(x[i:j]) for i, j in zip(at, at[1:], strict=False)]
+                cells: dict[int, list[bytes]] = {}
+                for k, (keys, counted) in enumerate(((c.unigrams, 0), (c.bigrams, 1))):
+                    first, second = c.counted(MAIN)[counted], c.counted(DELETED)[counted]
+                    buckets, at = _cut(keys, bits)
+                    for n, i, j in zip(buckets.tolist(), at[:-1].tolist(), at[1:].tolist(), strict=True):
+                        cells.setdefault(n, [b""] * 6)[3 * k : 3 * k + 3] = _packed(keys[i:j]), _small(first[i:j]), _small(second[i:j])
+                order = sorted(cells)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.arange(1 << bits), pa.int32()), pa.array(np.full(1 << bits, r["chunk"]), pa.int64())]
-                    + [pa.array(x, pa.binary()) for x in (cut(c.unigrams, us, _low), cut(u1, us, _small), cut(u2, us, _small), cut(c.bigrams, bs, _low), cut(b1, bs, _small), cut(b2, bs, _small))],
-                    ["bucket", "chunk", "u", "u1", "u2", "b", "b1", "b2"],
+                    [pa.array(order, pa.int64()), pa.array(np.full(len(order), r["chunk"]), pa.int64())] + [pa.array([cells[n][k] for n in order], pa.binary()) for k in range(6)], ["bucket", "chunk", "u", "u1", "u2", "b", "b1", "b2"]
                 )
 
     def answer(t: pa.Table) -> pa.Table:
         out = {"bucket": t["bucket"], "chunk": t["chunk"]}
         firsts, deleted = np.zeros((2, t.num_rows), np.int64), (t["chunk"].to_numpy() % 2).tolist()
         for kind in "ub":
-            asked = [_wide(x) for x in t[kind].to_pylist()]
+            asked = [_unpacked(x) for x in t[kind].to_pylist()]
             size = [len(x) for x in asked]
             at = np.cumsum([0, *size])
             distinct, place = np.unique(np.concatenate(asked), return_inverse=True)
@@ -200,8 +203,8 @@ def counts(chunks: DataFrame, bits: int) -> DataFrame:
                 firsts[:, 0] = (total[0] > 0).sum(), (total[0] + total[1] > 0).sum()
         return pa.table(out | {"distinct_main": pa.array(firsts[0]), "distinct": pa.array(firsts[1])}).select(["bucket", "chunk", "u", "b", "u1", "b1", "distinct_main", "distinct"])
 
-    asked = chunks.select("chunk", "parts", "sizes", "tokens", "vocabulary").mapInArrow(over_batches(ask), "bucket int, chunk long, u binary, u1 binary, u2 binary, b binary, b1 binary, b2 binary")
-    return asked.groupBy("bucket").applyInArrow(over_group(answer), "bucket int, chunk long, u binary, b binary, u1 binary, b1 binary, distinct_main long, distinct long")
+    asked = chunks.select("chunk", "parts", "sizes", "tokens", "vocabulary").mapInArrow(over_batches(ask), "bucket long, chunk long, u binary, u1 binary, u2 binary, b binary, b1 binary, b2 binary")
+    return asked.groupBy("bucket").applyInArrow(over_group(answer), "bucket long, chunk long, u binary, b binary, u1 binary, b1 binary, distinct_main long, distinct long")
 
 
 @dataclass(frozen=True)
@@ -252,11 +255,12 @@ def learned(cells: np.ndarray, n: np.ndarray, distinct: int) -> np.ndarray:
 def _answered(t: pa.Table, answers: pa.Table, bits: int, unigrams: str, bigrams: str) -> tuple[Chunk, np.ndarray, np.ndarray]:
     """A chunk with the named corpus counts of its unigrams and bigrams."""
     c = Chunk(*(t[n][0].as_py() for n in ("parts", "sizes", "tokens", "vocabulary")))
-    order = np.argsort(answers["bucket"].to_numpy())
+    row_of = {n: i for i, n in enumerate(answers["bucket"].to_pylist())}
     got = []
     for name, keys in ((unigrams, c.unigrams), (bigrams, c.bigrams)):
-        size, blobs = np.diff(_split(keys, bits)), answers[name].to_pylist()
-        got.append(np.concatenate([_counts(blobs[i], int(size[k])) for k, i in enumerate(order)]))
+        blobs = answers[name].to_pylist()
+        buckets, at = _cut(keys, bits)
+        got.append(np.concatenate([_counts(blobs[row_of[k]], n) for k, n in zip(buckets.tolist(), np.diff(at).tolist(), strict=True)]))
     return c, *got
 
 

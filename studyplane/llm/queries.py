@@ -73,7 +73,8 @@ def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return html_main.extracted(table(spark, sf_dir, "pages"))
+    pages = table(spark, sf_dir, "pages")
+    return html_main.extracted(pages, html_main.fit(pages))
 
 
 def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -171,13 +171,16 @@ def brute_hits(rows, items):
     return sorted(out, key=repr)
 
 
-@pytest.mark.parametrize("block_bytes", [1 << 22, 200])
-def test_decontamination(spark, rows, monkeypatch, block_bytes):
+@pytest.mark.parametrize("block_bytes,pass_bytes", [(1 << 22, 1 << 28), (200, 1 << 28), (200, 600)])
+def test_decontamination(spark, rows, monkeypatch, block_bytes, pass_bytes):
     monkeypatch.setattr(decontaminate, "BLOCK_BYTES", block_bytes)
+    monkeypatch.setattr(decontaminate, "PASS_BYTES", pass_bytes)
     items = [(1, rows[3][1]), (2, rows[10][1]), (3, "one two"), (4, None), (5, ""), (6, "!?"), (7, "Über"), (None, rows[17][1]), (2, "ñandú 東京")]
     bench = spark.createDataFrame(items, "item_id long, text string")
     got = decontaminate.decontaminated(documents(spark, rows), bench)
     assert keyed(got, "doc_id", "n_words", "n_hit", "items") == brute_hits(rows, items)
+    passes = got._jdf.queryExecution().executedPlan().toString().count("MapInArrow")
+    assert passes == 1 if pass_bytes > 600 else passes > 1
     text = dict(rows)
     for r in got.filter("doc_id = 1003").collect():
         assert r["spans"] == [0, 7] and text[1003].encode()[0:7] == b"one two"
@@ -286,48 +289,130 @@ def test_language_model_is_a_distribution():
 
 
 def brute_top(rows, k):
-    fine = {}
+    """Every row by itself: rows that share an id are candidates of each other's queries, and only a row's own vector is left out."""
+    fine = []
     for i, e in rows:
-        if i is not None and e and all(x is not None and np.isfinite(x) for x in e):
-            v = [int(np.floor(64 * float(np.float32(x)))) for x in e]
-            fine[i] = min(fine.get(i, v), v)
+        if e is not None and all(x is not None and np.isfinite(x) for x in e):
+            fine.append((i, [int(np.floor(64 * float(np.float32(x)))) for x in e]))
     out = []
-    for q in fine:
-        if q % 5 == 0:
-            s = sorted((-sum(a * b for a, b in zip(fine[q], v, strict=True)), i) for i, v in fine.items() if i != q and len(v) == len(fine[q]))
-            out += [(q, n + 1, i, -x) for n, (x, i) in enumerate(s[:k])]
+    for n, (q, v) in enumerate(fine):
+        if q is not None and q % 5 == 0:
+            s = sorted((-sum(a * b for a, b in zip(v, w, strict=True)), i is None, i or 0) for m, (i, w) in enumerate(fine) if m != n and len(v) == len(w))
+            out += [(q, r + 1, None if none else i, -x) for r, (x, none, i) in enumerate(s[:k])]
     return sorted(out, key=repr)
 
 
-@pytest.mark.parametrize("block", [8192, 16])
-def test_top_k(spark, monkeypatch, block):
+@pytest.mark.parametrize("small,block", [(2048, 1 << 21), (16, 1 << 21), (16, 256)])
+def test_top_k(spark, monkeypatch, small, block):
+    monkeypatch.setattr(topk, "SMALL", small)
     monkeypatch.setattr(topk, "BLOCK", block)
+    monkeypatch.setattr(topk, "QUERY_BLOCK", block)
     monkeypatch.setattr(topk, "FEW", 6)
     r = random.Random(3)
     vector = lambda: [r.gauss(0, 0.3) for _ in range(8)]
     same = vector()
     rows = [(i, same if i % 3 == 0 else vector()) for i in range(150)]
-    rows += [(200, None), (205, []), (206, [None] * 8), (207, [float("nan")] * 8), (208, [float("inf")] + [0.0] * 7), (None, vector()), (10, same), (210, [0.0] * 8), (215, [1e12] * 8)]
+    rows += [(200, None), (205, []), (220, []), (206, [None] * 8), (207, [float("nan")] * 8), (208, [float("inf")] + [0.0] * 7), (None, vector()), (None, same), (10, same), (10, vector()), (210, [0.0] * 8), (215, [1e6] * 8)]
+    rows += [(20, [1.0] + [0.0] * 7), (1, [1.0] + [0.0] * 7), (1, [40.0] + [0.0] * 7), (7, [1.0, 2.0])]
     df = spark.createDataFrame([(i, e, "x") for i, e in rows], "vec_id long, embedding array<float>, score string")
     got = topk.top_k(df, F.col("vec_id") % 5 == 0, 7)
     assert keyed(got, "query_id", "rank", "vec_id", "score") == brute_top(rows, 7)
 
 
+def test_top_k_beyond_a_long(spark):
+    """Scores that no long holds count as the largest or smallest long, and so tie."""
+    rows = [(5, [1e12, 0.0]), (1, [2e12, 0.0]), (2, [3e12, 0.0]), (3, [1e30, 0.0]), (4, [-1e12, 0.0])]
+    got = topk.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("vec_id") == 5, 4)
+    most = 2**63 - 1
+    assert keyed(got.orderBy("rank"), "rank", "vec_id", "score") == [(1, 1, most), (2, 2, most), (3, 3, most), (4, 4, -most - 1)]
+
+
+def test_top_k_stops_on_proof():
+    """Where few components are large, the last segments aren't read, and the result is the same."""
+    r = np.random.default_rng(1)
+    v = np.where(r.random((3000, 16)) < 0.2, r.integers(-4000, 4000, (3000, 16)), r.integers(-2, 3, (3000, 16)))
+    block = topk.ImpactBlock(np.arange(3000), np.arange(3000), v)
+    place, found, score = block.search(np.arange(40), v[:40], 10)
+    assert block.skipped > block.read / 10
+    full = v[:40] @ v.T
+    for i in range(40):
+        want = sorted((-full[i, c], c) for c in range(3000) if c != i)[:10]
+        assert sorted(zip((-score[place == i]).tolist(), found[place == i].tolist(), strict=True)) == want
+
+
 PAGE = """<!doctype html><html><head><title>T</title><style>p{}</style></head><body class=ad-page><nav><ul><li><a href=1>Home</a><li><a href=2>News</a></ul></nav>
 <!-- <p>no</p> --><div class="ad">Buy this thing now, it is good.</div><article><h1>The &amp; title</h1><p>First   paragraph<br>of <b>some</b> words.<p>Second &lt;one&gt;.
 <script>var x = "<p>";</script><form><p>Your name</p></form></article><div class="comments"><p>I do not agree with any of this at all.</p></div><aside><p>Related things to read.</p></aside><footer>&copy; 2024</footer></body></html>"""
 
 
-def test_main_text(spark):
+@pytest.mark.parametrize("learned", [False, True])
+def test_main_text(spark, learned):
     want = "The & title\n\nFirst paragraph of some words.\n\nSecond <one>."
     rows = [(1, "u", PAGE), (1, "u", PAGE), (2, None, None), (3, "u", ""), (None, "u", "<p>Cut off in <b>the mid"), (5, "u", "<article><p>" + "Very long text. " * 20000), (6, "u", "<nav><a>x</a></nav>")]
-    got = html_main.extracted(spark.createDataFrame([(*r, 1) for r in rows], "page_id long, url string, html string, n_chars int")).collect()
+    pages = spark.createDataFrame([(*r, 1) for r in rows], "page_id long, url string, html string, n_chars int")
+    got = html_main.extracted(pages, html_main.fit(pages) if learned else None).collect()
     text = [(r["page_id"], r["text"], r["n_chars"]) for r in got]
     assert text.count((1, want, len(want))) == 2
     assert (2, "", 0) in text and (3, "", 0) in text and (6, "", 0) in text and (None, "Cut off in the mid", 18) in text
     assert len(got) == len(rows)
 
 
+@pytest.mark.parametrize(
+    "page",
+    [
+        "<html><head><title>T</title><meta charset=x><body><article>{}</article>",
+        "<div class='content no-sidebar'>{}</div>",
+        "<article class='post comments-open'>{}</article>",
+        "<main class='text-share'>{}</main>",
+        "<form action=x><div>{}</div><button>Send</button></form>",
+        "<form><nav>Home</nav><article>{}</article></form>",
+        "<svg width=1 /><article>{}</article>",
+        "<noscript><article>{}</article>",
+        "<body><header>Site name</header><ul class=main-nav><li>Home</ul><article>{}</article><section id=comments><article><p>I do not agree.</article></section>",
+        "<table><tr><td>{}<td class=sidebar>See also this</table>",
+        "<article>{}<aside><article><p>Another story of the site.</article></aside></article>",
+        "<div class='cookie-notice'><p>We use cookies here, as all do, and we tell you.</p></div><main>{}</main>",
+    ],
+)
+def test_main_text_of_awkward_markup(page):
+    article = "<p>This is the first paragraph of the article, with enough words.<p>Short.</p>"
+    assert html_main.main_text(page.format(article)) == "This is the first paragraph of the article, with enough words.\n\nShort."
+
+
+def test_main_text_keeps_a_title_in_the_articles_header():
+    page = "<header><h1>Site</h1></header><article><header><h1>Title</h1></header><p>Text of the article, of some length.</p><footer>By me</footer></article>"
+    assert html_main.main_text(page) == "Title\n\nText of the article, of some length."
+
+
+def test_main_text_of_random_pages():
+    """Pages made of known parts, with end tags left out at random, give the article's blocks and no other."""
+    r = random.Random(11)
+    words = lambda a, b: " ".join("".join(r.choice("abcdefghijk") for _ in range(r.randint(1, 8))) for _ in range(r.randint(a, b)))
+    end = lambda tag: f"</{tag}>" if r.random() < 0.7 else ""
+    for _ in range(150):
+        paragraphs = [words(1, 60) + r.choice([".", "!", "", "?"]) for _ in range(r.randint(1, 8))]
+        listed = [words(1, 6) for _ in range(r.randint(0, 4))]
+        title = words(1, 8)
+        article = f"<h1>{title}</h1>" + "".join(f"<p>{p}{end('p')}" for p in paragraphs) + ("<ul>" + "".join(f"<li><a href=x>{x}</a>{end('li')}" for x in listed) + "</ul>" if listed else "")
+        article = r.choice(["<article>{}</article>", "<main>{}</main>", "<div role=main>{}</div>"]).format(article)
+        junk = lambda: "".join(
+            r.choice(["<nav><ul>{}</ul></nav>", "<div class=ad>{}</div>", "<aside>{}</aside>", "<div class='sidebar-left box'>{}</div>", "<form><label>{}</label><input></form>", "<div id=comments>{}</div>", "<script>{}</script>", "<!-- {} -->", "<style>{}</style>", "<div role=navigation>{}</div>"]).format(
+                f"<p>{words(1, 30)}."
+            )
+            for _ in range(r.randint(0, 3))
+        )
+        page = f"<!doctype html><title>{words(1, 4)}</title>" + junk() + article + junk() + f"<footer>&copy; {words(1, 9)}</footer>"
+        assert html_main.main_text(page) == "\n\n".join([title, *paragraphs, *listed])
+
+
+def test_the_cut_changes_labels():
+    """Blocks that their own shape speaks against are content among content, and the other way round."""
+    long = "<p>" + "This is a sentence of the article, which is long enough. " * 4 + "</p>"
+    found = html_main.blocks(f"<div>{long}<div>Ha</div>{long}</div>" + "<ul>" + "<li><a href=x>Home page</a></li>" * 4 + "</ul>")
+    terminal, edges = html_main.graph(found)
+    assert terminal[1] < 0 and html_main.labelled(found) == [True] * 3 + [False] * 4
+
+
 def test_minimum_cut_is_minimal():
     from itertools import product
 
