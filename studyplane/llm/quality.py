@@ -25,10 +25,13 @@ _CLASSES = 7 + len(_MARKS)
 FEATURES = _CLASSES + 6
 
 #: Newton rounds at most, the gradient's size at which they end, and the weight decay.
-ROUNDS, CLOSE, DECAY = 15, 1e-4, 5e-3
+ROUNDS, CLOSE, DECAY = 40, 1e-7, 5e-3
 
-#: Over this the non-negative part of the risk is rounded off at 0.
-EDGE = 0.03
+#: Rounds of halving for the multiplier of the risk's non-negative part, and how near to 0 that part must come.
+HALVINGS, NEAR = 30, 1e-3
+
+#: Bins of a score's histogram, and the chance that the class prior's bound is wrong.
+BINS, CHANCE = 1024, 0.05
 
 _BYTE_CLASS = np.zeros((256, _CLASSES))
 _BYTE_CLASS[np.arange(256), _CLASS] = 1
@@ -112,34 +115,43 @@ def _summed(rows: DataFrame, width: int, of_batch) -> np.ndarray:
     return out
 
 
-def fit(features: DataFrame, prior: float) -> QualityModel:
-    """The weights of least non-negative unbiased risk over a table of x and positive (boolean); every row is unlabelled text as well.
-
-    The risk is prior * E_positive[l(g)] + max(0, E_unlabelled[l(-g)] - prior * E_positive[l(-g)]) with the logistic loss l. It is the
-    larger of two convex functions and so convex; max(0, r) is rounded off as EDGE * log(1 + exp(r / EDGE)), and Newton's method finds
-    the least. Every round is one pass over all rows, of which tasks return sums. Without positives all scores are the prior."""
-    rows = features.select("x", "positive")
-    size = FEATURES
-
-    def moments(b: pa.RecordBatch) -> np.ndarray:
-        x = _matrix(b.column(0))
-        return np.concatenate([x.sum(0), (x * x).sum(0), [len(x), b.column(1).to_numpy(zero_copy_only=False).sum()]])
-
-    m = _summed(rows, 2 * size + 2, moments)
-    n, n_pos = m[-2], m[-1]
-    mean = m[:size] / max(n, 1)
-    scale = np.sqrt(np.maximum(m[size : 2 * size] / max(n, 1) - mean**2, 0))
-    scale[scale < 1e-4] = 1
-    weights = np.zeros(size + 1)
-    weights[-1] = np.log(prior / (1 - prior))
-    model = QualityModel(mean, scale, weights, prior)
-    if not n_pos:
-        return model
-    k = size + 1
-    decay = np.full(k, DECAY)
-    decay[-1] = 0
-
-    def at(w: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
+@dataclass(frozen=True)
+class Sums:
+    """What one pass over all rows gives at some weights: the two parts of the risk, their gradients and curvatures.
+
+    positive: prior * E_positive[l(g)]. negative: E_unlabelled[l(-g)] - prior * E_positive[l(-g)]."""
+
+    positive: float
+    d_positive: np.ndarray
+    h_positive: np.ndarray
+    negative: float
+    d_negative: np.ndarray
+    h_negative: np.ndarray
+
+
+class Table:
+    """A written table of x and positive (boolean); every row is unlabelled text as well. Tasks return sums only."""
+
+    def __init__(self, features: DataFrame):
+        self.rows = features.select("x", "positive")
+
+        def moments(b: pa.RecordBatch) -> np.ndarray:
+            x = _matrix(b.column(0))
+            return np.concatenate([x.sum(0), (x * x).sum(0), [len(x), b.column(1).to_numpy(zero_copy_only=False).sum()]])
+
+        m = _summed(self.rows, 2 * FEATURES + 2, moments)
+        self.n, self.n_pos = m[-2], m[-1]
+        self.mean = m[:FEATURES] / max(self.n, 1)
+        scale = np.sqrt(np.maximum(m[FEATURES : 2 * FEATURES] / max(self.n, 1) - self.mean**2, 0))
+        scale[scale < 1e-4] = 1
+        self.scale = scale
+
+    def model(self, weights: np.ndarray, prior: float) -> QualityModel:
+        return QualityModel(self.mean, self.scale, weights, prior)
+
+    def at(self, w: np.ndarray, prior: float) -> Sums:
+        model, k = self.model(w, prior), FEATURES + 1
+
         def sums(b: pa.RecordBatch) -> np.ndarray:
             z, pos = model.inputs(_matrix(b.column(0))), b.column(1).to_numpy(zero_copy_only=False).astype(bool)
             g = z @ w
@@ -147,48 +159,108 @@ def fit(features: DataFrame, prior: float) -> QualityModel:
             up, curve = np.logaddexp(0, g), z * (p * (1 - p))[:, None]
             return np.concatenate([[up.sum(), up[pos].sum(), g[pos].sum()], z.T @ p, z[pos].T @ p[pos], z[pos].sum(0), (curve.T @ z).ravel(), (curve[pos].T @ z[pos]).ravel()])
 
-        s = _summed(rows, 3 + 3 * k + 2 * k * k, sums)
-        up, up_pos, g_pos = s[0] / n, prior * s[1] / n_pos, prior * s[2] / n_pos
-        d_up, d_up_pos, d_g_pos = s[3 : 3 + k] / n, prior * s[3 + k : 3 + 2 * k] / n_pos, prior * s[3 + 2 * k : 3 + 3 * k] / n_pos
-        h_up, h_up_pos = s[3 + 3 * k : 3 + 3 * k + k * k].reshape(k, k) / n, prior * s[3 + 3 * k + k * k :].reshape(k, k) / n_pos
-        # of the positives: l(g) = log(1 + exp(g)) - g; of the negatives: unlabelled less positives
-        negative, d_negative, h_negative = up - up_pos, d_up - d_up_pos, h_up - h_up_pos
-        share = 1 / (1 + np.exp(-np.clip(negative / EDGE, -500, 500)))
-        risk = up_pos - g_pos + EDGE * np.logaddexp(0, negative / EDGE) + (decay * w * w).sum() / 2
-        gradient = d_up_pos - d_g_pos + share * d_negative + decay * w
-        curvature = h_up_pos + share * h_negative + share * (1 - share) / EDGE * np.outer(d_negative, d_negative)
-        return risk, gradient, curvature + np.diag(decay + 1e-6)
-
-    best = at(weights)
-    step = 1.0
+        s = _summed(self.rows, 3 + 3 * k + 2 * k * k, sums)
+        share, each = prior / self.n_pos, 1 / self.n
+        d_up, d_up_pos, d_g_pos = s[3 : 3 + k] * each, s[3 + k : 3 + 2 * k] * share, s[3 + 2 * k : 3 + 3 * k] * share
+        h_up, h_up_pos = s[3 + 3 * k : 3 + 3 * k + k * k].reshape(k, k) * each, s[3 + 3 * k + k * k :].reshape(k, k) * share
+        # l(g) = log(1 + exp(g)) - g of the positives, l(-g) = log(1 + exp(g)) of what counts as negative
+        return Sums((s[1] - s[2]) * share, d_up_pos - d_g_pos, h_up_pos, s[0] * each - s[1] * share, d_up - d_up_pos, h_up - h_up_pos)
+
+    def histogram(self, model: QualityModel) -> tuple[np.ndarray, np.ndarray]:
+        """How many rows, and how many positives, have a score in each of BINS bins."""
+
+        def counts(b: pa.RecordBatch) -> np.ndarray:
+            at = np.minimum((model.scores(_matrix(b.column(0))) * BINS).astype(int), BINS - 1)
+            pos = b.column(1).to_numpy(zero_copy_only=False).astype(bool)
+            return np.concatenate([np.bincount(at, minlength=BINS), np.bincount(at[pos], minlength=BINS)]).astype(float)
+
+        both = _summed(self.rows, 2 * BINS, counts)
+        return both[:BINS], both[BINS:]
+
+
+def _least(table: Table, prior: float, share: float, weights: np.ndarray) -> tuple[np.ndarray, Sums]:
+    """Weights of least positive + share * negative with weight decay, by Newton's method from `weights`; for share in 0 to 1 that is
+    convex: it is a mean of prior * E_positive[l(g)] and of E_unlabelled[l(-g)] - prior * E_positive[g]."""
+    decay = np.full(FEATURES + 1, DECAY)
+    decay[-1] = DECAY / 100
+
+    def value(w: np.ndarray, s: Sums) -> float:
+        return s.positive + share * s.negative + (decay * w * w).sum() / 2
+
+    s, step = table.at(weights, prior), 1.0
     for _ in range(ROUNDS):
-        if np.abs(best[1]).max() < CLOSE or step < 1 / 64:
+        gradient = s.d_positive + share * s.d_negative + decay * weights
+        if np.abs(gradient).max() < CLOSE or step < 1 / 4096:
             break
-        move = np.linalg.solve(best[2], best[1])
-        tried = at(weights - step * move)
-        if tried[0] <= best[0]:
-            weights, best, step = weights - step * move, tried, min(1.0, 2 * step)
+        move = np.linalg.solve(s.h_positive + share * s.h_negative + np.diag(decay + 1e-6), gradient)
+        tried = weights - step * move
+        there = table.at(tried, prior)
+        if value(tried, there) <= value(weights, s):
+            weights, s, step = tried, there, min(1.0, 2 * step)
         else:
             step /= 4
-    return QualityModel(mean, scale, weights, prior)
-
-
-def prior_of(labels: DataFrame, quality_col: str = "quality") -> float:
-    """The share of 1 among the labels, with one more of either kind."""
-    r = labels.filter(F.col(quality_col).isNotNull()).agg(F.count("*").alias("n"), F.coalesce(F.sum((F.col(quality_col) == 1).cast("long")), F.lit(0)).alias("k")).first()
-    return (r["k"] + 1) / (r["n"] + 2)
+    return weights, s
+
+
+def prior_from(rows: np.ndarray, positives: np.ndarray) -> float:
+    """The class prior from histograms of one score over unlabelled text and over trusted positives: no negatives are read.
+
+    Of texts that score over some threshold no more than all can be positive, so the share of unlabelled text over it, divided by that of
+    the positives, bounds the prior; the least such bound is taken where both shares are known well (best bin, with a deviation that a
+    chance of CHANCE exceeds)."""
+    n, n_pos = rows.sum(), positives.sum()
+    if not n or not n_pos:
+        return 0.5
+    above = lambda x: np.cumsum(x[::-1])[::-1]
+    q, p = above(rows) / n, above(positives) / n_pos
+    sure = np.sqrt(np.log(4 / CHANCE) / (2 * n)) + np.sqrt(np.log(4 / CHANCE) / (2 * n_pos))
+    fine = p > 0
+    best = np.argmin((q[fine] + sure) / p[fine])
+    return float(np.clip(q[fine][best] / p[fine][best], 0.01, 0.99))
+
+
+def fit(table: Table, prior: float | None = None) -> QualityModel:
+    """The weights of least non-negative unbiased risk, prior * E_positive[l(g)] + max(0, E_unlabelled[l(-g)] - prior * E_positive[l(-g)])
+    with the logistic loss l, and weight decay.
+
+    prior: the class prior; else it is estimated by `prior_from` from the scores of a first classifier of positives against unlabelled
+    text. The risk is the larger of two convex functions, positive and positive + negative; its least value is that of a mean of the
+    two: the second alone if its negative part isn't below 0 there, else the mean at which the negative part is 0, which is found by
+    halving. Every round is one pass over all rows, of which tasks return sums. Without positives all scores are the prior, 0.5 if unknown."""
+    none = np.zeros(FEATURES + 1)
+    if not table.n_pos:
+        known = 0.5 if prior is None else prior
+        none[-1] = np.log(known / (1 - known))
+        return table.model(none, known)
+    weights = none
+    if prior is None:
+        weights, _ = _least(table, 0.5, 1.0, none)
+        prior = prior_from(*table.histogram(table.model(weights, 0.5)))
+    weights, s = _least(table, prior, 1.0, weights)
+    if s.negative < 0:
+        low, high, begin = 0.0, 1.0, none
+        for _ in range(HALVINGS):
+            middle = (low + high) / 2
+            weights, s = _least(table, prior, middle, begin)
+            if abs(s.negative) < NEAR:
+                break
+            if s.negative > 0:
+                low, begin = middle, weights
+            else:
+                high = middle
+    return table.model(weights, prior)
 
 
 def fitted(docs: DataFrame, labels: DataFrame, train: Column, id_col: str = "doc_id", text_col: str = "text", quality_col: str = "quality") -> tuple[QualityModel, DataFrame]:
     """The model of the rows where train (an expression over doc_id) holds, and the written features (doc_id, x) of all rows.
 
-    Those rows are the unlabelled text; those of them labelled 1 are the trusted positives, and labels of such rows give the class
-    prior. No other label is read. A row labelled twice is positive if one label is 1; null ids are unlabelled."""
+    Those rows are the unlabelled text; those of them labelled 1 are the trusted positives. Labels of 0 are not read, nor any other label;
+    the class prior is estimated. A row labelled twice is positive if one label is 1; null ids are unlabelled."""
     known = labels.select(F.col(id_col).alias("doc_id"), F.col(quality_col).alias("quality")).filter(train)
     positives = known.filter(F.col("quality") == 1).select("doc_id").distinct()
     features = written(featured(docs, id_col, text_col), "features")
     marked = written(features.filter(train).join(positives.withColumn("positive", F.lit(True)), "doc_id", "left").select("x", F.coalesce("positive", F.lit(False)).alias("positive")), "marked")
-    return fit(marked, prior_of(known, "quality")), features
+    return fit(Table(marked)), features
 
 
 def predicted(score: Column, threshold: float = 0.3) -> Column:

@@ -7,6 +7,7 @@ from collections import Counter, defaultdict
 from math import log10
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -408,7 +409,7 @@ def test_main_text_of_random_pages():
 def test_the_cut_changes_labels():
     """Blocks that their own shape speaks against are content among content, and the other way round."""
     long = "<p>" + "This is a sentence of the article, which is long enough. " * 4 + "</p>"
-    found = html_main.blocks(f"<div>{long}<div>Ha</div>{long}</div>" + "<ul>" + "<li><a href=x>Home page</a></li>" * 4 + "</ul>")
+    found = html_main.blocks(f"<div>{long}<div>Yes <a href=x>so</a></div>{long}</div>" + "<ul>" + "<li><a href=x>Home page</a></li>" * 4 + "</ul>")
     terminal, edges = html_main.graph(found)
     assert terminal[1] < 0 and html_main.labelled(found) == [True] * 3 + [False] * 4
 
@@ -458,6 +459,41 @@ def test_quality(spark):
     assert none[0] == pytest.approx(none[1]) == 0.5
 
 
+@pytest.mark.parametrize("prior", [0.3, 0.9])
+def test_quality_has_the_least_non_negative_risk(monkeypatch, prior):
+    """No small change of the weights lowers the risk with its true max(0, .), whether the negative part is over 0 or at it."""
+    r = np.random.default_rng(2)
+    positive = np.arange(400) < 150
+    x = r.normal(0, 1, (400, quality.FEATURES)).astype(np.float32)
+    x[positive, :3] += 1.5
+    x[np.arange(400) >= 220, :3] -= 1.0
+    batch = pa.RecordBatch.from_arrays([pa.array([v.tobytes() for v in x], pa.binary()), pa.array(positive)], ["x", "positive"])
+    monkeypatch.setattr(quality, "_summed", lambda rows, width, of_batch: of_batch(batch))  # without Spark: some hundred passes
+    rows = type("Rows", (), {"select": lambda self, *names: self})()
+    model = quality.fit(quality.Table(rows), prior)
+    z = model.inputs(x.astype(float))
+    decay = np.full(quality.FEATURES + 1, quality.DECAY)
+    decay[-1] /= 100
+
+    def risk(w):
+        g = z @ w
+        negative = np.logaddexp(0, g).mean() - prior * np.logaddexp(0, g[positive]).mean()
+        return prior * np.logaddexp(0, -g[positive]).mean() + max(0.0, negative) + (decay * w * w).sum() / 2, negative
+
+    least, negative = risk(model.weights)
+    assert (abs(negative) < 2 * quality.NEAR) if prior > 0.5 else negative > quality.NEAR
+    for _ in range(300):
+        assert risk(model.weights + r.normal(0, r.choice([0.01, 0.1, 1.0]), len(decay)))[0] > least - 2 * quality.NEAR
+
+
+def test_prior_without_negatives():
+    r = np.random.default_rng(3)
+    for prior in (0.2, 0.5, 0.85):
+        score = lambda n, up: np.bincount(np.clip((r.beta(8 if up else 2, 2 if up else 8, n) * quality.BINS).astype(int), 0, quality.BINS - 1), minlength=quality.BINS)
+        rows = score(int(40000 * prior), True) + score(int(40000 * (1 - prior)), False)
+        assert abs(quality.prior_from(rows, score(8000, True)) - prior) < 0.05
+
+
 def test_no_rows(spark):
     none = documents(spark, [])
     bench = spark.createDataFrame([(1, "a b")], "item_id long, text string")
