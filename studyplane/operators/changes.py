@@ -7,6 +7,48 @@ from pyspark.sql import functions as F
 
 #: How much a fact's source counts (fixed values), and how near a runner-up must be to make a conflict.
 AUTHORITY_MARGIN = 15
+AUTHORITY = {
+    "REGISTRAR_OFFICIAL": 100,
+    "COURSELINK_TOOL_EXACT": 90,
+    "USER_MANUAL": 85,
+    "INSTRUCTOR_ANNOUNCEMENT": 75,
+    "STAFF_DISCUSSION": 70,
+    "COURSE_OUTLINE": 60,
+    "COURSELINK_CONTENT": 50,
+    "DERIVED_RULE": 40,
+    "STUDENT_DISCUSSION": 20,
+    "EXTERNAL_UNVERIFIED": 10,
+}
+
+#: Source, what it counts for a due date, and for a weight (fixed values).
+SOURCES = """
+manual 100 100
+courselink_dropbox 90 50
+courselink_quiz 90 50
+courselink_calendar 80 40
+courselink_news 75 40
+courselink_grade 50 80
+course_outline 60 85
+courselink_content 55 45
+courselink_course 40 20
+uofg_academic_date 45 10
+uofg_catalogue 30 10
+ics 55 55
+user_task 90 90
+rule_engine 50 50
+external_activity 40 40
+courselink_discussion 45 45
+courselink_checklist 50 50
+courselink_feedback 70 70
+library_resource 45 45
+"""
+
+
+def rank_of(source: Column, field: str) -> Column:
+    """What a source (or authority class) counts for `due`, `weight` or as `authority`; 0 if unknown."""
+    at = {"due": 1, "weight": 2}
+    known = AUTHORITY if field == "authority" else {w[0]: int(w[at[field]]) for w in map(str.split, SOURCES.strip().splitlines())}
+    return F.coalesce(F.try_element_at(F.create_map(*(F.lit(x) for kv in known.items() for x in kv)), source), F.lit(0))
 
 
 def change_feed(before: DataFrame, after: DataFrame) -> DataFrame:
@@ -32,28 +74,19 @@ def change_feed(before: DataFrame, after: DataFrame) -> DataFrame:
     return both.select(F.coalesce("a.id", "b.id").alias("id"), F.explode(F.array_compact(events)).alias("e")).select("id", "e.*")
 
 
-def supersession(facts: DataFrame) -> DataFrame:
-    """facts (id, entity_id, field, authority, valid_from, arrival) with superseded_by: the first later arrival of the same field that is
-    not older and of no less authority; null if none."""
-    key = ["entity_id", "field"]
-    old, new = facts.alias("o"), facts.select(*key, F.col("id").alias("by"), F.col("authority").alias("rank"), F.col("valid_from").alias("since"), F.col("arrival").alias("after")).alias("n")
-    later = old.join(new, key).filter((F.col("after") > F.col("arrival")) & (F.col("since") >= F.col("valid_from")) & (F.col("rank") >= F.col("authority")))
-    first = later.groupBy("id").agg(F.min_by("by", "after").alias("superseded_by"))
-    return facts.join(first, "id", "left")
-
-
 def superseded_in_order(facts: DataFrame) -> DataFrame:
-    """The same where facts arrive in the order of valid_from, as a window instead of a self join.
+    """facts (id, entity_id, field, authority, valid_from, arrival) with superseded_by: the next arrival of the same field and entity of no
+    less authority, where facts arrive in the order of valid_from; null if none, and for a null authority.
 
-    For each authority the next arrival of at least that authority is a running minimum from the end, so a hot entity's rows are
-    sorted once and not compared with each other. Authorities are the few values of a fixed table."""
-    ranks = sorted(r["authority"] for r in facts.select("authority").distinct().limit(1000).collect())
+    Authorities are the ranks of a fixed table, so the fact's own are kept as steps: for each step the next arrival of at least that
+    authority is looked up by a window, over rows sorted once and not compared with each other. All steps that occur are taken."""
+    ranks = sorted(r["authority"] for r in facts.select("authority").filter("authority IS NOT NULL").distinct().collect())
     after = Window.partitionBy("entity_id", "field").orderBy("arrival").rowsBetween(1, Window.unboundedFollowing)
     found = None
     for r in ranks:
         next_one = F.first(F.when(F.col("authority") >= r, F.col("id")), ignorenulls=True).over(after)
         found = F.when(F.col("authority") == r, next_one) if found is None else found.when(F.col("authority") == r, next_one)
-    return facts.withColumn("superseded_by", found if found is not None else F.lit(None).cast("long"))
+    return facts.withColumn("superseded_by", found if found is not None else F.lit(None).cast(dict(facts.dtypes)["id"]))
 
 
 def field_resolution(facts: DataFrame, margin: int = AUTHORITY_MARGIN) -> DataFrame:

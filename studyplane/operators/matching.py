@@ -5,20 +5,57 @@ from __future__ import annotations
 import re
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import COMPATIBLE, NUMBER_HINTS, SYNONYMS, TITLE_KEY, match_score
+from ..functions.text import COMPATIBLE, NUMBER_HINTS, SYNONYMS, TITLE_KEY, match_features, match_score
+from .graph import components
 
-#: From this score two rows are one item (a fixed value).
-THRESHOLD = 0.72
+#: From this score two rows are one item, and what equal numbers and near dues add to it (fixed values).
+THRESHOLD, NUMBER_AND_DUE = 0.72, 0.4
+
+
+def match_classes(rows: DataFrame) -> DataFrame:
+    """The rows (id, course_id, title, type, due, ord) as classes of those that no match can tell apart: equal course, title key, tokens, number,
+    type and due. Columns: those of a class, with id (its row of least ord), n (its rows) and ids."""
+    featured = rows.withColumns(match_features(F.col("title")))
+    key = ["course_id", "title_key", "tokens", "wide", "hint", "type", "due"]
+    return featured.groupBy(*key).agg(F.min_by("id", "ord").alias("id"), F.min("ord").alias("ord"), F.count("*").alias("n"), F.collect_set("id").alias("ids"))
+
+
+def _shares(classes: DataFrame, column: str, least: float) -> DataFrame:
+    """a and b of classes of one course whose token sets in `column` may have a Jaccard similarity of `least`: they share one of their rare tokens.
+
+    In order of rarity, the first n - ceil(least * n) + 1 of a set's n tokens meet those of every set that is so alike."""
+    tokens = classes.select("course_id", "id", F.size(column).alias("size"), F.explode(column).alias("token"))
+    often = tokens.groupBy("course_id", "token").agg(F.count("*").alias("often"))
+    ranked = tokens.join(often, ["course_id", "token"]).withColumn("place", F.row_number().over(Window.partitionBy("course_id", "id").orderBy("often", "token")))
+    rare = ranked.filter(F.col("place") <= F.col("size") - F.ceil(F.col("size") * F.lit(least - 1e-9)) + 1).select("course_id", "token", "id")
+    return rare.withColumnRenamed("id", "a").join(rare.withColumnRenamed("id", "b"), ["course_id", "token"]).filter("a <> b").select("a", "b")
+
+
+def candidates(classes: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """a and b (ids of classes, in either order, once each) that may match: equal title keys, or as many tokens in common as the threshold
+    leaves when number and due add all they can."""
+    if threshold <= NUMBER_AND_DUE:
+        raise ValueError(f"the threshold must be over {NUMBER_AND_DUE}")
+    key = classes.select("course_id", "title_key", F.col("id").alias("a"))
+    equal = key.join(key.withColumnRenamed("a", "b"), ["course_id", "title_key"]).filter("a <> b").select("a", "b")
+    least = threshold - NUMBER_AND_DUE
+    return equal.union(_shares(classes, "tokens", least)).union(_shares(classes, "wide", least)).distinct()
 
 
 def match_pairs(rows: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """a, b and score of the rows (id, course_id, title, type, due, ord) of one course that match, a before b."""
-    x, y = rows.alias("a"), rows.alias("b")
-    near = x.join(y, (F.col("a.course_id") == F.col("b.course_id")) & (F.col("a.ord") < F.col("b.ord")))
-    return near.select(F.col("a.id").alias("a"), F.col("b.id").alias("b"), F.round(match_score("a", "b"), 6).alias("score")).filter(F.col("score") >= threshold)
+    """a, b (ids of classes, a the earlier one by ord), n_a, n_b (their rows) and score of the classes of one course that match; a class of several
+    rows matches itself. See match_classes for which rows a class has: copies are not written out as pairs.
+
+    Null titles match nothing but each other's class; courses that are null match nothing."""
+    classes = match_classes(rows.filter("course_id IS NOT NULL"))
+    side = lambda n: classes.drop("ids").alias(n)
+    met = candidates(classes, threshold).join(side("x"), F.col("a") == F.col("x.id")).join(side("y"), F.col("b") == F.col("y.id")).filter("x.ord < y.ord")
+    scored = met.select("a", "b", F.col("x.n").alias("n_a"), F.col("y.n").alias("n_b"), F.round(match_score("x", "y"), 6).alias("score")).filter(F.col("score") >= threshold)
+    alone = classes.filter("n > 1").select(F.col("id").alias("a"), F.col("id").alias("b"), F.col("n").alias("n_a"), F.col("n").alias("n_b"), F.lit(0.98).alias("score"))
+    return scored.unionByName(alone)
 
 
 def _steps(steps):
@@ -43,8 +80,8 @@ def _features(title: str) -> tuple[str, frozenset, frozenset, str | None]:
 
 
 def _score(a: dict, b: dict) -> float:
-    ka, ta, ca, na = _features(a["title"])
-    kb, tb, cb, nb = _features(b["title"])
+    ka, ta, ca, na = a["features"]
+    kb, tb, cb, nb = b["features"]
     if ka == kb:
         return 0.98
     if a["type"] != b["type"] and b["type"] not in COMPATIBLE.get(a["type"], ()):
@@ -63,7 +100,7 @@ def _merged(a: dict, b: dict) -> dict:
     """The longer title, the kind that says more, the left value where there is one."""
     out = dict(a)
     if len(b["title"] or "") > len(a["title"] or ""):
-        out["title"] = b["title"]
+        out["title"], out["features"] = b["title"], b["features"]
     if a["type"] == "other":
         out["type"] = b["type"]
     for c in ("due", "weight"):
@@ -77,15 +114,23 @@ def reconcile(rows: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """One row per real item of each course: id of its first row, title, type, due, weight, members.
 
     Row by row in input order, a row takes in each later one that matches it as it then is; so the result depends on the order (ord), and
-    only a fold gives it. A fold takes one course at a time: courses are small, however many there are."""
-
-    def fold(course: pd.DataFrame) -> pd.DataFrame:
-        left = [dict(r, members=1) for r in course.sort_values("ord").to_dict("records")]
+    only a fold gives it. A merged row's title is that of one of its members, so what it can take in is found by candidates first, whatever
+    type and due it then has: a fold takes the rows of one connected block of such candidates, not a course. Rows of null courses stay alone."""
+    classes = match_classes(rows.filter("course_id IS NOT NULL"))
+    near = candidates(classes, threshold)
+    hints = classes.select("id", "hint", "title_key")
+    possible = near.join(hints.select(F.col("id").alias("a"), F.col("hint").alias("h"), F.col("title_key").alias("k")), "a").join(hints.withColumnRenamed("id", "b"), "b")
+    linked = components(possible.filter((F.col("k") == F.col("title_key")) | ~F.coalesce(F.col("h") != F.col("hint"), F.lit(False))).select("a", "b"))
+    member = classes.select(F.col("id").alias("node"), F.explode("ids").alias("id")).join(linked, "node", "left").select("id", F.coalesce("component", "node").alias("_block"))
+    blocked = rows.join(member, "id", "left").withColumn("_block", F.coalesce("_block", "id"))
+
+    def fold(block: pd.DataFrame) -> pd.DataFrame:
+        left = [dict(r, members=1, features=_features(r["title"])) for r in block.sort_values("ord").to_dict("records")]
         out = []
         while left:
             mine, rest = left[0], []
             for other in left[1:]:
-                if _score(mine, other) >= threshold:
+                if mine["course_id"] == other["course_id"] and _score(mine, other) >= threshold:
                     mine = _merged(mine, other)
                 else:
                     rest.append(other)
@@ -94,7 +139,7 @@ def reconcile(rows: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
         return pd.DataFrame(out)[["course_id", "id", "title", "type", "due", "weight", "members"]]
 
     kinds = dict(rows.dtypes)
-    return rows.groupBy("course_id").applyInPandas(fold, f"course_id {kinds['course_id']}, id {kinds['id']}, title string, type string, due {kinds['due']}, weight double, members long")
+    return blocked.groupBy("_block").applyInPandas(fold, f"course_id {kinds['course_id']}, id {kinds['id']}, title string, type string, due {kinds['due']}, weight double, members long")
 
 
 def gradebook_match(grades: DataFrame, items: DataFrame) -> DataFrame:

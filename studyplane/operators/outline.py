@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import title_type
+from ..functions.text import outline_type
 
 #: Line patterns (fixed values). Each is tried on a trimmed line.
 WEIGHT_LINE = r"^(.*?[A-Za-z)])[ .:|-]*\(?([0-9]+(?:\.[0-9]+)?) ?%\)?"
@@ -46,7 +46,7 @@ def weight_rows(of_lines: DataFrame) -> DataFrame:
     count = F.when(times, g(TIMES_LINE, 2)).otherwise("1").cast("int")
     weight = F.when(times, g(TIMES_LINE, 3)).otherwise(g(WEIGHT_LINE, 2)).cast("double")
     out = of_lines.select("doc_id", "line_no", title.alias("title"), count.alias("count"), weight.alias("weight")).filter("title IS NOT NULL AND weight <= 100")
-    return out.withColumn("type", title_type(F.col("title")))
+    return out.withColumn("type", outline_type(F.col("title")))
 
 
 def rules(of_lines: DataFrame) -> DataFrame:

@@ -34,12 +34,15 @@ def next_focus(scored: DataFrame) -> DataFrame:
     return scored.select("id", F.when(F.col("id") == first, second).otherwise(first).alias("next_id"))
 
 
-def top_per(rows: DataFrame, group: str, limits: dict[str, int], order: list[Column], always: tuple[str, ...] = ()) -> DataFrame:
-    """The first rows of each named group, as many as its limit. The limits stop every group early, so groups don't come together whole."""
-    w = Window.partitionBy(group).orderBy(*order)
+def top_per(rows: DataFrame, group: str, limits: dict[str, int], order: list[Column]) -> DataFrame:
+    """The first rows of each named group, as many as its limit, with their place; groups without a limit keep all rows, and so do null ones.
+
+    The largest limit stops the named groups early, before they come together."""
     limit = F.create_map(*(x for k, v in limits.items() for x in (F.lit(k), F.lit(v))))
-    most = max(limits.values())
-    return rows.withColumn("place", F.row_number().over(w)).filter(F.col("place") <= most).filter(F.col("place") <= limit[F.col(group)])
+    placed = lambda df: df.withColumn("place", F.row_number().over(Window.partitionBy(group).orderBy(*order)))
+    named = F.coalesce(F.col(group).isin(*limits), F.lit(False))
+    top = placed(rows.filter(named)).filter(F.col("place") <= max(limits.values())).filter(F.col("place") <= limit[F.col(group)])
+    return top.unionByName(placed(rows.filter(~named)))
 
 
 def insights(items: DataFrame) -> DataFrame:
@@ -53,6 +56,34 @@ def insights(items: DataFrame) -> DataFrame:
     return items.withColumn("kind", kind).filter("kind IS NOT NULL").withColumn("score", score)
 
 
+#: Scores of risks that grade rules make, and how many insights a student sees (fixed values).
+PROVISIONAL_DROP, RULE_PRESSURE, INSIGHTS = 25.0, 30.0, 8
+
+#: Buckets in their order, and what each adds to an item's score (fixed values).
+BUCKETS = {"NOW": 4.0, "NEEDS_ACTION": 6.0, "CONFIRMATION": 8.0, "CHANGES": 0.0, "NEXT": 2.0, "WATCH": 0.0, "DONE": 0.0}
+CHANGE_SCORE = 60.0
+
+
+def greatest(risks: DataFrame, student: str, most: int = INSIGHTS) -> DataFrame:
+    """The risks (risk, score, ...) of highest score of each student, with rank; ties by name. The window stops early, so no student comes together."""
+    w = Window.partitionBy(student).orderBy(F.desc("score"), "risk")
+    return risks.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= most)
+
+
+def command_centre(scored: DataFrame, unread: DataFrame) -> DataFrame:
+    """item, bucket, place (of the bucket, from 1) and score of every item and every unread change.
+
+    scored: id, open, missed, needs_confirmation, hours, score. unread: id. What is closed, not missed and not to be confirmed is done and scores 0."""
+    h = F.col("hours")
+    done = ~F.col("open") & ~F.col("needs_confirmation") & ~F.col("missed")
+    bucket = F.when(done, "DONE").when(F.col("needs_confirmation"), "CONFIRMATION").when(h < 0, "NEEDS_ACTION").when(h <= 24, "NOW").when(h <= 72, "NEXT").otherwise("WATCH")
+    more = F.create_map(*(F.lit(x) for kv in BUCKETS.items() for x in kv))
+    rows = scored.withColumn("bucket", bucket).select(F.concat(F.lit("pri:"), "id").alias("item"), "bucket", F.when(F.col("bucket") == "DONE", 0.0).otherwise(F.col("score") + more[F.col("bucket")]).alias("score"))
+    changed = unread.select(F.concat(F.lit("pri:ch:"), "id").alias("item"), F.lit("CHANGES").alias("bucket"), F.lit(CHANGE_SCORE).alias("score"))
+    place = F.array_position(F.array(*map(F.lit, BUCKETS)), F.col("bucket"))
+    return rows.unionByName(changed).withColumn("place", place)
+
+
 def gate(problems: DataFrame) -> DataFrame:
     """Per course whether planning must wait: any block, or three structural warnings. problems: course_id, severity, structural."""
     out = problems.groupBy("course_id").agg(F.count_if(F.col("severity") == "block").alias("blocks"), F.count_if((F.col("severity") == "warn") & F.col("structural")).alias("warnings"))

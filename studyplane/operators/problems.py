@@ -2,35 +2,106 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: How far a course's weights may be from 100 (fixed values): in diagnostics, and in health checks.
 TOLERANCE, HEALTH_TOLERANCE = 2.0, 5.0
 
 
-def weight_problems(items: DataFrame, tolerance: float = TOLERANCE) -> DataFrame:
-    """Per course weight_sum (one decimal), missing weights, and the problem: no_weights, weights_not_100 or null."""
-    s = items.groupBy("course_id").agg(F.coalesce(F.sum("weight"), F.lit(0.0)).alias("s"), F.count_if(F.col("weight").isNull()).alias("missing"), F.count("weight").alias("known"))
-    total = F.floor(F.col("s") * 10 + 0.5) / 10
-    problem = F.when(F.col("known") == 0, "no_weights").when(F.abs(F.col("s") - 100) > tolerance, "weights_not_100")
-    return s.select("course_id", total.alias("weight_sum"), "missing", problem.alias("problem"))
+def weight_summary(items: DataFrame, categories: DataFrame) -> DataFrame:
+    """Per course of items: sums of item and of category weights (one decimal, null without any), which of them is the basis, the total, how many
+    items lack a weight, and the problem: no_weights, weights_not_100 or null.
 
+    items: course_id, weight, bonus (left out). categories: course_id, weight. Categories are the basis where they have a positive sum."""
+    rounded = lambda c: F.floor(c * 10 + 0.5) / 10
+    own = items.filter(~F.coalesce("bonus", F.lit(False))).groupBy("course_id").agg(rounded(F.sum("weight")).alias("assessment_sum"), F.count_if(F.col("weight").isNull()).alias("missing"))
+    of_categories = categories.groupBy("course_id").agg(rounded(F.sum("weight")).alias("category_sum"))
+    out = items.select("course_id").distinct().join(own, "course_id", "left").join(of_categories, "course_id", "left")
+    basis = F.when(F.col("category_sum") > 0, "categories").when(F.col("assessment_sum").isNotNull(), "assessments").otherwise("none")
+    total = F.when(F.col("basis") == "categories", F.col("category_sum")).when(F.col("basis") == "assessments", F.col("assessment_sum"))
+    problem = F.when(F.col("basis") == "none", "no_weights").when(F.abs(F.col("total") - 100) > TOLERANCE, "weights_not_100")
+    return out.withColumn("missing", F.coalesce("missing", F.lit(0))).withColumn("basis", basis).withColumn("total", total).withColumn("problem", problem)
 
-def health(items: DataFrame, checks: dict[str, Column]) -> DataFrame:
-    """Per course each check (an aggregate that gives a boolean), the score of 100 and the status."""
-    names = list(checks)
-    out = items.groupBy("course_id").agg(*(F.coalesce(c, F.lit(False)).alias(n) for n, c in checks.items()))
-    passed = sum((F.col(n).cast("int") for n in names[1:]), F.col(names[0]).cast("int"))
-    score = F.floor(passed * 100 / len(names) + 0.5).cast("int")
-    return out.withColumn("score", score).withColumn("status", F.when(F.col("score") >= 85, "healthy").when(F.col("score") >= 60, "attention").otherwise("incomplete"))
 
+#: The checks of a course's health besides its connection, which always holds (fixed values).
+CHECKS = ("outline", "assessments", "weights", "missing_weights", "dates", "final", "conflicts", "instructor", "schedule")
 
-def coverage(counts: DataFrame, capabilities: dict[str, tuple[str, str]]) -> DataFrame:
-    """One row per course and capability: discovered, ingested and status. capabilities: name -> (column of discovered, of ingested)."""
-    rows = F.inline(F.array(*(F.struct(F.lit(n).alias("capability"), F.col(d).cast("long").alias("discovered"), F.col(i).cast("long").alias("ingested")) for n, (d, i) in capabilities.items())))
-    status = F.when(F.col("discovered") == 0, "unavailable").when(F.col("ingested") >= F.col("discovered"), "available").when(F.col("ingested") > 0, "partial").otherwise("pending")
-    return counts.select("course_id", rows).withColumn("status", status)
+
+def health(courses: DataFrame, items: DataFrame) -> DataFrame:
+    """Per course the nine checks (boolean), score (of 100), warnings and status: complete, good, needs_attention or missing_information.
+
+    courses: course_id, outline, instructor, schedule (booleans). items: course_id, weight, due, certainty, kind, conflict (has an unresolved one).
+    Weights hold within HEALTH_TOLERANCE of 100; a course without a final, or with one of unknown date, fails that check."""
+    yes = lambda c: F.coalesce(c, F.lit(False))
+    c = F.col
+    undated = c("due").isNull() | (c("certainty") == "unknown")
+    facts = items.groupBy("course_id").agg(
+        F.count("*").alias("_n"),
+        F.count("weight").alias("_weighed"),
+        F.coalesce(F.sum("weight"), F.lit(0.0)).alias("_sum"),
+        F.count_if(undated).alias("_undated"),
+        F.count_if(c("kind") == "final").alias("_finals"),
+        F.count_if((c("kind") == "final") & (c("certainty") == "unknown")).alias("_unknown_finals"),
+        F.count_if(yes(c("conflict"))).alias("_conflicts"),
+    )
+    have = courses.join(facts, "course_id", "left").fillna(0, ["_n", "_weighed", "_undated", "_finals", "_unknown_finals", "_conflicts"]).fillna(0.0, ["_sum"])
+    near = F.abs(c("_sum") - 100) <= HEALTH_TOLERANCE
+    missing = c("_n") - c("_weighed")
+    made = {
+        "outline": yes(c("outline")),
+        "assessments": c("_n") > 0,
+        "weights": (c("_weighed") > 0) & near,
+        "missing_weights": missing == 0,
+        "dates": c("_undated") == 0,
+        "final": (c("_finals") > 0) & (c("_unknown_finals") == 0),
+        "conflicts": c("_conflicts") == 0,
+        "instructor": yes(c("instructor")),
+        "schedule": yes(c("schedule")),
+    }
+    out = have.withColumns(made)
+    total = lambda cs: sum((x.cast("int") for x in cs[1:]), cs[0].cast("int"))
+    # of the weights a warning is raised for what lacks or is off, not where there are none at all
+    warned = [(missing > 0) | ((c("_weighed") > 0) & ~near) if n == "weights" else ~c(n) for n in CHECKS]
+    out = out.withColumns({"score": F.floor(total([c(n) for n in CHECKS]) * 100 / len(CHECKS) + 0.5).cast("int"), "warnings": total(warned)})
+    worse = (c("_conflicts") > 0) | (c("_undated") > c("_n") / 2)
+    status = F.when((c("warnings") == 0) & (c("score") >= 90), "complete").when(c("score") >= 70, "good").when(worse, "needs_attention").otherwise("missing_information")
+    return out.withColumn("status", status).select("course_id", *CHECKS, "score", "warnings", "status")
+
+
+#: Capabilities of a course's sources and where they are read (fixed values).
+CAPABILITIES = {
+    "dropbox": "/dropbox/folders/",
+    "quizzes": "/quizzes/",
+    "quiz_attempts": "/quizzes/{id}/attempts/",
+    "grades": "/grades/",
+    "grade_categories": "/grades/categories/",
+    "news": "/news/",
+    "calendar": "/calendar/events/",
+    "content": "/content/toc",
+    "discussions": "/discussions/forums/.../posts/",
+    "feedback": "/dropbox/folders/{id}/feedback/...",
+    "checklists": "/checklists/",
+    "groups": "/groupcategories/",
+}
+
+
+def coverage(counts: DataFrame) -> DataFrame:
+    """capability, endpoint, discovered, ingested and status of each course and capability.
+
+    counts: course_id, capability, discovered, ingested, forbidden, error; a capability without a row counts as nothing found. forbidden and
+    error come first; partial where less is ingested than discovered, unavailable where there is nothing, else available."""
+    known = F.inline(F.array(*(F.struct(F.lit(k).alias("capability"), F.lit(v).alias("endpoint")) for k, v in CAPABILITIES.items())))
+    every = counts.select("course_id").distinct().select("course_id", known)
+    out = every.join(counts, ["course_id", "capability"], "left").fillna(0, ["discovered", "ingested"])
+    status = (
+        F.when(F.coalesce("forbidden", F.lit(False)), "forbidden")
+        .when(F.col("error").isNotNull(), "error")
+        .when(F.col("ingested") < F.col("discovered"), "partial")
+        .when((F.col("discovered") == 0) & (F.col("ingested") == 0), "unavailable")
+        .otherwise("available")
+    )
+    return out.select("course_id", "capability", "endpoint", "discovered", "ingested", status.alias("status"))
 
 
 def stale_gaps(expected: DataFrame, live: DataFrame) -> DataFrame:

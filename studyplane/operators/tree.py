@@ -5,20 +5,26 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .graph import settled
 
-def preorder(nodes: DataFrame, max_depth: int = 64) -> DataFrame:
-    """nodes with depth and path (zero-padded ordinals, so that the order of paths is the preorder walk); hidden nodes prune what is
-    below them; orphans, and nodes deeper than max_depth, are not reached. nodes: id, parent_id, ord, hidden.
 
-    One join per level: the levels of a tree are few however many nodes there are."""
-    step = lambda c: F.lpad(F.col(c).cast("string"), 10, "0")
-    level = nodes.filter("parent_id IS NULL AND NOT hidden").select("id", "parent_id", step("ord").alias("path"), F.lit(0).alias("depth"))
-    out = level
-    for d in range(1, max_depth + 1):
+def preorder(nodes: DataFrame, prune_hidden: bool = True) -> DataFrame:
+    """nodes with depth and path (ordinals of one width, ten digits at least, so that the order of paths is the preorder walk). nodes: id,
+    parent_id, ord, hidden.
+
+    A hidden node prunes what is below it, or is kept like others if not prune_hidden. Orphans and nodes on a cycle are not reached. One join
+    a level, each level settled before the next, until one is empty, however deep; a walk deeper than there are nodes is an error."""
+    most = nodes.agg(F.max(F.length(F.col("ord").cast("string"))).alias("w"), F.count("*").alias("n")).first()
+    step = lambda c: F.lpad(F.col(c).cast("string"), max(10, most["w"] or 0), "0")
+    seen = nodes.filter(~F.coalesce("hidden", F.lit(False))) if prune_hidden else nodes
+    level = settled(seen.filter("parent_id IS NULL").select("id", "parent_id", step("ord").alias("path"), F.lit(0).alias("depth")))
+    out, depth = level, 0
+    while not level.isEmpty():
+        depth += 1
+        if depth > most["n"]:
+            raise ValueError("an id is its own ancestor")
         above = level.select(F.col("id").alias("_up"), F.col("path").alias("_path"))
-        level = nodes.filter("NOT hidden").join(above, F.col("parent_id") == F.col("_up")).select("id", "parent_id", F.concat_ws("/", "_path", step("ord")).alias("path"), F.lit(d).alias("depth"))
-        if level.isEmpty():
-            break
+        level = settled(seen.join(above, F.col("parent_id") == F.col("_up")).select("id", "parent_id", F.concat_ws("/", "_path", step("ord")).alias("path"), F.lit(depth).alias("depth")))
         out = out.unionByName(level)
     return out
 

@@ -79,38 +79,56 @@ def stale_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
     return problems.stale_gaps(p.groupBy("course_id", "kind").agg(F.count("*").alias("promised")), p.filter("p_size > 10"))
 
 
-WEIGHTS = "w AS (SELECT l_orderkey AS course_id, CASE WHEN l_linenumber % 5 = 0 THEN NULL ELSE l_quantity END AS weight, l_linestatus, l_returnflag FROM lineitem)"
-
-
-@query(f"""WITH {WEIGHTS}, s AS (SELECT course_id, coalesce(sum(weight), 0) AS s, count(*) - count(weight) AS missing, count(weight) AS known FROM w GROUP BY 1)
-SELECT course_id, floor(s * 10 + 0.5) / 10 AS weight_sum, missing, CASE WHEN known = 0 THEN 'no_weights' WHEN abs(s - 100) > 2 THEN 'weights_not_100' END AS problem FROM s""")
+@query("""WITH i AS (SELECT l_orderkey AS course_id, CASE WHEN l_linenumber % 5 <> 0 THEN l_quantity END AS weight, l_returnflag = 'R' AS bonus FROM lineitem),
+o AS (SELECT course_id, floor(sum(weight) FILTER (WHERE NOT bonus) * 10 + 0.5) / 10 AS assessment_sum, count(*) FILTER (WHERE NOT bonus AND weight IS NULL) AS missing FROM i GROUP BY 1),
+c AS (SELECT l_orderkey AS course_id, floor(sum(l_tax * 1000) * 10 + 0.5) / 10 AS category_sum FROM lineitem WHERE l_orderkey % 3 = 0 GROUP BY 1),
+j AS (SELECT *, CASE WHEN category_sum > 0 THEN 'categories' WHEN assessment_sum IS NOT NULL THEN 'assessments' ELSE 'none' END AS basis FROM o LEFT JOIN c USING (course_id)),
+t AS (SELECT *, CASE basis WHEN 'categories' THEN category_sum WHEN 'assessments' THEN assessment_sum END AS total FROM j)
+SELECT course_id, assessment_sum, category_sum, missing, basis, total, CASE WHEN basis = 'none' THEN 'no_weights' WHEN abs(total - 100) > 2 THEN 'weights_not_100' END AS problem FROM t""")
 def weight_problems(spark: SparkSession, sf_dir: str) -> DataFrame:
     li = table(spark, sf_dir, "lineitem")
-    return problems.weight_problems(li.select(F.col("l_orderkey").alias("course_id"), F.when(F.col("l_linenumber") % 5 != 0, F.col("l_quantity")).alias("weight")))
-
-
-@query("""WITH h AS (SELECT l_orderkey AS course_id, count(*) >= 3 AS has_items, coalesce(bool_or(l_linestatus = 'F'), false) AS has_grades, coalesce(abs(sum(l_quantity) - 100) <= 5, false) AS weights_ok,
-   coalesce(bool_and(l_returnflag <> 'R'), false) AS none_dropped FROM lineitem GROUP BY 1), s AS (SELECT *, floor((has_items::INT + has_grades::INT + weights_ok::INT + none_dropped::INT) * 100 / 4 + 0.5)::INT AS score FROM h)
-SELECT *, CASE WHEN score >= 85 THEN 'healthy' WHEN score >= 60 THEN 'attention' ELSE 'incomplete' END AS status FROM s""")
+    items = li.select(F.col("l_orderkey").alias("course_id"), F.when(F.col("l_linenumber") % 5 != 0, F.col("l_quantity")).alias("weight"), (F.col("l_returnflag") == "R").alias("bonus"))
+    return problems.weight_summary(items, li.filter("l_orderkey % 3 = 0").select(F.col("l_orderkey").alias("course_id"), (F.col("l_tax") * 1000).alias("weight")))
+
+
+@query("""WITH i AS (SELECT l_orderkey AS course_id, CASE WHEN l_linenumber % 5 <> 0 THEN l_quantity END AS weight, CASE WHEN l_linenumber <> 6 THEN l_shipdate END AS due, CASE WHEN l_linenumber % 7 = 3 THEN 'unknown' ELSE 'exact' END AS certainty,
+  l_linenumber % 4 = 3 AS is_final, l_returnflag = 'R' AS conflict FROM lineitem),
+f AS (SELECT course_id, count(*) AS n, count(weight) AS weighed, coalesce(sum(weight), 0) AS s, count(*) FILTER (WHERE due IS NULL OR certainty = 'unknown') AS undated, count(*) FILTER (WHERE is_final) AS finals,
+  count(*) FILTER (WHERE is_final AND certainty = 'unknown') AS bad, count(*) FILTER (WHERE conflict) AS conflicts FROM i GROUP BY 1),
+g AS (SELECT o_orderkey AS course_id, o_orderkey % 5 <> 0 AS outline, o_orderkey % 3 <> 0 AS instructor, o_orderkey % 4 <> 0 AS schedule, coalesce(n, 0) AS n, coalesce(weighed, 0) AS weighed, coalesce(s, 0) AS s, coalesce(undated, 0) AS undated,
+  coalesce(finals, 0) AS finals, coalesce(bad, 0) AS bad, coalesce(conflicts, 0) AS nc FROM orders LEFT JOIN f ON course_id = o_orderkey),
+h AS (SELECT course_id, outline, n > 0 AS assessments, weighed > 0 AND abs(s - 100) <= 5 AS weights, n = weighed AS missing_weights, undated = 0 AS dates, finals > 0 AND bad = 0 AS final, nc = 0 AS conflicts, instructor, schedule,
+  n > weighed OR (weighed > 0 AND abs(s - 100) > 5) AS weights_warn, nc > 0 OR undated > n / 2 AS worse FROM g),
+k AS (SELECT *, floor((outline::INT + assessments::INT + weights::INT + missing_weights::INT + dates::INT + final::INT + conflicts::INT + instructor::INT + schedule::INT) * 100 / 9 + 0.5)::INT AS score,
+  9 - (outline::INT + assessments::INT + (NOT weights_warn)::INT + missing_weights::INT + dates::INT + final::INT + conflicts::INT + instructor::INT + schedule::INT) AS warnings FROM h)
+SELECT * EXCLUDE (weights_warn, worse), CASE WHEN warnings = 0 AND score >= 90 THEN 'complete' WHEN score >= 70 THEN 'good' WHEN worse THEN 'needs_attention' ELSE 'missing_information' END AS status FROM k""")
 def course_health(spark: SparkSession, sf_dir: str) -> DataFrame:
-    li = table(spark, sf_dir, "lineitem").withColumn("course_id", F.col("l_orderkey"))
-    checks = {
-        "has_items": F.count("*") >= 3,
-        "has_grades": F.bool_or(F.col("l_linestatus") == "F"),
-        "weights_ok": F.abs(F.sum("l_quantity") - 100) <= problems.HEALTH_TOLERANCE,
-        "none_dropped": F.bool_and(F.col("l_returnflag") != "R"),
-    }
-    return problems.health(li, checks)
-
-
-@query("""WITH c AS (SELECT source AS course_id, count(*) AS docs, count(quality) AS labelled, count(*) FILTER (WHERE toxic = 1) AS toxic, count(*) FILTER (WHERE lang <> 'en') AS foreign_docs FROM documents LEFT JOIN labels USING (doc_id) GROUP BY 1),
-r AS (SELECT course_id, 'labels' AS capability, docs AS discovered, labelled AS ingested FROM c UNION ALL SELECT course_id, 'toxic', toxic, toxic FROM c UNION ALL SELECT course_id, 'languages', docs, foreign_docs FROM c UNION ALL SELECT course_id, 'outline', 0, 0 FROM c)
-SELECT *, CASE WHEN discovered = 0 THEN 'unavailable' WHEN ingested >= discovered THEN 'available' WHEN ingested > 0 THEN 'partial' ELSE 'pending' END AS status FROM r""")
+    k, n = F.col("o_orderkey"), F.col("l_linenumber")
+    courses = table(spark, sf_dir, "orders").select(k.alias("course_id"), (k % 5 != 0).alias("outline"), (k % 3 != 0).alias("instructor"), (k % 4 != 0).alias("schedule"))
+    items = table(spark, sf_dir, "lineitem").select(
+        F.col("l_orderkey").alias("course_id"),
+        F.when(n % 5 != 0, F.col("l_quantity")).alias("weight"),
+        F.when(n != 6, F.col("l_shipdate")).alias("due"),
+        F.when(n % 7 == 3, "unknown").otherwise("exact").alias("certainty"),
+        F.when(n % 4 == 3, "final").otherwise("quiz").alias("kind"),
+        (F.col("l_returnflag") == "R").alias("conflict"),
+    )
+    return problems.health(courses, items)
+
+
+@query("""WITH k AS (SELECT unnest(['dropbox', 'quizzes', 'quiz_attempts', 'grades', 'grade_categories', 'news', 'calendar', 'content', 'discussions', 'feedback', 'checklists', 'groups']) AS capability,
+  unnest(['/dropbox/folders/', '/quizzes/', '/quizzes/{id}/attempts/', '/grades/', '/grades/categories/', '/news/', '/calendar/events/', '/content/toc', '/discussions/forums/.../posts/', '/dropbox/folders/{id}/feedback/...', '/checklists/', '/groupcategories/']) AS endpoint),
+c AS (SELECT source AS course_id, CASE doc_id % 9 WHEN 0 THEN 'dropbox' WHEN 1 THEN 'quizzes' WHEN 2 THEN 'grades' WHEN 3 THEN 'news' WHEN 4 THEN 'calendar' WHEN 5 THEN 'content' WHEN 6 THEN 'discussions' WHEN 7 THEN 'feedback' ELSE 'groups' END AS capability,
+  count(*) AS discovered, count(quality) AS ingested, CASE WHEN max(doc_id) % 5 = 0 THEN 'timeout' END AS error, min(doc_id) % 7 = 0 AS forbidden FROM documents LEFT JOIN labels USING (doc_id) GROUP BY 1, 2),
+r AS (SELECT s.course_id, k.capability, k.endpoint, coalesce(c.discovered, 0) AS discovered, coalesce(c.ingested, 0) AS ingested, error, forbidden FROM (SELECT DISTINCT course_id FROM c) s CROSS JOIN k LEFT JOIN c ON c.course_id = s.course_id AND c.capability = k.capability)
+SELECT course_id, capability, endpoint, discovered, ingested, CASE WHEN coalesce(forbidden, false) THEN 'forbidden' WHEN error IS NOT NULL THEN 'error' WHEN ingested < discovered THEN 'partial' WHEN discovered = 0 AND ingested = 0 THEN 'unavailable' ELSE 'available' END AS status FROM r""")
 def coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = table(spark, sf_dir, "documents").select("doc_id", "source", "lang").join(table(spark, sf_dir, "labels"), "doc_id", "left")
-    c = d.groupBy(F.col("source").alias("course_id")).agg(F.count("*").alias("docs"), F.count("quality").alias("labelled"), F.count_if(F.col("toxic") == 1).alias("toxic"), F.count_if(F.col("lang") != "en").alias("other"))
-    wanted = {"labels": ("docs", "labelled"), "toxic": ("toxic", "toxic"), "languages": ("docs", "other"), "outline": ("nothing", "nothing")}
-    return problems.coverage(c.withColumn("nothing", F.lit(0)), wanted)
+    """Documents of a source as what nine of its capabilities discover, and labelled ones as what they ingest."""
+    d = table(spark, sf_dir, "documents").select("doc_id", "source").join(table(spark, sf_dir, "labels"), "doc_id", "left")
+    nine = [k for k in problems.CAPABILITIES if k not in ("quiz_attempts", "grade_categories", "checklists")]
+    named = F.element_at(F.array(*map(F.lit, nine)), (F.col("doc_id") % 9 + 1).cast("int"))
+    counts = d.groupBy(F.col("source").alias("course_id"), named.alias("capability")).agg(F.count("*").alias("discovered"), F.count("quality").alias("ingested"), F.when(F.max("doc_id") % 5 == 0, "timeout").alias("error"), (F.min("doc_id") % 7 == 0).alias("forbidden"))
+    return problems.coverage(counts)
 
 
 @query("""SELECT p_partkey AS course_id, p_type AS name, i AS number, p_type || ' ' || i AS title, floor(p_retailprice / (p_size % 6) * 1000 + 0.5) / 1000 AS weight FROM part, range(1, 7) t(i) WHERE i <= p_size % 6""")
@@ -165,8 +183,8 @@ def ics_export(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("""WITH o AS (SELECT o_orderkey, o_orderpriority || ', status ' || o_orderstatus AS title, o_orderdate AS start FROM orders WHERE o_orderkey % 10 <> 0) SELECT 'order-' || o_orderkey AS uid, title, strftime(start, '%Y-%m-%d %H:%M:%S') AS start FROM o""")
 def ics_import(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The exported events, read back from calendar texts of a customer each."""
-    made = ics_export(spark, sf_dir).withColumn("part", F.pmod(F.xxhash64("o_orderkey"), F.lit(64)))
+    """The exported events, read back from calendar texts: each has the orders of one run of a hundred keys, so texts grow in number."""
+    made = ics_export(spark, sf_dir).withColumn("part", F.floor(F.col("o_orderkey") / 100))
     files = made.groupBy("part").agg(F.concat(F.lit("BEGIN:VCALENDAR\r\n"), F.array_join(F.collect_list("event"), "\r\n"), F.lit("\r\nEND:VCALENDAR\r\n")).alias("text"))
     return ics.events(files).select("uid", "title", F.date_format("start", "yyyy-MM-dd HH:mm:ss").alias("start"))
 
@@ -182,7 +200,7 @@ def outlines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "part").select(F.col("p_partkey").alias("doc_id"), text.alias("text"))
 
 
-@query(f"""WITH {OUTLINES} SELECT doc_id, 'Labs' AS title, 4 AS count, (p_size % 5 + 1)::DOUBLE AS weight, 'lab' AS type FROM o UNION ALL SELECT doc_id, 'Midterm', 1, (p_size % 30)::DOUBLE, 'midterm' FROM o""")
+@query(f"""WITH {OUTLINES} SELECT doc_id, 'Labs' AS title, 4 AS count, (p_size % 5 + 1)::DOUBLE AS weight, 'other' AS type FROM o UNION ALL SELECT doc_id, 'Midterm', 1, (p_size % 30)::DOUBLE, 'midterm' FROM o""")
 def outline_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
     return outline.weight_rows(outline.lines(outlines(spark, sf_dir))).select("doc_id", "title", "count", "weight", "type")
 
@@ -225,7 +243,11 @@ def _stream_of_events(spark: SparkSession, sf_dir: str, columns: list) -> DataFr
 
 
 def _folder(spark: SparkSession) -> str:
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.gettempdir()
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        base = tempfile.gettempdir()
     return f"{base.rstrip('/')}/stream-{uuid.uuid4().hex}"
 
 
