@@ -125,3 +125,64 @@ def second_pass(promised: DataFrame, found: DataFrame) -> DataFrame:
     padded = want.join(found, key, "left_anti").withColumn("action", F.lit("pad"))
     trimmed = found.join(promised.select("course_id", "name", "count"), ["course_id", "name"]).filter(F.col("number") > F.col("count")).select(*key).distinct().withColumn("action", F.lit("trim"))
     return padded.unionByName(trimmed)
+
+
+def _found(rows: list[tuple[str, str, object]]):
+    """Those of (severity, code, condition) that hold, as rows."""
+    return F.explode(F.array_compact(F.array(*(F.when(F.coalesce(c, F.lit(False)), F.struct(F.lit(s).alias("severity"), F.lit(k).alias("code"))) for s, k, c in rows))))
+
+
+def course_problems(facts: DataFrame) -> DataFrame:
+    """course_id, severity and code of each problem of a course.
+
+    facts, one row a course: outline_status, has_document, parse_failed, parsed, parsed_items, confidence, incomplete, text_length, n_items, n_undated,
+    n_approximate, basis and total (of weight_summary), n_duplicates (titles that occur twice), n_conflicts, n_meetings, n_blocked and
+    n_failed (requests), n_bad_sources. What is null counts as unknown and makes no problem."""
+    c = F.col
+    status = c("outline_status")
+    missing, blocked = status.isin("none_accessible", "not_checked"), status == "blocked"
+    read = c("has_document") & c("parsed")
+    undated = c("n_undated") > 0
+    most = c("n_undated") > c("n_items") / 2
+    found = [
+        ("error", "outline_not_found", missing),
+        ("error", "outline_blocked", blocked),
+        ("error", "outline_parse_failed", ~F.coalesce(missing | blocked, F.lit(False)) & ((status == "parse_failed") | c("parse_failed"))),
+        ("error", "outline_no_assessments", read & (c("parsed_items") == 0)),
+        ("warn", "outline_low_confidence", read & (c("confidence") < 0.45)),
+        ("warn", "outline_extraction_incomplete", read & c("incomplete")),
+        ("warn", "outline_text_short", read & (c("text_length") < 400)),
+        ("warn", "outline_doc_missing", status.isin("parsed", "found") & ~c("has_document")),
+        ("error", "no_assessments", c("n_items") == 0),
+        ("error", "assessments_without_dates", undated & most),
+        ("warn", "assessments_without_dates", undated & ~most),
+        ("info", "assessments_approximate_dates", c("n_approximate") > 0),
+        ("warn", "no_weights", (c("basis") == "none") & (c("n_items") > 0)),
+        ("warn", "weights_not_100", (c("basis") != "none") & (F.abs(c("total") - 100) > TOLERANCE)),
+        ("warn", "duplicate_assessments", c("n_duplicates") > 0),
+        ("warn", "unresolved_conflicts", c("n_conflicts") > 0),
+        ("warn", "no_class_times", c("n_meetings") == 0),
+        ("warn", "blocked_endpoints", c("n_blocked") > 0),
+        ("warn", "failed_endpoints", c("n_failed") > 0),
+        ("info", "coverage_gaps", c("n_bad_sources") > 0),
+    ]
+    return facts.select("course_id", _found(found).alias("p")).select("course_id", "p.*")
+
+
+def sync_problems(syncs: DataFrame, now) -> DataFrame:
+    """student_id, severity and code of each problem of a student's data as a whole.
+
+    syncs: student_id, last_synced_at, status, n_courses, n_selected, n_requests, n_failures (of requests that belong to no course)."""
+    c = F.col
+    synced = c("last_synced_at").isNotNull()
+    found = [
+        ("error", "never_synced", ~synced),
+        ("error", "signed_out", c("status") == "signed_out"),
+        ("error", "sync_error", c("status") == "error"),
+        ("warn", "sync_stale", F.unix_micros(now) - F.unix_micros("last_synced_at") > 3 * 86400 * 1000000),
+        ("info", "no_sync_trace", (c("n_courses") > 0) & (c("n_requests") == 0)),
+        ("error", "no_courses_selected", (c("n_courses") > 0) & (c("n_selected") == 0)),
+        ("error", "no_courses", synced & (c("n_courses") == 0)),
+        ("warn", "global_endpoint_failures", c("n_failures") > 0),
+    ]
+    return syncs.select("student_id", _found(found).alias("p")).select("student_id", "p.*")

@@ -29,7 +29,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def _load() -> None:
-    from . import following, grading, hints, ingestion, library, planning  # noqa: F401
+    from . import capturing, following, grading, hints, ingestion, library, planning  # noqa: F401
 
 
 def queries() -> dict[str, Query]:
