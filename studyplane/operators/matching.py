@@ -9,11 +9,14 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import COMPATIBLE, NUMBER_HINTS, SYNONYMS, TITLE_KEY, match_features, match_score
-from .graph import components
+from .graph import components, settled
 
 #: From this score two rows are one item, and what equal numbers and near dues add to it (fixed values).
 THRESHOLD, NUMBER_AND_DUE = 0.72, 0.4
 
+#: Rows that are folded in one Python group, about.
+BUCKET_ROWS = 2000
+
 
 def match_classes(rows: DataFrame) -> DataFrame:
     """The rows (id, course_id, title, type, due, ord) as classes of those that no match can tell apart: equal course, title key, tokens, number,
@@ -50,7 +53,7 @@ def match_pairs(rows: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     rows matches itself. See match_classes for which rows a class has: copies are not written out as pairs.
 
     Null titles match nothing but each other's class; courses that are null match nothing."""
-    classes = match_classes(rows.filter("course_id IS NOT NULL"))
+    classes = settled(match_classes(rows.filter("course_id IS NOT NULL")))  # read seven times below
     side = lambda n: classes.drop("ids").alias(n)
     met = candidates(classes, threshold).join(side("x"), F.col("a") == F.col("x.id")).join(side("y"), F.col("b") == F.col("y.id")).filter("x.ord < y.ord")
     scored = met.select("a", "b", F.col("x.n").alias("n_a"), F.col("y.n").alias("n_b"), F.round(match_score("x", "y"), 6).alias("score")).filter(F.col("score") >= threshold)
@@ -116,7 +119,7 @@ def reconcile(rows: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     Row by row in input order, a row takes in each later one that matches it as it then is; so the result depends on the order (ord), and
     only a fold gives it. A merged row's title is that of one of its members, so what it can take in is found by candidates first, whatever
     type and due it then has: a fold takes the rows of one connected block of such candidates, not a course. Rows of null courses stay alone."""
-    classes = match_classes(rows.filter("course_id IS NOT NULL"))
+    classes = settled(match_classes(rows.filter("course_id IS NOT NULL")))  # read seven times below
     near = candidates(classes, threshold)
     hints = classes.select("id", "hint", "title_key")
     possible = near.join(hints.select(F.col("id").alias("a"), F.col("hint").alias("h"), F.col("title_key").alias("k")), "a").join(hints.withColumnRenamed("id", "b"), "b")
@@ -124,7 +127,7 @@ def reconcile(rows: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     member = classes.select(F.col("id").alias("node"), F.explode("ids").alias("id")).join(linked, "node", "left").select("id", F.coalesce("component", "node").alias("_block"))
     blocked = rows.join(member, "id", "left").withColumn("_block", F.coalesce("_block", "id"))
 
-    def fold(block: pd.DataFrame) -> pd.DataFrame:
+    def folded(block: pd.DataFrame) -> list[dict]:
         left = [dict(r, members=1, features=_features(r["title"])) for r in block.sort_values("ord").to_dict("records")]
         out = []
         while left:
@@ -136,10 +139,16 @@ def reconcile(rows: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
                     rest.append(other)
             out.append(mine)
             left = rest
-        return pd.DataFrame(out)[["course_id", "id", "title", "type", "due", "weight", "members"]]
+        return out
+
+    def fold(bucket: pd.DataFrame) -> pd.DataFrame:
+        made = [r for _, block in bucket.groupby("_block", sort=False, dropna=False) for r in folded(block)]
+        return pd.DataFrame(made)[["course_id", "id", "title", "type", "due", "weight", "members"]]
 
+    # many small blocks a group, about BUCKET_ROWS rows
+    buckets = blocked.withColumn("_bucket", F.pmod(F.xxhash64("_block"), F.lit(rows.count() // BUCKET_ROWS + 1)))
     kinds = dict(rows.dtypes)
-    return blocked.groupBy("_block").applyInPandas(fold, f"course_id {kinds['course_id']}, id {kinds['id']}, title string, type string, due {kinds['due']}, weight double, members long")
+    return buckets.groupBy("_bucket").applyInPandas(fold, f"course_id {kinds['course_id']}, id {kinds['id']}, title string, type string, due {kinds['due']}, weight double, members long")
 
 
 def gradebook_match(grades: DataFrame, items: DataFrame) -> DataFrame:
