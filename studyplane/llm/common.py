@@ -50,6 +50,12 @@ def small_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
 
 
+def distinct_names(keep: tuple[str, ...], made: tuple[str, ...]) -> None:
+    """An error where columns to keep would stand twice in a result."""
+    if set(made) & set(keep) or len(set(keep)) < len(keep):
+        raise ValueError(f"keep names a column of the result, or one twice: {keep}")
+
+
 #: Caches that stay in a Python worker between tasks.
 _CACHES: list = []
 

@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import lasting, over_batches, over_group, ragged, slices, small_batches, within, written
+from .common import distinct_names, lasting, over_batches, over_group, ragged, slices, small_batches, within, written
 from .words import ALNUM, LOWER, word_bounds, word_hashes
 
 #: Words of a window, bytes of one shard of documents, of one block of benchmark text, and of all blocks that go out in one pass.
@@ -261,9 +261,7 @@ def decontaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW,
     a larger benchmark takes more passes. Null texts have no words; null item ids count as the empty id; items with the same id are one;
     null ids and repeated rows are kept; other columns are read only where `keep` names them, and `keep` must not name a column of the
     result; an empty benchmark hits nothing; no rows give no rows."""
-    made = {"doc_id", "n_words", "n_hit", "items", "spans"}
-    if made & set(keep) or len(set(keep)) < len(keep):
-        raise ValueError(f"keep names a column of the result, or one twice: {keep}")
+    distinct_names(keep, ("doc_id", "n_words", "n_hit", "items", "spans"))
     spark = docs.sparkSession
     small_batches(spark)
     items = benchmark.select(F.coalesce(F.col(item_col).cast("string"), F.lit("")).alias("item"), F.col(item_text_col).alias("text")).filter(F.length("text") > 0)

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import over_batches, ragged, slices, small_batches
+from .common import distinct_names, over_batches, ragged, slices, small_batches
 from .words import LOWER
 
 #: n-gram lengths in bytes, and the bins that they are hashed into.
@@ -108,7 +108,7 @@ def has_letter(text: Column) -> Column:
 def fit(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> CentroidModel | None:
     """A model of the rows where train holds, lang isn't null and the text has a letter.
 
-    A bounded sample of labelled rows: each language's rows are drawn by a hash of their id and text at a rate that leaves
+    A bounded sample of labelled rows: each language's rows are drawn by a hash of their id at a rate that leaves
     SAMPLE_PER_LANGUAGE of them (fewer if there are over SAMPLE / SAMPLE_PER_LANGUAGE languages, of which at most SAMPLE count). Grams are counted in the tasks."""
     small_batches(docs.sparkSession)
     rows = docs.filter(train & F.col(lang_col).isNotNull() & has_letter(F.col(text_col))).select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text"), F.xxhash64(F.col(id_col).cast("string"), F.lit("langid")).alias("draw"))
@@ -134,7 +134,9 @@ def identified(docs: DataFrame, model: CentroidModel | None, max_distance: float
     """doc_id, lang_pred, score (cosine to the nearest centroid) and rejected (farther than max_distance, or `und`) of each row.
 
     `und` with score 0: the text is null or has no letter, or there is no model. The whole text counts, however long. Null ids and
-    repeated rows are kept; other columns are read only where `keep` names them; no rows give no rows."""
+    repeated rows are kept; other columns are read only where `keep` names them, which must not name a column of the result; no rows give
+    no rows."""
+    distinct_names(keep, ("doc_id", "lang_pred", "score", "rejected"))
     small_batches(docs.sparkSession)
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import over_batches, ragged, slices, small_batches, written
+from .common import distinct_names, over_batches, ragged, slices, small_batches, written
 from .words import LOWER, NOT_BLANK, word_bounds, word_hashes
 
 #: Byte classes whose shares are features: letters by case, digits, blanks, line ends, beyond ASCII, then each mark of ASCII.
@@ -82,7 +82,10 @@ def _matrix(column: pa.Array) -> np.ndarray:
 
 
 def featured(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = (), model: QualityModel | None = None) -> DataFrame:
-    """doc_id, `keep` and x (float features as bytes) of every whole text, or its score by the model instead of x; null counts as empty."""
+    """doc_id, `keep` and x (float features as bytes) of every whole text, or its score by the model instead of x; null counts as empty.
+
+    `keep` must not name a column of the result, nor one twice."""
+    distinct_names(keep, ("doc_id", "x", "score"))
     small_batches(docs.sparkSession)
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -494,6 +494,15 @@ def test_prior_without_negatives():
         assert abs(quality.prior_from(rows, score(8000, True)) - prior) < 0.05
 
 
+def test_columns_to_keep_must_not_clash(spark, rows):
+    docs = documents(spark, rows)
+    bench = spark.createDataFrame([(1, "a b")], "item_id long, text string")
+    for made in (lambda: quality.featured(docs, keep=("score",)), lambda: langid.identified(docs, None, keep=("source", "source")), lambda: decontaminate.decontaminated(docs, bench, keep=("doc_id",))):
+        with pytest.raises(ValueError):
+            made()
+    assert langid.identified(docs, None, keep=("n", "Text2")).columns == ["doc_id", "n", "Text2", "lang_pred", "score", "rejected"]
+
+
 def test_no_rows(spark):
     none = documents(spark, [])
     bench = spark.createDataFrame([(1, "a b")], "item_id long, text string")
