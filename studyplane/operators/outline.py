@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import outline_type
+from ..functions.text import fnv1a, outline_type
 
 #: Line patterns (fixed values). Each is tried on a trimmed line.
 WEIGHT_LINE = r"^(.*?[A-Za-z)])[ .:|-]*\(?([0-9]+(?:\.[0-9]+)?) ?%\)?"
@@ -118,3 +118,31 @@ def quality(items: DataFrame, promised: DataFrame) -> DataFrame:
     s = items.groupBy("doc_id").agg(F.sum(F.col("weight") * F.col("count")).alias("weight_sum"), F.sum("count").alias("found"))
     out = s.join(promised, "doc_id", "left")
     return out.withColumns({"weights_ok": F.abs(F.col("weight_sum") - 100) <= 5, "complete": F.coalesce(F.col("found") >= F.col("promised"), F.lit(True))})
+
+
+#: "Quiz 2 ... is due: Monday" in an announcement (fixed values), and how many such phrases of one are taken.
+ANNOUNCED = r"(?i)\b((?:assignment|quiz|lab|project|mid[- ]?term|final(?:\s+exam)?|homework|hw)\s*#?\s*[0-9]*|a\s*[0-9]+|q\s*[0-9]+)\b[^.!?]{0,60}?\b(?:due|deadline)\b[:\s]+([^.!?]{3,60})"
+ANNOUNCED_MOST = 5
+
+
+def announced(posts: DataFrame) -> DataFrame:
+    """Items that a post says are due: post_id, number (from 0), title and label, as the post has them; hidden posts and null texts have none.
+
+    posts: post_id, text, hidden."""
+    flat = F.trim(F.regexp_replace("text", r"\s+", " "))
+    g = lambda k: F.regexp_extract_all(flat, F.lit(ANNOUNCED), F.lit(k))
+    found = posts.filter(~F.coalesce("hidden", F.lit(False))).select("post_id", F.posexplode(F.slice(F.arrays_zip(g(1).alias("title"), g(2).alias("label")), 1, ANNOUNCED_MOST)).alias("number", "m"))
+    return found.select("post_id", "number", F.trim(F.regexp_replace("m.title", r"\s+", " ")).alias("title"), F.trim("m.label").alias("label"))
+
+
+def fingerprints(outlines: DataFrame, instances: DataFrame, categories: DataFrame, deadlines: DataFrame) -> DataFrame:
+    """course_id and fingerprint: a hash of what an outline means, whatever its headers and pages.
+
+    outlines: course_id, code, term; the others: course_id, ord and line (an instance, category or relative deadline as text). Equal lines in
+    equal order give equal hashes; an outline's lines are one text, as long as its outline."""
+    parts = outlines.select("course_id", F.lit(0).alias("part"), F.lit(0).cast("long").alias("ord"), F.concat_ws("::", F.coalesce("code", F.lit("")), F.coalesce("term", F.lit(""))).alias("line"))
+    for n, rows in enumerate((instances, categories, deadlines), 1):
+        parts = parts.unionByName(rows.select("course_id", F.lit(n).alias("part"), F.col("ord").cast("long").alias("ord"), "line"))
+    lines = F.array_sort(F.collect_list(F.struct("part", "ord", "line")))
+    joined = parts.groupBy("course_id").agg(F.array_join(F.transform(lines, lambda x: x["line"]), "::").alias("text"))
+    return joined.join(outlines.select("course_id"), "course_id", "left_semi").select("course_id", F.lower(F.hex(fnv1a(F.col("text")))).alias("fingerprint"))

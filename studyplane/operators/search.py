@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import search_score, searchable, snippet
@@ -21,3 +21,15 @@ def search(index: DataFrame, query: str, limit: int = 40) -> DataFrame:
     hay = searchable(F.col("title"), F.col("body"), F.col("kind"))
     hits = index.withColumn("score", search_score(query, hay)).filter("score > 0")
     return hits.orderBy(F.desc("score"), "title", "id").limit(limit).select("id", "kind", "score", snippet(F.col("body"), query).alias("snippet"))
+
+
+def entries(rows: DataFrame, mark: str, key: str, kind: Column, title: Column, body: Column) -> DataFrame:
+    """Rows of one kind of thing in the shape of the index: id, kind, title and the first INDEXED characters of body, as the index keeps them."""
+    return rows.select(F.concat_ws(":", F.lit("si"), F.lit(mark), F.col(key).cast("string")).alias("id"), kind.alias("kind"), title.cast("string").alias("title"), F.left(F.coalesce(body, F.lit("")), F.lit(INDEXED)).alias("body"))
+
+
+def together(first: DataFrame, *more: DataFrame) -> DataFrame:
+    """One index of several kinds."""
+    for rows in more:
+        first = first.unionByName(rows)
+    return first
