@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators import gaps
 from ..operators import reasons as why
 from .planning import ITEMS, items
 from .registry import query, table
@@ -63,3 +64,38 @@ def item_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
     rules = c.select("course_id", F.lit(1).alias("ord"), kind.alias("kind"), F.array(part(["midterm", "final"], None), part([], "7")).alias("components"), F.lit(30.0).alias("required"), F.lit(60.0).alias("available"), F.when(course % 5 == 0, 49.5).otherwise(60.0).alias("cap"), F.lit(50.0).alias("minimum"), F.lit("Labs").alias("category"), F.lit("late").alias("condition"))
     links = rows.filter("id % 9 < 3").select("id", F.lit(0).alias("ord"), F.when(k % 9 == 0, "CLARIFIES").when(k % 9 == 1, "CHANGES_DEADLINE_OF").otherwise("CONTAINS").alias("kind"), F.when(k % 9 == 0, F.col("o_orderpriority")).alias("label"))
     return why.in_order(why.reasons(rows), why.rule_reasons(rows, rules), why.link_reasons(links))
+
+
+GAPS = r"""c AS (SELECT c_custkey AS course_id, c_custkey % 4 <> 0 AS outlined, c_custkey % 7 / 7.0 AS score, c_custkey % 11 = 1 AS incomplete FROM customer),
+i AS (SELECT id AS item_id, course_id, kind AS type, kind || ' ' || (id % 4) AS key, weight, certainty <> 'unknown' AS dated, is_open, id % 3 = 0 AS materials FROM h),
+n AS (SELECT course_id, k, CASE k WHEN 0 THEN 'Quiz 1' WHEN 1 THEN 'LAB  2' WHEN 2 THEN 'Midterm' WHEN 3 THEN 'Essay ' || (course_id % 3) ELSE 'assignment 3' END AS title, CASE WHEN k <> 1 THEN 4.0 * k END AS weight, CASE k WHEN 0 THEN 'quiz' WHEN 1 THEN 'lab' WHEN 2 THEN 'midterm' WHEN 3 THEN 'other' ELSE 'assignment' END AS type, k = 0 AS dated,
+   CASE WHEN k IN (0, 1) THEN 'Labs' ELSE 'Other work' END AS category, regexp_replace(lower(CASE k WHEN 0 THEN 'Quiz 1' WHEN 1 THEN 'LAB  2' WHEN 2 THEN 'Midterm' WHEN 3 THEN 'Essay ' || (course_id % 3) ELSE 'assignment 3' END), '\s+', ' ', 'g') AS key FROM c, range(5) r(k) WHERE outlined),
+p AS (SELECT course_id, v.* FROM c, (VALUES ('Labs', 3, 'lab'), ('Quizzes', 6, 'quiz'), ('Discussion board', 2, 'discussion'), ('Other  work', 1, 'other')) v(name, promised, word) WHERE outlined),
+q AS (SELECT p.*, (SELECT count(*) FROM i WHERE i.course_id = p.course_id AND (CASE WHEN word IN ('lab', 'quiz') THEN i.type = word ELSE false END OR contains(i.key, word))) AS have,
+   greatest(promised, (SELECT count(*) FROM n WHERE n.course_id = p.course_id AND (lower(n.category) = regexp_replace(lower(p.name), '\s+', ' ', 'g') OR (word IN ('lab', 'quiz') AND n.type = word)))) AS expected FROM p),
+m AS (SELECT n.course_id, n.k, min(i.item_id) AS item_id FROM n JOIN i ON i.course_id = n.course_id AND (contains(i.key, n.key) OR contains(n.key, i.key)) GROUP BY ALL),
+z AS (SELECT n.*, i.item_id, i.weight AS lw, i.type AS lt, i.dated AS ld, i.is_open, i.materials FROM n LEFT JOIN m ON m.course_id = n.course_id AND m.k = n.k LEFT JOIN i ON i.item_id = m.item_id)"""
+
+
+@query(f"""WITH {ITEMS}, {GAPS} SELECT course_id, 'incomplete_blueprint' AS kind, NULL AS subject, 'warn' AS severity FROM c WHERE NOT outlined AND course_id % 3 <> 0
+UNION ALL SELECT course_id, 'quality_incomplete', NULL, CASE WHEN incomplete THEN 'block' ELSE 'warn' END FROM c WHERE outlined AND (incomplete OR score < 0.55)
+UNION ALL SELECT course_id, 'section_unresolved', NULL, 'warn' FROM c WHERE outlined AND course_id % 5 = 1 AND course_id % 2 = 0
+UNION ALL SELECT course_id, 'promised_count_shortfall', name, CASE WHEN have = 0 THEN 'block' ELSE 'warn' END FROM q WHERE expected >= 2 AND have < least(expected, greatest(1, expected - 1))
+UNION ALL SELECT course_id, 'missing_assessment', left(key, 40), CASE WHEN coalesce(weight, 0) >= 5 OR type IN ('midterm', 'final') THEN 'block' ELSE 'warn' END FROM z WHERE item_id IS NULL
+UNION ALL SELECT course_id, 'missing_weight', item_id::VARCHAR, 'warn' FROM z WHERE item_id IS NOT NULL AND lw IS NULL AND weight IS NULL
+UNION ALL SELECT course_id, 'missing_date', item_id::VARCHAR, 'warn' FROM z WHERE item_id IS NOT NULL AND NOT ld AND NOT dated AND (lt IN ('midterm', 'final') OR coalesce(weight, lw, 0) >= 8)
+UNION ALL SELECT course_id, 'missing_material', item_id::VARCHAR, 'warn' FROM z WHERE item_id IS NOT NULL AND is_open AND lt IN ('lab', 'assignment', 'project') AND coalesce(lw, weight, 0) >= 5 AND NOT materials""")
+def model_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Gaps of customers as courses, of which three in four have an outline of five items in four categories."""
+    k = F.col("course_id")
+    c = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("course_id"))
+    courses = c.select("course_id", (k % 4 != 0).alias("outlined"), F.when(k % 3 == 0, "missing").otherwise("parsed").alias("status"), (k % 7 / 7.0).alias("score"), (k % 11 == 1).alias("incomplete"), (k % 5 == 1).alias("section_needed"), (k % 2 != 0).alias("section_known"))
+    outlined = courses.filter("outlined").select("course_id")
+    essay = F.concat(F.lit("Essay "), (k % 3).cast("string"))
+    told = [(F.lit("Quiz 1"), 0.0, "quiz", "Labs"), (F.lit("LAB  2"), None, "lab", "Labs"), (F.lit("Midterm"), 8.0, "midterm", "Other work"), (essay, 12.0, "other", "Other work"), (F.lit("assignment 3"), 16.0, "assignment", "Other work")]
+    one = lambda t, w, kind, name: F.struct(t.alias("title"), F.lit(w).cast("double").alias("weight"), F.lit(kind).alias("type"), F.lit(w == 0.0).alias("dated"), F.lit(name).alias("category"))
+    instances = outlined.select("course_id", F.inline(F.array(*(one(*x) for x in told))))
+    categories = outlined.select("course_id", F.inline(F.array(*(F.struct(F.lit(n).alias("name"), F.lit(m).alias("promised")) for n, m in (("Labs", 3), ("Quizzes", 6), ("Discussion board", 2), ("Other  work", 1))))))
+    i = items(spark, sf_dir)
+    live = i.select(F.col("id").alias("item_id"), "course_id", F.col("id").alias("ord"), F.col("kind").alias("type"), F.concat_ws(" ", "kind", (F.col("id") % 4).cast("string")).alias("key"), "weight", (F.col("certainty") != "unknown").alias("dated"), "open", (F.col("id") % 3 == 0).alias("materials"))
+    return gaps.course_gaps(courses).unionByName(gaps.count_gaps(categories, instances, live)).unionByName(gaps.instance_gaps(instances, live))
