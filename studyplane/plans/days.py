@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import day, outline, search
+from ..operators import day, grades, outline, search
+from .grading import ASSESSMENTS, STANDING, assessments
 from .library import _FNV
 from .linked import _pick
 from .planning import ITEMS, ZONE, _now, items
@@ -169,3 +170,13 @@ def outline_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
         lines(p.filter(size % 10 == 0), "p_type", F.lit("||best|drop0")),
         lines(p.filter(size % 15 == 0), s, F.lit("|lab|"), "p_name"),
     )
+
+
+@query(f"""WITH {ASSESSMENTS}, {STANDING.format(source="a")}, p AS (SELECT *, course_id % 100 AS student, row_number() OVER (PARTITION BY course_id % 100 ORDER BY course_id) AS place FROM t)
+SELECT student, course_id, place, 'C' || course_id || CASE WHEN calculated IS NOT NULL THEN printf(': %.1f%% on %.0f%% graded', floor(calculated * 10 + 0.5) / 10, floor(completed_weight + 0.5)) ELSE ': standing unknown (' || graded_count || ' graded)' END AS line FROM p WHERE place <= 6""")
+def standing_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A line on each of the first six courses of each student, who has the orders that share the last two digits."""
+    s = grades.standing(assessments(spark, sf_dir))
+    course = F.col("course_id")
+    rows = s.select((course % 100).alias("student"), "course_id", course.alias("ord"), F.concat(F.lit("C"), course.cast("string")).alias("code"), F.col("calculated_percent").alias("calculated"), F.col("completed_weight").alias("completed"), F.col("graded_count").alias("graded"))
+    return day.standing_lines(rows)
