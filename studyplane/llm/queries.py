@@ -1,4 +1,4 @@
-"""The registered queries of the ten operators: each applies its operator to its whole table and derives the digest columns."""
+"""The registered queries of the operators: each applies its operator to its whole table and derives the digest columns."""
 
 from __future__ import annotations
 
@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, html_main, jaccard, langid, lm, packing, quality, sharding, sql, tokens, topk
+from . import decontaminate, html_main, jaccard, langid, lines, lm, packing, quality, sharding, sql, tokens, topk
 
 
 def vocabulary(name: str) -> str:
@@ -83,9 +83,14 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", (fold(4) == 2).alias("held_out"), "lang_pred", "score", "rejected")
 
 
+def op11_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = lines.deduplicated(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality, op2_top_k, op3_ngram_join, op4_token_counts, op5_decontaminate, op6_lm, op7_packing, op8_sharding, op9_main_text, op10_language)}
+    return {f.__name__: f for f in (op1_quality, op2_top_k, op3_ngram_join, op4_token_counts, op5_decontaminate, op6_lm, op7_packing, op8_sharding, op9_main_text, op10_language, op11_line_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_top_k": sql.TOP_K, "op3_ngram_join": sql.NGRAM_JOIN, "op5_decontaminate": sql.DECONTAMINATION}
+    return {"op2_top_k": sql.TOP_K, "op3_ngram_join": sql.NGRAM_JOIN, "op5_decontaminate": sql.DECONTAMINATION, "op11_line_dedup": sql.LINE_DEDUP}
