@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, html_main, jaccard, langid, lexical, lines, lm, packing, quality, sharding, sql, tokens, topk
+from . import collocations, decontaminate, html_main, jaccard, langid, lexical, lines, lm, packing, quality, sharding, sql, tokens, topk
 
 
 def vocabulary(name: str) -> str:
@@ -92,9 +92,13 @@ def op12_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lexical.ranked(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.mined(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality, op2_top_k, op3_ngram_join, op4_token_counts, op5_decontaminate, op6_lm, op7_packing, op8_sharding, op9_main_text, op10_language, op11_line_dedup, op12_ranked_search)}
+    return {f.__name__: f for f in (op1_quality, op2_top_k, op3_ngram_join, op4_token_counts, op5_decontaminate, op6_lm, op7_packing, op8_sharding, op9_main_text, op10_language, op11_line_dedup, op12_ranked_search, op13_collocations)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_top_k": sql.TOP_K, "op3_ngram_join": sql.NGRAM_JOIN, "op5_decontaminate": sql.DECONTAMINATION, "op11_line_dedup": sql.LINE_DEDUP, "op12_ranked_search": sql.RANKED_SEARCH}
+    return {"op2_top_k": sql.TOP_K, "op3_ngram_join": sql.NGRAM_JOIN, "op5_decontaminate": sql.DECONTAMINATION, "op11_line_dedup": sql.LINE_DEDUP, "op12_ranked_search": sql.RANKED_SEARCH, "op13_collocations": sql.COLLOCATIONS}

@@ -65,3 +65,21 @@ s AS (SELECT item_id, doc_id, sum(repeats * weight * ((1000000000 * tf) // (1000
 r AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id)::INT AS rank FROM s WHERE score > 0)
 SELECT item_id, rank, doc_id, score FROM r WHERE rank <= 20
 """
+
+COLLOCATIONS = rf"""
+WITH p AS (SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array({_FOLDED}, '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+w AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM p),
+g AS (SELECT lang, k, unnest(list_transform(range(1, len(w) - k + 2), lambda i: array_to_string(w[i:i + k - 1], ' '))) AS phrase FROM w, (SELECT unnest([1, 2, 3]) AS k) WHERE len(w) >= k),
+f AS MATERIALIZED (SELECT lang, k, phrase, count(*)::HUGEINT AS a FROM g GROUP BY ALL),
+v AS MATERIALIZED (SELECT lang || chr(31) || phrase AS key, a FROM f WHERE a >= 10),
+n AS (SELECT lang, sum(a)::BIGINT AS n FROM f WHERE k = 1 GROUP BY lang),
+c AS (SELECT *, string_split(phrase, ' ') AS w FROM f WHERE k > 1 AND a >= 10),
+u AS MATERIALIZED (SELECT lang, k, phrase, a, 1 AS cut, w[1] AS x, array_to_string(w[2:], ' ') AS y FROM c UNION ALL SELECT lang, k, phrase, a, 2, array_to_string(w[:2], ' '), w[3] FROM c WHERE k = 3),
+s AS (SELECT u.lang, u.k, u.phrase, u.a, cut, x.a AS l, y.a AS r, (1000000 * u.a * u.a) // (x.a * y.a) AS score FROM u JOIN v x ON x.key = u.lang || chr(31) || u.x JOIN v y ON y.key = u.lang || chr(31) || u.y),
+b AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, cut) = 1),
+h AS (SELECT lang, unnest([array_to_string(w[1:2], ' '), array_to_string(w[2:3], ' ')]) AS phrase, a AS longer FROM c WHERE k = 3),
+d AS (SELECT lang, phrase, max(longer) AS longer FROM h GROUP BY ALL),
+e AS (SELECT b.* FROM b LEFT JOIN d ON k = 2 AND d.lang = b.lang AND d.phrase = b.phrase WHERE longer IS NULL OR 100 * longer < 50 * a),
+o AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM e)
+SELECT lang, rank, phrase, a::BIGINT AS a, l::BIGINT AS l, r::BIGINT AS r, n, score::BIGINT AS score FROM o JOIN n USING (lang) WHERE rank <= 2000
+"""
