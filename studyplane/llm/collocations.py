@@ -18,11 +18,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import mixed, over_batches, over_group, ragged, small_batches, within, written
+from .common import mixed, over_batches, over_group, ragged, slices, small_batches, written
 from .words import LOWER, word_bounds, word_hashes
 
-#: Bytes of text counted at once (one batch's rows at least), and of text whose windows meet in one bucket, about.
-FLUSH_BYTES, BUCKET_BYTES = 1 << 24, 1 << 24
+#: Bytes of text counted at once (one text at least), and of text whose windows meet in one bucket, about.
+FLUSH_BYTES, BUCKET_BYTES = 1 << 23, 1 << 23
 
 #: Windows of one pair that a flush deals by pair, at most and at least; between them, as many as keep a bucket's surplus under SURPLUS.
 WIDE, LEAST_WIDE, SURPLUS = 256, 4, 1 << 21
@@ -41,18 +41,18 @@ _RECORD = "bucket long, kind int, lang string, n long, words binary, w1 binary,
 _COLUMNS = [x.split()[0] for x in _RECORD.split(", ")]
 
 
-def _strings(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> pa.Array:
-    """Slices of bytes as an Arrow array."""
-    size = ends - starts
-    at = np.concatenate([[0], np.cumsum(size)]).astype(np.int64)
-    body = data[np.repeat(starts, size) + within(size)] if at[-1] else np.zeros(0, np.uint8)
-    return pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(size), [None, pa.py_buffer(at.tobytes()), pa.py_buffer(body.tobytes())])
+def _strings(body: np.ndarray, size: np.ndarray) -> pa.Array:
+    """Bytes laid end to end as an Arrow array of strings of these sizes."""
+    at = np.zeros(len(size) + 1, np.int64)
+    np.cumsum(size, out=at[1:])
+    return pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(size), [None, pa.py_buffer(at), pa.py_buffer(body)])
 
 
-def _split(joined: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _split(joined: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Bytes and sizes of words joined by spaces."""
     data = np.frombuffer(joined, np.uint8)
     gaps = np.flatnonzero(data == 0x20)
-    return data, np.concatenate([[0], gaps + 1]), np.append(gaps, len(data))
+    return data[data != 0x20], np.diff(np.concatenate([[-1], gaps, [len(data)]])) - 1
 
 
 def _packed(x: np.ndarray) -> bytes:
@@ -68,7 +68,7 @@ def windows(texts: pa.Array, lang: np.ndarray) -> tuple[pa.Array, np.ndarray, np
     data, offsets = ragged(texts)
     data = LOWER[data]
     starts, ends, rows = word_bounds(data, offsets, WORD)
-    coded = _strings(data, starts, ends).dictionary_encode()
+    coded = _strings(data[WORD[data]], ends - starts).dictionary_encode()  # words are all bytes of their kind
     w = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64) + 1
     breaks = np.zeros(len(data) + 1, np.int64)
     np.cumsum(PIECE_END[data], out=breaks[1:])
@@ -138,11 +138,13 @@ def dealt(docs: DataFrame, bits: int, wide: int) -> DataFrame:
             return pa.RecordBatch.from_arrays([pa.array([o[k] for o in out], x) for k, x in enumerate(kinds)], _COLUMNS)
 
         for b in batches:
-            if held and size + b.nbytes > FLUSH_BYTES:
-                yield sent()
-                held, size = [], 0
-            held.append(b)
-            size += b.nbytes
+            _, offsets = ragged(b.column(1))
+            for i, j in slices(offsets, FLUSH_BYTES):
+                if held and size + offsets[j] - offsets[i] > FLUSH_BYTES:
+                    yield sent()
+                    held, size = [], 0
+                held.append(b.slice(i, j - i))
+                size += offsets[j] - offsets[i]
         if held:
             yield sent()
 
