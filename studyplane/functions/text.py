@@ -7,8 +7,10 @@ from __future__ import annotations
 import re
 from collections.abc import Sequence
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType
 
 from .state import filled
 
@@ -21,6 +23,25 @@ def bounded(pattern: str) -> str:
     return pattern.replace(r"\b", _BOUND)
 
 
+@F.pandas_udf(BooleanType())
+def _compiles(patterns: pd.Series) -> pd.Series:
+    def one(p: str | None) -> bool:
+        try:
+            re.compile(p or "")
+        except re.error:
+            return False
+        return True
+
+    return patterns.map(one)
+
+
+def title_pattern(pattern: Column) -> Column:
+    r"""A title pattern as it is matched: in any case, its own escapes kept; one that isn't a regular expression stands for itself.
+
+    Only rules are looked at so, before they meet items; null stays null."""
+    return F.concat(F.lit("(?iu)"), F.when(_compiles(pattern), pattern).otherwise(F.concat(F.lit(r"\Q"), F.replace(pattern, F.lit(r"\E"), F.lit(r"\E\\E\Q")), F.lit(r"\E"))))
+
+
 #: Ladders of (type, pattern) tried in order over lower-cased text (fixed values): of items of the system, and of outline lines.
 TYPE_LADDER = (
     ("final", r"\bfinal\b"),

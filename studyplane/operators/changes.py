@@ -81,10 +81,10 @@ def superseded_in_order(facts: DataFrame) -> DataFrame:
     Authorities are the ranks of a fixed table, so the fact's own are kept as steps: for each step the next arrival of at least that
     authority is looked up by a window, over rows sorted once and not compared with each other. All steps that occur are taken."""
     ranks = sorted(r["authority"] for r in facts.select("authority").filter("authority IS NOT NULL").distinct().collect())
-    after = Window.partitionBy("entity_id", "field").orderBy("arrival").rowsBetween(1, Window.unboundedFollowing)
+    after = Window.partitionBy("entity_id", "field").orderBy(F.desc("arrival")).rowsBetween(Window.unboundedPreceding, -1)  # a frame that only grows is read once
     found = None
     for r in ranks:
-        next_one = F.first(F.when(F.col("authority") >= r, F.col("id")), ignorenulls=True).over(after)
+        next_one = F.last(F.when(F.col("authority") >= r, F.col("id")), ignorenulls=True).over(after)
         found = F.when(F.col("authority") == r, next_one) if found is None else found.when(F.col("authority") == r, next_one)
     return facts.withColumn("superseded_by", found if found is not None else F.lit(None).cast(dict(facts.dtypes)["id"]))
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.text import title_pattern
+
 
 def absorbers(items: DataFrame, rules: DataFrame, categories: DataFrame) -> DataFrame:
     """id and absorber (kind, n, of, category) of items whose miss a rule takes up: the first rule of its course for its type and words, else
@@ -73,15 +75,18 @@ def rule_reasons(items: DataFrame, rules: DataFrame) -> DataFrame:
     """Reasons from thresholds, minimums and caps of an item's course, in the order of the rules.
 
     items: id, course_id, type, title. rules: course_id, ord, kind, components (types, pattern), required, available, cap, minimum, category,
-    condition. Patterns are regular expressions over lower-cased titles; an invalid one is an error."""
+    condition. Patterns are regular expressions in any case; an invalid one is a part of the title."""
     c = F.col
-    title = F.lower(F.coalesce("title", F.lit("")))
-    hit = F.exists("components", lambda x: ((F.size(x["types"]) == 0) | F.array_contains(x["types"], c("type"))) & (x["pattern"].isNull() | F.coalesce(F.rlike(title, F.lower(x["pattern"])), F.lit(False))))
+    title = F.coalesce("title", F.lit(""))
+    hit = F.exists(F.arrays_zip("components", "patterns"), lambda z: ((F.size(z["components"]["types"]) == 0) | F.array_contains(z["components"]["types"], c("type"))) & (z["patterns"].isNull() | F.coalesce(F.rlike(title, z["patterns"]), F.lit(False))))
     said = (
         F.when((c("kind") == "CombinedComponentThreshold") & hit, F.concat(F.lit("Combined threshold: need "), number(c("required")), F.lit("/"), number(c("available")), F.lit(" pts (cap "), number(c("cap")), F.lit("%)")))
         .when((c("kind") == "MinimumComponentPass") & (c("type") != "quiz"), F.concat(F.lit("Minimum "), number(c("minimum")), F.lit("% in "), c("category")))
         .when(c("kind") == "GradeCap", F.concat(F.lit("Grade cap "), number(c("cap")), F.lit("% — "), c("condition")))
     )
+    each = rules.select("course_id", "ord", F.posexplode("components").alias("k", "c")).select("course_id", "ord", "k", title_pattern(c("c.pattern")).alias("p"))
+    patterns = each.groupBy("course_id", "ord").agg(F.array_sort(F.collect_list(F.struct("k", "p"))).alias("patterns"))
+    rules = rules.join(patterns, ["course_id", "ord"], "left").withColumn("patterns", F.transform("patterns", lambda x: x["p"]))
     met = items.select("id", "course_id", "type", "title").join(rules, "course_id").select("id", F.lit(GRADE_RULE).alias("branch"), c("ord").cast("long").alias("ord"), F.lit("grade_rule").alias("code"), said.alias("text"))
     return met.filter("text IS NOT NULL")
 

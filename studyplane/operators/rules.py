@@ -12,6 +12,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.text import title_pattern
+
 #: All kinds of rules (fixed values).
 KINDS = (
     "BestN DropLowest EqualWeightCategory ExplicitWeight CategoryWeight Threshold CombinedComponentThreshold GradeCap MinimumComponentPass RelativeDeadline OccurrenceRelativeDeadline SectionOccurrence "
@@ -78,16 +80,16 @@ def last_caps(items: DataFrame, rules: DataFrame) -> DataFrame:
     """Per course the last rule in order that sets a cap: rule_id, cap, and combined (the cap is then the standing, where that is lower).
 
     A threshold looks at its first graded item. A combined threshold adds up the first item of each component, graded or not, and counts once
-    the weights of graded ones reach what is available; a title pattern is a word or a regular expression, in any case."""
+    the weights of graded ones reach what is available; a title pattern is a regular expression in any case, and one that isn't valid a part of
+    the title."""
     i = items.alias("i")
     one = rules.filter("kind = 'Threshold' AND cap IS NOT NULL").alias("r")
     hit = one.join(i, (F.col("i.course_id") == F.col("r.course_id")) & F.col("i.percent").isNotNull() & matches(F.col("r.types"), F.lit(None).cast("string"), F.col("i.type"), F.col("i.title")))
     first = hit.groupBy("r.course_id", "r.rule_id", "r.ord", "r.cap", "r.threshold").agg(F.min_by("i.percent", "i.ord").alias("p")).filter("p < threshold")
     set_ = first.select("course_id", "rule_id", "ord", "cap", F.lit(False).alias("combined"))
     always = rules.filter("kind = 'GradeCap'").select("course_id", "rule_id", "ord", "cap", F.lit(False).alias("combined"))
-    part = rules.filter("kind = 'CombinedComponentThreshold'").select("course_id", "rule_id", "ord", "cap", "required", "available", F.posexplode("components").alias("k", "c")).alias("r")
-    pattern = F.col("r.c.title_pattern")
-    titled = pattern.isNull() | F.when(pattern.rlike("^[A-Za-z0-9 ]*$"), F.lower("i.title").contains(F.lower(pattern))).otherwise(F.regexp_like(F.lower("i.title"), F.lower(pattern)))
+    part = rules.filter("kind = 'CombinedComponentThreshold'").select("course_id", "rule_id", "ord", "cap", "required", "available", F.posexplode("components").alias("k", "c")).withColumn("pattern", title_pattern(F.col("c.title_pattern"))).alias("r")
+    titled = F.col("r.pattern").isNull() | F.coalesce(F.regexp_like("i.title", F.col("r.pattern")), F.lit(False))
     found = part.join(i, (F.col("i.course_id") == F.col("r.course_id")) & matches(F.col("r.c.types"), F.lit(None).cast("string"), F.col("i.type"), F.col("i.title")) & titled, "left")
     each = found.groupBy("r.course_id", "r.rule_id", "r.ord", "r.cap", "r.required", "r.available", "r.k", F.col("r.c.weight").alias("w")).agg(F.min_by(F.struct("i.percent"), "i.ord")["percent"].alias("p"))
     known = F.col("p").isNotNull()

@@ -82,11 +82,12 @@ def course_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
     return capture.with_sections(courses, n.filter("course_id % 2 = 0").select("course_id", F.when(F.col("course_id") % 4 != 0, "B").alias("section"), F.col("n_name").alias("lab_section"), none.alias("lecture_section")))
 
 
-@query("""SELECT p_partkey AS rule_id, 'other' AS source FROM part WHERE p_partkey BETWEEN 1 AND 40 UNION ALL SELECT p_partkey, 'blueprint' FROM part WHERE p_partkey BETWEEN 41 AND 60 UNION ALL SELECT p_partkey, 'hint' FROM part WHERE p_partkey BETWEEN 61 AND 99""")
+@query("""SELECT p_partkey AS rule_id, CASE WHEN p_size < 20 THEN 'other' WHEN p_size < 30 THEN 'blueprint' ELSE 'hint' END AS source FROM part""")
 def merged_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = table(spark, sf_dir, "part").withColumn("rule_id", F.col("p_partkey"))
-    part = lambda a, b, name: p.filter(F.col("rule_id").between(a, b)).select("rule_id", F.lit(name).alias("source"))
-    return capture.merged_rules(part(1, 40, "other"), part(41, 60, "blueprint"), part(50, 99, "hint"))
+    """Every part is a rule; those of sizes from 25 on are hints as well."""
+    size = F.col("p_size")
+    part = lambda which, name: table(spark, sf_dir, "part").filter(which).select(F.col("p_partkey").alias("rule_id"), F.lit(name).alias("source"))
+    return capture.merged_rules(part(size < 20, "other"), part((size >= 20) & (size < 30), "blueprint"), part(size >= 25, "hint"))
 
 
 @query("""WITH u AS (SELECT user_id AS student_id, event_id AS change_id, 0 AS late, event_id FROM events WHERE event_type = 'error' UNION ALL SELECT user_id, event_id, 1, event_id FROM events WHERE event_type = 'view' AND event_id % 2 = 0)

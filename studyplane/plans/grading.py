@@ -175,7 +175,7 @@ def ruled(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataF
         rule(k % 2 == 0, 1, "best", "BestN", 2, 3),
         rule(k % 3 == 0, 2, "low", "DropLowest", 1, types=("final",)),
         rule(k % 5 == 0, 3, "quiz", "Threshold", types=("quiz",), threshold=95, cap=88),
-        rule(k % 7 == 0, 4, "both", "CombinedComponentThreshold", cap=45, components=[("midterm", None, 25.0), ("final", "final", 35.0)], required=57, available=60),
+        rule(k % 7 == 0, 4, "both", "CombinedComponentThreshold", cap=45, components=[("midterm", None, 25.0), ("final", r"FINAL\s\S", 35.0)], required=57, available=60),
         rule(k % 11 == 0, 5, "cap", "GradeCap", cap=90),
         rule(k % 13 == 0, 6, "tool", "ExternalActivity", 1, 1, types=("quiz", "midterm")),
         rule(k % 2 == 1, 7, "pass", "MinimumComponentPass", threshold=99, cap=1),

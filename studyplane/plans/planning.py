@@ -228,10 +228,11 @@ def field_resolution(spark: SparkSession, sf_dir: str) -> DataFrame:
     return changes.field_resolution(facts(spark, sf_dir))
 
 
-@query(f"""WITH {FACTS}, v AS (SELECT entity_id, date_trunc('day', valid_from)::DATE AS due, max(authority) AS p FROM f WHERE field = 'k1' GROUP BY 1, 2)
+@query(f"""WITH {FACTS}, v AS (SELECT entity_id || ':' || field AS entity_id, date_trunc('day', valid_from)::DATE AS due, max(authority) AS p FROM f GROUP BY 1, 2)
 SELECT entity_id, arg_min(due, (-p, due)) AS resolved, count(*) AS n_values, count(*) > 1 AS conflicting FROM v GROUP BY entity_id""")
 def due_conflict(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = facts(spark, sf_dir).filter("field = 'k1'").withColumn("due", F.to_date("valid_from"))
+    """The due date that the facts of each entity's field agree on, or that of the most authority."""
+    rows = facts(spark, sf_dir).withColumns({"due": F.to_date("valid_from"), "entity_id": F.concat_ws(":", F.col("entity_id").cast("string"), "field")})
     return changes.resolve_conflict(rows, "due", F.col("authority"))
 
 
