@@ -14,6 +14,9 @@ from pyspark.sql.types import StringType
 #: Distances in page units (fixed values): of a line's spans in height, of words, of columns, of the centres of one column gap.
 LINE_HEIGHT, WORD_GAP, COLUMN_GAP, GAP_CENTRES = 3.5, 1.2, 40.0, 25.0
 
+#: Distance of two cells of a table.
+CELL_GAP = 10.0
+
 #: What a page needs for columns, and where they may part, as shares of its width (fixed values).
 COLUMN_LINES, COLUMN_GAPS, LEFTMOST, RIGHTMOST = 6, 3, 0.25, 0.75
 
@@ -31,7 +34,8 @@ def _starts(sorted_values: Column, same) -> Column:
 
 def lines(spans: DataFrame) -> DataFrame:
     """Spans within LINE_HEIGHT of a line's highest span, from left to right, as lines: doc_id, page, number (from 0, downwards), text, x, y, w,
-    h, font (the largest), bold (any, or a font of 14) and gaps (centres of those as wide as between columns). Blank and null spans count for nothing.
+    h, font (the largest), bold (any, or a font of 14), gaps (centres of those as wide as between columns) and cells (texts that CELL_GAP parts,
+    else bars or wide blanks in the text). Blank and null spans count for nothing.
 
     The heights of a page are folded, not its spans; what comes together are the spans of one line."""
     usable = spans.filter(F.length(F.trim("text")) > 0).withColumn("y", F.col("y").cast("double"))
@@ -44,9 +48,11 @@ def lines(spans: DataFrame) -> DataFrame:
     end = F.lag(F.col("x") + F.col("w")).over(line)
     rows = rows.withColumns({"_end": end, "_at": F.row_number().over(line)}).withColumn("_gap", F.col("x") - F.col("_end"))
     piece = F.concat(F.when(F.col("_gap") > WORD_GAP, " ").otherwise(""), "text")
+    cell = F.sum(F.when(F.col("_gap") > CELL_GAP, 1).otherwise(0)).over(line.rowsBetween(Window.unboundedPreceding, 0))
+    rows = rows.withColumn("_cell", cell.cast("int"))
     centre = F.when(F.col("_gap") >= COLUMN_GAP, F.col("_end") + F.col("_gap") / 2)
     out = rows.groupBy(*PAGE, "number").agg(
-        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_at", piece.alias("piece")))), lambda s: s["piece"]), "").alias("raw"),
+        F.array_sort(F.collect_list(F.struct("_at", "_cell", piece.alias("piece")))).alias("pieces"),
         F.min("x").alias("x"),
         F.min("y").alias("y"),
         (F.max(F.col("x") + F.col("w")) - F.min("x")).alias("w"),
@@ -55,8 +61,16 @@ def lines(spans: DataFrame) -> DataFrame:
         (F.max("bold") | (F.max("font") >= 14)).alias("bold"),
         F.collect_list(centre).alias("gaps"),
     )
-    text = F.trim(F.regexp_replace(F.regexp_replace("raw", r"[ \t]+", " "), r" ([0-9]+\s*%)", "  $1"))
-    return out.select(*PAGE, "number", text.alias("text"), "x", "y", "w", "h", "font", "bold", "gaps")
+    tidy = lambda pieces: F.trim(F.regexp_replace(F.regexp_replace(F.array_join(F.transform(pieces, lambda s: s["piece"]), ""), r"[ \t]+", " "), r" ([0-9]+\s*%)", "  $1"))
+    apart = F.transform(F.sequence(F.lit(0), F.element_at("pieces", -1)["_cell"]), lambda c: tidy(F.filter("pieces", lambda s: s["_cell"] == c)))
+    out = out.select(*PAGE, "number", tidy(F.col("pieces")).alias("text"), "x", "y", "w", "h", "font", "bold", "gaps", apart.alias("apart"))
+    return out.withColumn("cells", F.when(F.size("apart") > 1, F.col("apart")).otherwise(text_cells(F.col("text")))).drop("apart")
+
+
+def text_cells(text: Column) -> Column:
+    """The cells of a line without geometry: between bars, else between two or more blanks."""
+    parts = lambda pattern: F.filter(F.transform(F.split(text, pattern), lambda c: F.trim(c)), lambda c: c != "")
+    return F.when(text.contains("|"), parts(r"\|")).when(F.size(parts(r"\s{2,}")) > 1, parts(r"\s{2,}")).otherwise(F.array(text))
 
 
 def columns(of_lines: DataFrame, page_width: float = 612.0) -> DataFrame:

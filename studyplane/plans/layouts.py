@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..operators import layout
+from ..operators import layout, tables
 from .registry import query, table
 
 #: The words as lines, in plain terms: word k of a document is in line k // 8 and column k % 8 of it.
@@ -61,6 +61,35 @@ def layout_kept(spark: SparkSession, sf_dir: str) -> DataFrame:
     return layout.without_repeats(layout.lines(spans(spark, sf_dir))).groupBy("doc_id").agg(F.count("*").alias("n_lines"), F.sum("number").alias("numbers"))
 
 
+#: Orders as documents: a head, four lines of lineitem a page, each a row of three cells, with a line of one span after a returned one.
+ORDERS = """o AS (SELECT l_orderkey AS doc_id, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice) - 1 AS k, * FROM lineitem),
+r AS (SELECT *, k // 4 AS page, 'Quiz ' || l_partkey || CASE WHEN l_returnflag = 'R' THEN ' by ' || l_linestatus ELSE '' END AS first FROM o)"""
+
+
+def order_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Spans of ORDERS' pages. The first page has a head, and so has the second in every third document."""
+    by = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice")
+    li = table(spark, sf_dir, "lineitem").withColumn("k", F.row_number().over(by) - 1)
+    li = li.select(F.col("l_orderkey").alias("doc_id"), F.floor(F.col("k") / 4).alias("page"), (F.col("k") % 4).alias("at"), "l_partkey", "l_suppkey", "l_quantity", "l_returnflag", "l_linestatus")
+    y = 650.0 - F.col("at") * 40
+    span = lambda x, y, text, bold=False: F.struct(F.lit(x).alias("x"), y.alias("y"), F.lit(bold).alias("bold"), text.alias("text"))
+    text = lambda s: F.col(s).cast("string")
+    row = [span(40.0, y, F.concat(F.lit("Quiz "), text("l_partkey"))), span(200.0, y, F.concat(F.col("l_quantity").cast("int").cast("string"), F.lit("%"))), span(320.0, y, F.concat(F.lit("Oct "), (F.col("l_suppkey") % 12).cast("string")))]
+    wrapped = F.when(F.col("l_returnflag") == "R", span(40.0, y - 15, F.concat(F.lit("by "), F.col("l_linestatus"))))
+    headed = (F.col("at") == 0) & ((F.col("page") == 0) | ((F.col("page") == 1) & (F.col("doc_id") % 3 == 0)))
+    heads = [F.when(headed, span(x, F.lit(700.0), F.lit(t), True)) for x, t in ((40.0, "Assessment"), (200.0, "Weight"), (320.0, "Due"))]
+    rows = li.select("doc_id", "page", "at", F.posexplode(F.array_compact(F.array(*heads, *row, wrapped))).alias("n", "s"))
+    return rows.select("doc_id", "page", (F.col("at") * 10 + F.col("n")).alias("ord"), "s.x", "s.y", F.lit(50.0).alias("w"), F.lit(10.0).alias("h"), F.lit(11.0).alias("font"), "s.bold", "s.text")
+
+
+@query(f"""WITH {ORDERS}, t AS (SELECT *, max(page) OVER (PARTITION BY doc_id) AS pages, CASE WHEN doc_id % 3 = 0 AND max(page) OVER (PARTITION BY doc_id) > 0 THEN 1 ELSE 0 END AS begin FROM r)
+SELECT doc_id, 0 AS table_number, begin AS page, least(begin + 1, pages) AS end_page, 'assessment' AS kind, 'Assessment|Weight|Due' AS headers, k - 4 * begin AS row_number, first || '|' || l_quantity::INT || '%|Oct ' || l_suppkey % 12 AS cells FROM t WHERE page IN (begin, begin + 1)""")
+def layout_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The tables of orders as pages: an open table goes on over one page break, and a head gives up the table before it."""
+    found = tables.tables(layout.reading_order(layout.lines(order_pages(spark, sf_dir))))
+    return found.withColumns({"headers": F.array_join("headers", "|"), "cells": F.array_join("cells", "|")})
+
+
 @query()
 def outline_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The documents' texts as outlines are read; SQL has no compatibility form, so a test holds this against Python."""
