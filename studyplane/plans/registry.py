@@ -29,7 +29,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def _load() -> None:
-    from . import capturing, days, explaining, following, grading, hints, ingestion, layouts, library, linked, outlined, planning  # noqa: F401
+    from . import capturing, days, explaining, following, grading, hints, ingestion, layouts, library, linked, outlined, planning, streamed  # noqa: F401
 
 
 def queries() -> dict[str, Query]:
