@@ -258,7 +258,7 @@ def decontaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW,
     spans: merged removal spans as array of (begin, end) in bytes of the UTF-8 text, flattened. Words are runs of digits, letters
     a-z (after lower-casing A-Z) and all characters beyond ASCII. Windows of the benchmark are made in tasks, in blocks of about
     BLOCK_BYTES (or one item); blocks of at most about PASS_BYTES in all are broadcast and searched for in one pass over the documents, and
-    a larger benchmark takes more passes. Null texts have no words; null item ids count as the empty id; items with the same id are one;
+    a larger benchmark takes more passes, one after the other, each of which is written. Null texts have no words; null item ids count as the empty id; items with the same id are one;
     null ids and repeated rows are kept; other columns are read only where `keep` names them, and `keep` must not name a column of the
     result; an empty benchmark hits nothing; no rows give no rows."""
     distinct_names(keep, ("doc_id", "n_words", "n_hit", "items", "spans"))
@@ -275,7 +275,8 @@ def decontaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW,
     kinds = dict(body.dtypes)
     body = body.select("*", F.lit(0).cast("long").alias("_n"), F.array().cast("array<bigint>").alias("_marks"), F.array().cast("array<string>").alias("_items"), F.array().cast("array<bigint>").alias("_bytes"))
     schema = ", ".join(f"`{k}` {kinds[k]}" for k in [*names, "_text"]) + ", _n long, _marks array<bigint>, _items array<string>, _bytes array<bigint>"
-    for p in range(max(1, -(-count // per_pass))):
+    passes = max(1, -(-count // per_pass))
+    for p in range(passes):
         # one block at a time comes to the driver, none of them over about BLOCK_BYTES of text
         numbers = range(p * per_pass, min(count, (p + 1) * per_pass))
         sent = Sent(uuid.uuid4().hex, tuple(spark.sparkContext.broadcast(bytes(r["phrases"])) for k in numbers for r in blocks.filter(F.col("block") == k).select("phrases").collect()))
@@ -292,6 +293,10 @@ def decontaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW,
                     yield pa.RecordBatch.from_arrays([*(part.column(c) for c in [*names, "_text"]), pa.array(n, pa.int64()), _lists(spans, pa.int64()), _lists(found, pa.string()), _lists(texts, pa.int64())], [*names, "_text", "_n", "_marks", "_items", "_bytes"])
 
         body = body.mapInArrow(over_batches(search, keep=_opened), schema)
+        if p + 1 < passes:  # a pass ends before the next one's blocks are sent
+            body = written(body, f"pass{p}")
+            for b in sent.blocks:
+                b.unpersist()
     covered = F.aggregate(F.col("_marks"), F.lit(0).cast("long"), lambda s, x: x - s)  # ends less beginnings: the signs alternate
     return body.select("doc_id", *(F.col(n).alias(k) for n, k in zip(kept, keep, strict=True)), F.col("_n").alias("n_words"), covered.alias("n_hit"), F.col("_items").alias("items"), F.col("_bytes").alias("spans"))
 

@@ -40,21 +40,25 @@ FOR = frozenset("article main".split())
 ROLES_AGAINST = frozenset("navigation banner contentinfo complementary search dialog alertdialog menu menubar form".split())
 ROLES_FOR = frozenset("main article".split())
 
+#: Those of them, and of the words below, that say where something stands rather than what it is: around over half of the text they tell nothing.
+WEAK, ROLES_WEAK = frozenset("dialog menu fieldset".split()), frozenset("dialog alertdialog menu menubar form".split())
+WORDS_WEAK = frozenset("banner menu menus modal notice notices popup promo widget".split())
+
 #: Telling classes and ids. A name of several parts tells only where all parts are known, and not where one of them makes it a state.
 WORDS_AGAINST = frozenset(
-    "ad ads advert advertisement adverts banner breadcrumb breadcrumbs comment comments cookie cookies copyright disclaimer disqus footer login masthead menu menus modal nav navbar navigation newsletter notice "
-    "notices pagination popup promo related replies share sharing sidebar signup social sponsor sponsored subscribe toolbar widget".split()
+    "ad ads adsbygoogle advert advertisement adverts banner breadcrumb breadcrumbs comment comments consent cookie cookies copyright disclaimer disqus footer gdpr login masthead menu menus modal nav navbar navigation newsletter notice "
+    "notices pagination popup promo related replies respond share sharing sidebar signup social sponsor sponsored subscribe toolbar widget".split()
 )
 WORDS_FOR = frozenset("article content entry main post story".split())
 WORDS_NEUTRAL = frozenset(
-    "area bar block body bottom box button buttons consent container content global group header inner item items left link links list main outer overlay page panel post right row section site slot thread top unit wrap wrapper".split()
+    "area bar block body bottom box button buttons consent container content global group header inner item items left link links list main outer overlay page panel post reader readers right row section site slot thread top unit wrap wrapper".split()
 )
 WORDS_STATE = frozenset("no not without has with is open opened closed on off enabled disabled allowed active".split())
 
 #: Capacities: of neighbours on the page (falling with their distance in the DOM), of neighbours below one parent, of a block to the
 #: telling element around it (less if only a class or id speaks for content), and of that element to its terminal. The classifier's
-#: log-odds are held within SURE.
-ADJACENT, SIBLINGS, AROUND, NAMED, TELLING, SURE = 1.5, 0.75, 9.0, 3.0, 1000.0, 4.0
+#: log-odds are held within SURE, so that a block that it is sure of can overrule the element around it with its neighbours, and a class alone.
+ADJACENT, SIBLINGS, AROUND, NAMED, TELLING, SURE = 1.5, 0.75, 5.0, 3.0, 1000.0, 4.0
 
 #: Bound of the fit: pages drawn by a hash, and blocks of each. Weight of the prior weights (a share of the blocks seen and 1000 more, so
 #: that neither a few blocks nor one site's habits take over), and rounds of Newton's method.
@@ -70,8 +74,9 @@ _PART = re.compile(r"[a-z]+|[A-Z][a-z]*")
 
 @dataclass(eq=False)
 class Element:
-    """An element with what it tells (-1, 0 or 1), how firmly, whether it would tell nothing where it holds the whole page, the characters
-    in it, and the nearest elements, itself included, that tell against and for content."""
+    """An element with what it tells (-1, 0 or 1), how firmly, whether it would tell nothing where it holds the whole page (unless_whole: or an
+    article; weak: most of the text around it), the characters in it, and the nearest elements, itself included, that tell against and for
+    content."""
 
     name: str
     depth: int
@@ -81,6 +86,7 @@ class Element:
     tells: int = 0
     hold: float = AROUND
     unless_whole: bool = False
+    weak: bool = False
     text: int = 0
     against: Element | None = None
     favour: Element | None = None
@@ -106,13 +112,18 @@ def name_tells(name: str) -> int:
     return 1 if len(parts) == 1 and parts[0] in WORDS_FOR else 0
 
 
+def _is_weak(name: str) -> bool:
+    """Whether a class or id that tells against says no more than where something stands."""
+    return all(p not in WORDS_AGAINST or p in WORDS_WEAK for p in (p.lower() for p in _PART.findall(name)))
+
+
 def _entered(name: str, attributes: str, parent: Element) -> Element:
     out = Element(name, parent.depth + 1, parent, parent.linked or name == "a", parent.muted or name in CONTROL)
-    inside = parent.favour is not None and parent.against is None
+    inside, named = parent.favour is not None and parent.against is None, False
     if name in FOR:
         out.tells = 1
     elif name in AGAINST or (name in AGAINST_OUTSIDE and not inside):
-        out.tells = -1
+        out.tells, out.weak = -1, name in WEAK
     elif name in AGAINST_UNLESS_WHOLE:
         out.tells, out.unless_whole = -1, True
     if attributes and "=" in attributes:
@@ -123,13 +134,15 @@ def _entered(name: str, attributes: str, parent: Element) -> Element:
                 if roles & ROLES_FOR:
                     out.tells = 1
                 elif roles & ROLES_AGAINST:
-                    out.tells = -1
+                    out.tells, out.weak = -1, not roles & ROLES_AGAINST - ROLES_WEAK and (out.weak or out.tells >= 0)
             elif name not in ("html", "body", "main"):
                 told = {name_tells(w) for w in words}
                 if -1 in told:
-                    out.tells = -1
+                    out.tells, out.weak = -1, all(_is_weak(w) for w in words if name_tells(w) < 0) and (out.weak or out.unless_whole or out.tells >= 0)
                 elif 1 in told and not out.tells:
-                    out.tells, out.hold = 1, NAMED
+                    out.tells, named = 1, True
+    if out.tells > 0 and named:
+        out.hold = NAMED
     out.against = out if out.tells < 0 else parent.against
     out.favour = out if out.tells > 0 else parent.favour
     return out
@@ -151,6 +164,7 @@ def blocks(page: str) -> list[Block]:
     root = Element("", 0, None)
     here, out, low = root, [], page.lower()
     held: list[tuple[str, bool]] = []
+    weak: list[Element] = []
     open_names: dict[str, int] = {}
     endless: set[str] = set()
 
@@ -228,6 +242,8 @@ def blocks(page: str) -> list[Block]:
             leave("a")
         if name not in VOID:
             here = _entered(name, m["attributes"], here)
+            if here.weak:
+                weak.append(here)
             open_names[name] = open_names.get(name, 0) + 1
     flush()
     articles = {id(b.holder.favour): b.holder.favour for b in out if b.holder.favour is not None}
@@ -240,6 +256,9 @@ def blocks(page: str) -> list[Block]:
             if e.unless_whole and (articles or 2 * e.text > root.text):
                 e.tells = 0
             e = e.parent
+    for e in weak:
+        if 2 * e.text > (e.parent.favour or root).text:
+            e.tells = 0
     _shape(out)
     return out
 
@@ -450,7 +469,7 @@ def fit(pages: DataFrame, html_col: str = "html") -> np.ndarray:
         for b in batches:
             rows = []
             for page in b.column(0).to_pylist():
-                sure = [(x, e.tells) for x in blocks(page) if (e := _around(x.holder)) is not None and e.hold == AROUND]
+                sure = [(x, e.tells) for x in blocks(page) if (e := _around(x.holder)) is not None and e.hold != NAMED]
                 rows += [np.array([*x.shape, t > 0], np.float32).tobytes() for x, t in sure[:: -(-len(sure) // FIT_BLOCKS) or 1]]
             yield pa.RecordBatch.from_arrays([pa.array(rows, pa.binary())], ["x"])
 
