@@ -29,9 +29,14 @@ def fold(folds: int) -> Column:
     return F.crc32(F.col("doc_id").cast("string").cast("binary")) % folds
 
 
+def held_out(folds: int, remainder: int) -> Column:
+    """Whether a row is of the fold that nothing is learned from; a null id is of none."""
+    return F.coalesce(fold(folds) == remainder, F.lit(False))
+
+
 def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = quality.scored(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), fold(5) != 0)
-    return out.select("doc_id", (fold(5) == 0).alias("held_out"), "score", quality.predicted(F.col("score")).alias("predicted"))
+    return out.select("doc_id", held_out(5, 0).alias("held_out"), "score", quality.predicted(F.col("score")).alias("predicted"))
 
 
 def op2_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -61,7 +66,7 @@ def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     text_fold = F.crc32(F.col("doc_id").cast("string").cast("binary"))
     out = lm.scored(table(spark, sf_dir, "documents"), text_fold % 5 != 1, F.floor(text_fold / 5) % 16 == 0)
-    return out.select("doc_id", (fold(5) == 1).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+    return out.select("doc_id", held_out(5, 1).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -80,7 +85,7 @@ def op9_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     out = langid.identified(docs, langid.fit(docs, fold(4) != 2))
-    return out.select("doc_id", (fold(4) == 2).alias("held_out"), "lang_pred", "score", "rejected")
+    return out.select("doc_id", held_out(4, 2).alias("held_out"), "lang_pred", "score", "rejected")
 
 
 def op11_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
