@@ -48,9 +48,9 @@ def linked_materials(spark: SparkSession, sf_dir: str) -> DataFrame:
 w AS (SELECT DISTINCT course_id, week, 'schedule:week:' || course_id || ':' || coalesce(week::VARCHAR, 'L' || label) AS id FROM e WHERE kind = 'week' OR week IS NOT NULL),
 x AS (SELECT *, 'schedule:' || kind || ':' || course_id || ':L' || label AS id FROM e WHERE kind <> 'week'),
 m AS (SELECT c_custkey AS course_id, CASE WHEN c_custkey % 2 = 0 THEN 'item ' || c_custkey ELSE 'schedule:midterm:' || c_custkey || ':Midterm' END AS id FROM customer)
-SELECT w.id AS from_id, x.id AS to_id, 'CONTAINS' AS kind, 0.7 AS confidence FROM w JOIN x ON w.course_id = x.course_id AND (w.week IS NULL OR x.week IS NULL OR w.week = x.week)
-UNION SELECT a.id, b.id, 'ASSOCIATED_WITH', 0.55 FROM x a JOIN x b ON a.course_id = b.course_id AND a.kind = 'lecture' AND b.kind = 'lab' AND a.week IS NOT NULL AND (b.week IS NULL OR a.week = b.week)
-UNION SELECT x.id, m.id, CASE kind WHEN 'lab' THEN 'PREPARES_FOR' ELSE 'INTRODUCED_DURING' END, CASE kind WHEN 'lab' THEN 0.55 ELSE 0.5 END FROM x JOIN m ON x.course_id = m.course_id""")
+SELECT w.id AS from_id, x.id AS to_id, 'CONTAINS' AS kind, 0.7::DOUBLE AS confidence FROM w JOIN x ON w.course_id = x.course_id AND (w.week IS NULL OR x.week IS NULL OR w.week = x.week)
+UNION SELECT a.id, b.id, 'ASSOCIATED_WITH', 0.55::DOUBLE FROM x a JOIN x b ON a.course_id = b.course_id AND a.kind = 'lecture' AND b.kind = 'lab' AND a.week IS NOT NULL AND (b.week IS NULL OR a.week = b.week)
+UNION SELECT x.id, m.id, CASE kind WHEN 'lab' THEN 'PREPARES_FOR' ELSE 'INTRODUCED_DURING' END, CASE kind WHEN 'lab' THEN 0.55::DOUBLE ELSE 0.5::DOUBLE END FROM x JOIN m ON x.course_id = m.course_id""")
 def schedule_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Orders as weeks, lectures and labs of a customer's schedule, every other customer with an item that is a midterm."""
     k, c = F.col("o_orderkey"), F.col("c_custkey")

@@ -32,14 +32,14 @@ def with_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     return outlines(spark, sf_dir, row, "Some course\nMethods of Evaluation\nAssessment   Weight   Due\n", "\nTotal   100%\nLate Policy\nnone")
 
 
-@query(f"""WITH {LISTED} SELECT doc_id, 3 + pos AS place, title || CASE WHEN wrapped THEN ' by ' || status ELSE '' END AS title, 'quiz' AS type, weight::DOUBLE AS weight, 'Oct ' || day AS due_label, make_date(2026, 10, day::INT) AS due, 'exact' AS certainty, 0.85 AS confidence,
+@query(f"""WITH {LISTED} SELECT doc_id, 3 + pos AS place, title || CASE WHEN wrapped THEN ' by ' || status ELSE '' END AS title, 'quiz' AS type, weight::DOUBLE AS weight, 'Oct ' || day AS due_label, make_date(2026, 10, day::INT) AS due, 'exact' AS certainty, 0.85::DOUBLE AS confidence,
 title || '   ' || weight || '%   Oct ' || day || CASE WHEN wrapped THEN ' by ' || status ELSE '' END AS snippet FROM r""")
 def outline_table_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The items of each outline's evaluation table."""
     return outline_rows.table_items(outline_rows.table_rows(outline_rows.lines(with_table(spark, sf_dir))), 2026)
 
 
-@query(f"""WITH {LISTED} SELECT doc_id, 1 + pos AS place, title, 'quiz' AS type, weight::DOUBLE AS weight, 'Oct ' || day AS due_label, make_date(2026, 10, day::INT) AS due, 'exact' AS certainty, 0.75 AS confidence,
+@query(f"""WITH {LISTED} SELECT doc_id, 1 + pos AS place, title, 'quiz' AS type, weight::DOUBLE AS weight, 'Oct ' || day AS due_label, make_date(2026, 10, day::INT) AS due, 'exact' AS certainty, 0.75::DOUBLE AS confidence,
 title || CASE WHEN wrapped THEN '  ' ELSE ': ' END || weight || '% Oct ' || day AS snippet FROM r""")
 def outline_weight_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Items line by line, where a returned one's weight stands on the line below its title."""
