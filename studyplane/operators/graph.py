@@ -6,24 +6,31 @@ import atexit
 import shutil
 import tempfile
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _LOCAL: dict[str, str] = {}
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share, as spark.checkpoint.dir names it; a local one is set only for local sessions without any."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        app = spark.sparkContext.applicationId
+        if app not in _LOCAL:
+            _LOCAL[app] = tempfile.mkdtemp(prefix="studyplane-")
+            atexit.register(shutil.rmtree, _LOCAL[app], ignore_errors=True)
+        base = _LOCAL[app]
+    return base
+
+
 def settled(df: DataFrame) -> DataFrame:
-    """df cut off from its lineage in the shared checkpoint folder; a local one is set only for local sessions without any."""
-    spark = df.sparkSession
-    sc = spark.sparkContext
+    """df cut off from its lineage in the shared checkpoint folder."""
+    sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
-        base = spark.conf.get("spark.checkpoint.dir", None)
-        if not base:
-            if not sc.master.startswith("local"):
-                raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
-            base = _LOCAL.setdefault(sc.applicationId, tempfile.mkdtemp(prefix="studyplane-"))
-            atexit.register(shutil.rmtree, base, ignore_errors=True)
-        sc.setCheckpointDir(base)
+        sc.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint()
 
 
