@@ -57,13 +57,14 @@ def build(entries: DataFrame, folder: str, block: int = BLOCK) -> None:
 
     Entries keep the order in which they come and are numbered within their partition, so that their texts aren't shuffled. A posting is a
     piece, a block and the sorted places of the entries in it that hold the piece: no key has more than a block's entries, however frequent
-    the piece. Postings are put together in tasks before they are shuffled, and a frequent one is spread by its blocks. Nulls: an entry
+    the piece. Pieces are those within words, and distinct words are cut once. Postings are put together in tasks before they are shuffled, and a frequent one is spread by its blocks. Nulls: an entry
     without text has no pieces; repeated rows are entries of their own."""
     spark = entries.sparkSession
     number = F.monotonically_increasing_id()
     placed = entries.select(*COLUMNS).withColumn("number", number).withColumns({"block": F.floor(F.col("number") / block), "place": (F.col("number") % block).cast("int")}).drop("number")
     placed.write.mode("overwrite").parquet(f"{folder}/entries")
-    pieces = F.array_distinct(F.regexp_extract_all("hay", F.lit(f"(?s)(?=({'.' * PIECE}))"), F.lit(1)))
+    words = F.array_join(F.array_distinct(F.split("hay", " ")), " ")
+    pieces = F.array_distinct(F.regexp_extract_all(words, F.lit(f"(?=([^ ]{{{PIECE}}}))"), F.lit(1)))
     each = spark.read.parquet(f"{folder}/entries").select("block", "place", F.explode(pieces).alias("piece"))
     lists = each.groupBy("piece", "block").agg(F.array_sort(F.collect_list("place")).alias("places"))
     ordered = lists.repartitionByRange("piece", "block").sortWithinPartitions("piece", "block")
