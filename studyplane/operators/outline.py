@@ -113,18 +113,6 @@ def announcement_facts(posts: DataFrame, id_col: str = "post_id", text_col: str
     return found.select("post_id", F.explode(F.when(F.size("facts") > 0, F.col("facts")).otherwise(F.col("other"))).alias("f")).select("post_id", "f.*")
 
 
-def quality(items: DataFrame, promised: DataFrame) -> DataFrame:
-    """Per document the weight sum, whether it is near 100, and found against promised counts (doc_id, promised)."""
-    s = items.groupBy("doc_id").agg(F.sum(F.col("weight") * F.col("count")).alias("weight_sum"), F.sum("count").alias("found"))
-    out = s.join(promised, "doc_id", "left")
-    return out.withColumns({"weights_ok": F.abs(F.col("weight_sum") - 100) <= 5, "complete": F.coalesce(F.col("found") >= F.col("promised"), F.lit(True))})
-
-
-#: "Quiz 2 ... is due: Monday" in an announcement (fixed values), and how many such phrases of one are taken.
-ANNOUNCED = r"(?i)\b((?:assignment|quiz|lab|project|mid[- ]?term|final(?:\s+exam)?|homework|hw)\s*#?\s*[0-9]*|a\s*[0-9]+|q\s*[0-9]+)\b[^.!?]{0,60}?\b(?:due|deadline)\b[:\s]+([^.!?]{3,60})"
-ANNOUNCED_MOST = 5
-
-
 def announced(posts: DataFrame) -> DataFrame:
     """Items that a post says are due: post_id, number (from 0), title and label, as the post has them; hidden posts and null texts have none.
 
