@@ -29,7 +29,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def _load() -> None:
-    from . import capturing, days, explaining, extracted, following, grading, hints, ingestion, layouts, library, linked, looking, material, outlined, planning, streamed  # noqa: F401
+    from . import capturing, days, explaining, extracted, following, grading, hints, ingestion, layouts, library, linked, looking, material, outlined, planning, rereading, streamed  # noqa: F401
 
 
 def queries() -> dict[str, Query]:
