@@ -7,10 +7,11 @@ from __future__ import annotations
 import re
 from collections.abc import Sequence
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import BooleanType
+from pyspark.sql.types import BooleanType, LongType
 
 from .state import filled
 
@@ -261,19 +262,45 @@ def match_score(a: str, b: str) -> Column:
     return F.when(x("title_key") == y("title_key"), 0.98).when(~compatible(x("type"), y("type")) | F.coalesce(x("hint") != y("hint"), F.lit(False)), 0.0).otherwise(scored)
 
 
+#: The hash's start and factor (fixed values), and how few texts are left when a batch's last ones are stepped through one by one.
+FNV_START, FNV_FACTOR, FEW = 2166136261, 16777619, 16
+
+
+@F.pandas_udf(LongType())
+def _fnv1a(texts: pd.Series) -> pd.Series:
+    """Steps through the code units of all texts of a batch at once, the longest first, so that those still running are a prefix."""
+    units = [np.frombuffer(t.encode("utf-16-le", "surrogatepass"), dtype="<u2") for t in texts.fillna("")]
+    size = np.array([len(u) for u in units], dtype=np.int64)
+    order = np.argsort(-size, kind="stable")
+    size = size[order]
+    flat = np.concatenate([units[i] for i in order] or [np.empty(0, "<u2")]).astype(np.uint32)
+    starts = np.cumsum(size) - size
+    h = np.full(len(size), FNV_START, dtype=np.uint32)
+    steps = int(size[FEW]) if len(size) > FEW else 0
+    running = np.searchsorted(-size, -np.arange(steps), side="left")  # texts longer than a step
+    for i in range(steps):
+        k = running[i]
+        h[:k] = (h[:k] ^ flat[starts[:k] + i]) * np.uint32(FNV_FACTOR)
+    for j in range(min(FEW, len(size))):
+        x = int(h[j])
+        for u in flat[starts[j] + min(steps, size[j]) : starts[j] + size[j]].tolist():
+            x = (x ^ u) * FNV_FACTOR & 0xFFFFFFFF
+        h[j] = x
+    out = np.empty(len(size), dtype=np.int64)
+    out[order] = h
+    return pd.Series(out)
+
+
 def fnv1a(text: Column) -> Column:
-    """FNV-1a, 32 bits, over UTF-16 units, as a long. Code points beyond the basic plane count as their two surrogates."""
-    point = F.transform(F.split(text, ""), lambda c: F.ascii(c).cast("long"))
-    units = F.flatten(F.transform(point, lambda p: F.when(p > 65535, F.array(((p - 65536) / 1024).cast("long") + 55296, (p - 65536) % 1024 + 56320)).otherwise(F.array(p))))
-    return F.aggregate(units, F.lit(2166136261).cast("long"), lambda h, u: F.pmod(h.bitwiseXOR(u) * 16777619, F.lit(4294967296)))
+    """FNV-1a, 32 bits, over UTF-16 units, as a long; null for null. Code points beyond the basic plane count as their two surrogates."""
+    return F.when(text.isNotNull(), _fnv1a(text))
 
 
 def content_hash(text: Column) -> Column:
     """fnv_, eight hex digits, _ and the length in UTF-16 units; null text counts as empty."""
     text = F.coalesce(text, F.lit(""))
     units = F.octet_length(F.encode(text, "UTF-16BE")) / 2
-    hashed = F.when(text == "", F.lit(2166136261).cast("long")).otherwise(fnv1a(text))
-    return F.concat(F.lit("fnv_"), F.lpad(F.lower(F.hex(hashed)), 8, "0"), F.lit("_"), units.cast("long").cast("string"))
+    return F.concat(F.lit("fnv_"), F.lpad(F.lower(F.hex(fnv1a(text))), 8, "0"), F.lit("_"), units.cast("long").cast("string"))
 
 
 def searchable(*fields: Column) -> Column:
