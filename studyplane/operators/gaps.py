@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .linking import by_title, contained
+from .linking import by_title, contained, shuffled
 
 #: Kinds that a category's name stands for (fixed values), in order, by the words in it.
 GUESSES = (("quiz", "quiz"), ("lab", "lab"), ("assign|project", "assignment"))
@@ -45,12 +45,12 @@ def count_gaps(categories: DataFrame, instances: DataFrame, items: DataFrame) ->
     live = items.groupBy("course_id").agg(*(F.count_if((F.col("type") == k) | F.col("key").contains(k)).alias(f"live_{k}") for k in kinds))
     promised = categories.filter("promised > 0").withColumns({"guess": _guess(F.col("name")), "word": F.split_part(plain(F.col("name")), F.lit(" "), F.lit(1))})
     keys = items.groupBy("course_id", F.col("key").alias("hay")).agg(F.count("*").alias("n"))
-    worded = contained(promised.filter("guess IS NULL").select("course_id", F.col("word").alias("needle")), keys).join(keys, ["course_id", "hay"]).groupBy("course_id", F.col("needle").alias("word")).agg(F.sum("n").alias("live_word"))
+    worded = contained(promised.filter("guess IS NULL").select("course_id", F.col("word").alias("needle")), keys).join(shuffled(keys), ["course_id", "hay"]).groupBy("course_id", F.col("needle").alias("word")).agg(F.sum("n").alias("live_word"))
     of_type = instances.groupBy("course_id", F.col("type").alias("guess")).agg(F.count("*").alias("typed"))
     of_name = instances.groupBy("course_id", plain(F.col("category")).alias("plain_name")).agg(F.count("*").alias("named"))
     both = instances.groupBy("course_id", plain(F.col("category")).alias("plain_name"), F.col("type").alias("guess")).agg(F.count("*").alias("both"))
-    met = promised.withColumn("plain_name", plain(F.col("name"))).join(live, "course_id", "left").join(worded, ["course_id", "word"], "left")
-    met = met.join(of_type, ["course_id", "guess"], "left").join(of_name, ["course_id", "plain_name"], "left").join(both, ["course_id", "plain_name", "guess"], "left")
+    met = promised.withColumn("plain_name", plain(F.col("name"))).join(shuffled(live), "course_id", "left").join(shuffled(worded), ["course_id", "word"], "left")
+    met = met.join(shuffled(of_type), ["course_id", "guess"], "left").join(shuffled(of_name), ["course_id", "plain_name"], "left").join(shuffled(both), ["course_id", "plain_name", "guess"], "left")
     zero = lambda c: F.coalesce(c, F.lit(0))
     have = F.coalesce(*(F.when(F.col("guess") == k, zero(F.col(f"live_{k}"))) for k in kinds), F.col("live_word"), F.lit(0))
     made = zero(F.col("typed")) + zero(F.col("named")) - zero(F.col("both"))
@@ -65,7 +65,7 @@ def instance_gaps(instances: DataFrame, items: DataFrame) -> DataFrame:
     wanted = instances.filter(F.length("title") > 0).withColumn("key", plain(F.col("title")))
     hits = by_title(wanted, items, exact_first=False).select("course_id", "key", "item_id")
     live = items.select("course_id", "item_id", F.col("weight").alias("live_weight"), F.col("type").alias("live_type"), F.col("dated").alias("live_dated"), "open", "materials")
-    met = wanted.join(hits, ["course_id", "key"], "left").join(live, ["course_id", "item_id"], "left")
+    met = wanted.join(shuffled(hits), ["course_id", "key"], "left").join(shuffled(live), ["course_id", "item_id"], "left")
     c = F.col
     exam = lambda t: c(t).isin("midterm", "final")
     here = c("item_id").isNotNull()

@@ -6,10 +6,14 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import bounded
+from .graph import settled
 
 #: Characters of the pieces by which texts that hold one another are found.
 GRAM = 3
 
+#: Texts of a scope up to which all of them meet, if that makes no more pairs than PAIRS.
+FEW, PAIRS = 256, 1 << 20
+
 #: Kinds of items whose number follows them (fixed values).
 NUMBERED = bounded(r"\b(assignment|lab|quiz|project|homework|a)\s*#?\s*(\d+)\b")
 
@@ -27,43 +31,59 @@ def _pieces(text: Column, size: int) -> Column:
     return F.when(n > 0, F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), lambda i: F.substring(text, i, F.lit(size))))).otherwise(F.array().cast("array<string>"))
 
 
+def shuffled(rows: DataFrame) -> DataFrame:
+    """The rows for a join that sorts both sides. Spark takes exploded and packed rows for as small as the file they come from, and would
+    gather them in the driver to broadcast them."""
+    return rows.hint("merge")
+
+
 def contained(needles: DataFrame, hays: DataFrame, scope: str = "course_id") -> DataFrame:
     """scope, needle and hay of every pair of distinct texts of one scope in which the hay holds the needle; empty and null texts have none.
 
-    needles: scope, needle; hays: scope, hay. A needle looks only at the hays with that of its pieces (GRAM characters, or all of a shorter
-    needle) which the fewest hays of the scope have, so that frequent pieces never make pairs."""
+    needles: scope, needle; hays: scope, hay. A scope with FEW of either, and PAIRS at most, compares them all. In others a needle looks only
+    at the hays with that of its pieces (GRAM characters, or all of a shorter needle) which the fewest hays of the scope have, so that frequent
+    pieces never make pairs."""
+    wanted = needles.filter(f"needle <> '' AND {scope} IS NOT NULL").select(scope, "needle").distinct()
+    texts = hays.filter(f"hay <> '' AND {scope} IS NOT NULL").select(scope, "hay").distinct()
+    count = lambda rows, name: rows.groupBy(scope).agg(F.count("*").alias(name))
+    sizes = count(wanted, "n").join(shuffled(count(texts, "m")), scope)
+    small = (F.least("n", "m") <= FEW) & (F.col("n") * F.col("m") <= PAIRS)
+    of = lambda rows, which: rows.join(shuffled(sizes.filter(which).select(scope)), scope, "left_semi")
+    holds = F.contains("hay", "needle")
+    direct = of(wanted, small).join(shuffled(texts), scope).filter(holds).select(scope, "needle", "hay")
+    wanted, texts = of(wanted, ~small), of(texts, ~small)
     short = _pieces(F.col("hay"), 1)
     for size in range(2, GRAM + 1):
         short = F.concat(short, _pieces(F.col("hay"), size))
-    held = hays.filter("hay <> ''").select(scope, "hay").distinct().select(scope, "hay", F.explode(short).alias("piece"))
+    held = texts.select(scope, "hay", F.explode(short).alias("piece"))
     often = held.groupBy(scope, "piece").agg(F.count("*").alias("often"))
-    wanted = needles.filter("needle <> ''").select(scope, "needle").distinct()
     own = wanted.select(scope, "needle", F.explode(F.when(F.length("needle") < GRAM, F.array("needle")).otherwise(_pieces(F.col("needle"), GRAM))).alias("piece"))
-    rare = own.join(often, [scope, "piece"], "left").groupBy(scope, "needle").agg(F.min_by("piece", F.struct(F.coalesce("often", F.lit(0)), "piece")).alias("piece"))
-    return rare.join(held, [scope, "piece"]).filter(F.col("hay").contains(F.col("needle"))).select(scope, "needle", "hay")
+    rare = own.join(shuffled(often), [scope, "piece"], "left").groupBy(scope, "needle").agg(F.min_by("piece", F.struct(F.coalesce("often", F.lit(0)), "piece")).alias("piece"))
+    return direct.unionByName(rare.join(shuffled(held), [scope, "piece"]).filter(holds).select(scope, "needle", "hay"))
 
 
 def by_title(rows: DataFrame, items: DataFrame, empty: bool = True, exact_first: bool = True, scope: str = "course_id") -> DataFrame:
-    """scope, key, item_id and score for each distinct key of rows that names an item: equal keys count 100, one within the other 70; the
-    first item (ord, then item_id) of the best score, or of any where exact_first is off.
+    """scope, key, item_id, score and first_id for each distinct key of rows that names an item: equal keys count 100, one within the other 70;
+    the first item (ord, then item_id) of the best score, or of any where exact_first is off; first_id is the first of any.
 
     rows: scope, key; items: scope, key, ord, item_id. An empty key of an item is within every key, and one of a row is within every item's,
     unless `empty` is off: then it names none. Null keys and scopes name none."""
-    mine = rows.filter("key IS NOT NULL").select(scope, "key").distinct()
+    mine = rows.filter(f"key IS NOT NULL AND {scope} IS NOT NULL").select(scope, "key").distinct()
     if not empty:
         mine = mine.filter("key <> ''")
-    firsts = items.filter("key IS NOT NULL").groupBy(scope, F.col("key").alias("item_key")).agg(F.min(F.struct("ord", "item_id")).alias("first"))
+    mine = settled(mine)  # both are looked at in many ways
+    firsts = settled(items.filter(f"key IS NOT NULL AND {scope} IS NOT NULL").groupBy(scope, F.col("key").alias("item_key")).agg(F.min(F.struct("ord", "item_id")).alias("first")))
     theirs = firsts.select(scope, F.col("item_key").alias("hay"))
     inside = contained(mine.withColumnRenamed("key", "needle"), theirs, scope).select(scope, F.col("needle").alias("key"), F.col("hay").alias("item_key"))
     around = contained(theirs.withColumnRenamed("hay", "needle"), mine.withColumnRenamed("key", "hay"), scope).select(scope, F.col("hay").alias("key"), F.col("needle").alias("item_key"))
-    part = inside.union(around).join(firsts, [scope, "item_key"])
-    blank = mine.join(firsts.filter("item_key = ''"), scope).select(scope, "item_key", "key", "first")
-    whole = mine.filter("key = ''").join(firsts.groupBy(scope).agg(F.min_by("item_key", "first").alias("item_key"), F.min("first").alias("first")), scope).select(scope, "item_key", "key", "first")
+    part = inside.union(around).join(shuffled(firsts), [scope, "item_key"])
+    blank = mine.join(shuffled(firsts.filter("item_key = ''")), scope).select(scope, "item_key", "key", "first")
+    whole = mine.filter("key = ''").join(shuffled(firsts.groupBy(scope).agg(F.min_by("item_key", "first").alias("item_key"), F.min("first").alias("first"))), scope).select(scope, "item_key", "key", "first")
     met = part.select(scope, "item_key", "key", "first").union(blank).union(whole)
     score = F.when(F.col("key") == F.col("item_key"), 100).otherwise(70)
     ranked = met.select(scope, "key", score.alias("score"), "first", (-score if exact_first else F.lit(0)).alias("tier"))
-    best = ranked.groupBy(scope, "key").agg(F.min_by(F.struct("first.item_id", "score"), F.struct("tier", "first")).alias("b"))
-    return best.select(scope, "key", "b.item_id", "b.score")
+    best = ranked.groupBy(scope, "key").agg(F.min_by(F.struct("first.item_id", "score"), F.struct("tier", "first")).alias("b"), F.min("first")["item_id"].alias("first_id"))
+    return best.select(scope, "key", "b.item_id", "b.score", "first_id")
 
 
 def gradebook_map(grades: DataFrame, items: DataFrame, categories: DataFrame) -> DataFrame:
@@ -71,16 +91,19 @@ def gradebook_map(grades: DataFrame, items: DataFrame, categories: DataFrame) ->
     category of whose title key the first eight characters are within the grade's.
 
     grades: grade_id, course_id, tool_id, key. items: course_id, tool_id, key, ord, item_id. categories: course_id, key, ord, category_id. An
-    empty category key is within every title. Null courses match nothing."""
+    empty category key is within every title. Null courses match nothing. What the grades of a course distinctly say is looked up once."""
+    by = ["course_id", "tool_id", "key"]
+    said = settled(grades.select(*by).distinct())
     tool = items.filter("tool_id IS NOT NULL").groupBy("course_id", "tool_id").agg(F.min_by("item_id", F.struct("ord", "item_id")).alias("of_tool"))
-    named = by_title(grades, items).select("course_id", "key", F.col("item_id").alias("of_title"))
+    named = by_title(said, items).select("course_id", "key", F.col("item_id").alias("of_title"))
     heads = categories.select("course_id", F.left("key", F.lit(8)).alias("needle"), F.struct("ord", "category_id").alias("first"))
-    held = contained(heads, grades.select("course_id", F.col("key").alias("hay"))).join(heads, ["course_id", "needle"]).select("course_id", F.col("hay").alias("key"), "first")
+    held = contained(heads, said.select("course_id", F.col("key").alias("hay"))).join(shuffled(heads), ["course_id", "needle"]).select("course_id", F.col("hay").alias("key"), "first")
     everywhere = heads.filter("needle = ''").groupBy("course_id").agg(F.min("first").alias("any"))
     category = held.groupBy("course_id", "key").agg(F.min("first").alias("first"))
-    met = grades.join(tool, ["course_id", "tool_id"], "left").join(named, ["course_id", "key"], "left").join(category, ["course_id", "key"], "left").join(everywhere, "course_id", "left")
-    item = F.coalesce("of_tool", "of_title")
-    return met.select("grade_id", item.alias("item_id"), F.least("first", F.when(F.col("key").isNotNull(), F.col("any")))["category_id"].alias("category_id"), item.isNull().alias("unmatched"))
+    met = said.join(shuffled(tool), ["course_id", "tool_id"], "left").join(shuffled(named), ["course_id", "key"], "left").join(shuffled(category), ["course_id", "key"], "left").join(shuffled(everywhere), "course_id", "left")
+    found = met.select(*(F.col(c).alias(f"_{c}") for c in by), F.coalesce("of_tool", "of_title").alias("item_id"), F.least("first", F.when(F.col("key").isNotNull(), F.col("any")))["category_id"].alias("category_id"))
+    same = [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in by]
+    return grades.join(shuffled(found), same, "left").select("grade_id", "item_id", "category_id", F.col("item_id").isNull().alias("unmatched"))
 
 
 def content_items(topics: DataFrame, items: DataFrame) -> DataFrame:
@@ -92,8 +115,8 @@ def content_items(topics: DataFrame, items: DataFrame) -> DataFrame:
     t = topics.select("topic_id", "course_id", F.lower("title").alias("low")).withColumn("head", F.left("low", F.lit(24)))
     firsts = items.groupBy("course_id", F.lower("title").alias("item_low")).agg(F.min(F.struct("ord", "item_id")).alias("first")).filter("item_low IS NOT NULL")
     theirs = firsts.select("course_id", F.col("item_low").alias("needle"))
-    inside = contained(theirs, t.select("course_id", F.col("low").alias("hay"))).withColumnRenamed("needle", "item_low").join(firsts, ["course_id", "item_low"]).select("course_id", F.col("hay").alias("low"), "first")
-    holds = contained(t.select("course_id", F.col("head").alias("needle")), theirs.withColumnRenamed("needle", "hay")).withColumnRenamed("hay", "item_low").join(firsts, ["course_id", "item_low"]).select("course_id", F.col("needle").alias("head"), "first")
+    inside = contained(theirs, t.select("course_id", F.col("low").alias("hay"))).withColumnRenamed("needle", "item_low").join(shuffled(firsts), ["course_id", "item_low"]).select("course_id", F.col("hay").alias("low"), "first")
+    holds = contained(t.select("course_id", F.col("head").alias("needle")), theirs.withColumnRenamed("needle", "hay")).withColumnRenamed("hay", "item_low").join(shuffled(firsts), ["course_id", "item_low"]).select("course_id", F.col("needle").alias("head"), "first")
     best = lambda rows, key, name: rows.groupBy("course_id", key).agg(F.min("first").alias(name))
     blank = firsts.filter("item_low = ''").select("course_id", F.col("first").alias("blank"))
     least = firsts.groupBy("course_id").agg(F.min("first").alias("least"))
@@ -101,8 +124,8 @@ def content_items(topics: DataFrame, items: DataFrame) -> DataFrame:
     g = lambda k: F.regexp_extract_all("low", F.lit(NUMBERED), F.lit(k))
     numbered = kinds.select("course_id", "first", F.inline(F.arrays_zip(g(1).alias("kind"), g(2).alias("number")))).groupBy("course_id", "kind", "number").agg(F.min("first").alias("same"))
     one = lambda k: F.regexp_extract("low", NUMBERED, k)
-    met = t.withColumns({"kind": one(1), "number": one(2)}).join(best(inside, "low", "a"), ["course_id", "low"], "left").join(best(holds, "head", "b"), ["course_id", "head"], "left")
-    met = met.join(blank, "course_id", "left").join(least, "course_id", "left").join(numbered, ["course_id", "kind", "number"], "left")
+    met = t.withColumns({"kind": one(1), "number": one(2)}).join(shuffled(best(inside, "low", "a")), ["course_id", "low"], "left").join(shuffled(best(holds, "head", "b")), ["course_id", "head"], "left")
+    met = met.join(shuffled(blank), "course_id", "left").join(shuffled(least), "course_id", "left").join(shuffled(numbered), ["course_id", "kind", "number"], "left")
     known = F.col("low").isNotNull()
     item = F.coalesce(F.least("a", "b", F.when(known, F.col("blank")), F.when(F.col("low") == "", F.col("least"))), "same")["item_id"]
     return met.select("topic_id", item.alias("item_id")).filter("item_id IS NOT NULL")
@@ -114,9 +137,9 @@ def about(posts: DataFrame, items: DataFrame) -> DataFrame:
     posts: post_id, course_id, key (of the subject and the first 80 characters); items: course_id, key, ord, item_id. Items without a key name
     no post."""
     heads = items.filter("key <> ''").groupBy("course_id", F.left("key", F.lit(12)).alias("needle")).agg(F.min(F.struct("ord", "item_id")).alias("first"))
-    held = contained(heads, posts.select("course_id", F.col("key").alias("hay"))).join(heads, ["course_id", "needle"])
+    held = contained(heads, posts.select("course_id", F.col("key").alias("hay"))).join(shuffled(heads), ["course_id", "needle"])
     best = held.groupBy("course_id", F.col("hay").alias("key")).agg(F.min("first")["item_id"].alias("item_id"))
-    return posts.join(best, ["course_id", "key"]).select("post_id", "item_id")
+    return posts.join(shuffled(best), ["course_id", "key"]).select("post_id", "item_id")
 
 
 def related(items: DataFrame, texts: DataFrame, head: int) -> DataFrame:
@@ -126,9 +149,9 @@ def related(items: DataFrame, texts: DataFrame, head: int) -> DataFrame:
     low = F.lower("text")
     counted = texts.filter("NOT always AND text IS NOT NULL").groupBy("course_id", low.alias("hay")).agg(F.count("*").alias("n"))
     heads = items.select("item_id", "course_id", F.left(F.lower("title"), F.lit(head)).alias("needle"))
-    held = contained(heads, counted).join(counted, ["course_id", "hay"]).groupBy("course_id", "needle").agg(F.sum("n").alias("named"))
+    held = contained(heads, counted).join(shuffled(counted), ["course_id", "hay"]).groupBy("course_id", "needle").agg(F.sum("n").alias("named"))
     whole = texts.groupBy("course_id").agg(F.count_if("always").alias("n_always"), F.count_if(F.expr("NOT always AND text IS NOT NULL")).alias("n_other"))
-    met = heads.join(held, ["course_id", "needle"], "left").join(whole, "course_id", "left")
+    met = heads.join(shuffled(held), ["course_id", "needle"], "left").join(shuffled(whole), "course_id", "left")
     named = F.when(F.col("needle") == "", F.col("n_other")).otherwise(F.col("named"))
     return met.select("item_id", (F.coalesce("n_always", F.lit(0)) + F.coalesce(named, F.lit(0))).alias("n_related"))
 

@@ -62,3 +62,20 @@ def test_activities_of_ranges_and_of_best_five(spark):
     got = sorted(tuple(r) for r in linking.activities(spark.createDataFrame(rows, "course_id int, ord int, title string, is_item boolean")).collect())
     assert [r[:2] for r in got] == [(1, 2), (1, 3), (1, 4), *((2, n) for n in range(1, 7)), *((4, n) for n in range(1, 21))]
     assert got[:3] == [(1, 2, 2, 6, True), (1, 3, 2, 6, False), (1, 4, 2, 6, True)] and got[3][2:] == (5, 6, True)
+
+
+@pytest.mark.parametrize("few", [0, 3, 256])
+def test_contained_in_large_and_small_scopes(spark, drawn, monkeypatch, few):
+    monkeypatch.setattr(linking, "FEW", few)
+    test_contained_finds_every_pair_once(spark, drawn)
+
+
+def test_nothing_is_gathered_to_be_broadcast(spark, drawn):
+    """Exploded and joined rows are larger than the file that they come from."""
+    rows, items = drawn
+    grades = spark.createDataFrame([(i, c, i % 3, k) for i, (c, k) in enumerate(rows)], "grade_id int, course_id int, tool_id int, key string")
+    work = spark.createDataFrame(items, ITEMS).selectExpr("*", "item_id % 3 AS tool_id", "key AS title")
+    categories = work.selectExpr("course_id", "key", "ord", "key AS category_id")
+    topics = grades.selectExpr("grade_id AS topic_id", "course_id", "key AS title")
+    for found in (linking.gradebook_map(grades, work, categories), linking.content_items(topics, work), linking.by_title(grades, work, empty=False)):
+        assert "Broadcast" not in found._jdf.queryExecution().executedPlan().toString()
