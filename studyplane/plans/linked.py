@@ -60,9 +60,7 @@ def fact_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     last = w.agg((F.max("course_id") + 1).alias("n"))  # one row
     key = _pick(e % 6, F.concat(F.lit("quiz "), s(9)), "midterm", "mid term exam", F.concat(F.lit("assignment "), s(6)), "", "final exam")
     h = table(spark, sf_dir, "events").join(F.broadcast(last)).select(e.alias("fact_id"), (e % F.col("n")).alias("course_id"), key.alias("key"))
-    best = linking.by_title(h, w, empty=False)
-    first = linking.by_title(h, w, empty=False, exact_first=False).select("course_id", "key", F.col("item_id").alias("first_id"))
-    return h.join(best, ["course_id", "key"]).join(first, ["course_id", "key"]).select("fact_id", "item_id", "score", "first_id")
+    return h.join(linking.shuffled(linking.by_title(h, w, empty=False)), ["course_id", "key"]).select("fact_id", "item_id", "score", "first_id")
 
 
 TOPICS = """t AS (SELECT event_id AS topic_id, event_id % (SELECT max(course_id) + 1 FROM w) AS course_id, CASE event_id % 5 WHEN 0 THEN 'Assignment ' || (event_id % 7) || ' handout' WHEN 1 THEN 'Mid-term exam and more' WHEN 2 THEN 'QUIZ #' || (event_id % 9) WHEN 3 THEN 'Reading list' ELSE 'hw' || (event_id % 6) END AS title FROM events)"""
