@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .linking import contained
+from .graph import settled
+from .linking import contained, shuffled
 
 #: Classes of documents that name an item by its title, kinds of links that lead to materials, and how many an item shows (fixed values).
 NAMING, EXAMS = ("assignment_specification", "lab_instructions", "lab_handout", "grading_rubric"), ("exam_information",)
@@ -37,11 +38,11 @@ def holding_all_words(items: DataFrame, texts: DataFrame) -> DataFrame:
     keys = items.filter("key IS NOT NULL").select("course_id", "key").distinct().withColumn("words", words)
     hays = texts.filter("hay IS NOT NULL").select("course_id", "hay").distinct()
     each = keys.select("course_id", "key", "words", F.explode(F.array_distinct("words")).alias("needle"))
-    held = contained(each.select("course_id", "needle"), hays)
+    held = settled(contained(each.select("course_id", "needle"), hays))
     often = held.groupBy("course_id", "needle").agg(F.count("*").alias("often"))
-    rarest = each.join(often, ["course_id", "needle"], "left").groupBy("course_id", "key", "words").agg(F.min_by("needle", F.struct(F.coalesce("often", F.lit(0)), "needle")).alias("needle"))
-    named = rarest.join(held, ["course_id", "needle"]).filter(F.forall("words", lambda w: F.contains(F.col("hay"), w))).select("course_id", "key", "hay")
-    return named.unionByName(keys.filter(F.size("words") == 0).join(hays, "course_id").select("course_id", "key", "hay"))
+    rarest = each.join(shuffled(often), ["course_id", "needle"], "left").groupBy("course_id", "key", "words").agg(F.min_by("needle", F.struct(F.coalesce("often", F.lit(0)), "needle")).alias("needle"))
+    named = rarest.join(shuffled(held), ["course_id", "needle"]).filter(F.forall("words", lambda w: F.contains(F.col("hay"), w))).select("course_id", "key", "hay")
+    return named.unionByName(keys.filter(F.size("words") == 0).join(shuffled(hays), "course_id").select("course_id", "key", "hay"))
 
 
 def linked(items: DataFrame, library: DataFrame, content: DataFrame, links: DataFrame, outline: DataFrame, shown: int = SHOWN) -> DataFrame:
@@ -59,28 +60,28 @@ def linked(items: DataFrame, library: DataFrame, content: DataFrame, links: Data
     named = it.filter("key IS NOT NULL").withColumn("needle", F.replace(F.left("key", F.lit(TITLE_HEAD)), F.lit(" "), F.lit("")))
     files = library.withColumn("hay", F.lower("filename")).filter(naming & F.col("hay").isNotNull())
     files = files.groupBy("course_id", "hay", _label(F.col("document_class"), F.col("filename")).alias("text")).agg(F.min("ord").alias("ord"))
-    by_name = named.join(contained(named.select("course_id", "needle"), files.select("course_id", "hay")), ["course_id", "needle"]).join(files, ["course_id", "hay"])
-    blank = named.filter("needle = ''").join(files, "course_id")  # a title of blanks is in every name
+    by_name = named.join(shuffled(contained(named.select("course_id", "needle"), files.select("course_id", "hay"))), ["course_id", "needle"]).join(shuffled(files), ["course_id", "hay"])
+    blank = named.filter("needle = ''").join(shuffled(files), "course_id")  # a title of blanks is in every name
     told = _label(F.col("document_class"), F.col("filename"))
     of_library = _evidence(library.filter("item_id IS NOT NULL"), LIBRARY, told).unionByName(_evidence(by_name, LIBRARY, F.col("text"))).unionByName(_evidence(blank, LIBRARY, F.col("text")))
     texts = content.withColumn("hay", F.lower("title")).filter(F.col("document_class").isin(*NAMING, *EXAMS) & F.col("hay").isNotNull())
-    texts = texts.groupBy("course_id", "hay", _label(F.col("document_class"), F.col("title")).alias("text")).agg(F.min("ord").alias("ord"))
-    by_words = it.join(holding_all_words(it, texts), ["course_id", "key"]).join(texts, ["course_id", "hay"])
-    own = content.filter("item_id IS NOT NULL").join(it.select("item_id", "course_id"), ["item_id", "course_id"])
+    texts = settled(texts.groupBy("course_id", "hay", _label(F.col("document_class"), F.col("title")).alias("text")).agg(F.min("ord").alias("ord")))
+    by_words = it.join(shuffled(holding_all_words(it, texts)), ["course_id", "key"]).join(shuffled(texts), ["course_id", "hay"])
+    own = content.filter("item_id IS NOT NULL").join(shuffled(it.select("item_id", "course_id")), ["item_id", "course_id"])
     of_content = _evidence(own, CONTENT, _label(F.col("document_class"), F.col("title"))).unionByName(_evidence(by_words, CONTENT, F.col("text")))
     kinds = links.filter(F.col("kind").isin(*LINK_KINDS))
     both = kinds.select(F.col("from_id").alias("item_id"), F.col("to_id").alias("other"), "kind", "label", "ord").unionByName(kinds.filter("from_id <> to_id").select(F.col("to_id").alias("item_id"), F.col("from_id").alias("other"), "kind", "label", "ord"))
     of_links = _evidence(both, LINKS, F.concat(F.lower(F.replace("kind", F.lit("_"), F.lit(" "))), F.lit(": "), F.coalesce("label", F.col("other").cast("string"))))
     lines = outline.withColumn("needle", F.lower("title")).filter("needle <> ''").groupBy("course_id", "needle").agg(F.min_by(F.struct("ord", "snippet"), "ord").alias("first"))
-    held = contained(lines.select("course_id", "needle"), it.select("course_id", F.col("key").alias("hay"))).join(lines, ["course_id", "needle"])
+    held = contained(lines.select("course_id", "needle"), it.select("course_id", F.col("key").alias("hay"))).join(shuffled(lines), ["course_id", "needle"])
     first = held.groupBy("course_id", F.col("hay").alias("key")).agg(F.min("first").alias("first"))
-    snippets = it.join(first, ["course_id", "key"]).select("item_id", F.col("first.ord").alias("ord"), F.nullif(F.col("first.snippet"), F.lit("")).alias("snippet"))
+    snippets = it.join(shuffled(first), ["course_id", "key"]).select("item_id", F.col("first.ord").alias("ord"), F.nullif(F.col("first.snippet"), F.lit("")).alias("snippet"))
     of_outline = _evidence(snippets, OUTLINE, F.concat(F.lit("outline: "), F.left("snippet", F.lit(SNIPPET))))
     every = of_library.unionByName(of_content).unionByName(of_links.withColumn("item_id", F.col("item_id").try_cast(dict(it.dtypes)["item_id"]))).unionByName(of_outline).filter("text IS NOT NULL")
     distinct = every.groupBy("item_id", "text").agg(F.min(F.struct("source", "ord")).alias("at"))
     place = F.row_number().over(Window.partitionBy("item_id").orderBy("at", "text"))
     best = distinct.withColumn("place", place).filter(F.col("place") <= shown)
-    return best.join(it.select("item_id"), "item_id", "left_semi").select("item_id", "place", "text")
+    return best.join(shuffled(it.select("item_id")), "item_id", "left_semi").select("item_id", "place", "text")
 
 
 def schedule_links(entities: DataFrame, midterms: DataFrame, items: DataFrame) -> DataFrame:

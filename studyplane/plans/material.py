@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import materials
+from ..operators import linking, materials
 from .registry import query, table
 
 #: The tables in plain terms.
@@ -35,7 +35,7 @@ def linked_materials(spark: SparkSession, sf_dir: str) -> DataFrame:
     items = p.select(k.alias("item_id"), F.concat_ws("-", "p_brand", F.floor(k / 1000).cast("string")).alias("course_id"), F.col("p_name").alias("title"), "p_size")
     s = F.col("l_suppkey") % 4
     kind = F.when(s == 0, "grading_rubric").when(s == 1, "exam_information").when(s == 2, "lab_notes").otherwise("lab_handout")
-    li = table(spark, sf_dir, "lineitem").join(items.withColumnRenamed("item_id", "l_partkey"), "l_partkey").withColumns({"document_class": kind, "ord": F.col("l_orderkey")})
+    li = table(spark, sf_dir, "lineitem").join(linking.shuffled(items.withColumnRenamed("item_id", "l_partkey")), "l_partkey").withColumns({"document_class": kind, "ord": F.col("l_orderkey")})
     library = li.filter("l_returnflag = 'R'").select("course_id", F.when(F.col("l_tax") > 0.07, F.col("l_partkey")).alias("item_id"), "document_class", F.concat(F.replace("title", F.lit(" "), F.lit("")), F.lit(".pdf")).alias("filename"), "ord")
     content = li.select(F.col("l_orderkey").alias("content_id"), "course_id", F.when(F.col("l_quantity") < 3, F.col("l_partkey")).alias("item_id"), "document_class", F.concat_ws(" ", "l_linestatus", "title", F.col("l_linenumber").cast("string")).alias("title"), "ord")
     size = F.col("p_size").cast("string")
