@@ -37,13 +37,13 @@ def lines(spans: DataFrame) -> DataFrame:
     h, font (the largest), bold (any, or a font of 14), gaps (centres of those as wide as between columns) and cells (texts that CELL_GAP parts,
     else bars or wide blanks in the text). Blank and null spans count for nothing.
 
-    The heights of a page are folded, not its spans; what comes together are the spans of one line."""
-    usable = spans.filter(F.length(F.trim("text")) > 0).withColumn("y", F.col("y").cast("double"))
+    The heights of a page are folded, not its spans; what comes together are the spans of one line. Spans are dealt by their page once, and
+    all that follows stays where they are."""
+    usable = spans.filter((F.length(F.trim("text")) > 0) & F.col("y").isNotNull()).select(*PAGE, "ord", "x", F.col("y").cast("double").alias("y"), "w", "h", "font", "bold", "text")
     heights = usable.groupBy(*PAGE).agg(F.sort_array(F.collect_set("y"), asc=False).alias("ys"))
-    starts = heights.select(*PAGE, "ys", _starts(F.col("ys"), lambda first, y: first - y <= LINE_HEIGHT).alias("starts"))
-    number = lambda y: F.size(F.filter("starts", lambda s: s >= y)) - 1
-    placed = starts.select(*PAGE, F.explode(F.transform("ys", lambda y: F.struct(y.alias("y"), number(y).alias("number")))).alias("r")).select(*PAGE, "r.*")
-    rows = usable.join(placed, [*PAGE, "y"])
+    starts = heights.select(*PAGE, _starts(F.col("ys"), lambda first, y: first - y <= LINE_HEIGHT).alias("starts"))
+    number = F.size(F.filter("starts", lambda s: s >= F.col("y"))) - 1
+    rows = usable.join(starts.hint("shuffle_hash"), PAGE).withColumn("number", number).drop("starts")
     line = Window.partitionBy(*PAGE, "number").orderBy("x", F.desc("y"), "ord")
     end = F.lag(F.col("x") + F.col("w")).over(line)
     rows = rows.withColumns({"_end": end, "_at": F.row_number().over(line)}).withColumn("_gap", F.col("x") - F.col("_end"))
@@ -73,21 +73,31 @@ def text_cells(text: Column) -> Column:
     return F.when(text.contains("|"), parts(r"\|")).when(F.size(parts(r"\s{2,}")) > 1, parts(r"\s{2,}")).otherwise(F.array(text))
 
 
-def columns(of_lines: DataFrame, page_width: float = 612.0) -> DataFrame:
-    """Where a page's two columns part: doc_id, page and split, for pages that have two. Centres of gaps within GAP_CENTRES of a cluster's first
-    belong to it; the leftmost cluster with a quarter of the gaps counts, if it is not at the page's side."""
-    pages = of_lines.groupBy(*PAGE).agg(F.count("*").alias("n"), F.sort_array(F.flatten(F.collect_list("gaps"))).alias("gaps")).filter((F.col("n") >= COLUMN_LINES) & (F.size("gaps") >= COLUMN_GAPS))
-    starts = pages.withColumn("starts", _starts(F.col("gaps"), lambda first, g: g - first < GAP_CENTRES))
+def _parted(pages: DataFrame, page_width: float) -> DataFrame:
+    """Pages with split, from n (lines) and gaps (sorted centres of all): null where there is one column."""
+    starts = pages.withColumn("starts", F.when((F.col("n") >= COLUMN_LINES) & (F.size("gaps") >= COLUMN_GAPS), _starts(F.col("gaps"), lambda first, g: g - first < GAP_CENTRES)))
     of = lambda s: F.filter("gaps", lambda g: F.element_at(F.filter("starts", lambda t: t <= g), -1) == s)
     mean = lambda g: F.aggregate(g, F.lit(0.0), lambda a, v: a + v) / F.size(g)
     large = F.filter(F.transform("starts", of), lambda g: F.size(g) >= F.greatest(F.lit(2), F.floor(F.size("gaps") * 0.25)))
-    split = F.array_min(F.transform(large, mean))
-    return starts.select(*PAGE, split.alias("split")).filter(F.col("split").between(page_width * LEFTMOST, page_width * RIGHTMOST))
+    split = starts.withColumn("split", F.array_min(F.transform(large, mean)))
+    return split.withColumn("split", F.when(F.col("split").between(page_width * LEFTMOST, page_width * RIGHTMOST), F.col("split"))).drop("starts")
+
+
+def columns(of_lines: DataFrame, page_width: float = 612.0) -> DataFrame:
+    """Where a page's two columns part: doc_id, page and split, for pages that have two. Centres of gaps within GAP_CENTRES of a cluster's first
+    belong to it; the leftmost cluster with a quarter of the gaps counts, if it is not at the page's side."""
+    pages = of_lines.groupBy(*PAGE).agg(F.count("*").alias("n"), F.sort_array(F.flatten(F.collect_list("gaps"))).alias("gaps"))
+    return _parted(pages, page_width).select(*PAGE, "split").filter("split IS NOT NULL")
 
 
 def reading_order(of_lines: DataFrame, page_width: float = 612.0) -> DataFrame:
-    """The lines with column_index, by their centres, and reading_order: column by column, downwards."""
-    met = of_lines.join(columns(of_lines, page_width), PAGE, "left")
+    """The lines with column_index, by their centres, and reading_order: column by column, downwards. A page's first line carries its gaps, so
+    that lines needn't be made a second time to meet their columns."""
+    page = Window.partitionBy(*PAGE)
+    whole = of_lines.withColumns({"n": F.count("*").over(page), "_every": F.collect_list("gaps").over(page), "_least": F.min("number").over(page)})
+    first = F.when(F.col("number") == F.col("_least"), F.sort_array(F.flatten("_every")))
+    met = _parted(whole.withColumns({"_own": F.col("gaps"), "gaps": first}).drop("_every", "_least"), page_width)
+    met = met.withColumn("split", F.max("split").over(page)).withColumn("gaps", F.col("_own")).drop("_own", "n")
     column = F.when(F.col("x") + F.col("w") / 2 >= F.col("split"), 1).otherwise(0)
     w = Window.partitionBy(*PAGE).orderBy("column_index", F.desc("y"), "number")
     return met.withColumn("column_index", column).withColumn("reading_order", F.row_number().over(w) - 1).drop("split")

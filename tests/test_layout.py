@@ -60,3 +60,12 @@ def test_outline_text(spark):
     texts = ["ﬁnal–exam’s​  20•", "ClS*1500 lnstructor FaII", None, "", "We¡ght ½\r\n\0x", "Ａ" * 5000]
     got = {r.i: r.t for r in spark.createDataFrame(list(enumerate(texts)), "i int, t string").select("i", layout.outline_text(F.col("t")).alias("t")).collect()}
     assert got == {0: "final-exam's  20-", 1: "CIS*1500 Instructor Fall", 2: None, 3: "", 4: f"Weight {unicodedata.normalize('NFKC', '½')}\nx", 5: "A" * 5000}
+
+
+def test_spans_are_dealt_once(spark):
+    """Lines, columns and reading order of a page take one exchange of its spans, and one of its heights."""
+    rows = [(1, 1, i, 50.0 + i, 700.0 - i % 3 * 12, 10.0, 10.0, 11.0, False, f"w{i}") for i in range(9)] + [(1, 1, 9, 1.0, None, 1.0, 1.0, 1.0, False, "nowhere"), (1, None, 10, 1.0, 1.0, 1.0, 1.0, 1.0, False, "no page")]
+    spans = spark.createDataFrame(rows, "doc_id int, page int, ord int, x double, y double, w double, h double, font double, bold boolean, text string")
+    found = layout.reading_order(layout.lines(spans))
+    assert found._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") <= 2
+    assert [(r.number, r.reading_order, r.column_index) for r in found.orderBy("number").collect()] == [(0, 0, 0), (1, 1, 0), (2, 2, 0)]
