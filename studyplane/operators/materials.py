@@ -102,6 +102,7 @@ def schedule_links(entities: DataFrame, midterms: DataFrame, items: DataFrame) -
 
     def met(left: DataFrame, a: str, right: DataFrame, b: str) -> DataFrame:
         """Rows of one course with equal numbers, or of which one has none."""
+        right = shuffled(right)
         keyed = left.join(right, left["course_id"].eqNullSafe(right["course_id"]) & (left[a] == right[b])).drop(right["course_id"])
         wild = left.filter(F.col(a).isNull()).join(right, left["course_id"].eqNullSafe(right["course_id"])).drop(right["course_id"])
         wild_too = left.filter(F.col(a).isNotNull()).join(right.filter(F.col(b).isNull()), left["course_id"].eqNullSafe(right["course_id"])).drop(right["course_id"])
@@ -110,14 +111,14 @@ def schedule_links(entities: DataFrame, midterms: DataFrame, items: DataFrame) -
     link = lambda df, a, b, kind, sure: df.select(F.col(a).alias("from_id"), F.col(b).alias("to_id"), F.lit(kind).alias("kind"), F.lit(sure).alias("confidence"))
     contains = link(met(weeks, "week", lectures, "own"), "week_id", "id", "CONTAINS", 0.7).unionByName(link(met(weeks, "week", labs, "own"), "week_id", "id", "CONTAINS", 0.7))
     numbered = weeks.filter("week IS NOT NULL").select("course_id", "week").distinct()
-    in_week = numbered.join(lectures.withColumnRenamed("id", "lecture_id"), numbered["course_id"].eqNullSafe(lectures["course_id"]) & (F.col("week") == F.col("own"))).select(numbered["course_id"], "week", "lecture_id")
+    in_week = numbered.join(shuffled(lectures.withColumnRenamed("id", "lecture_id")), numbered["course_id"].eqNullSafe(lectures["course_id"]) & (F.col("week") == F.col("own"))).select(numbered["course_id"], "week", "lecture_id")
     beside = link(met(in_week, "week", labs, "own"), "lecture_id", "id", "ASSOCIATED_WITH", 0.55)
     titles = items.filter("title IS NOT NULL").select("course_id", F.lower("title").alias("low"), "ord", "item_id")
     by_title = titles.groupBy("course_id", "low").agg(F.max_by("item_id", "ord").alias("same"), F.min("ord").alias("ord"))
     speaks = by_title.filter(F.contains("low", F.lit("midterm"))).groupBy("course_id").agg(F.min_by("same", "ord").alias("spoken"))
     mids = e.filter("kind = 'midterm'").select("course_id", F.col("label").alias("title")).unionByName(midterms.select("course_id", "title")).filter("title IS NOT NULL").distinct()
-    mids = mids.withColumn("low", F.lower("title")).join(by_title.select("course_id", "low", "same"), ["course_id", "low"], "left").join(speaks, "course_id", "left")
+    mids = mids.withColumn("low", F.lower("title")).join(shuffled(by_title.select("course_id", "low", "same")), ["course_id", "low"], "left").join(shuffled(speaks), "course_id", "left")
     mids = mids.select("course_id", F.coalesce(F.col("same").cast("string"), F.col("spoken").cast("string"), text("schedule:midterm:", course, ":", F.col("title"))).alias("mid_id")).distinct()
-    with_mid = lambda rows: rows.join(mids, rows["course_id"].eqNullSafe(mids["course_id"]))
+    with_mid = lambda rows: rows.join(shuffled(mids), rows["course_id"].eqNullSafe(mids["course_id"]))
     before = link(with_mid(lectures), "id", "mid_id", "INTRODUCED_DURING", 0.5).unionByName(link(with_mid(labs), "id", "mid_id", "PREPARES_FOR", 0.55))
     return contains.unionByName(beside).unionByName(before).distinct()

@@ -107,3 +107,10 @@ def test_a_course_with_many_numbered_weeks_meets_by_number(spark):
     none = spark.createDataFrame([], "course_id int, title string, ord int, item_id string")
     found = materials.schedule_links(e, none.select("course_id", "title"), none)
     assert {r["kind"]: r["count"] for r in found.groupBy("kind").count().collect()} == {"CONTAINS": 6000, "ASSOCIATED_WITH": 3000}
+
+
+def test_schedules_are_not_broadcast(spark):
+    entities = spark.createDataFrame([(1, "week", "L1", 1), (1, "lecture", "L2", 1), (1, "lab", "L3", None)], "course_id int, kind string, label string, week int")
+    mids = spark.createDataFrame([(1, "Midterm")], "course_id int, title string")
+    found = materials.schedule_links(entities, mids, spark.createDataFrame([(1, "MIDTERM", 0, "i")], "course_id int, title string, ord int, item_id string"))
+    assert "Broadcast" not in found._jdf.queryExecution().executedPlan().toString()
