@@ -4,10 +4,17 @@ Conventions: a null stays unknown; `now` is a parameter and never the clock; day
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+def let(value: Column, made: Callable[[Column], Column]) -> Column:
+    """What is made of a value that is computed once, however often the result names it."""
+    return F.get(F.transform(F.array(value), made), F.lit(0))
+
+
 def filled(text: Column) -> Column:
     """Whether a display text is there and not empty."""
     return F.coalesce(F.length(text) > 0, F.lit(False))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.state import let
 from ..functions.text import bounded
 
 #: Sources whose exact dates no rule changes (fixed values), and how sure a fact must be to change a date, and to leave no open conflict.
@@ -78,16 +79,21 @@ def next_of(rows: DataFrame, key: str, at: str, now: Column, columns: list[str])
 def date_label(label: Column, year: int) -> Column:
     """What a date in words says, as a struct of day and certainty: Week n and to-be-announced forms are approximate; month and day in either order
     (with their own year or the given one) and yyyy-mm-dd are exact; all else is unknown. Days past a month's end run on into the next."""
-    low = F.lower(F.trim(label))
     month = r"(jan(?:uary)?|feb(?:ruary)?|mar(?:ch)?|apr(?:il)?|may|june?|july?|aug(?:ust)?|sep(?:t(?:ember)?)?|oct(?:ober)?|nov(?:ember)?|dec(?:ember)?)"
     forms = ((bounded(rf"\b{month}\.?\s+(\d{{1,2}})(?:st|nd|rd|th)?(?:,?\s*(\d{{4}}))?"), 1, 2), (bounded(rf"\b(\d{{1,2}})(?:st|nd|rd|th)?\s+{month}\.?(?:,?\s*(\d{{4}}))?"), 2, 1))
     number = F.create_map(*(F.lit(x) for k, m in enumerate("jan feb mar apr may jun jul aug sep oct nov dec".split(), 1) for x in (m, k)))
-    days = []
-    for pattern, m, d in forms:
-        g = lambda k, p=pattern: F.nullif(F.regexp_extract(low, p, k), F.lit(""))
-        day = g(d).cast("int")
-        days.append(F.when((day >= 1) & (day <= 31), F.date_add(F.make_date(F.coalesce(g(3).cast("int"), F.lit(year)), F.try_element_at(number, F.left(g(m), F.lit(3))), F.lit(1)), day - 1)))
-    iso = F.try_to_date(F.nullif(F.regexp_extract(low, bounded(r"\b\d{4}-\d{2}-\d{2}\b"), 0), F.lit("")), "yyyy-MM-dd")
-    vague = low.rlike(bounded(r"\bweek\s*\d+\b")) | low.rlike(bounded(r"\b(exam\s*period|tbd|tba|see\s+(course\s+)?link|announced\s+later)\b"))
-    day = F.when(~vague, F.coalesce(*days, iso))
-    return F.struct(day.alias("day"), F.when(vague, "approximate").when(day.isNotNull(), "exact").otherwise("unknown").alias("certainty"))
+
+    def named(low: Column, pattern: str, m: int, d: int) -> Column:
+        g = lambda k: F.regexp_extract(low, pattern, k)
+        own = let(g(3), lambda y: F.when(y != "", y).cast("int"))
+        first = F.make_date(F.coalesce(own, F.lit(year)), F.try_element_at(number, F.left(g(m), F.lit(3))), F.lit(1))
+        return let(let(g(d), lambda x: F.when(x != "", x).cast("int")), lambda day: F.when((day >= 1) & (day <= 31), F.date_add(first, day - 1)))
+
+    def told(low: Column) -> Column:
+        iso = let(F.regexp_extract(low, bounded(r"\b\d{4}-\d{2}-\d{2}\b"), 0), lambda x: F.try_to_date(F.when(x != "", x), "yyyy-MM-dd"))
+        vague = low.rlike(bounded(r"\bweek\s*\d+\b")) | low.rlike(bounded(r"\b(exam\s*period|tbd|tba|see\s+(course\s+)?link|announced\s+later)\b"))
+        known = lambda v: F.when(~v, F.coalesce(*(named(low, *form) for form in forms), iso))
+        said = lambda v, day: F.struct(day.alias("day"), F.when(v, "approximate").when(day.isNotNull(), "exact").otherwise("unknown").alias("certainty"))
+        return let(vague, lambda v: let(known(v), lambda day: said(v, day)))
+
+    return let(F.lower(F.trim(label)), told)

@@ -1,13 +1,15 @@
 """Outline texts to rows, pass by pass: the lines, an evaluation table and its items, weights line by line, bodies of sections.
 
-Each pass is an operator over lines with their places, so that a row tells where it came from; what a line means may depend on lines before
-it, which windows over a document's lines give: the last row, the last heading, whether the line above took this one in."""
+Each pass is an operator over documents as lists of their lines, whose places tell where a row came from. What a line means may depend on
+the lines before it, which stand beside it in the list; so nothing is sorted or shuffled behind the texts. Rows of single lines, as `lines`
+gives them, are brought together by document first."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.state import let
 from ..functions.text import bounded, outline_type
 from .deadlines import date_label
 
@@ -36,16 +38,36 @@ def _is(text: Column, pattern: str) -> Column:
 
 def _got(text: Column, pattern: str, k: int = 1) -> Column:
     """The k-th group where the pattern is found and the group isn't empty."""
-    return F.nullif(F.regexp_extract(text, bounded(pattern), k), F.lit(""))
+    return let(F.regexp_extract(text, bounded(pattern), k), lambda got: F.when(got != "", got))
+
+
+def listed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id and lines: a document's lines trimmed, their inner blanks kept, without empty ones and page breaks. Null texts have null."""
+    trimmed = F.transform(F.split(F.col(text_col), "\n"), lambda line: F.regexp_replace(line, r"^\s+|\s+$", ""))
+    return docs.select(F.col(id_col).alias("doc_id"), F.filter(trimmed, lambda line: (line != "") & (line != "--- page break ---")).alias("lines"))
 
 
 def lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, place (from 0, among lines that count) and line: lines trimmed, their inner blanks kept, without empty ones and page breaks.
-    Null texts have none."""
-    out = docs.select(F.col(id_col).alias("doc_id"), F.posexplode(F.split(F.col(text_col), "\n")).alias("at", "line"))
-    out = out.withColumn("line", F.regexp_replace("line", r"^\s+|\s+$", "")).filter("line <> '' AND line <> '--- page break ---'")
-    place = F.row_number().over(Window.partitionBy("doc_id").orderBy("at")) - 1
-    return out.select("doc_id", place.alias("place"), "line")
+    """doc_id, place (from 0, among lines that count) and line, of the lines that `listed` gives."""
+    return listed(docs, id_col, text_col).select("doc_id", F.posexplode("lines").alias("place", "line"))
+
+
+def _listed(of_lines: DataFrame) -> DataFrame:
+    """Documents with their lines, of either form."""
+    if "lines" in of_lines.columns:
+        return of_lines
+    by_place = F.array_sort(F.collect_list(F.struct("place", "line")))
+    return of_lines.groupBy("doc_id").agg(F.transform(by_place, lambda s: s["line"]).alias("lines"))
+
+
+def _first(flags: Column) -> Column:
+    """The place (from 0) of the first true one; null if there is none."""
+    return let(F.array_position(flags, True), lambda at: F.when(at > 0, (at - 1).cast("int")))
+
+
+def _behind(many: Column, at: Column, upto: Column) -> Column:
+    """What stands behind a place and before another one."""
+    return F.slice(many, at + 2, F.greatest(upto - at - 1, F.lit(0)))
 
 
 def cells(line: Column) -> Column:
@@ -53,7 +75,8 @@ def cells(line: Column) -> Column:
     parts = lambda pattern: F.filter(F.transform(F.split(line, pattern), lambda c: F.trim(c)), lambda c: c != "")
     ending = bounded(r"(?i)^(.+?)\s+(\d{1,3}(?:\.\d+)?\s*%|due\b.*)$")
     two = F.array(F.trim(F.regexp_extract(line, ending, 1)), F.trim(F.regexp_extract(line, ending, 2)))
-    return F.when(line.contains("\t"), parts(r"\t+")).when(line.contains("|"), parts(r"\|")).when(F.size(parts(r"\s{2,}")) > 1, parts(r"\s{2,}")).when(line.rlike(ending), two).otherwise(F.array(line))
+    wide = let(parts(r"\s{2,}"), lambda c: F.when(F.size(c) > 1, c).when(line.rlike(ending), two).otherwise(F.array(line)))
+    return F.when(line.contains("\t"), parts(r"\t+")).when(line.contains("|"), parts(r"\|")).otherwise(wide)
 
 
 def table_rows(of_lines: DataFrame) -> DataFrame:
@@ -62,25 +85,35 @@ def table_rows(of_lines: DataFrame) -> DataFrame:
     The first line that names items with weights or dates is the head. Rows have two cells, or a word of coursework and a number; a short line
     of one cell is the rest of the title above it. The table ends with a total, before a line like a heading, or after TABLE_LINES; a table
     of one row is none."""
-    line = F.col("line")
-    head = _is(line, HEAD_ITEM) & (_is(line, HEAD_WEIGHT) | _is(line, HEAD_DUE))
-    of_doc = Window.partitionBy("doc_id")
-    after = of_lines.withColumn("head", F.min(F.when(head, F.col("place"))).over(of_doc)).filter(F.col("place").between(F.col("head"), F.col("head") + TABLE_LINES - 1))
-    after = after.withColumn("cells", cells(line))
-    total = _is(line, r"(?i)^total\b") & line.rlike(_PERCENT)
-    is_row = total | (F.size("cells") > 1) | (_is(line, WORK) & line.rlike("[0-9]"))
-    upto = of_doc.orderBy("place").rowsBetween(Window.unboundedPreceding, 0)
-    after = after.withColumns({"is_head": F.col("place") == F.col("head"), "total": total}).withColumn("is_row", is_row & ~F.col("is_head")).withColumn("nth", F.sum(F.col("is_row").cast("int")).over(upto))
-    heading = line.rlike("^[A-Z][A-Za-z ]{4,40}$") & ~_is(line, WORK) & ((F.col("nth") - F.col("is_row").cast("int")) > 0)
-    stop = F.when(F.col("total") & ~F.col("is_head"), F.col("place") + 1).when(heading, F.col("place"))
-    inside = after.withColumn("stop", F.min(stop).over(of_doc)).filter(F.col("stop").isNull() | (F.col("place") < F.col("stop")))
-    inside = inside.withColumn("header", F.max(F.when(F.col("is_head"), F.col("cells"))).over(of_doc)).filter(~F.col("is_head") & (F.col("is_row") | ((F.col("nth") > 0) & (F.length("line") < WRAPPED))))
-    rest = F.transform(F.array_sort(F.collect_list(F.when(~F.col("is_row"), F.struct("place", F.col("cells")[0].alias("cell"), "line")))), lambda s: s)
-    rows = inside.groupBy("doc_id", "header", "nth").agg(F.min("place").alias("place"), F.max_by("cells", F.col("is_row").cast("int")).alias("own"), F.max_by("line", F.col("is_row").cast("int")).alias("line"), rest.alias("rest"))
-    rows = rows.withColumn("n", F.count("*").over(of_doc)).filter("n > 1")
-    first = F.trim(F.array_join(F.concat(F.array(F.col("own")[0]), F.transform("rest", lambda s: s["cell"])), " "))
-    raw = F.array_join(F.concat(F.array("line"), F.transform("rest", lambda s: s["line"])), " ")
-    return rows.select("doc_id", "header", "place", (F.col("nth") - 1).alias("row_number"), F.concat(F.array(first), F.slice("own", 2, 1 << 30)).alias("cells"), raw.alias("raw"))
+
+    def told(line: Column, k: Column) -> Column:
+        """What a line behind the head is."""
+        total = _is(line, r"(?i)^total\b") & line.rlike(_PERCENT)
+        heading = line.rlike("^[A-Z][A-Za-z ]{4,40}$") & ~_is(line, WORK)
+        made = lambda total, own: F.struct(k.alias("k"), line.alias("line"), own.alias("cells"), total.alias("total"), (total | (F.size(own) > 1) | (_is(line, WORK) & line.rlike("[0-9]"))).alias("is_row"), heading.alias("heading"))
+        return let(total, lambda total: let(cells(line), lambda own: made(total, own)))
+
+    def ended(of: Column) -> Column:
+        """The lines before the table's end."""
+        stop = lambda first: _first(F.transform(of, lambda s: F.coalesce((s["heading"] & ~s["total"] & (s["k"] > first)) | (s["total"]), F.lit(False))))
+        cut = lambda at: F.when(at.isNull(), of).otherwise(F.slice(of, 1, at + F.get(of, at)["total"].cast("int")))
+        return let(_first(F.transform(of, lambda s: s["is_row"])), lambda first: let(stop(first), cut))
+
+    def row(of: Column, own: Column, upto: Column) -> Column:
+        rest = F.filter(_behind(of, own["k"], upto), lambda s: F.length(s["line"]) < WRAPPED)
+        title = lambda rest: F.trim(F.array_join(F.concat(F.array(own["cells"][0]), F.transform(rest, lambda s: s["cells"][0])), " "))
+        raw = lambda rest: F.array_join(F.concat(F.array(own["line"]), F.transform(rest, lambda s: s["line"])), " ")
+        return let(rest, lambda rest: F.struct(own["k"].alias("k"), F.concat(F.array(title(rest)), F.slice(own["cells"], 2, 1 << 30)).alias("cells"), raw(rest).alias("raw")))
+
+    def rows(of: Column) -> Column:
+        each = lambda begun: F.when(F.size(begun) > 1, F.transform(begun, lambda own, n: row(of, own, F.coalesce(F.get(begun, n + 1)["k"], F.size(of)))))
+        return let(F.filter(of, lambda s: s["is_row"]), each)
+
+    head = lambda line: _is(line, HEAD_ITEM) & (_is(line, HEAD_WEIGHT) | _is(line, HEAD_DUE))
+    found = lambda at: F.struct(at.alias("head"), F.get("lines", at).alias("line"), let(F.transform(F.slice("lines", at + 2, TABLE_LINES - 1), told), lambda of: let(ended(of), rows)).alias("rows"))
+    tables = _listed(of_lines).select("doc_id", let(_first(F.transform("lines", head)), lambda at: F.when(at.isNotNull(), found(at))).alias("t"))
+    tables = tables.select("doc_id", cells(F.col("t.line")).alias("header"), F.col("t.head").alias("head"), F.posexplode("t.rows").alias("row_number", "r"))
+    return tables.select("doc_id", "header", (F.col("head") + 1 + F.col("r.k")).alias("place"), F.col("row_number").cast("long").alias("row_number"), "r.cells", "r.raw")
 
 
 def _column(keys: tuple[str, ...]) -> Column:
@@ -92,9 +125,8 @@ def _named(title: Column) -> Column:
     return F.trim(F.regexp_replace(title, r"^[-*0-9.)\s]+", ""))
 
 
-def _dated(label: Column, year: int) -> list[Column]:
-    d = date_label(label, year)
-    return [F.left(label, F.lit(80)).alias("due_label"), d["day"].alias("due"), F.when(label.isNull(), "unknown").otherwise(d["certainty"]).alias("certainty")]
+def _dated(label: Column, year: int) -> Column:
+    return F.when(label.isNotNull(), date_label(label, year))
 
 
 def table_items(rows: DataFrame, year: int) -> DataFrame:
@@ -102,54 +134,59 @@ def table_items(rows: DataFrame, year: int) -> DataFrame:
     which; a weight and a date that no column has are looked for in the row. Totals, heads and rows that speak of no work and have no
     weight are left out."""
     title_at, weight_at, due_at = F.greatest(_column(TITLE_KEYS), F.lit(1)), _column(WEIGHT_KEYS), _column(DUE_KEYS)
-    weight_at = F.when(weight_at > 0, weight_at).when(F.size("header") > 1, F.size("header")).otherwise(0)
-    cell = lambda at: F.when(at > 0, F.try_element_at("cells", F.greatest(at, F.lit(1))))
+    weight_at = let(weight_at, lambda at: F.when(at > 0, at).when(F.size("header") > 1, F.size("header")).otherwise(0))
+    cell = lambda at: let(at, lambda at: F.when(at > 0, F.try_element_at("cells", F.greatest(at, F.lit(1)))))
     title = _named(F.coalesce(cell(title_at), F.col("cells")[0]))
-    number = _got(cell(weight_at), r"(\d{1,3}(?:\.\d+)?)").cast("double")
-    weight = F.coalesce(F.when(number <= 100, number), _got(F.col("raw"), r"(\d{1,3}(?:\.\d+)?)\s*%").cast("double"))
-    label = F.coalesce(F.nullif(cell(due_at), F.lit("")), _got(F.col("raw"), DUE_WORDS), _got(F.col("raw"), DAYS))
-    made = rows.withColumns({"_title": title, "_weight": weight, "_label": label}).filter((F.col("_title") != "") & ~_is(F.col("_title"), NO_ITEM) & (F.col("_weight").isNotNull() | _is(F.col("_title"), WORK)))
-    sure = F.when(F.col("_weight").isNull(), 0.55).when(F.col("_label").isNotNull(), 0.85).otherwise(0.8)
-    return made.select("doc_id", "place", F.left("_title", F.lit(120)).alias("title"), outline_type(F.col("_title")).alias("type"), F.col("_weight").alias("weight"), *_dated(F.col("_label"), year), sure.alias("confidence"), F.left("raw", F.lit(200)).alias("snippet"))
+    number = let(_got(cell(weight_at), r"(\d{1,3}(?:\.\d+)?)").cast("double"), lambda n: F.when(n <= 100, n))
+    weight = F.coalesce(number, _got(F.col("raw"), r"(\d{1,3}(?:\.\d+)?)\s*%").cast("double"))
+    label = F.coalesce(let(cell(due_at), lambda due: F.when(due != "", due)), _got(F.col("raw"), DUE_WORDS), _got(F.col("raw"), DAYS))
+    made = rows.select("doc_id", "place", "raw", F.inline(F.array(F.struct(title.alias("_title"), weight.alias("_weight"), label.alias("_label")))))
+    made = made.filter((F.col("_title") != "") & ~_is(F.col("_title"), NO_ITEM) & (F.col("_weight").isNotNull() | _is(F.col("_title"), WORK)))
+    return _items(made, F.col("raw"), year, F.when(F.col("_weight").isNull(), 0.55).when(F.col("_label").isNotNull(), 0.85).otherwise(0.8))
+
+
+def _items(made: DataFrame, line: Column, year: int, sure: Column) -> DataFrame:
+    """Items as table_items gives them, of _title, _weight and _label."""
+    dated = made.withColumn("_due", _dated(F.col("_label"), year))
+    label = [F.left("_label", F.lit(80)).alias("due_label"), F.col("_due.day").alias("due"), F.coalesce("_due.certainty", F.lit("unknown")).alias("certainty")]
+    return dated.select("doc_id", "place", F.left("_title", F.lit(120)).alias("title"), outline_type(F.col("_title")).alias("type"), F.col("_weight").alias("weight"), *label, sure.alias("confidence"), F.left(line, F.lit(200)).alias("snippet"))
 
 
 def unwrapped(of_lines: DataFrame) -> DataFrame:
     """Lines, a title joined with the weight or date that stands alone on the next line. A line that was taken in takes in none: of a run of
     lines that each could, every second one does."""
-    w = Window.partitionBy("doc_id").orderBy("place")
-    line, after = F.col("line"), F.lead("line").over(w)
-    could = _is(line, WORK) & ~line.rlike(_PERCENT) & F.coalesce(after.rlike(r"^\d{1,3}(?:\.\d+)?\s*%") | after.rlike(bounded(r"(?i)\b(week\s*\d+|due\b)")), F.lit(False))
-    rows = of_lines.withColumns({"after": after, "could": could})
-    rows = rows.withColumn("before", F.coalesce(F.last(F.when(~F.col("could"), F.col("place")), ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0)), F.lit(-1)))
-    rows = rows.withColumn("joins", F.col("could") & ((F.col("place") - F.col("before")) % 2 == 1))
-    rows = rows.withColumn("taken", F.coalesce(F.lag("joins").over(w), F.lit(False)))
-    return rows.filter("NOT taken").select("doc_id", "place", F.when(F.col("joins"), F.concat("line", F.lit("  "), "after")).otherwise(F.col("line")).alias("line"))
+    stands = lambda after: F.coalesce(after.rlike(r"^\d{1,3}(?:\.\d+)?\s*%") | after.rlike(bounded(r"(?i)\b(week\s*\d+|due\b)")), F.lit(False))
+    could = lambda line, k: let(F.get("lines", k + 1), stands) & ~line.rlike(_PERCENT) & _is(line, WORK)
+    # a letter for each line: of a run of 1, each second one joins (J) what it takes in (T)
+    marks = F.split(F.regexp_replace(F.array_join(F.transform("lines", lambda line, k: F.when(could(line, k), "1").otherwise("0")), ""), "1.", "JT"), "")
+    joined = lambda line, k, mark: F.struct(k.alias("place"), F.when(mark == "J", F.concat(line, F.lit("  "), F.get("lines", k + 1))).otherwise(line).alias("line"), (mark != "T").alias("stays"))
+    each = let(marks, lambda marks: F.transform("lines", lambda line, k: joined(line, k, F.get(marks, k))))
+    return _listed(of_lines).select("doc_id", F.inline(F.filter(each, lambda s: s["stays"]))).drop("stays")
 
 
 def weight_lines(of_lines: DataFrame, year: int) -> DataFrame:
     """Items of lines with a title and a weight, as table_items gives them; the first of WEIGHT_LINES that a line matches counts."""
     line = F.col("line")
-    part = lambda k: F.coalesce(*(F.when(line.rlike(p), F.regexp_extract(line, p, k)) for p in WEIGHT_LINES))
-    made = unwrapped(of_lines).withColumns({"_title": _named(part(1)), "_weight": part(2).cast("double"), "_rest": F.nullif(F.trim(part(3)), F.lit(""))})
+    parts = F.coalesce(*(F.when(line.rlike(p), F.struct(*(F.regexp_extract(line, p, k).alias(str(k)) for k in (1, 2, 3)))) for p in WEIGHT_LINES))
+    made = let(parts, lambda of: F.struct(_named(of["1"]).alias("_title"), of["2"].cast("double").alias("_weight"), let(F.trim(of["3"]), lambda rest: F.when(rest != "", rest)).alias("_rest")))
+    made = unwrapped(of_lines).select("doc_id", "place", "line", F.inline(F.array(made)))
     made = made.filter((F.col("_title") != "") & (F.col("_weight") <= 100) & ~_is(F.col("_title"), NO_WEIGHT_ITEM))
     made = made.withColumn("_label", F.coalesce("_rest", _got(line, DUE_WORDS), _got(line, DAYS_OF_LINES, 0)))
-    sure = F.when(F.col("_label").isNotNull(), 0.75).otherwise(0.85)
-    return made.select("doc_id", "place", F.left("_title", F.lit(120)).alias("title"), outline_type(F.col("_title")).alias("type"), F.col("_weight").alias("weight"), *_dated(F.col("_label"), year), sure.alias("confidence"), F.left("line", F.lit(200)).alias("snippet"))
+    return _items(made, line, year, F.when(F.col("_label").isNotNull(), 0.75).otherwise(0.85))
 
 
 def section_bodies(of_lines: DataFrame, headings: dict[str, tuple[str, ...]]) -> DataFrame:
     """doc_id, section and body of the first section of each name: what stands behind its heading, then its lines up to one that is like a
     heading, speaks of no work and has no weight. headings: for each section the words that its heading begins with."""
-    found = None
-    line = F.col("line")
-    for name, words in headings.items():
+
+    def section(name: str, words: tuple[str, ...], ends: Column) -> Column:
         pattern = bounded(r"(?i)^(?:\d+[.)]\s*)?(?:" + "|".join(r"\Q" + w + r"\E" for w in words) + r")\b")
-        mine = of_lines.withColumn("start", F.min(F.when(line.rlike(pattern) & (F.length("line") < HEADING), F.col("place"))).over(Window.partitionBy("doc_id"))).filter(F.col("place") >= F.col("start"))
-        heading = line.rlike("^[A-Z][A-Za-z ]{2,48}$") & ~_is(line, WORK) & (F.col("place") > F.col("start") + 1)
-        mine = mine.withColumn("stop", F.min(F.when(heading, F.col("place"))).over(Window.partitionBy("doc_id"))).filter(F.col("stop").isNull() | (F.col("place") < F.col("stop")))
-        own = F.nullif(F.trim(F.regexp_replace(F.regexp_replace("line", pattern, ""), r"^[:\-\s]+", "")), F.lit(""))
-        text = F.when(F.col("place") == F.col("start"), own).otherwise(line)
-        body = F.array_join(F.transform(F.array_sort(F.collect_list(F.when(text.isNotNull(), F.struct("place", text.alias("line"))))), lambda s: s["line"]), "\n")
-        mine = mine.groupBy("doc_id").agg(F.trim(body).alias("body")).select("doc_id", F.lit(name).alias("section"), "body")
-        found = mine if found is None else found.unionByName(mine)
-    return found
+        start = _first(F.transform("lines", lambda line: line.rlike(pattern) & (F.length(line) < HEADING)))
+        own = lambda at: F.trim(F.regexp_replace(F.regexp_replace(F.get("lines", at), pattern, ""), r"^[:\-\s]+", ""))
+        stop = lambda at: F.coalesce(F.get(F.filter(ends, lambda k: k > at + 1), F.lit(0)), F.size("lines"))
+        text = lambda at: F.concat(let(own(at), lambda x: F.when(x != "", F.array(x)).otherwise(F.array().cast("array<string>"))), _behind(F.col("lines"), at, stop(at)))
+        return let(start, lambda at: F.when(at.isNotNull(), F.struct(F.lit(name).alias("section"), F.trim(F.array_join(text(at), "\n")).alias("body"))))
+
+    heading = lambda line, k: F.when(line.rlike("^[A-Z][A-Za-z ]{2,48}$") & ~_is(line, WORK), k)
+    found = let(F.array_compact(F.transform("lines", heading)), lambda ends: F.array_compact(F.array(*(section(*x, ends) for x in headings.items()))))
+    return _listed(of_lines).select("doc_id", F.inline(found))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import outline_rows
@@ -16,10 +16,10 @@ r AS (SELECT *, k + coalesce(sum(wrapped::INT) OVER (PARTITION BY doc_id ORDER B
 
 def outlines(spark: SparkSession, sf_dir: str, row: Column, before: str, after: str) -> DataFrame:
     """doc_id and text: a row's lines, between what stands before and after them."""
-    by = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice")
-    li = table(spark, sf_dir, "lineitem").select("l_orderkey", F.row_number().over(by).alias("k"), row.alias("row"))
-    listed = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("k", "row"))), lambda s: s["row"]), "\n")
-    return li.groupBy(F.col("l_orderkey").alias("doc_id")).agg(listed.alias("rows")).select("doc_id", F.concat(F.lit(before), "rows", F.lit(after)).alias("text"))
+    order = ["l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice"]
+    rows = F.array_sort(F.collect_list(F.struct(*order, row.alias("row"))))
+    listed = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("doc_id")).agg(F.array_join(F.transform(rows, lambda s: s["row"]), "\n").alias("rows"))
+    return listed.select("doc_id", F.concat(F.lit(before), "rows", F.lit(after)).alias("text"))
 
 
 def _text(*parts: Column | str) -> Column:
@@ -36,7 +36,7 @@ def with_table(spark: SparkSession, sf_dir: str) -> DataFrame:
 title || '   ' || weight || '%   Oct ' || day || CASE WHEN wrapped THEN ' by ' || status ELSE '' END AS snippet FROM r""")
 def outline_table_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The items of each outline's evaluation table."""
-    return outline_rows.table_items(outline_rows.table_rows(outline_rows.lines(with_table(spark, sf_dir))), 2026)
+    return outline_rows.table_items(outline_rows.table_rows(outline_rows.listed(with_table(spark, sf_dir))), 2026)
 
 
 @query(f"""WITH {LISTED} SELECT doc_id, 1 + pos AS place, title, 'quiz' AS type, weight::DOUBLE AS weight, 'Oct ' || day AS due_label, make_date(2026, 10, day::INT) AS due, 'exact' AS certainty, 0.75::DOUBLE AS confidence,
@@ -44,12 +44,12 @@ title || CASE WHEN wrapped THEN '  ' ELSE ': ' END || weight || '% Oct ' || day
 def outline_weight_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Items line by line, where a returned one's weight stands on the line below its title."""
     row = _text("Quiz ", F.col("l_partkey"), F.when(F.col("l_returnflag") == "R", "\n").otherwise(": "), F.col("l_quantity").cast("int"), "% Oct ", F.col("l_suppkey") % 28 + 1)
-    return outline_rows.weight_lines(outline_rows.lines(outlines(spark, sf_dir, row, "Grading\n", "\nTotal: 100%")), 2026)
+    return outline_rows.weight_lines(outline_rows.listed(outlines(spark, sf_dir, row, "Grading\n", "\nTotal: 100%")), 2026)
 
 
 @query(f"""WITH {LISTED}, t AS (SELECT doc_id, string_agg(title || '   ' || weight || '%   Oct ' || day || CASE WHEN wrapped THEN chr(10) || 'by ' || status ELSE '' END, chr(10) ORDER BY k) AS listed FROM r GROUP BY doc_id)
 SELECT doc_id, 'evaluation' AS section, md5('Assessment   Weight   Due' || chr(10) || listed || chr(10) || 'Total   100%') AS body_md5 FROM t UNION ALL SELECT doc_id, 'late', md5('Policy' || chr(10) || 'none') FROM t""")
 def outline_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two sections of each outline: one up to the next heading, one whose heading goes on behind its first word."""
-    found = outline_rows.section_bodies(outline_rows.lines(with_table(spark, sf_dir)), {"evaluation": ("Methods of Evaluation", "Evaluation"), "late": ("Late",), "none here": ("Textbook",)})
+    found = outline_rows.section_bodies(outline_rows.listed(with_table(spark, sf_dir)), {"evaluation": ("Methods of Evaluation", "Evaluation"), "late": ("Late",), "none here": ("Textbook",)})
     return found.select("doc_id", "section", F.md5("body").alias("body_md5"))
