@@ -56,7 +56,7 @@ def _listed(of_lines: DataFrame) -> DataFrame:
     """Documents with their lines, of either form."""
     if "lines" in of_lines.columns:
         return of_lines
-    by_place = F.array_sort(F.collect_list(F.struct("place", "line")))
+    by_place = F.sort_array(F.collect_list(F.struct("place", "line")))
     return of_lines.groupBy("doc_id").agg(F.transform(by_place, lambda s: s["line"]).alias("lines"))
 
 
@@ -156,7 +156,7 @@ def unwrapped(of_lines: DataFrame) -> DataFrame:
     """Lines, a title joined with the weight or date that stands alone on the next line. A line that was taken in takes in none: of a run of
     lines that each could, every second one does."""
     stands = lambda after: F.coalesce(after.rlike(r"^\d{1,3}(?:\.\d+)?\s*%") | after.rlike(bounded(r"(?i)\b(week\s*\d+|due\b)")), F.lit(False))
-    could = lambda line, k: let(F.get("lines", k + 1), stands) & ~line.rlike(_PERCENT) & _is(line, WORK)
+    could = lambda line, k: ~line.rlike(_PERCENT) & let(F.get("lines", k + 1), stands) & _is(line, WORK)
     # a letter for each line: of a run of 1, each second one joins (J) what it takes in (T)
     marks = F.split(F.regexp_replace(F.array_join(F.transform("lines", lambda line, k: F.when(could(line, k), "1").otherwise("0")), ""), "1.", "JT"), "")
     joined = lambda line, k, mark: F.struct(k.alias("place"), F.when(mark == "J", F.concat(line, F.lit("  "), F.get("lines", k + 1))).otherwise(line).alias("line"), (mark != "T").alias("stays"))
