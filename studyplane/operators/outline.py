@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.state import let
 from ..functions.text import fnv1a, outline_type
 
 #: Line patterns (fixed values). Each is tried on a trimmed line.
@@ -66,8 +67,8 @@ def _iso_day(label: Column) -> Column:
     """yyyy-MM-dd of a label that names a day with its year; else null, since the year is not guessed."""
     month = rf"(?i)\b({_MONTH}) ([0-9]{{1,2}})(?:st|nd|rd|th)?,? ?([0-9]{{4}})"
     g = lambda k: F.regexp_extract(label, month, k)
-    named = F.try_to_timestamp(F.concat_ws(" ", F.initcap(F.left(g(1), F.lit(3))), g(2), g(3)), F.lit("MMM d yyyy"))
-    return F.coalesce(F.nullif(F.regexp_extract(label, _DAY, 0), F.lit("")), F.date_format(named, "yyyy-MM-dd"))
+    named = F.when(label.rlike(month), F.try_to_timestamp(F.concat_ws(" ", F.initcap(F.left(g(1), F.lit(3))), g(2), g(3)), F.lit("MMM d yyyy")))
+    return let(F.regexp_extract(label, _DAY, 0), lambda day: F.coalesce(F.when(day != "", day), F.date_format(named, "yyyy-MM-dd")))
 
 
 def announcement_facts(posts: DataFrame, id_col: str = "post_id", text_col: str = "text") -> DataFrame:
@@ -76,41 +77,51 @@ def announcement_facts(posts: DataFrame, id_col: str = "post_id", text_col: str
     Kinds: due_changed and extension (value: the new day, or its label at less confidence), cancelled and location (value: the room), as many
     as the post has; exam (value: its day or label), grade_release, resource, schedule (not beside cancelled), once each; clarification where
     there is nothing else but an item."""
-    body = F.trim(F.regexp_replace(F.col(text_col), r"[ \t\r\n\x{A0}]+", " "))
-    blank = lambda c: F.nullif(c, F.lit(""))
+    blank = lambda c: let(c, lambda c: F.when(c != "", c))
     none = F.lit(None).cast("string")
     fact = lambda kind, hint, value, sure: F.struct(kind.alias("kind"), hint.alias("hint"), value.alias("value"), sure.cast("double").alias("confidence"))
     item = lambda m: F.trim(F.concat_ws(" ", F.lower(m["1"]), m["2"]))
 
-    def each(p: str, groups: int, made) -> Column:
-        """A fact of every match of p."""
-        return F.transform(F.arrays_zip(*(F.regexp_extract_all(body, F.lit(p), F.lit(k)).alias(str(k)) for k in range(1, groups + 1))), made)
-
     def moved(m: Column) -> Column:
         label = F.regexp_replace(m["4"], r"(?i)^(?:to|until) |[ ,;]+(?:(?:and|but)(?: the)?)? *$", "")
-        day = _iso_day(label)
         kind = F.when(F.concat(m["3"], m["4"]).rlike("(?i)extend|postpon"), "extension").otherwise("due_changed")
-        return fact(kind, item(m), F.coalesce(day, label), F.when(day.isNotNull(), 0.75).otherwise(0.55))
-
-    def once(p: str, kind: str, hint: Column, value: Column, sure: Column) -> Column:
-        return F.when(body.rlike(p), F.array(fact(F.lit(kind), hint, value, sure)))
-
-    first = blank(F.trim(F.lower(F.regexp_extract(body, ASSESSMENT, 1))))
-    label = blank(F.regexp_extract(body, EXAM_DAY, 1))
-    day = _iso_day(label)
-    cancelled = each(CANCELLED, 2, lambda m: fact(F.lit("cancelled"), item(m), none, F.lit(0.7)))
-    parts = [
-        each(MOVED_DAY, 4, moved),
-        each(MOVED_LABEL, 4, moved),
-        cancelled,
-        each(LOCATION, 3, lambda m: fact(F.lit("location"), item(m), m["3"], F.lit(0.65))),
-        once(EXAM, "exam", F.coalesce(blank(F.lower(F.regexp_extract(body, EXAM_HINT, 1))), F.lit("exam")), F.coalesce(day, label), F.when(day.isNotNull(), 0.7).otherwise(0.45)),
-        once(GRADES_OUT, "grade_release", first, none, F.lit(0.6)),
-        once(RESOURCE, "resource", first, none, F.lit(0.4)),
-        F.when(F.size(cancelled) == 0, once(SCHEDULE, "schedule", none, none, F.lit(0.4))),
-    ]
-    found = posts.select(F.col(id_col).alias("post_id"), F.flatten(F.array_compact(F.array(*parts))).alias("facts"), F.when(first.isNotNull(), F.array(fact(F.lit("clarification"), first, none, F.lit(0.35)))).alias("other"))
-    return found.select("post_id", F.explode(F.when(F.size("facts") > 0, F.col("facts")).otherwise(F.col("other"))).alias("f")).select("post_id", "f.*")
+        told = lambda label, day: fact(kind, item(m), F.coalesce(day, label), F.when(day.isNotNull(), 0.75).otherwise(0.55))
+        return let(label, lambda label: let(_iso_day(label), lambda day: told(label, day)))
+
+    def stated(body: Column) -> Column:
+        def each(p: str, groups: int, made) -> Column:
+            """A fact of every match of p; its groups are looked for only where it matches."""
+            matches = F.transform(F.arrays_zip(*(F.regexp_extract_all(body, F.lit(p), F.lit(k)).alias(str(k)) for k in range(1, groups + 1))), made)
+            return F.when(body.rlike(p), matches)
+
+        def once(p: str, kind: str, hint: Column, value: Column, sure: Column) -> Column:
+            return F.when(body.rlike(p), F.array(fact(F.lit(kind), hint, value, sure)))
+
+        def exam() -> Column:
+            hint = F.coalesce(blank(F.lower(F.regexp_extract(body, EXAM_HINT, 1))), F.lit("exam"))
+            told = lambda label, day: once(EXAM, "exam", hint, F.coalesce(day, label), F.when(day.isNotNull(), 0.7).otherwise(0.45))
+            return F.when(body.rlike(EXAM), let(blank(F.regexp_extract(body, EXAM_DAY, 1)), lambda label: let(_iso_day(label), lambda day: told(label, day))))
+
+        def facts(first: Column, cancelled: Column) -> Column:
+            parts = [
+                each(MOVED_DAY, 4, moved),
+                each(MOVED_LABEL, 4, moved),
+                cancelled,
+                each(LOCATION, 3, lambda m: fact(F.lit("location"), item(m), m["3"], F.lit(0.65))),
+                exam(),
+                once(GRADES_OUT, "grade_release", first, none, F.lit(0.6)),
+                once(RESOURCE, "resource", first, none, F.lit(0.4)),
+                F.when(cancelled.isNull() & body.isNotNull(), once(SCHEDULE, "schedule", none, none, F.lit(0.4))),
+            ]
+            other = F.when(first.isNotNull(), F.array(fact(F.lit("clarification"), first, none, F.lit(0.35))))
+            return let(F.flatten(F.array_compact(F.array(*parts))), lambda found: F.when(F.size(found) > 0, found).otherwise(other))
+
+        first = blank(F.trim(F.lower(F.regexp_extract(body, ASSESSMENT, 1))))
+        cancelled = each(CANCELLED, 2, lambda m: fact(F.lit("cancelled"), item(m), none, F.lit(0.7)))
+        return let(first, lambda first: let(cancelled, lambda cancelled: facts(first, cancelled)))
+
+    body = F.trim(F.regexp_replace(F.col(text_col), r"[ \t\r\n\x{A0}]+", " "))
+    return posts.select(F.col(id_col).alias("post_id"), F.inline(let(body, stated)))
 
 
 #: "Quiz 2 ... is due: Monday" in an announcement (fixed values), and how many such phrases of one are taken.
