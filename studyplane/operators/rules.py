@@ -42,12 +42,8 @@ def pools(items: DataFrame, categories: DataFrame, rules: DataFrame) -> DataFram
     return lowest.unionByName(best).unionByName(ruled)
 
 
-def drops(items: DataFrame, categories: DataFrame, rules: DataFrame) -> DataFrame:
-    """Per item of items: official (some pool drops it for good), provisional (some pool would, but isn't complete), certainty of the last pool in
-    order that drops it (official, provisional, projection or none), pending (missed without a grade in a best-of pool).
-
-    Best-of keeps the n highest, ties by input order; it is complete once as many as expected are graded or missed and none is open, and does nothing
-    while no item is graded. Drop-lowest drops the n lowest, provisionally while one is open."""
+def _pooled(items: DataFrame, categories: DataFrame, rules: DataFrame) -> DataFrame:
+    """What `drops` says, of the items that stand in a pool; one row for each course_id and id, certainty null where nothing drops it."""
     scored = F.col("percent").isNotNull()
     w = Window.partitionBy("course_id", "pool", "mode")
     open_ = F.count_if(~scored & ~F.col("missed")).over(w)
@@ -66,12 +62,21 @@ def drops(items: DataFrame, categories: DataFrame, rules: DataFrame) -> DataFram
     lowest = F.when(scored & (F.col("_low") <= F.col("n")), F.when(F.col("_open") > 0, "provisional").otherwise("official"))
     outcome = F.when(F.col("mode") == "best", best).otherwise(lowest)
     pending = (F.col("mode") == "best") & (F.col("_scored") > 0) & ~scored & F.col("missed")
-    each = ranked.select("course_id", "id", "pool_ord", outcome.alias("_o"), pending.alias("_p")).groupBy("course_id", "id").agg(
+    return ranked.select("course_id", "id", "pool_ord", outcome.alias("_o"), pending.alias("_p")).groupBy("course_id", "id").agg(
         F.coalesce(F.bool_or(F.col("_o") == "official"), F.lit(False)).alias("official"),
         F.coalesce(F.bool_or(F.col("_o") != "official"), F.lit(False)).alias("provisional"),
         F.max_by("_o", F.when(F.col("_o").isNotNull(), F.col("pool_ord"))).alias("certainty"),
         F.bool_or("_p").alias("pending"),
     )
+
+
+def drops(items: DataFrame, categories: DataFrame, rules: DataFrame) -> DataFrame:
+    """Per item of items: official (some pool drops it for good), provisional (some pool would, but isn't complete), certainty of the last pool in
+    order that drops it (official, provisional, projection or none), pending (missed without a grade in a best-of pool).
+
+    Best-of keeps the n highest, ties by input order; it is complete once as many as expected are graded or missed and none is open, and does nothing
+    while no item is graded. Drop-lowest drops the n lowest, provisionally while one is open."""
+    each = _pooled(items, categories, rules)
     no = lambda c: F.coalesce(c, F.lit(False)).alias(c)
     return items.select("course_id", "id").join(each, ["course_id", "id"], "left").select("course_id", "id", no("official"), no("provisional"), F.coalesce("certainty", F.lit("none")).alias("certainty"), no("pending"))
 
@@ -104,7 +109,7 @@ def summary(items: DataFrame, categories: DataFrame, rules: DataFrame) -> DataFr
 
     Bonus items are left out. Caps are found for the standing before drops, and again for the one that they lower; provisional drops change nothing."""
     mine = items.filter(~F.coalesce("bonus", F.lit(False)))
-    official = drops(mine, categories, rules).filter("official").select("course_id", "id", "official").distinct()  # one row for ids that repeat
+    official = _pooled(mine, categories, rules).filter("official").select("course_id", "id", "official")
     rows = mine.join(official, ["course_id", "id"], "left")
     gone = F.coalesce("official", F.lit(False)) | F.coalesce("dropped", F.lit(False))
     counted = F.col("percent").isNotNull() & ~F.col("missed")
