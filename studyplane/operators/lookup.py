@@ -1,7 +1,8 @@
 """Search without a scan: entries and postings of their pieces of three characters as written tables, which a query reads by its own pieces.
 
-The postings are plain Parquet, sorted by piece and written with delta-encoded blocks of numbers, so that min/max figures of row groups and
-pages leave out the pieces that a query doesn't have. Nothing here reads an entry's text before all its pieces are known to be there."""
+The postings are plain Parquet, each file sorted by piece and written with delta-encoded blocks of numbers, so that min/max figures of row groups and
+pages leave out the pieces that a query doesn't have. Where few entries hold all pieces, only
+these are verified; where many do, a scan of all texts costs less than to bring places and texts together, and gives the same."""
 
 from __future__ import annotations
 
@@ -155,9 +156,9 @@ def found(spark: SparkSession, folder: str, query: str, limit: int = 40, course_
 
 
 def reach(spark: SparkSession, folder: str, queries: Sequence[str]) -> DataFrame:
-    """query, entries, read and hits: how many entries there are, of how many a query reads the text, and how many hold it.
+    """query, entries, read and hits: how many entries there are, how many hold all pieces of a query (all, if it has none), and how many hold it.
 
-    Queries of many entries are counted in one scan."""
+    Queries of many entries are counted in one scan, which passes over the others' texts too."""
     every = spark.read.parquet(f"{folder}/entries")
     entries = every.count()
     counted = lambda q, held: F.struct(F.lit(q).alias("query"), F.lit(entries).cast("long").alias("entries"), F.count_if(held).alias("read"), F.count_if(search_score(q, F.col("hay")) > 0).alias("hits"))
