@@ -6,6 +6,8 @@ gives them, are brought together by document first."""
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -31,6 +33,9 @@ DAYS_OF_LINES = r"(?i)\b(week\s*\d+|jan\w*\s+\d{1,2}[^,]*(?:,\s*\d{4})?|feb\w*\s
 DUE_WORDS = r"(?i)\bdue\b[:\s-]*(.+)$"
 _PERCENT = r"\d\s*%"
 
+#: White space at the ends of lines, with the separators of lines and paragraphs (fixed value).
+BLANK = " \t\n\x0b\f\r\u2028\u2029"
+
 
 def _is(text: Column, pattern: str) -> Column:
     return text.rlike(bounded(pattern))
@@ -43,7 +48,7 @@ def _got(text: Column, pattern: str, k: int = 1) -> Column:
 
 def listed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id and lines: a document's lines trimmed, their inner blanks kept, without empty ones and page breaks. Null texts have null."""
-    trimmed = F.transform(F.split(F.col(text_col), "\n"), lambda line: F.regexp_replace(line, r"^\s+|\s+$", ""))
+    trimmed = F.transform(F.split(F.col(text_col), "\n"), lambda line: F.btrim(line, F.lit(BLANK)))
     return docs.select(F.col(id_col).alias("doc_id"), F.filter(trimmed, lambda line: (line != "") & (line != "--- page break ---")).alias("lines"))
 
 
@@ -177,16 +182,19 @@ def weight_lines(of_lines: DataFrame, year: int) -> DataFrame:
 
 def section_bodies(of_lines: DataFrame, headings: dict[str, tuple[str, ...]]) -> DataFrame:
     """doc_id, section and body of the first section of each name: what stands behind its heading, then its lines up to one that is like a
-    heading, speaks of no work and has no weight. headings: for each section the words that its heading begins with."""
-
-    def section(name: str, words: tuple[str, ...], ends: Column) -> Column:
-        pattern = bounded(r"(?i)^(?:\d+[.)]\s*)?(?:" + "|".join(r"\Q" + w + r"\E" for w in words) + r")\b")
-        start = _first(F.transform("lines", lambda line: line.rlike(pattern) & (F.length(line) < HEADING)))
-        own = lambda at: F.trim(F.regexp_replace(F.regexp_replace(F.get("lines", at), pattern, ""), r"^[:\-\s]+", ""))
-        stop = lambda at: F.coalesce(F.get(F.filter(ends, lambda k: k > at + 1), F.lit(0)), F.size("lines"))
-        text = lambda at: F.concat(let(own(at), lambda x: F.when(x != "", F.array(x)).otherwise(F.array().cast("array<string>"))), _behind(F.col("lines"), at, stop(at)))
-        return let(start, lambda at: F.when(at.isNotNull(), F.struct(F.lit(name).alias("section"), F.trim(F.array_join(text(at), "\n")).alias("body"))))
-
-    heading = lambda line, k: F.when(line.rlike("^[A-Z][A-Za-z ]{2,48}$") & ~_is(line, WORK), k)
-    found = let(F.array_compact(F.transform("lines", heading)), lambda ends: F.array_compact(F.array(*(section(*x, ends) for x in headings.items()))))
-    return _listed(of_lines).select("doc_id", F.inline(found))
+    heading, speaks of no work and has no weight. headings: for each section the words that its heading begins with.
+
+    A pattern takes a section whole out of the lines put together again, where its words occur at all; so no line is looked at by itself."""
+    ends = rf"(?=[A-Z][A-Za-z ]{{2,48}}\n)(?![^\n]*?(?i:{bounded(WORK.removeprefix('(?i)'))}))"
+
+    def section(words: tuple[str, ...]) -> Column:
+        heading = r"(?i:(?:\d+[.)][\s&&[^\n]]*)?(?:" + "|".join(r"\Q" + w + r"\E" for w in words) + "))" + bounded(r"\b")
+        # the rest of the heading and the next line as they are, then lines up to an end; possessive, so that a long section needs no stack
+        pattern = rf"\n(?={heading})(?=[^\n]{{0,{HEADING - 1}}}\n){heading}[:\-\s&&[^\n]]*+([^\n]*+\n(?:[^\n]++\n)?+(?:(?!{ends})[^\n]++\n)*+)"
+        occurs = [F.contains(F.lower("text"), F.lit(w.lower())) if w.isascii() else F.lit(True) for w in words]
+        return F.when(reduce(Column.__or__, occurs), F.regexp_extract("text", pattern, 1))
+
+    text = F.concat(F.lit("\n"), F.array_join("lines", "\n"), F.lit("\n")).alias("text")
+    found = _listed(of_lines).select("doc_id", text).select("doc_id", *(section(words).alias(f"_{n}") for n, words in enumerate(headings.values())))
+    made = (F.when(F.col(f"_{n}") != "", F.struct(F.lit(name).alias("section"), F.btrim(F.col(f"_{n}"), F.lit(" \n")).alias("body"))) for n, name in enumerate(headings))
+    return found.select("doc_id", F.inline(F.array_compact(F.array(*made))))

@@ -15,10 +15,11 @@ r AS (SELECT *, k + coalesce(sum(wrapped::INT) OVER (PARTITION BY doc_id ORDER B
 
 
 def outlines(spark: SparkSession, sf_dir: str, row: Column, before: str, after: str) -> DataFrame:
-    """doc_id and text: a row's lines, between what stands before and after them."""
+    """doc_id and text: a row's lines, between what stands before and after them. Rows are dealt by their order first: those of one order lie
+    far apart, so that gathering them before would sort all of them and gather none."""
     order = ["l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice"]
-    rows = F.array_sort(F.collect_list(F.struct(*order, row.alias("row"))))
-    listed = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("doc_id")).agg(F.array_join(F.transform(rows, lambda s: s["row"]), "\n").alias("rows"))
+    dealt = table(spark, sf_dir, "lineitem").repartition("l_orderkey").select(F.col("l_orderkey").alias("doc_id"), F.struct(*order, row.alias("row")).alias("row"))
+    listed = dealt.groupBy("doc_id").agg(F.array_join(F.sort_array(F.collect_list("row"))["row"], "\n").alias("rows"))
     return listed.select("doc_id", F.concat(F.lit(before), "rows", F.lit(after)).alias("text"))
 
 
