@@ -6,7 +6,10 @@ from __future__ import annotations
 
 import unicodedata
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
@@ -25,6 +28,12 @@ REPEATED, KEPT = 0.6, r"(?i)[0-9]\s*%|assignment|quiz|midterm|final|due\b"
 
 PAGE = ["doc_id", "page"]
 
+#: The columns of lines after doc_id, page and number.
+LINE = ("text", "x", "y", "w", "h", "font", "bold", "gaps", "cells")
+
+#: Spans that are folded at once, about.
+SPANS = 500_000
+
 
 def _starts(sorted_values: Column, same) -> Column:
     """The first value of each run: a value begins a run if same(first of the last run, value) does not hold."""
@@ -32,39 +41,128 @@ def _starts(sorted_values: Column, same) -> Column:
     return F.aggregate(sorted_values, kind, lambda runs, v: F.when((F.size(runs) > 0) & same(F.try_element_at(runs, F.lit(-1)), v), runs).otherwise(F.array_append(runs, v)))
 
 
+def pages(spans: DataFrame) -> DataFrame:
+    """Spans as pages: doc_id, page and spans, an array of structs. Blank and null spans, and those of no page, count for nothing."""
+    usable = spans.filter((F.length(F.trim("text")) > 0) & F.col("y").isNotNull() & F.col("doc_id").isNotNull() & F.col("page").isNotNull())
+    return usable.groupBy(*PAGE).agg(F.collect_list(F.struct(F.col("y").cast("double").alias("y"), "x", "ord", "w", "h", "font", "bold", "text")).alias("spans"))
+
+
+def _tidy(texts: pa.Array) -> pa.Array:
+    blanks = pc.replace_substring_regex(texts, r"[ \t]+", " ")
+    return pc.utf8_trim(pc.replace_substring_regex(blanks, r" ([0-9]+[\s\x0B]*%)", r"  \1"), " ")
+
+
+def _begins(page: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Which spans begin a line, of spans sorted by page and from high to low: the first more than LINE_HEIGHT below the last that did.
+
+    A wider step between two neighbours always begins one; only what is left of stretches higher than a line takes further rounds, for all pages
+    at once."""
+    begins = np.ones(len(y), dtype=bool)
+    begins[1:] = (page[1:] != page[:-1]) | ~((y[1:] == y[:-1]) | (y[:-1] - y[1:] <= LINE_HEIGHT) | (np.isnan(y[1:]) & np.isnan(y[:-1])))
+    place = np.arange(len(y))
+    while True:
+        first = y[np.maximum.accumulate(np.where(begins, place, 0))]
+        far = np.flatnonzero(first - y > LINE_HEIGHT)
+        if not len(far):
+            return begins
+        line = np.cumsum(begins)[far]
+        begins[far[np.r_[True, line[1:] != line[:-1]]]] = True
+
+
+def _lists(starts: np.ndarray, total: int, values: pa.Array) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(np.append(starts, total), pa.int32()), values)
+
+
+def _numbers(values: pa.Array) -> np.ndarray:
+    """As doubles, null as NaN."""
+    return values.cast(pa.float64()).fill_null(np.nan).to_numpy(zero_copy_only=False)
+
+
+#: What lines have, as Spark's and Arrow's types.
+MADE = {"text": ("string", pa.string()), **{c: ("double", pa.float64()) for c in ("x", "y", "w", "h", "font")}, "bold": ("boolean", pa.bool_()), "gaps": ("array<double>", pa.list_(pa.float64())), "apart": ("array<string>", pa.list_(pa.string()))}
+
+
+def _folded(spans: pa.ListArray, wanted: tuple[str, ...]) -> pa.ListArray:
+    """The lines of each page of a batch, downwards, with what is wanted of MADE; apart: texts between gaps as wide as between cells."""
+    flat = spans.flatten()
+    sizes = spans.value_lengths().fill_null(0).to_numpy()
+    page, n = np.repeat(np.arange(len(sizes)), sizes), len(flat)
+    kind = pa.struct([(c, MADE[c][1]) for c in wanted])
+    if not n:
+        return _lists(np.zeros(len(sizes), dtype=np.int64), 0, pa.array([], kind))
+    col = {c: _numbers(flat.field(c)) for c in ("x", "y", "w")}
+    down = np.where(np.isnan(col["y"]), -np.inf, -col["y"])
+    by = np.lexsort((down, page))
+    begins = _begins(page[by], col["y"][by])
+    line = np.empty(n, dtype=np.int64)
+    line[by] = np.cumsum(begins) - 1
+    left = np.where(np.isnan(col["x"]), -np.inf, col["x"])
+    at = np.lexsort((_numbers(flat.field("ord")), down, left, line))
+    line = line[at]
+    x, y, w = (col[c][at] for c in ("x", "y", "w"))
+    new = np.r_[True, line[1:] != line[:-1]]
+    first = np.flatnonzero(new)
+    end = np.where(new, np.nan, np.roll(x + w, 1))
+    gap = x - end
+    least, most = (lambda v: np.fmin.reduceat(v, first)), (lambda v: np.fmax.reduceat(v, first))
+    known = lambda v: pa.array(v, mask=np.isnan(v))
+    made = {"x": lambda: known(least(x)), "y": lambda: known(least(y)), "w": lambda: known(most(x + w) - least(x))}
+    made["h"] = lambda: known(most(y + _numbers(flat.field("h"))[at]) - least(y))
+    font = most(_numbers(flat.field("font"))[at])
+    made["font"] = lambda: known(font)
+
+    def bold() -> pa.Array:
+        said = _numbers(flat.field("bold").cast(pa.int8()))[at]
+        some = most(said)
+        return pa.array((some == 1) | (font >= 14), mask=~(font >= 14) & (np.isnan(some) | (np.isnan(font) & (some != 1))))
+
+    def gaps() -> pa.Array:
+        wide = gap >= COLUMN_GAP
+        return _lists(np.r_[0, np.cumsum(wide)][first], int(wide.sum()), pa.array((end + gap / 2)[wide]))
+
+    pieces = pc.binary_join_element_wise(pa.array(np.where(gap > WORD_GAP, " ", "")), flat.field("text").take(pa.array(at)), "")
+
+    def apart() -> pa.Array:
+        cut = new | (gap > CELL_GAP)
+        cells = pc.binary_join(_lists(np.flatnonzero(cut), n, pieces), "")
+        return _lists(np.r_[0, np.cumsum(cut)][first], len(cells), _tidy(cells))
+
+    made |= {"bold": bold, "gaps": gaps, "apart": apart, "text": lambda: _tidy(pc.binary_join(_lists(first, n, pieces), ""))}
+    rows = pa.StructArray.from_arrays([made[c]().cast(MADE[c][1]) for c in wanted], fields=list(kind))
+    per = np.bincount(page[at][first], minlength=len(sizes))
+    return _lists(np.r_[0, np.cumsum(per)[:-1]], len(first), rows)
+
+
+def folded(spans: Column, *wanted: str) -> Column:
+    """The lines of one page, downwards: an array of structs of what is wanted of MADE. A line has the spans within LINE_HEIGHT of its highest one,
+    which depends on their order, so pages are folded in Arrow batches, where they are."""
+
+    def lines_of_pages(spans: pa.Array) -> pa.Array:
+        # a batch has very many spans where pages are long, so they are taken a part at a time
+        sizes = np.cumsum(spans.value_lengths().fill_null(0).to_numpy())
+        cuts = np.r_[0, np.flatnonzero(np.diff(sizes // SPANS)) + 1, len(sizes)]
+        return pa.concat_arrays([_folded(spans.slice(a, b - a), wanted) for a, b in zip(cuts, cuts[1:])])
+
+    return F.arrow_udf(lines_of_pages, f"array<struct<{','.join(f'{c}:{MADE[c][0]}' for c in wanted)}>>")(spans)
+
+
 def lines(spans: DataFrame) -> DataFrame:
     """Spans within LINE_HEIGHT of a line's highest span, from left to right, as lines: doc_id, page, number (from 0, downwards), text, x, y, w,
     h, font (the largest), bold (any, or a font of 14), gaps (centres of those as wide as between columns) and cells (texts that CELL_GAP parts,
-    else bars or wide blanks in the text). Blank and null spans count for nothing.
-
-    The heights of a page are folded, not its spans; what comes together are the spans of one line. Spans are dealt by their page once, and
-    all that follows stays where they are."""
-    usable = spans.filter((F.length(F.trim("text")) > 0) & F.col("y").isNotNull()).select(*PAGE, "ord", "x", F.col("y").cast("double").alias("y"), "w", "h", "font", "bold", "text")
-    heights = usable.groupBy(*PAGE).agg(F.sort_array(F.collect_set("y"), asc=False).alias("ys"))
-    starts = heights.select(*PAGE, _starts(F.col("ys"), lambda first, y: first - y <= LINE_HEIGHT).alias("starts"))
-    number = F.size(F.filter("starts", lambda s: s >= F.col("y"))) - 1
-    rows = usable.join(starts.hint("shuffle_hash"), PAGE).withColumn("number", number).drop("starts")
-    line = Window.partitionBy(*PAGE, "number").orderBy("x", F.desc("y"), "ord")
-    end = F.lag(F.col("x") + F.col("w")).over(line)
-    rows = rows.withColumns({"_end": end, "_at": F.row_number().over(line)}).withColumn("_gap", F.col("x") - F.col("_end"))
-    piece = F.concat(F.when(F.col("_gap") > WORD_GAP, " ").otherwise(""), "text")
-    cell = F.sum(F.when(F.col("_gap") > CELL_GAP, 1).otherwise(0)).over(line.rowsBetween(Window.unboundedPreceding, 0))
-    rows = rows.withColumn("_cell", cell.cast("int"))
-    centre = F.when(F.col("_gap") >= COLUMN_GAP, F.col("_end") + F.col("_gap") / 2)
-    out = rows.groupBy(*PAGE, "number").agg(
-        F.array_sort(F.collect_list(F.struct("_at", "_cell", piece.alias("piece")))).alias("pieces"),
-        F.min("x").alias("x"),
-        F.min("y").alias("y"),
-        (F.max(F.col("x") + F.col("w")) - F.min("x")).alias("w"),
-        (F.max(F.col("y") + F.col("h")) - F.min("y")).alias("h"),
-        F.max("font").alias("font"),
-        (F.max("bold") | (F.max("font") >= 14)).alias("bold"),
-        F.collect_list(centre).alias("gaps"),
-    )
-    tidy = lambda pieces: F.trim(F.regexp_replace(F.regexp_replace(F.array_join(F.transform(pieces, lambda s: s["piece"]), ""), r"[ \t]+", " "), r" ([0-9]+\s*%)", "  $1"))
-    apart = F.transform(F.sequence(F.lit(0), F.element_at("pieces", -1)["_cell"]), lambda c: tidy(F.filter("pieces", lambda s: s["_cell"] == c)))
-    out = out.select(*PAGE, "number", tidy(F.col("pieces")).alias("text"), "x", "y", "w", "h", "font", "bold", "gaps", apart.alias("apart"))
-    return out.withColumn("cells", F.when(F.size("apart") > 1, F.col("apart")).otherwise(text_cells(F.col("text")))).drop("apart")
+    else bars or wide blanks in the text). Blank and null spans count for nothing. A page's spans come together in one row."""
+    return page_lines(pages(spans))
+
+
+def page_lines(of_pages: DataFrame, *wanted: str) -> DataFrame:
+    """The same lines, or what is wanted of them, of pages (doc_id, page, spans, none of them blank): nothing is dealt or sorted by Spark."""
+    wanted = wanted or LINE
+    taken = [c for c in MADE if c in wanted or ("cells" in wanted and c in ("text", "apart"))]
+    out = of_pages.select(*PAGE, folded(F.col("spans"), *taken).alias("_lines")).select(*PAGE, F.posexplode("_lines").alias("number", "_line")).select(*PAGE, "number", "_line.*")
+    return out.select(*PAGE, "number", *(line_cells(F.col("text"), F.col("apart")).alias(c) if c == "cells" else F.col(c) for c in wanted))
+
+
+def line_cells(text: Column, apart: Column) -> Column:
+    return F.when(F.size(apart) > 1, apart).otherwise(text_cells(text))
 
 
 def text_cells(text: Column) -> Column:
@@ -103,6 +201,18 @@ def reading_order(of_lines: DataFrame, page_width: float = 612.0) -> DataFrame:
     return met.withColumn("column_index", column).withColumn("reading_order", F.row_number().over(w) - 1).drop("split")
 
 
+def pages_in_order(of_pages: DataFrame, page_width: float = 612.0) -> DataFrame:
+    """Pages (doc_id, page, spans) with lines, an array of their lines' text, bold and cells in reading order: what reading_order(lines()) gives,
+    page by page, without a row for each line."""
+    whole = of_pages.select(*PAGE, folded(F.col("spans"), "text", "bold", "apart", "x", "y", "w", "gaps").alias("lines"))
+    whole = whole.select(*PAGE, "lines", F.size("lines").alias("n"), F.sort_array(F.flatten("lines.gaps")).alias("gaps"))
+    second = lambda s: F.coalesce(s["x"] + s["w"] / 2 >= F.col("split"), F.lit(False))
+    down = lambda s: F.when(F.isnan(s["y"]), float("-inf")).otherwise(-s["y"])
+    placed = F.sort_array(F.transform("lines", lambda s, n: F.struct(second(s).alias("second"), down(s).alias("down"), n.alias("number"), s.alias("line"))))
+    cells = lambda s: line_cells(s["text"], s["apart"])
+    return _parted(whole, page_width).select(*PAGE, F.transform(placed["line"], lambda s: F.struct(s["text"].alias("text"), s["bold"].alias("bold"), cells(s).alias("cells"))).alias("lines"))
+
+
 def headings(of_lines: DataFrame) -> DataFrame:
     """Short lines in bold or a font over the page's median (the upper one) that begin like a title: doc_id, page, number, text, level."""
     page = Window.partitionBy(*PAGE)

@@ -9,8 +9,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BooleanType, IntegerType, StructField, StructType
 
+from ..functions.state import let
 from ..functions.text import bounded
-from .graph import settled
 from .layout import PAGE
 
 #: Words of table heads (fixed values): of items, weights and dates, of schedules, and of a schedule's second column.
@@ -33,20 +33,22 @@ def _has(text: Column, pattern: str) -> Column:
 
 def line_kind(text: Column, cells: Column, bold: Column) -> Column:
     """The bits of a line."""
-    head = F.lower(F.array_join(cells, " "))
+    return let(F.lower(F.array_join(cells, " ")), lambda head: let(text.rlike(r"[0-9]\s*%"), lambda percent: _kind(text, cells, bold, head, percent)))
+
+
+def _kind(text: Column, cells: Column, bold: Column, head: Column, percent: Column) -> Column:
     item, weight, due = (_has(head, p) for p in (ITEM, WEIGHT, DUE))
-    percent = text.rlike(r"[0-9]\s*%")
     bit = lambda which, value: F.when(F.coalesce(which, F.lit(False)), value).otherwise(0)
     return (
-        bit((item & weight) | (item & due) | (weight & due), ITEMS_HEAD)
+        bit(F.when(item, weight | due).otherwise(weight & due), ITEMS_HEAD)
         + bit(_has(head, SCHEDULE) & (_has(head, SCHEDULE_TOO) | (F.size(cells) >= 3)), SCHEDULE_HEAD)
         + bit(F.size(cells) >= 2, CELLS)
         + bit(text.rlike("[0-9]"), DIGIT)
         + bit(percent, PERCENT)
-        + bit(_has(text, r"(?i)^total\b") & percent, TOTAL)
+        + bit(percent & _has(text, r"(?i)^total\b"), TOTAL)
         + bit(text.rlike("^[A-Z][A-Za-z ]{4,40}$") & bold, SECTION)
         + bit(F.length(text) < WRAPPED, SHORT)
-        + bit(F.lower(cells[0]) == "total", BARE_TOTAL)
+        + bit(F.lower(F.get(cells, F.lit(0))) == "total", BARE_TOTAL)
     )
 
 
@@ -107,24 +109,54 @@ def _both_ways(pages: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
     """Each page's stretches where no table is open before it, and where one is."""
     fields = ("head", "first", "stop", "what")
     for kinds in pages:
-        made = [[stretches(list(k), p) for p in (False, True)] for k in kinds]
+        known: dict = {}  # pages of the same kinds of lines are looked at once
+        shapes = [tuple(k) for k in kinds]
         named = lambda s: [dict(zip(fields, x, strict=True)) for x in s]
-        yield pd.DataFrame({"closed": [named(a[0]) for a, _ in made], "closed_after": [a[1] for a, _ in made], "open": [named(b[0]) for _, b in made], "open_after": [b[1] for _, b in made]})
+        for k in set(shapes):
+            known[k] = [(named(out), after) for out, after in (stretches(list(k), p) for p in (False, True))]
+        made = [known[k] for k in shapes]
+        yield pd.DataFrame({"closed": [a[0] for a, _ in made], "closed_after": [a[1] for a, _ in made], "open": [b[0] for _, b in made], "open_after": [b[1] for _, b in made]})
+
+
+#: As if it were not deterministic, so that what looks at its columns doesn't call it anew.
+_once = _both_ways.asNondeterministic()
 
 
 def tables(of_lines: DataFrame) -> DataFrame:
     """The rows of all tables: doc_id, table_number (from 0), page, end_page, kind (assessment, schedule), headers, row_number (from 0), cells.
 
-    of_lines: lines in reading order (doc_id, page, reading_order, text, bold, cells). Lines of a page become bits, which are looked at page by
-    page, for both cases: a table is open before the page, or none. Which case holds is carried over a document's pages by a window: a page
-    either settles whether a table is open after it, keeps that or turns it round, so it is what the last page settled that did, turned
-    round as often as since then. A head while a table is open gives up that table, as it was never ended. A line of one short cell after a row is the rest of
-    its first cell. Null texts and pages without lines have no tables."""
-    marked = of_lines.filter("text IS NOT NULL").withColumn("kind", line_kind(F.col("text"), F.col("cells"), F.coalesce("bold", F.lit(False))))
-    marked = marked.withColumn("place", (F.row_number().over(Window.partitionBy(*PAGE).orderBy("reading_order")) - 1).cast("int"))
-    marked = settled(marked.select(*PAGE, "place", "text", "cells", "kind"))  # pages, rows and heads look at it
-    pages = marked.groupBy(*PAGE).agg(F.transform(F.array_sort(F.collect_list(F.struct("place", "kind"))), lambda s: s["kind"]).alias("kinds"))
-    pages = pages.filter(F.exists("kinds", lambda k: k.bitwiseAND(ITEMS_HEAD | SCHEDULE_HEAD | CELLS) > 0)).select(*PAGE, _both_ways("kinds").alias("b")).select(*PAGE, "b.*")
+    of_lines: lines in reading order (doc_id, page, reading_order, text, bold, cells). Null texts and pages without lines have no tables."""
+    line = F.struct("reading_order", "text", "bold", "cells")
+    return page_tables(of_lines.filter("text IS NOT NULL").groupBy(*PAGE).agg(F.sort_array(F.collect_list(line)).alias("lines")))
+
+
+def _rows(body: Column) -> Column:
+    """The rows of a stretch of lines (cells, kind): a line of cells, a percentage or a total, with the first cells of the short lines behind it."""
+    cell = lambda s: F.get(s["cells"], F.lit(0))
+    is_row = lambda s: s["kind"].bitwiseAND(CELLS | PERCENT | TOTAL) > 0
+    begins = F.filter(F.transform(body, lambda s, i: F.when(is_row(s), i)), lambda i: i.isNotNull())
+
+    def row(at: Column, b: Column, n: Column) -> Column:
+        more = F.filter(F.slice(body, b + 2, F.coalesce(F.get(at, n + 1), F.size(body)) - b - 1), lambda s: s["kind"].bitwiseAND(SHORT) > 0)
+        own = F.get(body, b)
+        first = F.trim(F.array_join(F.concat(F.array(cell(own)), F.array_compact(F.transform(more, cell))), " "))
+        return F.concat(F.array(first), F.slice(own["cells"], 2, 1 << 30))
+
+    return let(begins, lambda at: F.transform(at, lambda b, n: row(at, b, n)))
+
+
+def page_tables(pages: DataFrame) -> DataFrame:
+    """The same rows from pages: doc_id, page and lines, an array of structs with text (not null), bold and cells in reading order.
+
+    Lines of a page become bits, which are looked at page by page, for both cases: a table is open before the page, or none. Which case holds
+    is carried over a document's pages by a window: a page either settles whether a table is open after it, keeps that or turns it round, so it
+    is what the last page settled that did, turned round as often as since then. A head while a table is open gives up that table, as it was
+    never ended. A line of one short cell after a row is the rest of its first cell. Rows of a stretch are cut out of their page before
+    documents are looked at, and documents are dealt once, so that no line is written twice or joined."""
+    kinds = F.transform("lines", lambda s: line_kind(s["text"], s["cells"], F.coalesce(s["bold"], F.lit(False))))
+    pages = pages.select(*PAGE, F.transform("lines", lambda s: s["cells"]).alias("cells"), kinds.alias("kinds"))
+    pages = pages.select(*PAGE, F.arrays_zip("cells", F.col("kinds").alias("kind")).alias("lines"), _once("kinds").alias("b")).select(*PAGE, "lines", "b.*")
+    pages = pages.filter((F.size("closed") > 0) | (F.size("open") > 0))
     before = Window.partitionBy("doc_id").orderBy("page").rowsBetween(Window.unboundedPreceding, -1)
     settles, turns = F.col("closed_after") == F.col("open_after"), F.col("closed_after") & ~F.col("open_after")
     upto = Window.partitionBy("doc_id").orderBy("page").rowsBetween(Window.unboundedPreceding, 0)
@@ -132,26 +164,27 @@ def tables(of_lines: DataFrame) -> DataFrame:
     last = lambda c: F.last(F.when(settles, c), ignorenulls=True).over(before)
     turned = F.coalesce(F.max("turns").over(before), F.lit(0)) - F.coalesce(last(F.col("turns")), F.lit(0))
     is_open = (F.coalesce(last(F.col("closed_after").cast("int")), F.lit(0)) + turned) % 2 == 1
-    found = pages.withColumn("is_open", is_open).select(*PAGE, F.posexplode(F.when(F.col("is_open"), F.col("open")).otherwise(F.col("closed"))).alias("at", "s")).select(*PAGE, "at", "s.*")
+
+    def stretch(s: Column) -> Column:
+        body = F.slice("lines", F.least(s["first"], s["stop"]) + 1, F.greatest(s["stop"] - s["first"], F.lit(0)))
+        head = F.get(F.col("lines"), s["head"])
+        kind = F.when(head["kind"].bitwiseAND(SCHEDULE_HEAD) > 0, "schedule").otherwise("assessment")
+        return F.struct(s["what"].alias("what"), F.struct(head["cells"].alias("headers"), kind.alias("kind")).alias("head"), let(body, _rows).alias("rows"))
+
+    pages = pages.withColumn("is_open", is_open).select(*PAGE, "lines", F.when(F.col("is_open"), F.col("open")).otherwise(F.col("closed")).alias("found"))
+    found = pages.select(*PAGE, F.posexplode(F.transform("found", stretch)).alias("at", "s")).select(*PAGE, "at", "s.*").withColumn("n", F.size("rows"))
+    whole, group = Window.partitionBy("doc_id"), Window.partitionBy("doc_id", "group")
     begins = F.col("what").isin(CLOSED, OPENED, NOTHING).cast("int")
-    found = found.withColumn("group", F.sum(begins).over(Window.partitionBy("doc_id").orderBy("page", "at").rowsBetween(Window.unboundedPreceding, 0)))
-    whole = Window.partitionBy("doc_id")
-    group = Window.partitionBy("doc_id", "group")
-    kept = F.max((F.col("what") == CLOSED) | (F.col("what") == LAST)).over(group) | (F.max(F.col("what") == OPENED).over(group) & (F.col("group") == F.max("group").over(whole)))
-    found = found.withColumn("kept", kept).filter("kept").drop("kept")
-    placed = found.select("doc_id", "page", "at", "group", "head", F.explode(F.filter(F.sequence(F.least("first", "stop"), F.col("stop")), lambda p: p < F.col("stop"))).alias("place"))
-    inside = placed.join(marked.select(*PAGE, "place", "text", "cells", "kind"), [*PAGE, "place"])
-    is_row = F.col("kind").bitwiseAND(CELLS | PERCENT | TOTAL) > 0
-    stretch = Window.partitionBy("doc_id", "group", "page", "at").orderBy("place").rowsBetween(Window.unboundedPreceding, 0)
-    inside = inside.withColumns({"is_row": is_row, "nth": F.sum(is_row.cast("int")).over(stretch)}).filter(F.col("is_row") | ((F.col("nth") > 0) & (F.col("kind").bitwiseAND(SHORT) > 0)))
-    each = inside.groupBy("doc_id", "group", "page", "at", "nth").agg(F.max_by("cells", F.col("is_row").cast("int")).alias("cells"), F.transform(F.array_sort(F.collect_list(F.struct("place", F.when(~F.col("is_row"), F.col("cells")[0]).alias("more")))), lambda s: s["more"]).alias("more"))
-    first = F.trim(F.array_join(F.concat(F.array(F.col("cells")[0]), F.array_compact("more")), " "))
-    each = each.select("doc_id", "group", "page", "at", "nth", F.concat(F.array(first), F.slice("cells", 2, 1 << 30)).alias("cells"))
-    heads = found.filter("head >= 0").join(marked.select(*PAGE, F.col("place").alias("head"), F.col("cells").alias("headers"), "kind"), [*PAGE, "head"])
-    kind = F.when(F.col("kind").bitwiseAND(SCHEDULE_HEAD) > 0, "schedule").otherwise("assessment")
-    heads = heads.select("doc_id", "group", F.col("page").alias("first_page"), "headers", kind.alias("table_kind"))
-    rows = each.join(heads, ["doc_id", "group"])
-    number = F.dense_rank().over(whole.orderBy("group")) - 1
-    row = F.row_number().over(group.orderBy("page", "at", "nth")) - 1
-    end = F.max("page").over(group)
-    return rows.select("doc_id", number.alias("table_number"), F.col("first_page").alias("page"), end.alias("end_page"), F.col("table_kind").alias("kind"), "headers", row.alias("row_number"), "cells")
+    found = found.withColumn("group", F.sum(begins).over(whole.orderBy("page", "at").rowsBetween(Window.unboundedPreceding, 0)))
+    kept = F.max((F.col("what") == CLOSED) | (F.col("what") == LAST)).over(group) | (F.max(F.col("what") == OPENED).over(group) & (F.col("group") == F.col("_last")))
+    of_group = group.orderBy("page", "at")
+    found = found.withColumn("_last", F.max("group").over(whole)).withColumns({
+        "kept": kept,
+        "upto": F.sum("n").over(of_group.rowsBetween(Window.unboundedPreceding, 0)) - F.col("n"),
+        "head": F.first("head").over(of_group.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)),
+        "first_page": F.min("page").over(group),
+        "end_page": F.max(F.when(F.col("n") > 0, F.col("page"))).over(group),
+    })
+    found = found.filter(F.col("kept") & F.col("end_page").isNotNull()).withColumn("table_number", F.dense_rank().over(whole.orderBy("group")) - 1)
+    rows = found.select("doc_id", "table_number", F.col("first_page").alias("page"), "end_page", "head.kind", "head.headers", "upto", F.posexplode("rows").alias("at", "cells"))
+    return rows.select("doc_id", "table_number", "page", "end_page", "kind", "headers", (F.col("upto") + F.col("at")).cast("int").alias("row_number"), "cells")
