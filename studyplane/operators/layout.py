@@ -229,14 +229,18 @@ def headings(of_lines: DataFrame) -> DataFrame:
 def without_repeats(of_lines: DataFrame) -> DataFrame:
     """The lines without those that stand among the two highest, or lowest, of REPEATED of the pages; documents of under two pages or twelve
     lines keep all, and so do lines that speak of coursework."""
-    key = F.lower(F.trim("text"))
-    down, up = (Window.partitionBy(*PAGE).orderBy(order, number) for order, number in ((F.desc("y"), F.col("number")), (F.col("y"), F.desc("number"))))
-    of_doc = of_lines.groupBy("doc_id").agg(F.count("*").alias("n"), F.count_distinct("page").alias("pages")).filter("n >= 12 AND pages >= 2")
-    ends = of_lines.withColumns({"_key": key, "_head": F.row_number().over(down) <= 2, "_foot": F.row_number().over(up) <= 2}).filter((F.col("_head") | F.col("_foot")) & F.length("_key").between(9, 89))
-    often = ends.groupBy("doc_id", "_key").agg(F.count_if("_head").alias("heads"), F.count_if("_foot").alias("feet")).join(of_doc, "doc_id")
-    banned = often.filter(F.greatest("heads", "feet") >= F.greatest(F.lit(2), F.ceil(F.col("pages") * REPEATED))).select("doc_id", "_key")
-    kept = of_lines.withColumn("_key", F.when(F.col("text").rlike(KEPT), None).otherwise(key))
-    return kept.join(banned, ["doc_id", "_key"], "left_anti").drop("_key")
+    of_page, of_doc = Window.partitionBy(*PAGE), Window.partitionBy("doc_id")
+    down = of_page.orderBy(F.desc("y"), "number")
+    # lines are dealt by document once: pages, documents and keys stay where they are, and nothing is made twice or joined
+    rows = of_lines.repartition("doc_id").withColumns({"_at": F.row_number().over(down), "_n": F.count("*").over(of_page)})
+    first = F.when(F.col("page").isNotNull() & (F.col("_at") == 1), 1).otherwise(0)
+    rows = rows.withColumns({"_key": F.lower(F.trim("text")), "_lines": F.count("*").over(of_doc), "_pages": F.sum(first).over(of_doc)})
+    of_key = Window.partitionBy("doc_id", "_key")
+    rows = rows.withColumns({"_heads": F.count_if(F.col("_at") <= 2).over(of_key), "_feet": F.count_if(F.col("_n") - F.col("_at") < 2).over(of_key)})
+    long = (F.col("_lines") >= 12) & (F.col("_pages") >= 2) & F.length("_key").between(9, 89) & F.col("doc_id").isNotNull()
+    often = F.greatest("_heads", "_feet") >= F.greatest(F.lit(2), F.ceil(F.col("_pages") * REPEATED))
+    goes = F.when(long & often, ~F.col("text").rlike(KEPT)).otherwise(False)
+    return rows.filter(~goes).select(*of_lines.columns)
 
 
 #: Characters and misread words of outlines and what they stand for (fixed values).
